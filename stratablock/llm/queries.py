@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import automaton, langid, lpf, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return automaton.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows outside the held-out fifth; a null id is never held out."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -20,6 +25,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return lpf.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.fit_on_labels(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -27,7 +37,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
