@@ -131,7 +131,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed: i
 
 def fit_on_labels(docs: DataFrame, lang: str = "lang") -> Model | None:
     """``docs``: the rows that may be learned from."""
-    return fit(sampling.labelled_sample(docs, docs, lang, max_rows=3000, max_bytes=24_000_000))
+    return fit(sampling.labelled_sample(docs, docs, lang))
 
 
 def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -126,20 +126,18 @@ def fit(rows: list[tuple[str, int]], epochs: int = 60, rate: float = 0.5, l2: fl
     y = np.array([int(v) for _, v in rows], float)
     if len(set(y)) < 2:
         return Model(np.zeros((FAMILIES, 1)), 0.0, constant=1.0)
-    buf, offsets = text.buffers(pa.array([t for t, _ in rows], pa.string()))
-    parts = [features(b, o) for _, _, b, o in text.slices(buf, offsets)]
     size = 1 << BITS
-    cols, docs, vals, base = [], [], [], 0
-    for (idx, bounds), (i, j, _, _) in zip(parts, text.slices(buf, offsets), strict=True):
-        for f in range(FAMILIES):
-            n = np.diff(bounds[f])
-            d = np.repeat(np.arange(i, j), n)
-            key, count = np.unique(d * size + idx[f], return_counts=True)
-            d, c = key // size, key % size
-            docs.append(d)
-            cols.append(c + f * size)
-            vals.append(count / np.maximum(n, 1)[d - i])
+    cols, docs, vals = [], [], []
+    for i, j, buf, offsets in text.slices(*text.buffers(pa.array([t for t, _ in rows], pa.string()))):
+        for f, (idx, bounds) in enumerate(zip(*features(buf, offsets), strict=True)):
+            n = np.diff(bounds)
+            key, count = np.unique(np.repeat(np.arange(j - i), n) * size + idx, return_counts=True)
+            own = key // size
+            docs.append((own + i).astype(np.int32))
+            cols.append((key % size + f * size).astype(np.int32))
+            vals.append((count / np.maximum(n, 1)[own]).astype(np.float32))
     d, c, v = np.concatenate(docs), np.concatenate(cols), np.concatenate(vals)
+    del docs, cols, vals
     aside = np.arange(len(rows)) % 4 == 3
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A fitted classifier sees at most so many rows and bytes of text.
-MAX_ROWS, MAX_BYTES = 4000, 48_000_000
+MAX_ROWS, MAX_BYTES = 2000, 12_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list:
