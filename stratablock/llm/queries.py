@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, langid, lpf, quality
+from . import automaton, fmindex, langid, lpf, oracles, packing, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,11 +25,35 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is its document's label: the number in the path is the doc_id; bad is low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "url")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").dropna()
+    number = F.regexp_extract(urls.path(F.col("url")), r"/([0-9]{1,18})", 1).try_cast("long")
+    outcomes = pages.withColumn("doc_id", number).join(labels, "doc_id")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    return urls.judge(pages, outcomes.select("url", bad.alias("bad"))).drop("bad_mean", "bad_lower")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return lpf.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    found = fmindex.decontaminate(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"), with_text=False)
+    names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.fit_on_labels(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -39,7 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_url_filters": op3_url_filters,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": oracles.URLS}
