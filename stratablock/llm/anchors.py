@@ -40,6 +40,7 @@ class Scheme:
     gram: int
     units: Callable[[np.ndarray, np.ndarray], "Units"]
     engine: Callable[[list[tuple[int, bytes]], int], list[np.ndarray]]
+    count: Callable[[bytes], int]
     shard_bytes: int
     hot: int = 5000
 
@@ -108,10 +109,11 @@ def _identity(docs: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, scheme: Scheme, bitmap) -> DataFrame:
-    """Segments that may repeat: their contents once a batch, and the places of all."""
+    """Segments that may repeat: their contents once a task, then only their number; and the places of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bitmap.value
+        sent: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             hashes = batch.column(2).to_numpy(zero_copy_only=False)
@@ -134,8 +136,12 @@ def _scan(docs: DataFrame, scheme: Scheme, bitmap) -> DataFrame:
                         c_times[known[c]] += t
                     else:
                         known[c] = len(c_ck)
-                        x, y = u.span(int(a[f]), int(b[f]) + scheme.window)
-                        bodies.append(whole[x:y])
+                        if c in sent:
+                            bodies.append(None)
+                        else:
+                            sent.add(c)
+                            x, y = u.span(int(a[f]), int(b[f]) + scheme.window)
+                            bodies.append(whole[x:y])
                         c_ck.append(c)
                         c_key.append(int(key[f]))
                         c_times.append(t)
@@ -198,34 +204,52 @@ def _rows(kind: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _shards(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The engine over shards of whole anchor groups, in the order of the sorted rows."""
+    """The engine over shards of whole anchor groups, in the order of the sorted rows.
+
+    A text alone with its anchor has no other text to match: it repeats as a whole or not at all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cks, times, bodies, held, at = [], [], [], 0, None
+        shard: list[tuple[int, int, bytes]] = []
+        group: list[list] = []
+        alone: list[tuple[int, np.ndarray]] = []
+        held, at = 0, None
+
+        def close() -> None:
+            nonlocal held
+            if len(group) > 1:
+                shard.extend(tuple(x) for x in group)
+                held += sum(len(x[2]) for x in group)
+            elif group and group[0][1] > 1:
+                alone.append((group[0][0], np.array([[0, scheme.count(group[0][2])]], np.int32)))
+            group.clear()
 
         def solve() -> pa.RecordBatch:
-            found = scheme.engine(list(zip(times, bodies, strict=True)), scheme.window)
-            hit = [k for k, spans in enumerate(found) if len(spans)]
+            nonlocal held
+            found = scheme.engine([(n, body) for _, n, body in shard], scheme.window) if shard else []
+            hit = [(ck, spans) for (ck, _, _), spans in zip(shard, found, strict=True) if len(spans)] + alone
+            shard.clear()
+            alone.clear()
+            held = 0
             return pa.RecordBatch.from_arrays(
-                [pa.array([cks[k] for k in hit], pa.int64()), pa.array([np.ascontiguousarray(found[k], np.int32).tobytes() for k in hit], pa.binary())],
+                [pa.array([ck for ck, _ in hit], pa.int64()), pa.array([np.ascontiguousarray(x, np.int32).tobytes() for _, x in hit], pa.binary())],
                 names=["ck", "spans"],
             )
 
         for batch in batches:
             for key, ck, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if key != at and held >= scheme.shard_bytes:
-                    yield solve()
-                    cks, times, bodies, held = [], [], [], 0
-                if key == at and cks and cks[-1] == ck:
-                    times[-1] += n
-                    continue
-                at = key
-                cks.append(ck)
-                times.append(n)
-                bodies.append(body)
-                held += len(body)
-        if cks:
-            yield solve()
+                if key != at:
+                    close()
+                    at = key
+                    if held >= scheme.shard_bytes or len(alone) >= 100_000:
+                        yield solve()
+                if group and group[-1][0] == ck:
+                    group[-1][1] += n
+                    group[-1][2] = group[-1][2] or body
+                else:
+                    group.append([ck, n, body])
+        close()
+        yield solve()
 
     return run
 
@@ -245,7 +269,7 @@ def _hot_windows(contents: DataFrame, scheme: Scheme) -> DataFrame:
                     names=["ck", "at", "times", "window"],
                 )
 
-    each = contents.groupBy("ck").agg(F.sum("times").alias("times"), F.first("body").alias("body"))
+    each = contents.groupBy("ck").agg(F.sum("times").alias("times"), F.first("body", ignorenulls=True).alias("body"))
     windows = each.select("ck", "times", "body").mapInArrow(run, "ck long, at int, times long, window long")
     often = windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
     span = _pack_span(scheme.window)

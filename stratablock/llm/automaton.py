@@ -129,7 +129,7 @@ def _spans(matched: list[int], window: int) -> np.ndarray:
 
 
 def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, 1_000_000, hot)
+    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, lambda b: len(b.split()), 1_000_000, hot)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:

@@ -142,7 +142,7 @@ def engine_for(keep_first: bool):
 
 
 def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), 1_000_000, hot)
+    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), len, 1_000_000, hot)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:

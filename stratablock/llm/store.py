@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
