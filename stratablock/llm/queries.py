@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, fmindex, jaccard, langid, licenses, lpf, oracles, packing, quality, urls
+from . import automaton, fmindex, jaccard, langid, licenses, lpf, oracles, packing, pitman_yor, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "detections")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    held = F.coalesce(langid.fold(n=7) == 2, F.lit(False))
+    model, counts = pitman_yor.train(docs.filter(~held))
+    scored = pitman_yor.score(docs.select("doc_id", held.alias("held_out"), "text"), model, counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return lpf.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -75,6 +83,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
