@@ -1,14 +1,25 @@
-"""A corpus from raw documents: each stage calls one operator and works on all that its predecessor kept."""
+"""A corpus from raw documents: each stage calls one operator and works on all that its predecessor kept.
+
+Every stage but the last returns the columns of documents; the last returns
+the packed pieces. ``n_chars`` follows the text wherever a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratablock.llm import quality
+from stratablock.llm import automaton, fmindex, jaccard, packing, quality, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _with_text(docs: DataFrame, text: str) -> DataFrame:
+    """The columns of documents, with another text."""
+    new = docs.drop("text").withColumnRenamed(text, "text")
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -16,14 +27,50 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs.select(*COLUMNS), model).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class stays; so do documents without an id. Equal ids stay once."""
+    found = jaccard.classes(docs)
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated passages go; a document of which nothing is left goes too."""
+    found = automaton.remove_repeats(docs.select(*COLUMNS))
+    changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _with_text(found.filter("n_removed < n_words or n_words = 0").withColumn("__new", changed), "__new")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of benchmark passages go; a document of which nothing is left goes too."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = fmindex.decontaminate(docs.select(*COLUMNS), benchmark)
+    return _with_text(found.filter("n_hit < n_words or n_words = 0"), "clean_text")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Trained models, hashes and token ids take part: SQL cannot express the rows.
+#: A trained model, hashes and token ids take part: SQL cannot express the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each stage's output written as a table and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store.cut(docs, f"stage{k}")
     return docs
