@@ -9,25 +9,34 @@ exactly which windows occur more than once.
 
 Scale: an anchor that occurs once in the corpus cannot repeat a window, and is
 left out before anything is shuffled (``seen``). Equal segments are sent once
-a batch with their number, so a passage in a third of all documents is one row
-a task. What the engine finds goes back to documents by joins that Spark can
+a task with their number, so a passage in a third of all documents is one text
+a task. What the engine finds goes back to places by a join that Spark can
 split on skew. An anchor with over ``hot`` different segments (a passage with
 different surroundings each time) is not kept in one shard: its windows are
-spread by their whole content.
+segments of their own, spread by their whole content.
+
+Texts travel in compressed bundles for their partition, segments and whole
+documents alike, so the disk that a shuffle takes stays under the input's size.
+A task holds the segments, or the spans, of one partition at a time:
+``spark.sql.shuffle.partitions`` sets their size.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seen, store, text
 
+#: Bytes of texts that a task gathers before it bundles them.
+BUNDLE_BYTES = 24_000_000
 _POS_BITS = 24
 _STRIDE = 1 << 23
 
@@ -103,231 +112,267 @@ def segments(u: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _identity(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by id and content: equal rows have equal results."""
-    return docs.withColumn("__hash", F.xxhash64("text"))
+def _candidates(u: Units, scheme: Scheme, flags: np.ndarray, busy: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Segments that may repeat; those of busy anchors as single windows with themselves as anchor."""
+    a, b, key, ck = segments(u, scheme.window, scheme.gram)
+    may = seen.repeated(flags, key)
+    a, b, key, ck = a[may], b[may], key[may], ck[may]
+    if busy is None or not len(a):
+        return a, b, key, ck
+    hot = seen.busy(busy, key)
+    if not hot.any():
+        return a, b, key, ck
+    n = b[hot] - a[hot] + 1
+    each = np.repeat(a[hot] + n - np.cumsum(n), n) + np.arange(n.sum())
+    window = text.Rolling(u.values).spans(each, each + scheme.window)
+    cold = ~hot
+    return (
+        np.concatenate([a[cold], each]),
+        np.concatenate([b[cold], each]),
+        np.concatenate([key[cold], window]),
+        np.concatenate([ck[cold], text.mix(window + np.uint64(3))]),
+    )
 
 
-def _scan(docs: DataFrame, scheme: Scheme, bitmap) -> DataFrame:
-    """Segments that may repeat: their contents once a task, then only their number; and the places of all."""
+def _contents(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
+    """Bundles of the different segments of a task, by the partition of their anchor; a text is sent once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = bitmap.value
+        flags, busy = shared.value
+        pack = zstandard.ZstdCompressor(level=3).compress
         sent: set[int] = set()
+        waiting: dict[int, int] = {}
+        cks, keys, times, bodies, held = [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            k = np.array(keys, np.uint64)
+            part = (k % np.uint64(parts)).astype(np.int64)
+            by = np.lexsort((k, part))
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            c, t = np.array(cks, np.uint64), np.array(times, np.int64)
+            full, blobs = np.flatnonzero(np.diff(cuts)), []
+            for p in full:
+                rows = by[cuts[p] : cuts[p + 1]]
+                text_ = [bodies[r] for r in rows.tolist()]
+                blobs.append(pack(pickle.dumps((k[rows], c[rows], t[rows], np.array([len(x) for x in text_], np.int64), b"".join(text_)), 5)))
+            sent.update(cks)
+            for x in (waiting, cks, keys, times, bodies):
+                x.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "bundle"])
+
         for batch in batches:
-            ids = batch.column(0)
-            hashes = batch.column(2).to_numpy(zero_copy_only=False)
-            done = set()
-            key_l, ck_l, doc_l, at_l, first_l = [], [], [], [], []
-            bodies, known = [], {}
-            c_ck, c_key, c_times = [], [], []
-            for i, _, buf, off in text.slices(*text.buffers(batch.column(1))):
+            for _, _, buf, off in text.slices(*text.buffers(batch.column(0))):
                 u = scheme.units(buf, off)
-                a, b, key, ck = segments(u, scheme.window, scheme.gram)
-                may = seen.repeated(flags, key)
-                a, b, key, ck = a[may], b[may], key[may], ck[may]
+                a, b, key, ck = _candidates(u, scheme, flags, busy)
                 if not len(a):
                     continue
-                doc = np.searchsorted(u.bounds, a, "right") - 1
                 whole = buf.tobytes()
-                cks, first, times = np.unique(ck, return_index=True, return_counts=True)
-                for c, f, t in zip(cks.tolist(), first.tolist(), times.tolist(), strict=True):
-                    if c in known:
-                        c_times[known[c]] += t
+                each, first, count = np.unique(ck, return_index=True, return_counts=True)
+                for c, k, x, y, n in zip(each.tolist(), key[first].tolist(), a[first].tolist(), b[first].tolist(), count.tolist(), strict=True):
+                    row = waiting.get(c)
+                    if row is not None:
+                        times[row] += n
+                        continue
+                    waiting[c] = len(cks)
+                    cks.append(c)
+                    keys.append(k)
+                    times.append(n)
+                    if c in sent:
+                        bodies.append(b"")
                     else:
-                        known[c] = len(c_ck)
-                        if c in sent:
-                            bodies.append(None)
-                        else:
-                            sent.add(c)
-                            x, y = u.span(int(a[f]), int(b[f]) + scheme.window)
-                            bodies.append(whole[x:y])
-                        c_ck.append(c)
-                        c_key.append(int(key[f]))
-                        c_times.append(t)
-                ck_l.append(ck)
-                doc_l.append(doc + i)
-                at_l.append(a - u.bounds[doc])
-            if not c_ck:
-                continue
-            n = len(c_ck)
-            ck, doc, at = np.concatenate(ck_l), np.concatenate(doc_l), np.concatenate(at_l)
-            # equal rows of a batch need their places once
-            rows, back = np.unique(doc, return_inverse=True)
-            once = np.ones(len(rows), bool)
-            for k, r in enumerate(rows.tolist()):
-                who = (ids[r].as_py(), int(hashes[r]))
-                once[k] = who not in done
-                done.add(who)
-            take = once[back]
-            ck, doc, at = ck[take], doc[take], at[take]
-            yield _rows(
-                "content",
-                n,
-                ck=pa.array(np.array(c_ck, np.uint64).view(np.int64)),
-                key=pa.array(np.array(c_key, np.uint64).view(np.int64)),
-                times=pa.array(np.array(c_times, np.int64)),
-                body=pa.array(bodies, pa.binary()),
-            )
-            yield _rows(
-                "place",
-                len(ck),
-                ck=pa.array(ck.view(np.int64)),
-                doc_id=ids.take(pa.array(doc)),
-                hash=pa.array(hashes[doc]),
-                at=pa.array(at.astype(np.int32)),
-            )
-
-    return docs.select("doc_id", "text", "__hash").mapInArrow(run, ", ".join(f"{n} {t}" for n, (t, _) in _FIELDS.items()))
-
-
-_FIELDS = {
-    "kind": ("string", pa.string()),
-    "ck": ("long", pa.int64()),
-    "key": ("long", pa.int64()),
-    "times": ("long", pa.int64()),
-    "body": ("binary", pa.binary()),
-    "doc_id": ("long", pa.int64()),
-    "hash": ("long", pa.int64()),
-    "at": ("int", pa.int32()),
-}
-
-
-def _rows(kind: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    arrays = []
-    for name, (_, t) in _FIELDS.items():
-        if name == "kind":
-            arrays.append(pa.array([kind] * n, t))
-        else:
-            arrays.append(columns[name].cast(t) if name in columns else pa.nulls(n, t))
-    return pa.RecordBatch.from_arrays(arrays, names=list(_FIELDS))
-
-
-def _shards(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The engine over shards of whole anchor groups, in the order of the sorted rows.
+                        x, y = u.span(x, y + scheme.window)
+                        bodies.append(whole[x:y])
+                        held += y - x
+                if held >= BUNDLE_BYTES:
+                    yield flush()
+        if cks:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "part int, bundle binary")
+
+
+def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The engine over shards of whole anchor groups of a partition.
 
     A text alone with its anchor has no other text to match: it repeats as a whole or not at all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, bytes]] = []
-        group: list[list] = []
-        alone: list[tuple[int, np.ndarray]] = []
-        held, at = 0, None
-
-        def close() -> None:
-            nonlocal held
-            if len(group) > 1:
-                shard.extend(tuple(x) for x in group)
-                held += sum(len(x[2]) for x in group)
-            elif group and group[0][1] > 1:
-                alone.append((group[0][0], np.array([[0, scheme.count(group[0][2])]], np.int32)))
-            group.clear()
-
-        def solve() -> pa.RecordBatch:
-            nonlocal held
-            found = scheme.engine([(n, body) for _, n, body in shard], scheme.window) if shard else []
-            hit = [(ck, spans) for (ck, _, _), spans in zip(shard, found, strict=True) if len(spans)] + alone
+        unpack = zstandard.ZstdDecompressor().decompress
+        bundles = [pickle.loads(unpack(x)) for batch in batches for x in batch.column(1).to_pylist()]
+        if not bundles:
+            return
+        key, ck, times, size = (np.concatenate([x[k] for x in bundles]) for k in range(4))
+        whole = b"".join(x[4] for x in bundles)
+        del bundles
+        start = np.cumsum(size) - size
+        by = np.lexsort((-size, ck, key))  # of equal contents the one with its text first
+        key, ck, times, size, start = key[by], ck[by], times[by], size[by], start[by]
+        first = np.flatnonzero(np.append(True, (ck[1:] != ck[:-1]) | (key[1:] != key[:-1])))
+        times = np.add.reduceat(times, first)
+        key, ck, size, start = key[first], ck[first].view(np.int64), size[first], start[first]
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        body = lambda r: whole[start[r] : start[r] + size[r]]
+        shard, hits, spans, held = [], [], [], 0
+
+        def solve() -> None:
+            for r, found in zip(shard, scheme.engine([(int(times[r]), body(r)) for r in shard], scheme.window), strict=True):
+                if len(found):
+                    hits.append(int(ck[r]))
+                    spans.append(np.ascontiguousarray(found, np.int32).tobytes())
             shard.clear()
-            alone.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ck for ck, _ in hit], pa.int64()), pa.array([np.ascontiguousarray(x, np.int32).tobytes() for _, x in hit], pa.binary())],
-                names=["ck", "spans"],
-            )
 
-        for batch in batches:
-            for key, ck, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if key != at:
-                    close()
-                    at = key
-                    if held >= scheme.shard_bytes or len(alone) >= 100_000:
-                        yield solve()
-                if group and group[-1][0] == ck:
-                    group[-1][1] += n
-                    group[-1][2] = group[-1][2] or body
-                else:
-                    group.append([ck, n, body])
-        close()
-        yield solve()
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if y - x > 1:
+                shard.extend(range(x, y))
+                held += int(size[x:y].sum())
+                if held >= scheme.shard_bytes:
+                    solve()
+                    held = 0
+            elif times[x] > 1:
+                hits.append(int(ck[x]))
+                spans.append(np.array([0, scheme.count(body(x))], np.int32).tobytes())
+        if shard:
+            solve()
+        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array(spans, pa.binary())], names=["ck", "spans"])
 
     return run
 
 
-def _hot_windows(contents: DataFrame, scheme: Scheme) -> DataFrame:
-    """Segments of hot anchors: their windows, counted by their whole content."""
+def _occurrences(docs: DataFrame, scheme: Scheme, shared) -> DataFrame:
+    """ck, and where it stands: part, doc_id, hash, at. Equal rows of a batch give their places once."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, busy = shared.value
         for batch in batches:
-            for ck, n, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                buf = np.frombuffer(body, np.uint8)
-                u = scheme.units(buf, np.array([0, len(buf)]))
-                h = text.Rolling(u.values).windows(scheme.window)
-                k = len(h)
+            hashes, done = batch.column(2).to_numpy(), set()
+            ids = batch.column(0).to_pylist()
+            for i, j, buf, off in text.slices(*text.buffers(batch.column(1))):
+                u = scheme.units(buf, off)
+                a, _, _, ck = _candidates(u, scheme, flags, busy)
+                doc = np.searchsorted(u.bounds, a, "right") - 1
+                once = np.ones(j - i, bool)
+                for k in range(i, j):
+                    who = (ids[k], int(hashes[k]))
+                    once[k - i] = who not in done
+                    done.add(who)
+                take = once[doc]
+                a, ck, doc = a[take], ck[take], doc[take]
+                rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ck] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(h.view(np.int64))],
-                    names=["ck", "at", "times", "window"],
+                    [pa.array(ck.view(np.int64)), batch.column(3).take(rows), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((a - u.bounds[doc]).astype(np.int32))],
+                    names=["ck", "part", "doc_id", "hash", "at"],
                 )
 
-    each = contents.groupBy("ck").agg(F.sum("times").alias("times"), F.first("body", ignorenulls=True).alias("body"))
-    windows = each.select("ck", "times", "body").mapInArrow(run, "ck long, at int, times long, window long")
-    often = windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
-    span = _pack_span(scheme.window)
-    return windows.join(often, "window").select("ck", span(F.col("at")).alias("spans"))
+    return docs.select("doc_id", "text", "__hash", "__part").mapInArrow(run, f"ck long, part int, doc_id {kind}, hash long, at int")
 
 
-def _pack_span(window: int):
-    """A start and its end as the bytes of two little-endian 32-bit integers."""
+def _bundled(docs: DataFrame) -> DataFrame:
+    """Whole rows of ``docs`` in compressed bundles by ``__part``."""
 
-    def le(c):
-        h = F.lpad(F.hex(c.cast("long")), 8, "0")
-        return F.unhex(F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            part = table.column("__part").to_numpy()
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
+            parts, blobs = [], []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                piece = table.take(pa.array(by[x:y])).combine_chunks()
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
+                    out.write_table(piece)
+                parts.append(int(part[by[x]]))
+                blobs.append(sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([x.to_pybytes() for x in blobs], pa.binary())], names=["part", "bundle"])
 
-    return lambda at: F.concat(le(at), le(at + F.lit(window)))
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BUNDLE_BYTES:
+                yield flush()
+                held, size = [], 0
+        if sum(x.num_rows for x in held):
+            yield flush()
 
+    return docs.mapInArrow(run, "part int, bundle binary")
 
-def repeated_spans(docs: DataFrame, scheme: Scheme, name: str) -> DataFrame:
-    """``docs`` (with doc_id and text) plus ``__spans``: packed int32 pairs (start, end) of units in
-    windows that also start elsewhere; null where there are none. Pairs may overlap."""
+
+Finish = Callable[[pa.RecordBatch, list], pa.RecordBatch]
+
+
+def _finished(finish: Finish) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one partition after another: spans first, then bundles of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, spans = None, [], {}
+
+        def gather() -> None:
+            """Spans of each (doc_id, hash): all pairs of start and end."""
+            for doc, hashed, at, found in held:
+                for d, h, x, f in zip(doc.to_pylist(), hashed.to_pylist(), at.to_pylist(), found.to_pylist(), strict=True):
+                    spans.setdefault((d, h), []).append((x, f))
+            held.clear()
+
+        for batch in batches:
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])))
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(parts)], strict=True):
+                if parts[x] != part:
+                    part = parts[x]
+                    held.clear()
+                    spans = {}
+                piece = batch.slice(x, y - x)
+                if kinds[x] == 0:
+                    held.append([piece.column(k) for k in range(2, 6)])
+                    continue
+                gather()
+                for blob in piece.column(6):
+                    for docs in pa.ipc.open_stream(blob.as_buffer()):
+                        who = zip(docs.column(docs.schema.get_field_index("doc_id")).to_pylist(), docs.column(docs.schema.get_field_index("__hash")).to_pylist(), strict=True)
+                        yield finish(docs, [spans.get(w) for w in who])
+
+    return run
+
+
+def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish, schema: str) -> DataFrame:
+    """``finish`` over all rows of ``docs`` (with doc_id and text; any other columns), in batches.
+
+    It gets, for each row, None or the (at, spans) of windows that also start
+    elsewhere, to be read with ``covered``. Rows are told apart by id and
+    content, so equal rows get equal results; each still counts as a place.
+    """
     spark = docs.sparkSession
     store.bound_batches(spark)
-    docs = _identity(docs)
+    parts = store.partitions(spark)
+    docs = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__part", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(parts)).cast("int"))
     window, gram, units = scheme.window, scheme.gram, scheme.units
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        found = [segments(units(buf, off), window, gram)[2] for _, _, buf, off in text.slices(*text.buffers(batch.column(0)))]
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        found = [segments(units(buf, off), window, gram)[2:] for _, _, buf, off in text.slices(*text.buffers(batch.column(0)))]
+        none = np.zeros(0, np.uint64)
+        return np.concatenate([none, *(k for k, _ in found)]), np.concatenate([none, *(c for _, c in found)])
 
-    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys))
-    scanned = store.cut(_scan(docs, scheme, bitmap), name, "kind")
-    contents = scanned.filter("kind = 'content'").select("key", "ck", "times", "body")
-    places = scanned.filter("kind = 'place'").select("ck", "doc_id", "hash", "at")
-    parts = store.partitions(spark)
-    busy = contents.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > scheme.hot)
-    hot = busy.join(contents.select("key", "ck").distinct(), "key").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > scheme.hot).select("key")
-    hot = store.cut(hot, f"{name}-hot")
-    cool = contents
-    if not hot.isEmpty():
-        cool = contents.join(hot, "key", "left_anti").select("key", "ck", "times", "body")
-    found = cool.repartition(parts, "key").sortWithinPartitions("key", "ck").mapInArrow(_shards(scheme), "ck long, spans binary")
-    if not hot.isEmpty():
-        found = found.unionByName(_hot_windows(contents.join(hot, "key", "left_semi").select("key", "ck", "times", "body"), scheme))
-    spans = (
-        places.join(found, "ck")
-        .groupBy("doc_id", "hash")
-        .agg(F.collect_set(F.struct("at", "spans")).alias("__spans"))
-        .withColumnRenamed("doc_id", "__doc")
-    )
-    return docs.join(
-        spans.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc")) & (docs["__hash"] == F.col("hash")), "left"
-    ).drop("__doc", "hash", "__hash")
+    shared = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys, scheme.hot))
+    found = _contents(docs, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_engine(scheme), "ck long, spans binary")
+    found = store.cut(found, name)
+    spans = _occurrences(docs, scheme, shared).join(found, "ck").select("part", F.lit(0).alias("kind"), "doc_id", "hash", "at", "spans", F.lit(None).cast("binary").alias("bundle"))
+    kind = docs.schema["doc_id"].dataType
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("hash", "long"), ("at", "int"), ("spans", "binary"))]
+    bundles = _bundled(docs).select("part", F.lit(1).alias("kind"), *nothing, "bundle")
+    return spans.unionByName(bundles).repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_finished(finish), schema)
 
 
 def covered(n: int, found) -> np.ndarray:
-    """Which of ``n`` units the gathered (at, spans) rows of a document cover."""
+    """Which of ``n`` units the (at, spans) of a document cover."""
     step = np.zeros(n + 1, np.int64)
-    for row in found or ():
-        pairs = np.frombuffer(row["spans"], np.int32).reshape(-1, 2) + row["at"]
-        np.add.at(step, pairs[:, 0], 1)
-        np.add.at(step, pairs[:, 1], -1)
+    pairs = np.concatenate([np.frombuffer(spans, np.int32).reshape(-1, 2) + at for at, spans in found])
+    np.add.at(step, pairs[:, 0], 1)
+    np.add.at(step, pairs[:, 1], -1)
     return np.cumsum(step[:-1]) > 0

@@ -18,13 +18,11 @@ shorter than the threshold keep all words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import anchors, store
+from . import anchors
 
 THRESHOLD = 35
 
@@ -134,29 +132,23 @@ def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
-    store.bound_batches(docs.sparkSession)
-    found = anchors.repeated_spans(docs, scheme(threshold, hot), "substring")
     rest = docs.schema.fields
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("__spans"))
-            has = spans.is_valid().to_pylist()
-            words, removed, kept, digest = [], [], [], []
-            for k, body in enumerate(texts):
-                w = (body or "").encode("utf-8", "surrogatepass").split()
-                gone = anchors.covered(len(w), spans[k].as_py()) if has[k] else None
-                left = w if gone is None else [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
-                out = b" ".join(left)
-                words.append(len(w))
-                removed.append(len(w) - len(left))
-                kept.append(out.decode("utf-8", "surrogatepass"))
-                digest.append(hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())],
-                names=[*(f.name for f in rest), "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        words, removed, kept, digest = [], [], [], []
+        for body, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), found, strict=True):
+            w = left = (body or "").encode("utf-8", "surrogatepass").split()
+            if spans:
+                left = [x for x, g in zip(w, anchors.covered(len(w), spans).tolist(), strict=True) if not g]
+            out = b" ".join(left)
+            words.append(len(w))
+            removed.append(len(w) - len(left))
+            kept.append(out.decode("utf-8", "surrogatepass"))
+            digest.append(hashlib.sha256(out).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())],
+            names=[*(f.name for f in rest), "n_words", "n_removed", "kept_text", "kept_sha256"],
+        )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return found.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return anchors.apply_to_repeats(docs, scheme(threshold, hot), "substring", finish, f"{fields}, n_words long, n_removed long, kept_text string, kept_sha256 string")

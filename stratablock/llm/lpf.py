@@ -15,13 +15,11 @@ so kept bytes need not be valid UTF-8.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import anchors, store
+from . import anchors
 
 THRESHOLD = 400
 
@@ -147,36 +145,26 @@ def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256; all copies of a repeat go."""
-    store.bound_batches(docs.sparkSession)
-    found = anchors.repeated_spans(docs, scheme(threshold, hot), "suffixes")
     rest = docs.schema.fields
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("__spans"))
-            has = spans.is_valid().to_pylist()
-            size, removed, runs, kept, digest = [], [], [], [], []
-            for k, body in enumerate(texts):
-                raw = (body or "").encode("utf-8", "surrogatepass")
-                out, gone_n, runs_n = raw, 0, 0
-                if has[k]:
-                    gone = anchors.covered(len(raw), spans[k].as_py())
-                    out = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    gone_n = len(raw) - len(out)
-                    runs_n = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                size.append(len(raw))
-                removed.append(gone_n)
-                runs.append(runs_n)
-                kept.append(out)
-                digest.append(hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(batch.schema.get_field_index(f.name)) for f in rest),
-                    pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string()),
-                ],
-                names=[*(f.name for f in rest), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-            )
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        size, removed, runs, kept, digest = [], [], [], [], []
+        for body, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), found, strict=True):
+            raw = out = (body or "").encode("utf-8", "surrogatepass")
+            runs.append(0)
+            if spans:
+                gone = anchors.covered(len(raw), spans)
+                out = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                runs[-1] = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            size.append(len(raw))
+            removed.append(len(raw) - len(out))
+            kept.append(out)
+            digest.append(hashlib.sha256(out).hexdigest())
+        added = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), *added],
+            names=[*(f.name for f in rest), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+        )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return found.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return anchors.apply_to_repeats(docs, scheme(threshold, hot), "suffixes", finish, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

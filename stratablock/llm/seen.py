@@ -25,62 +25,94 @@ _SEGMENTS = 1 << (BITS - _LOW)
 #: Keys that a task gathers before it sends them.
 FLUSH = 4_000_000
 
-Keys = Callable[[pa.RecordBatch], np.ndarray]
+#: Bits of the second bitmap, of keys with many different contents.
+BUSY_BITS = 24
+#: A flush reports a key from so many different contents on.
+_REPORT = 4
 
+Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
 
+def _places(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
-def build(df: DataFrame, keys: Keys) -> np.ndarray:
-    """The bitmap of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``."""
+
+def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bitmap of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``.
+
+    ``keys`` may also give a content of each key; with ``busy_from`` the second
+    bitmap (2 MB) then marks keys with more than so many different contents,
+    and keys that share a bit with one.
+    """
+    per = 1 << (BUSY_BITS - (BITS - _LOW))  # bits of the second bitmap in a segment
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, contents, n = [], [], 0
 
         def flush():
-            p = np.sort(_places(np.concatenate(held)))
+            k = np.concatenate(held)
+            p = np.sort(_places(k))
             keep = np.ones(len(p), bool)
             keep[2:] = p[2:] != p[:-2]  # two of a kind tell as much as many
             p = p[keep]
             cuts = np.searchsorted(p, np.arange(_SEGMENTS + 1) << _LOW)
             low = (p & ((1 << _LOW) - 1)).astype(np.uint16)
             full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary())],
-                names=["segment", "low"],
-            )
+            rows = [(int(s), low[cuts[s] : cuts[s + 1]].tobytes()) for s in full]
+            if busy_from:
+                c = np.concatenate(contents)
+                by = np.lexsort((c, k))
+                k, c = k[by], c[by]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+                k, count = np.unique(k[new], return_counts=True)
+                many = count >= _REPORT
+                k, count = k[many], count[many]
+                seg = _places(k, BITS - _LOW)
+                ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1 if len(seg) else []
+                for x, y in zip([0, *ends][:-1], ends, strict=True):
+                    rows.append((-1 - int(seg[x]), np.stack([k[x:y], count[x:y].astype(np.uint64)]).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["segment", "low"])
 
         for batch in batches:
-            k = keys(batch)
+            k, c = keys(batch)
             if len(k):
                 held.append(k)
+                contents.append(c)
                 n += len(k)
             if n >= FLUSH:
                 yield flush()
-                held, n = [], 0
+                held, contents, n = [], [], 0
         if held:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, count, done_s, done_b = None, None, [], []
+        at, count, sums, done = None, None, {}, []
 
         def bits() -> bytes:
-            return np.packbits(count > 1, bitorder="little").tobytes()
+            if at >= 0:
+                return np.packbits(count > 1, bitorder="little").tobytes()
+            out = np.zeros(per, bool)
+            for k, c in sums.items():
+                if c > busy_from:
+                    out[(k >> (64 - BUSY_BITS)) & (per - 1)] = True
+            return np.packbits(out, bitorder="little").tobytes()
 
         for batch in batches:
             for s, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if s != at:
                     if at is not None:
-                        done_s.append(at)
-                        done_b.append(bits())
-                    at, count = s, np.zeros(1 << _LOW, np.uint8)
-                count += np.minimum(np.bincount(np.frombuffer(low.as_buffer(), np.uint16), minlength=1 << _LOW), 2).astype(np.uint8)
-                np.minimum(count, 2, out=count)
+                        done.append((at, bits()))
+                    at, count, sums = s, np.zeros(1 << _LOW, np.uint8), {}
+                if s >= 0:
+                    count += np.minimum(np.bincount(np.frombuffer(low.as_buffer(), np.uint16), minlength=1 << _LOW), 2).astype(np.uint8)
+                    np.minimum(count, 2, out=count)
+                else:
+                    for k, c in np.frombuffer(low.as_buffer(), np.uint64).reshape(2, -1).T.tolist():
+                        sums[k] = sums.get(k, 0) + c
         if at is not None:
-            done_s.append(at)
-            done_b.append(bits())
-        yield pa.RecordBatch.from_arrays([pa.array(done_s, pa.int32()), pa.array(done_b, pa.binary())], names=["segment", "bits"])
+            done.append((at, bits()))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["segment", "bits"])
 
     parts = store.partitions(df.sparkSession)
     rows = (
@@ -91,12 +123,18 @@ def build(df: DataFrame, keys: Keys) -> np.ndarray:
         .toArrow()
     )
     out = np.zeros((_SEGMENTS, (1 << _LOW) // 8), np.uint8)
+    busy = np.zeros((_SEGMENTS, per // 8), np.uint8)
     for s, b in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-        out[s] = np.frombuffer(b.as_buffer(), np.uint8)
-    return out.reshape(-1)
+        (out if s >= 0 else busy)[s if s >= 0 else -1 - s] = np.frombuffer(b.as_buffer(), np.uint8)
+    return out.reshape(-1), busy.reshape(-1) if busy.any() else None
 
 
-def repeated(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def repeated(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     """False: the key occurs once in the whole input. True: it may occur again."""
-    p = _places(keys)
+    p = _places(keys, bits)
     return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def busy(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may have many contents; equal keys get equal answers."""
+    return repeated(bitmap, keys, BUSY_BITS)
