@@ -1 +1 @@
-"""Plans of the engine."""
+"""Registered queries over the driver's tables."""
