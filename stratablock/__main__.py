@@ -23,9 +23,12 @@ def _convert(args: argparse.Namespace) -> int:
     detailed = cityjson.lod_folder(root, 2)
     spark = session.local_session(1 if args.sequential else args.workers or "*")
     done = sinks.convert_or_copy(cityjson.scan_files(spark, detailed), cityjson.simple_folder(detailed)).cache()
-    for r in sinks.summary(done).orderBy("status").collect():
-        print(r["status"], r["files"])
-    return sinks.exit_code(done)
+    try:  # the job runs once; its statuses are read twice
+        for r in sinks.summary(done).orderBy("status").collect():
+            print(r["status"], r["files"])
+        return sinks.exit_code(done)
+    finally:
+        done.unpersist()
 
 
 def _sample(args: argparse.Namespace) -> int:

@@ -52,7 +52,8 @@ def simple_folder(detailed: Path) -> Path:
 def relative(root: str | Path, path: Column) -> Column:
     """The part of a file's path below a folder."""
     base = str(root).removeprefix("file:").rstrip("/") + "/"
-    return F.substring_index(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit(base), -1)
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.substring(decoded, F.instr(decoded, base) + len(base), F.length(decoded))
 
 
 def read_documents(spark: SparkSession, folder: str | Path) -> DataFrame:
