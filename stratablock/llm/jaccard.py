@@ -7,19 +7,21 @@ connected components of links.
 1. Equal sets are one node. A bitmap of fixed size (``seen``) tells n-grams
    that occur in one document only. All sets follow one global order: n-grams
    seen again first, then single ones, each by hash.
-2. Two sets that link share one of their rarest ``n - ceil(t n) + 1`` n-grams.
-   A set whose rarest n-grams are all single has no partner and sends nothing.
-   The others send the repeated ones among these; the smallest node of each
-   n-gram leads a block, and every node goes to the blocks of its leaders. So
-   linked nodes meet in a block, and a node goes to few blocks although it
-   shares many n-grams with a copy.
-3. Blocks are dealt out in chunks of at most ``CHUNK`` nodes with their leader.
-   A chunk's sets are stored in a trie; each set traverses it with the overlap
-   so far, shared by all sets below a branch, and leaves a branch when what
-   remains of both sides cannot reach the threshold. Sets already known to be
-   of one class need no further link.
-4. Nodes of different chunks of a block, still of different classes, meet in
-   pairs of chunks; chunks of one class are not paired with each other.
+2. Two sets that link share ``l`` of their rarest ``n - ceil(t n) + l``
+   n-grams, for any l; here l is one more than a tenth of the smaller set. A set
+   with too few repeated n-grams among these has no partner and sends nothing.
+   The others send them; the smallest node of each n-gram leads a block, and
+   a node belongs to the blocks of its leaders. It leaves those through which
+   it shares least, up to half of what a partner must share with it: of two
+   sets that link, both leave out less than they share, so they still meet.
+3. Every node first goes to the one block whose leader it shares most with,
+   dealt out in chunks of at most ``CHUNK`` nodes with their leader. A chunk's
+   sets are stored in a trie; each set traverses it with the overlap so far,
+   shared by all sets below a branch, and leaves a branch when what remains of
+   both sides cannot reach the threshold. Sets already known to be of one
+   class need no further link.
+4. Then all blocks that still hold several classes are joined in full: their
+   nodes meet in pairs of parts; two parts of one class do not.
 5. Links are contracted to components in tables (``components``).
 
 Nothing is capped: the order and the bitmap only decide how much is sent.
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import seen, store, text
@@ -46,6 +48,10 @@ WORDS = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
 CHUNK = 512
+#: Partners must share one n-gram in so many among the rarest.
+SHARE = 10
+#: Bits of the bitmap of n-grams (64 MB).
+BITS = 29
 _SINGLE = np.uint64(1 << 63)
 
 
@@ -72,6 +78,16 @@ def needed(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
+def shared_by(n: int) -> int:
+    """``l`` of a set of ``n``."""
+    return 1 + n // SHARE
+
+
+def least_shared(n: int, threshold: int) -> int:
+    """The least number of n-grams that any partner of a set of ``n`` shares among the rarest."""
+    return shared_by(needed(n, threshold))
+
+
 def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, node; and once a task for each node that may have partners, its set and what it sends."""
 
@@ -89,9 +105,10 @@ def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
                     continue
                 name = int(text.signed(text.Rolling(text.mix(s)).spans(np.array([0]), np.array([len(s)])))[0])
                 node.append(name)
-                again = seen.repeated(flags, s << np.uint64(1))
-                rare = len(s) - needed(len(s), threshold) + 1 - int((~again).sum())
-                if rare > 0 and name not in sent:
+                again = seen.repeated(flags, s << np.uint64(1), BITS)
+                rarest = min(len(s), len(s) - needed(len(s), threshold) + shared_by(len(s)))
+                rare = rarest - int((~again).sum())
+                if rare >= least_shared(len(s), threshold) and name not in sent:
                     sent.add(name)
                     tokens[-1] = s[again][:rare].tobytes()
                     body[-1] = np.concatenate([s[again], s[~again] | _SINGLE]).tobytes()
@@ -107,12 +124,24 @@ def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
 def _tokens(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
             if each:
-                node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(node)], names=["token", "node"])
+                size = [len(x) for x in each]
+                node, n = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(node), pa.array(n.astype(np.int32))], names=["token", "node", "n"])
+
+    return rows.filter("tokens is not null").select("node", "n_shingles", "tokens").mapInArrow(run, "token long, node long, n int")
 
-    return rows.filter("tokens is not null").select("node", "tokens").mapInArrow(run, "token long, node long")
+
+def _blocks(tokens: DataFrame, threshold: int) -> DataFrame:
+    """leader, node, tokens: the blocks of each node, less those that it may leave."""
+    shared = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("token", "leader")
+    each = tokens.join(shared, "token").groupBy("node", "leader").agg(F.count("*").alias("tokens"), F.first("n").alias("n"))
+    smallest = F.ceil(F.col("n") * threshold / 100)
+    own = Window.partitionBy("node")
+    up_to = own.orderBy("tokens", "leader").rowsBetween(Window.unboundedPreceding, 0)
+    told = each.withColumns({"all": F.sum("tokens").over(own), "weakest": F.sum("tokens").over(up_to), "least": 1 + F.floor(smallest / SHARE)})
+    return told.filter((F.col("all") >= F.col("least")) & (F.col("weakest") > F.floor((F.col("least") - 1) / 2))).select("leader", "node", "tokens")
 
 
 class PrefixTree:
@@ -179,9 +208,10 @@ class PrefixTree:
                     if classes.find(y) != classes.find(number):
                         yield y
             if branch.kids and _can(overlap, n - at, depth, branch, n, threshold):
-                stack.extend((kid, depth, at, overlap) for kid in branch.kids.values())
-                if at < n and (kid := branch.kids.get(int(query[at]))):
-                    stack.append((kid, depth, at, overlap))  # the likeliest first
+                likely = branch.kids.get(int(query[at])) if at < n else None
+                stack.extend((kid, depth, at, overlap) for kid in branch.kids.values() if kid is not likely)
+                if likely is not None:
+                    stack.append((likely, depth, at, overlap))  # taken next
 
 
 def _can(overlap: int, left: int, depth: int, branch: PrefixTree, n: int, threshold: int) -> bool:
@@ -259,10 +289,17 @@ def _join_groups(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     )
 
 
-def _across_chunks(blocks: DataFrame, found: DataFrame, bodies: DataFrame, chunk: int, threshold: int) -> DataFrame:
-    """Links between chunks of large blocks, among nodes that are not yet of one class."""
-    roots = components(found, "a", "b")
+def _across_classes(blocks: DataFrame, roots: DataFrame, bodies: DataFrame, chunk: int, threshold: int) -> DataFrame:
+    """Links among nodes that share a block and are not yet of one class.
+
+    Blocks of one class are done. In the others, a large class is dealt into
+    parts of its own and small classes share parts; every two parts of a block
+    meet, except two of one class.
+    """
     members = blocks.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    members = store.cut(members, "members")
+    several = members.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("leader")
+    members = members.join(several, "leader", "left_semi")
     sizes = members.groupBy("leader", "root").agg(F.count("*").alias("n"))
     small = sizes.filter(F.col("n") * 2 <= chunk).groupBy("leader").agg(F.ceil(F.sum("n") / chunk).alias("small_parts"))
     sizes = sizes.join(small, "leader", "left")
@@ -276,7 +313,11 @@ def _across_chunks(blocks: DataFrame, found: DataFrame, bodies: DataFrame, chunk
     each = parts.select("leader", "own", "part").distinct()
     other = each.select("leader", F.col("own").alias("own2"), F.col("part").alias("part2"))
     ordered = (F.col("own") < F.col("own2")) | ((F.col("own") == F.col("own2")) & (F.col("part") <= F.col("part2")))
-    pairs = each.join(other, "leader").filter(ordered & ((F.col("own") != F.col("own2")) | (F.col("own") == 0)))
+    meet = (F.col("own") != F.col("own2")) | (F.col("own") == 0)
+    # a part of small classes meets itself only where no other pair covers it
+    alone = (F.col("own") == F.col("own2")) & (F.col("part") == F.col("part2"))
+    count = each.groupBy("leader").agg(F.count("*").alias("parts"))
+    pairs = each.join(other, "leader").filter(ordered & meet).join(count, "leader").filter(~alone | (F.col("parts") == 1)).drop("parts")
     keys = ["leader", "own", "part", "own2", "part2"]
     left = pairs.join(parts, ["leader", "own", "part"]).select(*keys, "node", "root")
     right = pairs.join(parts.withColumnsRenamed({"own": "own2", "part": "part2"}), ["leader", "own2", "part2"]).select(*keys, "node", "root")
@@ -289,24 +330,25 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     spark = docs.sparkSession
     store.bound_batches(spark)
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *sets(batch.column(0), words)]) << np.uint64(1)
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+        return np.concatenate([np.zeros(0, np.uint64), *sets(batch.column(0), words)]) << np.uint64(1), None
 
-    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys))
+    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys, bits=BITS, flush_at=4_000_000)[0])
     rows = store.cut(_prepare(docs, bitmap, words, threshold), "sets")
-    tokens = _tokens(rows)
-    shared = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("token", "leader")
-    blocks = store.cut(tokens.join(shared, "token").select("leader", "node").distinct(), "blocks")
-    sizes = blocks.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    dealt = blocks.join(sizes, "leader")
+    blocks = store.cut(_blocks(_tokens(rows), threshold), "blocks")
+    held = rows.filter("body is not null").select("node", "body").join(blocks.select("node").distinct(), "node", "left_semi")
+    bodies = store.cut(held.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    # first each node with the leader it shares most with; most classes are found there
+    nearest = blocks.groupBy("node").agg(F.max_by("leader", F.struct("tokens", "leader")).alias("leader"))
+    first = nearest.unionByName(nearest.select(F.col("leader").alias("node"), "leader")).distinct()
+    sizes = first.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("parts"))
     places = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
-    dealt = dealt.select("leader", "node", F.explode(places).alias("part"))
-    bodies = rows.filter("body is not null").groupBy("node").agg(F.first("body").alias("body"))
+    dealt = first.join(sizes, "leader").select("leader", "node", F.explode(places).alias("part"))
     near = dealt.join(bodies, "node").withColumn("root", F.col("node"))
-    found = store.cut(_join_groups(near, ["leader", "part"], threshold), "found")
-    large = sizes.filter("parts > 1").select("leader")
-    if not large.isEmpty():
-        found = found.unionByName(_across_chunks(blocks.join(large, "leader"), found, bodies, chunk, threshold))
+    links = store.cut(_join_groups(near, ["leader", "part"], threshold), "found")
+    known = components(links, "a", "b")
+    more = _across_classes(blocks.select("leader", "node"), known, bodies, chunk, threshold)
+    found = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(found, "a", "b")
     own = rows.select("doc_id", "n_shingles", "node")
     named = own.filter("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))

@@ -1,4 +1,4 @@
-"""A bitmap of fixed size telling which hashed keys occur more than once.
+"""Bitmaps of fixed size telling which hashed keys occur more than once.
 
 Tasks sort their keys and send, per segment of the bitmap, 16-bit positions;
 a segment is merged in one stream and comes back as 8 KB of bits. The whole
@@ -7,6 +7,10 @@ bitmap has ``2**28`` bits (32 MB) whatever the input, so it may be broadcast.
 It errs only one way: a key it calls single occurs once in the whole input; a
 key it calls repeated may be single. Callers use it to leave out what cannot
 have a partner, and decide exactly what remains.
+
+Where keys have contents, a second bitmap tells which keys occur with
+different contents. It errs one way too: a repeated key that it calls uniform
+stands for the same 64-bit content each time.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from . import store
 
 BITS = 28
 _LOW = 16
-_SEGMENTS = 1 << (BITS - _LOW)
 #: Keys that a task gathers before it sends them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 #: Bits of the second bitmap, of keys with many different contents.
 BUSY_BITS = 24
@@ -31,36 +34,45 @@ BUSY_BITS = 24
 _REPORT = 4
 
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]
+Bitmaps = tuple[np.ndarray, np.ndarray, np.ndarray | None]
 
 
 def _places(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-    """The bitmap of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``.
+def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush_at: int = FLUSH) -> Bitmaps:
+    """The bitmaps of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``: repeated, mixed, busy.
 
-    ``keys`` may also give a content of each key; with ``busy_from`` the second
-    bitmap (2 MB) then marks keys with more than so many different contents,
-    and keys that share a bit with one.
+    With ``busy_from``, ``keys`` also gives a content of each key. Mixed keys
+    have different contents; busy ones (2 MB, or None) more than so many. Keys
+    that share a bit with one count as such.
     """
-    per = 1 << (BUSY_BITS - (BITS - _LOW))  # bits of the second bitmap in a segment
+    segments = 1 << (bits - _LOW)
+    per = (1 << BUSY_BITS) // segments  # bits of the busy bitmap in a segment
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, contents, n = [], [], 0
 
         def flush():
             k = np.concatenate(held)
-            p = np.sort(_places(k))
+            p, c = _places(k, bits), np.concatenate(contents) if busy_from else None
+            by = np.argsort(p) if c is None else np.lexsort((c, p))
+            p = p[by]
             keep = np.ones(len(p), bool)
-            keep[2:] = p[2:] != p[:-2]  # two of a kind tell as much as many
+            if c is None:
+                keep[2:] = p[2:] != p[:-2]  # two of a kind tell as much as many
+            else:
+                first, third = c[by], np.zeros(len(p), bool)
+                third[2:] = (p[2:] == p[:-2]) & (first[2:] == first[:-2])
+                keep = ~third
+                first = first[keep]
             p = p[keep]
-            cuts = np.searchsorted(p, np.arange(_SEGMENTS + 1) << _LOW)
+            cuts = np.searchsorted(p, np.arange(segments + 1) << _LOW)
             low = (p & ((1 << _LOW) - 1)).astype(np.uint16)
             full = np.flatnonzero(np.diff(cuts))
-            rows = [(int(s), low[cuts[s] : cuts[s + 1]].tobytes()) for s in full]
+            rows = [(int(s), low[cuts[s] : cuts[s + 1]].tobytes() + (first[cuts[s] : cuts[s + 1]].tobytes() if busy_from else b"")) for s in full]
             if busy_from:
-                c = np.concatenate(contents)
                 by = np.lexsort((c, k))
                 k, c = k[by], c[by]
                 new = np.ones(len(k), bool)
@@ -68,7 +80,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np
                 k, count = np.unique(k[new], return_counts=True)
                 many = count >= _REPORT
                 k, count = k[many], count[many]
-                seg = _places(k, BITS - _LOW)
+                seg = _places(k, bits - _LOW)
                 ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1 if len(seg) else []
                 for x, y in zip([0, *ends][:-1], ends, strict=True):
                     rows.append((-1 - int(seg[x]), np.stack([k[x:y], count[x:y].astype(np.uint64)]).tobytes()))
@@ -80,18 +92,20 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np
                 held.append(k)
                 contents.append(c)
                 n += len(k)
-            if n >= FLUSH:
+            if n >= flush_at:
                 yield flush()
                 held, contents, n = [], [], 0
         if held:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, count, sums, done = None, None, {}, []
+        width = 1 << _LOW
+        at, count, known, differ, sums, done = None, None, None, None, {}, []
 
-        def bits() -> bytes:
+        def packed() -> bytes:
             if at >= 0:
-                return np.packbits(count > 1, bitorder="little").tobytes()
+                again = np.packbits(count > 1, bitorder="little").tobytes()
+                return again + np.packbits(differ, bitorder="little").tobytes() if busy_from else again
             out = np.zeros(per, bool)
             for k, c in sums.items():
                 if c > busy_from:
@@ -102,16 +116,26 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np
             for s, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if s != at:
                     if at is not None:
-                        done.append((at, bits()))
-                    at, count, sums = s, np.zeros(1 << _LOW, np.uint8), {}
+                        done.append((at, packed()))
+                    at, count, sums = s, np.zeros(width, np.uint8), {}
+                    if busy_from and s >= 0:
+                        known, differ = np.zeros(width, np.uint64), np.zeros(width, bool)
+                raw = low.as_buffer()
                 if s >= 0:
-                    count += np.minimum(np.bincount(np.frombuffer(low.as_buffer(), np.uint16), minlength=1 << _LOW), 2).astype(np.uint8)
+                    n = len(raw) // (10 if busy_from else 2)
+                    place = np.frombuffer(raw, np.uint16, n)
+                    if busy_from:
+                        content = np.frombuffer(raw, np.uint64, n, 2 * n)
+                        new = count[place] == 0
+                        known[place[new]] = content[new]  # of several new ones the last stays, and the others differ from it
+                        differ[place[known[place] != content]] = True
+                    count += np.minimum(np.bincount(place, minlength=width), 2).astype(np.uint8)
                     np.minimum(count, 2, out=count)
                 else:
-                    for k, c in np.frombuffer(low.as_buffer(), np.uint64).reshape(2, -1).T.tolist():
+                    for k, c in np.frombuffer(raw, np.uint64).reshape(2, -1).T.tolist():
                         sums[k] = sums.get(k, 0) + c
         if at is not None:
-            done.append((at, bits()))
+            done.append((at, packed()))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["segment", "bits"])
 
     parts = store.partitions(df.sparkSession)
@@ -122,11 +146,17 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0) -> tuple[np.ndarray, np
         .mapInArrow(merge, "segment int, bits binary")
         .toArrow()
     )
-    out = np.zeros((_SEGMENTS, (1 << _LOW) // 8), np.uint8)
-    busy = np.zeros((_SEGMENTS, per // 8), np.uint8)
+    size = (1 << _LOW) // 8
+    again = np.zeros((segments, size), np.uint8)
+    mixed = np.zeros((segments, size if busy_from else 0), np.uint8)
+    busy = np.zeros((segments, per // 8), np.uint8)
     for s, b in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-        (out if s >= 0 else busy)[s if s >= 0 else -1 - s] = np.frombuffer(b.as_buffer(), np.uint8)
-    return out.reshape(-1), busy.reshape(-1) if busy.any() else None
+        raw = np.frombuffer(b.as_buffer(), np.uint8)
+        if s >= 0:
+            again[s], mixed[s] = raw[:size], raw[size:]
+        else:
+            busy[-1 - s] = raw
+    return again.reshape(-1), mixed.reshape(-1), busy.reshape(-1) if busy.any() else None
 
 
 def repeated(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarray:
