@@ -8,12 +8,14 @@ meet in one shard, where an engine (suffix automaton or suffix array) decides
 exactly which windows occur more than once.
 
 Scale: an anchor that occurs once in the corpus cannot repeat a window, and is
-left out before anything is shuffled (``seen``). Equal segments are sent once
-a task with their number, so a passage in a third of all documents is one text
+left out before anything is shuffled (``seen``); one that always stands in the
+same segment repeats that segment, and needs no text. Equal segments are sent once
+a task with their number, so a passage in a third of all documents is one row
 a task. What the engine finds goes back to places by a join that Spark can
-split on skew. An anchor with over ``hot`` different segments (a passage with
+split on skew. First only hashes travel; the text of each different segment is
+then sent from one place that was chosen for it. An anchor with over ``hot`` different segments (a passage with
 different surroundings each time) is not kept in one shard: its windows are
-segments of their own, spread by their whole content.
+judged one by one by the hash of their whole content, which spreads them.
 
 Texts travel in compressed bundles for their partition, segments and whole
 documents alike, so the disk that a shuffle takes stays under the input's size.
@@ -49,9 +51,8 @@ class Scheme:
     gram: int
     units: Callable[[np.ndarray, np.ndarray], "Units"]
     engine: Callable[[list[tuple[int, bytes]], int], list[np.ndarray]]
-    count: Callable[[bytes], int]
     shard_bytes: int
-    hot: int = 5000
+    hot: int = 2000
 
 
 @dataclass
@@ -112,128 +113,215 @@ def segments(u: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _candidates(u: Units, scheme: Scheme, flags: np.ndarray, busy: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Segments that may repeat; those of busy anchors as single windows with themselves as anchor."""
+@dataclass
+class Bitmaps:
+    """Of anchors, of the windows of busy anchors, and of the segments whose text is sent."""
+
+    anchors: seen.Bitmaps
+    windows: seen.Bitmaps | None = None
+    chosen: np.ndarray | None = None
+
+
+#: Bits of all bitmaps here (8 MB each): a candidate more costs a few bytes, as texts come last.
+_BITS = 26
+
+
+@dataclass
+class Found:
+    """Repeats of a slice: windows from ``a`` to ``b`` that surely repeat; and candidates with key and content hash.
+
+    ``bare`` candidates are single windows that their hash stands for.
+    """
+
+    sure: tuple[np.ndarray, np.ndarray]
+    a: np.ndarray
+    b: np.ndarray
+    key: np.ndarray
+    ck: np.ndarray
+    bare: np.ndarray
+
+
+def _busy_windows(u: Units, scheme: Scheme, maps: seen.Bitmaps) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Segments that may repeat, less those of busy anchors; and starts and hashes of these one's windows."""
     a, b, key, ck = segments(u, scheme.window, scheme.gram)
-    may = seen.repeated(flags, key)
+    may = seen.repeated(maps[0], key, _BITS)
     a, b, key, ck = a[may], b[may], key[may], ck[may]
-    if busy is None or not len(a):
-        return a, b, key, ck
-    hot = seen.busy(busy, key)
-    if not hot.any():
-        return a, b, key, ck
+    hot = seen.busy(maps[2], key) if maps[2] is not None else np.zeros(len(a), bool)
     n = b[hot] - a[hot] + 1
     each = np.repeat(a[hot] + n - np.cumsum(n), n) + np.arange(n.sum())
-    window = text.Rolling(u.values).spans(each, each + scheme.window)
-    cold = ~hot
-    return (
-        np.concatenate([a[cold], each]),
-        np.concatenate([b[cold], each]),
-        np.concatenate([key[cold], window]),
-        np.concatenate([ck[cold], text.mix(window + np.uint64(3))]),
-    )
+    windows = text.Rolling(u.values).spans(each, each + scheme.window) if len(each) else np.zeros(0, np.uint64)
+    return (a[~hot], b[~hot], key[~hot], ck[~hot]), each, windows
+
+
+def _content(windows: np.ndarray) -> np.ndarray:
+    return text.mix(windows + np.uint64(3))
+
+
+def _repeats(u: Units, scheme: Scheme, maps: Bitmaps) -> Found:
+    (a, b, key, ck), each, windows = _busy_windows(u, scheme, maps.anchors)
+    open_ = seen.repeated(maps.anchors[1], key, _BITS)
+    sure_a, sure_b = [a[~open_]], [b[~open_]]
+    a, b, key, ck = a[open_], b[open_], key[open_], ck[open_]
+    bare = np.zeros(len(a), bool)
+    if len(each):
+        again, mixed = (seen.repeated(m, windows, _BITS) for m in maps.windows[:2])
+        sure_a.append(each[again & ~mixed])
+        sure_b.append(each[again & ~mixed])
+        each, windows = each[again & mixed], windows[again & mixed]
+        a, b, key = np.concatenate([a, each]), np.concatenate([b, each]), np.concatenate([key, windows])
+        ck, bare = np.concatenate([ck, _content(windows)]), np.concatenate([bare, np.ones(len(each), bool)])
+    x, y = np.concatenate(sure_a), np.concatenate(sure_b)
+    by = np.argsort(x)
+    return Found((x[by], y[by]), a, b, key, ck, bare)
+
+
+def _places(found: Found, u: Units, who: np.ndarray) -> np.ndarray:
+    """A fingerprint of each candidate's place: its document, where it stands, and its content."""
+    doc = np.searchsorted(u.bounds, found.a, "right") - 1
+    return text.mix(found.ck ^ text.mix(who[doc] + (found.a - u.bounds[doc]).astype(np.uint64)))
+
+
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield p, by[cuts[p] : cuts[p + 1]]
+
+
+def _reduced(key: np.ndarray, ck: np.ndarray, times: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry per content, ordered by key: total times and the smallest place."""
+    by = np.lexsort((place, ck, key))
+    key, ck, times, size, place = key[by], ck[by], times[by], size[by], place[by]
+    first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), (ck[1:] != ck[:-1]) | (key[1:] != key[:-1])))
+    return key[first], ck[first], np.add.reduceat(times, first) if len(first) else times, size[first], place[first]
 
 
 def _contents(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
-    """Bundles of the different segments of a task, by the partition of their anchor; a text is sent once a task."""
+    """Candidates without their text, once a task, by the partition of their anchor: bundles of
+    key, content hash, times, length in units, and one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = _reduced(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            out = [(p, pickle.dumps(tuple(x[at] for x in rows), 5)) for p, at in _by_part((rows[0] % np.uint64(parts)).astype(np.int64), parts)]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "bundle"])
+
+        for batch in batches:
+            who = batch.column(1).to_numpy().view(np.uint64)
+            for i, j, buf, off in text.slices(*text.buffers(batch.column(0))):
+                u = scheme.units(buf, off)
+                found = _repeats(u, scheme, shared.value)
+                if len(found.a):
+                    size = found.b - found.a + scheme.window
+                    held.append(_reduced(found.key, found.ck, np.ones(len(size), np.int64), size, _places(found, u, who[i:j])))
+                    n += len(held[-1][0])
+            if n >= 1_000_000:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text", "__who").mapInArrow(run, "part int, bundle binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's contents: those alone with their anchor, which repeat as a whole or not at all,
+    with their span; and one pack of all others, which need the engine."""
+    bundles = [(batch.column(0)[k].as_py(), pickle.loads(batch.column(1)[k].as_py())) for batch in batches for k in range(batch.num_rows)]
+    if not bundles:
+        return
+    key, ck, times, size, place = _reduced(*(np.concatenate(x) for x in zip(*(b for _, b in bundles), strict=True)))
+    edge = np.append(True, key[1:] != key[:-1])
+    alone = edge & np.append(edge[1:], True)
+    again = np.flatnonzero(alone & (times > 1))
+    spans = [np.array([0, n], np.int32).tobytes() for n in size[again].tolist()]
+    n = len(again)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.int32()), pa.array(ck[again].view(np.int64)), pa.array(spans, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "ck", "spans", "pack"]
+    )
+    if not alone.all():
+        pack = pickle.dumps((key[~alone], ck[~alone], times[~alone], place[~alone]), 5)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bundles[0][0]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack], pa.binary())], names=["part", "ck", "spans", "pack"]
+        )
+
+
+def _texts(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
+    """Compressed bundles of the texts of chosen places, by the partition of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, busy = shared.value
         pack = zstandard.ZstdCompressor(level=3).compress
-        sent: set[int] = set()
-        waiting: dict[int, int] = {}
-        cks, keys, times, bodies, held = [], [], [], [], 0
+        cks, keys, bodies, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held
-            k = np.array(keys, np.uint64)
-            part = (k % np.uint64(parts)).astype(np.int64)
-            by = np.lexsort((k, part))
-            cuts = np.searchsorted(part[by], np.arange(parts + 1))
-            c, t = np.array(cks, np.uint64), np.array(times, np.int64)
-            full, blobs = np.flatnonzero(np.diff(cuts)), []
-            for p in full:
-                rows = by[cuts[p] : cuts[p + 1]]
-                text_ = [bodies[r] for r in rows.tolist()]
-                blobs.append(pack(pickle.dumps((k[rows], c[rows], t[rows], np.array([len(x) for x in text_], np.int64), b"".join(text_)), 5)))
-            sent.update(cks)
-            for x in (waiting, cks, keys, times, bodies):
-                x.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "bundle"])
+            c, k = np.array(cks, np.uint64), np.array(keys, np.uint64)
+            out = []
+            for p, rows in _by_part((k % np.uint64(parts)).astype(np.int64), parts):
+                own = [bodies[r] for r in rows.tolist()]
+                out.append((p, pack(pickle.dumps((c[rows], np.array([len(x) for x in own], np.int64), b"".join(own)), 5))))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "bundle"])
 
         for batch in batches:
-            for _, _, buf, off in text.slices(*text.buffers(batch.column(0))):
+            who = batch.column(1).to_numpy().view(np.uint64)
+            for i, j, buf, off in text.slices(*text.buffers(batch.column(0))):
                 u = scheme.units(buf, off)
-                a, b, key, ck = _candidates(u, scheme, flags, busy)
-                if not len(a):
+                found = _repeats(u, scheme, shared.value)
+                if not len(found.a):
                     continue
-                whole = buf.tobytes()
-                each, first, count = np.unique(ck, return_index=True, return_counts=True)
-                for c, k, x, y, n in zip(each.tolist(), key[first].tolist(), a[first].tolist(), b[first].tolist(), count.tolist(), strict=True):
-                    row = waiting.get(c)
-                    if row is not None:
-                        times[row] += n
-                        continue
-                    waiting[c] = len(cks)
-                    cks.append(c)
-                    keys.append(k)
-                    times.append(n)
-                    if c in sent:
-                        bodies.append(b"")
-                    else:
-                        x, y = u.span(x, y + scheme.window)
-                        bodies.append(whole[x:y])
-                        held += y - x
-                if held >= BUNDLE_BYTES:
-                    yield flush()
+                mine = np.flatnonzero(seen.repeated(shared.value.chosen, _places(found, u, who[i:j]), _BITS) & ~found.bare)
+                whole = buf.tobytes() if len(mine) else b""
+                for r in mine.tolist():
+                    x, y = u.span(int(found.a[r]), int(found.b[r]) + scheme.window)
+                    bodies.append(whole[x:y])
+                    held += y - x
+                cks.extend(found.ck[mine].tolist())
+                keys.extend(found.key[mine].tolist())
+            if held >= BUNDLE_BYTES:
+                yield flush()
+                cks, keys, bodies, held = [], [], [], 0
         if cks:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, bundle binary")
+    return docs.select("text", "__who").mapInArrow(run, "part int, bundle binary")
 
 
 def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The engine over shards of whole anchor groups of a partition.
-
-    A text alone with its anchor has no other text to match: it repeats as a whole or not at all.
-    """
+    """The engine over shards of whole anchor groups of a partition: the pack of its contents, then their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        bundles = [pickle.loads(unpack(x)) for batch in batches for x in batch.column(1).to_pylist()]
-        if not bundles:
+        packs, bodies = [], {}
+        for batch in batches:
+            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == 0:
+                    packs.append(pickle.loads(raw))
+                    continue
+                ck, size, whole = pickle.loads(unpack(raw))
+                end = np.cumsum(size)
+                for c, x, y in zip(ck.tolist(), (end - size).tolist(), end.tolist(), strict=True):
+                    bodies[c] = whole[x:y]
+        if not packs:
             return
-        key, ck, times, size = (np.concatenate([x[k] for x in bundles]) for k in range(4))
-        whole = b"".join(x[4] for x in bundles)
-        del bundles
-        start = np.cumsum(size) - size
-        by = np.lexsort((-size, ck, key))  # of equal contents the one with its text first
-        key, ck, times, size, start = key[by], ck[by], times[by], size[by], start[by]
-        first = np.flatnonzero(np.append(True, (ck[1:] != ck[:-1]) | (key[1:] != key[:-1])))
-        times = np.add.reduceat(times, first)
-        key, ck, size, start = key[first], ck[first].view(np.int64), size[first], start[first]
+        key, ck, times, _ = (np.concatenate(x) for x in zip(*packs, strict=True))
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        body = lambda r: whole[start[r] : start[r] + size[r]]
         shard, hits, spans, held = [], [], [], 0
 
         def solve() -> None:
-            for r, found in zip(shard, scheme.engine([(int(times[r]), body(r)) for r in shard], scheme.window), strict=True):
+            for r, found in zip(shard, scheme.engine([(int(times[r]), bodies[int(ck[r])]) for r in shard], scheme.window), strict=True):
                 if len(found):
-                    hits.append(int(ck[r]))
+                    hits.append(int(ck[r : r + 1].view(np.int64)[0]))
                     spans.append(np.ascontiguousarray(found, np.int32).tobytes())
             shard.clear()
 
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if y - x > 1:
-                shard.extend(range(x, y))
-                held += int(size[x:y].sum())
-                if held >= scheme.shard_bytes:
-                    solve()
-                    held = 0
-            elif times[x] > 1:
-                hits.append(int(ck[x]))
-                spans.append(np.array([0, scheme.count(body(x))], np.int32).tobytes())
+            own = [r for r in range(x, y) if int(ck[r]) in bodies]  # all but a bare window that met another by chance
+            shard.extend(own)
+            held += sum(len(bodies[int(ck[r])]) for r in own)
+            if held >= scheme.shard_bytes:
+                solve()
+                held = 0
         if shard:
             solve()
         yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array(spans, pa.binary())], names=["ck", "spans"])
@@ -242,32 +330,55 @@ def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _occurrences(docs: DataFrame, scheme: Scheme, shared) -> DataFrame:
-    """ck, and where it stands: part, doc_id, hash, at. Equal rows of a batch give their places once."""
+    """part, doc_id, hash, at of repeats: with their spans if they repeat as they are, else with ck.
+
+    Equal rows of a batch give their places once.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    window = scheme.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, busy = shared.value
         for batch in batches:
             hashes, done = batch.column(2).to_numpy(), set()
             ids = batch.column(0).to_pylist()
             for i, j, buf, off in text.slices(*text.buffers(batch.column(1))):
                 u = scheme.units(buf, off)
-                a, _, _, ck = _candidates(u, scheme, flags, busy)
-                doc = np.searchsorted(u.bounds, a, "right") - 1
+                found = _repeats(u, scheme, shared.value)
+                (whole_a, whole_b), a, ck = found.sure, found.a, found.ck
                 once = np.ones(j - i, bool)
                 for k in range(i, j):
                     who = (ids[k], int(hashes[k]))
                     once[k - i] = who not in done
                     done.add(who)
-                take = once[doc]
-                a, ck, doc = a[take], ck[take], doc[take]
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ck.view(np.int64)), batch.column(3).take(rows), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((a - u.bounds[doc]).astype(np.int32))],
-                    names=["ck", "part", "doc_id", "hash", "at"],
-                )
 
-    return docs.select("doc_id", "text", "__hash", "__part").mapInArrow(run, f"ck long, part int, doc_id {kind}, hash long, at int")
+                def rows(doc: np.ndarray, at: np.ndarray, cks: pa.Array, spans: pa.Array, i: int = i, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                    take = pa.array(doc + i)
+                    return pa.RecordBatch.from_arrays(
+                        [cks, batch.column(3).take(take), batch.column(0).take(take), batch.column(2).take(take), pa.array(at.astype(np.int32)), spans],
+                        names=["ck", "part", "doc_id", "hash", "at", "spans"],
+                    )
+
+                # all whole repeats of a document are one row
+                doc = np.searchsorted(u.bounds, whole_a, "right") - 1
+                keep = once[doc]
+                x, y, doc = whole_a[keep], whole_b[keep], doc[keep]
+                if len(doc):
+                    # runs of windows that follow one another are one span
+                    head = np.append(True, (doc[1:] != doc[:-1]) | (x[1:] > y[:-1] + 1))
+                    tail = np.append(head[1:], True)
+                    x, y, doc = x[head], y[tail], doc[head]
+                    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    base = u.bounds[doc]
+                    pairs = np.stack([x - base, y - base + window], axis=1).astype(np.int32)
+                    packed = [p.tobytes() for p in np.split(pairs, first[1:])]
+                    yield rows(doc[first], np.zeros(len(first)), pa.nulls(len(first), pa.int64()), pa.array(packed, pa.binary()))
+                doc = np.searchsorted(u.bounds, a, "right") - 1
+                keep = once[doc]
+                a, ck, doc = a[keep], ck[keep], doc[keep]
+                if len(doc):
+                    yield rows(doc, a - u.bounds[doc], pa.array(ck.view(np.int64)), pa.nulls(len(doc), pa.binary()))
+
+    return docs.select("doc_id", "text", "__hash", "__part").mapInArrow(run, f"ck long, part int, doc_id {kind}, hash long, at int, spans binary")
 
 
 def _bundled(docs: DataFrame) -> DataFrame:
@@ -351,7 +462,8 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
     spark = docs.sparkSession
     store.bound_batches(spark)
     parts = store.partitions(spark)
-    docs = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__part", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(parts)).cast("int"))
+    docs = store.without(docs, "__hash", "__who", "__part").withColumn("__hash", F.xxhash64("text")).withColumn("__who", F.xxhash64("doc_id", "__hash"))
+    docs = docs.withColumn("__part", F.pmod("__who", F.lit(parts)).cast("int"))
     window, gram, units = scheme.window, scheme.gram, scheme.units
 
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -359,10 +471,38 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
         none = np.zeros(0, np.uint64)
         return np.concatenate([none, *(k for k, _ in found)]), np.concatenate([none, *(c for _, c in found)])
 
-    shared = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys, scheme.hot))
-    found = _contents(docs, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_engine(scheme), "ck long, spans binary")
-    found = store.cut(found, name)
-    spans = _occurrences(docs, scheme, shared).join(found, "ck").select("part", F.lit(0).alias("kind"), "doc_id", "hash", "at", "spans", F.lit(None).cast("binary").alias("bundle"))
+    maps = Bitmaps(seen.build(docs.select("text"), keys, scheme.hot, _BITS))
+    if maps.anchors[2] is not None:
+        first = spark.sparkContext.broadcast(maps.anchors)
+
+        def windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found = [_busy_windows(units(buf, off), scheme, first.value)[2] for _, _, buf, off in text.slices(*text.buffers(batch.column(0)))]
+            h = np.concatenate([np.zeros(0, np.uint64), *found])
+            return h, _content(h)
+
+        maps.windows = seen.build(docs.select("text"), windows, 1 << 62, _BITS)
+    shared = spark.sparkContext.broadcast(maps)
+    groups = store.cut(_contents(docs, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_groups, "part int, ck long, spans binary, pack binary"), f"{name}-groups")
+    packs = groups.filter("pack is not null").select("part", "pack")
+
+    def chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+        return np.concatenate([np.zeros(0, np.uint64), *(pickle.loads(x)[3] for x in batch.column(0).to_pylist())]), None
+
+    # each content's text is sent from one place
+    maps.chosen = seen.build(packs.select("pack"), chosen, bits=_BITS, least=1)[0]
+    full = spark.sparkContext.broadcast(maps)
+    both = packs.select("part", F.lit(0).alias("kind"), F.col("pack").alias("bundle")).unionByName(_texts(docs, scheme, full, parts).select("part", F.lit(1).alias("kind"), "bundle"))
+    solved = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_engine(scheme), "ck long, spans binary")
+    found = groups.filter("ck is not null").select("ck", "spans").unionByName(store.cut(solved, name))
+    # rows that bring their spans get a key of their own, so that they spread and match nothing
+    places = _occurrences(docs, scheme, shared).withColumn("ck", F.coalesce("ck", F.xxhash64("doc_id", "hash")))
+    spans = (
+        places.withColumnRenamed("spans", "own")
+        .join(found, "ck", "left")
+        .withColumn("spans", F.coalesce("own", "spans"))
+        .filter("spans is not null")
+        .select("part", F.lit(0).alias("kind"), "doc_id", "hash", "at", "spans", F.lit(None).cast("binary").alias("bundle"))
+    )
     kind = docs.schema["doc_id"].dataType
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("hash", "long"), ("at", "int"), ("spans", "binary"))]
     bundles = _bundled(docs).select("part", F.lit(1).alias("kind"), *nothing, "bundle")

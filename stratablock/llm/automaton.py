@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import anchors
+from . import anchors, store
 
 THRESHOLD = 35
 
@@ -126,12 +126,13 @@ def _spans(matched: list[int], window: int) -> np.ndarray:
     return np.array(out, np.int32).reshape(-1, 2)
 
 
-def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, lambda b: len(b.split()), 1_000_000, hot)
+def scheme(threshold: int = THRESHOLD, hot: int = 2000) -> anchors.Scheme:
+    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, 500_000, hot)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 2000) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
+    docs = store.without(docs, "n_words", "n_removed", "kept_text", "kept_sha256")
     rest = docs.schema.fields
 
     def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:

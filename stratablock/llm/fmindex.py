@@ -273,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items = benchmark.select("item_id", "text").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes) if size > block_bytes else 1)
-    out = docs
+    out = store.without(docs, *_NAMES)
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         phrases = Phrases([(r["item_id"], r["text"]) for r in block.collect()], window)

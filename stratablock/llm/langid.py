@@ -145,6 +145,7 @@ def predict(docs: DataFrame, model: Model | None, reject_below: float = REJECT_B
     """``docs`` without text, with lang_pred, score and rejected; reads only ``text``."""
     spark = docs.sparkSession
     store.bound_batches(spark)
+    docs = store.without(docs, "lang_pred", "score", "rejected")
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name != "text"]
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,6 +150,7 @@ def _survivors(found: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
+    docs = store.without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "__low", "__norm", "__stems", "__gate", "__found", "__base")
     names = docs.columns
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), CAPITALS, SMALL)
     df = docs.withColumn("__low", lowered).withColumn("n_words", F.regexp_count("__low", F.lit(WORD)).cast("long"))

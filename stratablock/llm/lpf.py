@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import anchors
+from . import anchors, store
 
 THRESHOLD = 400
 
 
 def _dense(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     sorted_key = key[order]
     step = np.zeros(len(order), np.int64)
     step[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -48,8 +48,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tupl
     while width < depth:
         after = np.zeros(n, np.int64)
         if width < n:
-            after[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + after
+            after[: n - width] = rank[width:] + np.int64(1)
+        key = rank * np.int64(n + 1) + after
         order = np.argsort(key)
         rank = _dense(order, key)
         width *= 2
@@ -126,25 +126,28 @@ def engine_for(keep_first: bool):
         left = starts[owner] + sizes[owner] - np.arange(n)
         near[1:] = np.minimum(near[1:], np.minimum(left[order[:-1]], left[order[1:]]))  # a match ends with its text
         at, length, source = previous_factors(order, near, window)
-        for p, m, q in zip(at.tolist(), length.tolist(), source.tolist(), strict=True):
-            for x in (p,) if keep_first else (p, q):
-                k = int(owner[x])
-                a = x - int(starts[k])
-                if parts[k] and parts[k][-1][0] <= a <= parts[k][-1][1]:
-                    parts[k][-1] = (parts[k][-1][0], max(parts[k][-1][1], a + m))
-                else:
-                    parts[k].append((a, a + m))
+        if not keep_first:
+            at, length = np.concatenate([at, source]), np.concatenate([length, length])
+        by = np.argsort(at, kind="stable")
+        for x, m in zip(at[by].tolist(), length[by].tolist(), strict=True):
+            k = int(owner[x])
+            a = x - int(starts[k])
+            if parts[k] and parts[k][-1][0] <= a <= parts[k][-1][1]:
+                parts[k][-1] = (parts[k][-1][0], max(parts[k][-1][1], a + m))
+            else:
+                parts[k].append((a, a + m))
         return [np.array(p, np.int32).reshape(-1, 2) for p in parts]
 
     return engine
 
 
-def scheme(threshold: int = THRESHOLD, hot: int = 5000) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), len, 1_000_000, hot)
+def scheme(threshold: int = THRESHOLD, hot: int = 1500) -> anchors.Scheme:
+    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), 500_000, hot)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 5000) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 1500) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256; all copies of a repeat go."""
+    docs = store.without(docs, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     rest = docs.schema.fields
 
     def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:

@@ -181,12 +181,13 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
 def score(docs: DataFrame, model: Model, threshold: float = KEEP_FROM) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality_score, kept.
 
-    All columns of ``docs`` stay; it must have none of the new names.
+    All columns of ``docs`` stay, but for those of the new names.
     """
     spark = docs.sparkSession
     store.bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = store.without(docs, *names, "base_failed", "quality_score", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -41,12 +41,13 @@ def _places(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush_at: int = FLUSH) -> Bitmaps:
+def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush_at: int = FLUSH, least: int = 2) -> Bitmaps:
     """The bitmaps of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``: repeated, mixed, busy.
 
     With ``busy_from``, ``keys`` also gives a content of each key. Mixed keys
     have different contents; busy ones (2 MB, or None) more than so many. Keys
-    that share a bit with one count as such.
+    that share a bit with one count as such. With ``least`` 1 the first bitmap
+    marks all keys.
     """
     segments = 1 << (bits - _LOW)
     per = (1 << BUSY_BITS) // segments  # bits of the busy bitmap in a segment
@@ -104,7 +105,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
 
         def packed() -> bytes:
             if at >= 0:
-                again = np.packbits(count > 1, bitorder="little").tobytes()
+                again = np.packbits(count >= least, bitorder="little").tobytes()
                 return again + np.packbits(differ, bitorder="little").tobytes() if busy_from else again
             out = np.zeros(per, bool)
             for k, c in sums.items():

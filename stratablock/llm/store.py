@@ -44,3 +44,9 @@ def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of the names that an operator adds: its own columns replace them."""
+    taken = {n.lower() for n in names}
+    return docs.drop(*(c for c in docs.columns if c.lower() in taken))
