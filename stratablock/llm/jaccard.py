@@ -50,8 +50,8 @@ THRESHOLD = 75
 CHUNK = 512
 #: Partners must share one n-gram in so many among the rarest.
 SHARE = 10
-#: Bits of the bitmap of n-grams (64 MB).
-BITS = 29
+#: Bits of the bitmap of nodes whose sets are needed (8 MB).
+NODE_BITS = 26
 _SINGLE = np.uint64(1 << 63)
 
 
@@ -88,37 +88,62 @@ def least_shared(n: int, threshold: int) -> int:
     return shared_by(needed(n, threshold))
 
 
+def _node(s: np.ndarray) -> int:
+    """The name of a set: a hash of its members in order."""
+    return int(text.signed(text.Rolling(text.mix(s)).spans(np.array([0]), np.array([len(s)])))[0])
+
+
 def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
-    """doc_id, n_shingles, node; and once a task for each node that may have partners, its set and what it sends."""
+    """doc_id, n_shingles, node; and once a task for each node that may have partners, what it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bitmap.value
         sent: set[int] = set()
         for batch in batches:
-            n, node, tokens, body = [], [], [], []
+            n, node, tokens = [], [], []
             for s in sets(batch.column(1), words):
                 n.append(len(s))
                 tokens.append(None)
-                body.append(None)
+                node.append(_node(s) if len(s) else None)
                 if not len(s):
-                    node.append(None)
                     continue
-                name = int(text.signed(text.Rolling(text.mix(s)).spans(np.array([0]), np.array([len(s)])))[0])
-                node.append(name)
-                again = seen.repeated(flags, s << np.uint64(1), BITS)
+                again = seen.repeated(flags, s << np.uint64(1))
                 rarest = min(len(s), len(s) - needed(len(s), threshold) + shared_by(len(s)))
                 rare = rarest - int((~again).sum())
-                if rare >= least_shared(len(s), threshold) and name not in sent:
-                    sent.add(name)
+                if rare >= least_shared(len(s), threshold) and node[-1] not in sent:
+                    sent.add(node[-1])
                     tokens[-1] = s[again][:rare].tobytes()
-                    body[-1] = np.concatenate([s[again], s[~again] | _SINGLE]).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(tokens, pa.binary()), pa.array(body, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "tokens", "body"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(tokens, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "tokens"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, tokens binary, body binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, tokens binary")
+
+
+def _bodies(docs: DataFrame, bitmap, wanted, words: int) -> DataFrame:
+    """node, body: the sets of wanted nodes in the global order, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            node, body = [], []
+            for s in sets(batch.column(0), words):
+                name = _node(s) if len(s) else None
+                if name is None or name in sent or not seen.repeated(wanted.value, _spread(np.array([name])), NODE_BITS)[0]:
+                    continue
+                sent.add(name)
+                again = seen.repeated(bitmap.value, s << np.uint64(1))
+                node.append(name)
+                body.append(np.concatenate([s[again], s[~again] | _SINGLE]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(body, pa.binary())], names=["node", "body"])
+
+    return docs.select("text").mapInArrow(run, "node long, body binary")
+
+
+def _spread(nodes: np.ndarray) -> np.ndarray:
+    return text.mix(nodes.view(np.uint64))
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -333,11 +358,16 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
         return np.concatenate([np.zeros(0, np.uint64), *sets(batch.column(0), words)]) << np.uint64(1), None
 
-    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys, bits=BITS, flush_at=4_000_000)[0])
+    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys)[0])
     rows = store.cut(_prepare(docs, bitmap, words, threshold), "sets")
     blocks = store.cut(_blocks(_tokens(rows), threshold), "blocks")
-    held = rows.filter("body is not null").select("node", "body").join(blocks.select("node").distinct(), "node", "left_semi")
-    bodies = store.cut(held.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+
+    def names(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+        return _spread(batch.column(0).to_numpy()), None
+
+    wanted = spark.sparkContext.broadcast(seen.build(blocks.select("node"), names, bits=NODE_BITS, least=1)[0])
+    sent = _bodies(docs, bitmap, wanted, words).join(blocks.select("node").distinct(), "node", "left_semi")
+    bodies = store.cut(sent.groupBy("node").agg(F.first("body").alias("body")), "bodies")
     # first each node with the leader it shares most with; most classes are found there
     nearest = blocks.groupBy("node").agg(F.max_by("leader", F.struct("tokens", "leader")).alias("leader"))
     first = nearest.unionByName(nearest.select(F.col("leader").alias("node"), "leader")).distinct()
