@@ -79,6 +79,16 @@ def positions(numbered: DataFrame, vertices: DataFrame, centers: DataFrame | Non
     return moved.select(*KEY, "node", *((F.col(c) - F.coalesce(F.col(f"c{c}"), F.lit(0.0))).cast("float").alias(c) for c in "xyz"))
 
 
+def sequences(rings: DataFrame, vertices: DataFrame) -> DataFrame:
+    """file, obj, tokens: the outer rings of each object in document order as (x, y, z, is_end), a separator after each."""
+    at = ring_ops.located(rings.filter("ring = 0").select(*ring_ops.PLACE, "vids"), vertices)
+    token = lambda x, y, z, end: F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"), z.cast("float").alias("z"), F.lit(end).cast("float").alias("is_end"))
+    zero = F.lit(0.0)
+    ring = F.concat(F.transform("points", lambda p: token(p["x"], p["y"], p["z"], 0)), F.array(token(zero, zero, zero, 1)))
+    one = at.select(*KEY, F.struct("geom", "shell", "face", ring.alias("tokens")).alias("r"))
+    return one.groupBy(*KEY).agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["tokens"])).alias("tokens"))
+
+
 def padded_nodes(at: DataFrame, n_max: int) -> DataFrame:
     """n_max rows per graph: virtual nodes have zero coordinates, class 1 and mask 0."""
     graphs = at.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))

@@ -65,12 +65,12 @@ def roof_vertices(ground: DataFrame, converted: DataFrame, vertices: DataFrame)
     )
 
 
-def block_faces(ground: DataFrame, raised: DataFrame, converted: DataFrame) -> DataFrame:
+def block_faces(ground: DataFrame, raised: DataFrame, converted: DataFrame, turn_roof: bool = False) -> DataFrame:
     """file, obj_pos, obj, geom, face, surface, rings: the block's faces, densely numbered in output order.
 
     Per ground face: itself, its raised copy, the walls of its outer ring, the
     walls of each hole. Walls shared by ground faces stay, as each face builds
-    its own.
+    its own. With ``turn_roof`` raised rings run against their ground ring.
     """
     lift = raised.groupBy(*GEOM).agg(F.map_from_entries(F.collect_list(F.struct("vid", "roof_vid"))).alias("lift"))
     faces = (
@@ -82,7 +82,7 @@ def block_faces(ground: DataFrame, raised: DataFrame, converted: DataFrame) -> D
     up = lambda v: F.element_at("lift", v)
     wall = lambda e: F.struct(F.col("wall").alias("surface"), F.array(F.array(e["vid"], e["nxt"], up(e["nxt"]), up(e["vid"]))).alias("rings"))
     walls = F.flatten(F.transform("rings", lambda r: F.transform(arrays.ring_edges(r), wall)))
-    raised_rings = F.transform("rings", lambda r: F.transform(r, up))
+    raised_rings = F.transform("rings", lambda r: F.reverse(F.transform(r, up)) if turn_roof else F.transform(r, up))
     out = F.concat(
         F.array(F.struct(F.col("ground").alias("surface"), F.col("rings")), F.struct(F.col("roof").alias("surface"), raised_rings.alias("rings"))), walls
     )
@@ -92,8 +92,11 @@ def block_faces(ground: DataFrame, raised: DataFrame, converted: DataFrame) -> D
 
 
 def convert(geometries: DataFrame, rings: DataFrame, vertices: DataFrame, outer_ccw: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The blocks' faces, the raised vertices, and the converted geometries with their height and surfaces."""
+    """The blocks' faces, the raised vertices, and the converted geometries with their height and surfaces.
+
+    With ``outer_ccw`` ground rings run counterclockwise and roofs against them, so that walls face outward.
+    """
     converted = heights(rings, surface_indices(geometries), vertices)
     ground = ground_rings(rings, converted, vertices, outer_ccw)
     raised = roof_vertices(ground, converted, vertices)
-    return block_faces(ground, raised, converted), raised, converted
+    return block_faces(ground, raised, converted, outer_ccw), raised, converted

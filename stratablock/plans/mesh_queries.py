@@ -243,6 +243,29 @@ def lod1_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(_blocks(spark, sf_dir)[0]).filter("surface = 2").drop("surface")
 
 
+OUTWARD = """
+turned AS (
+  SELECT f.id, CASE WHEN a.area < 0 THEN b.n - 1 - f.pos ELSE f.pos END AS pos, f.vid, b.n
+  FROM faces f JOIN areas a ON a.id = f.id AND a.face = f.face JOIN b ON b.id = f.id WHERE f.kind = 0 AND f.id % 6 <> 5),
+raised AS (SELECT id, vid, 2 * n + row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS roof_vid, pos, n FROM turned)
+"""
+
+
+@query(
+    "lod1_faces_outward",
+    syn.sql(
+        "SELECT id, face, surface, vids FROM blocks",
+        AREA,
+        OUTWARD,
+        BLOCKS.replace("string_agg(roof_vid::VARCHAR, ',' ORDER BY pos)", "string_agg(roof_vid::VARCHAR, ',' ORDER BY -pos)"),
+    ),
+)
+def lod1_faces_outward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other winding: walls and roofs face outward."""
+    faces = lod1.convert(syn.geometries(spark, sf_dir), syn.rings(spark, sf_dir), syn.vertices(spark, sf_dir), outer_ccw=True)[0]
+    return _named(faces)
+
+
 @query("lod1_passed", syn.sql("SELECT b.id FROM b WHERE b.id NOT IN (SELECT id FROM heights)", HEIGHTS))
 def lod1_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries that are not convertible and pass as they are."""
@@ -275,6 +298,17 @@ def ring_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select(F.col("obj").alias("id"), "face", F.posexplode(tokens).alias("pos", "t")).select("id", "face", "pos", "t.*")
 
 
+@query(
+    "object_sequences",
+    syn.sql("SELECT id, count(*) + count(DISTINCT face) AS n_tokens, sum(x + y + z) AS total FROM faces JOIN vertices USING (id, vid) GROUP BY id"),
+)
+def object_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rings of a building as one token sequence."""
+    found = graph.sequences(syn.rings(spark, sf_dir), syn.vertices(spark, sf_dir))
+    total = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["x"] + t["y"] + t["z"])
+    return found.select(F.col("obj").alias("id"), F.size("tokens").cast("long").alias("n_tokens"), total.alias("total"))
+
+
 @query(
     "pad_nodes",
     syn.sql(

@@ -9,7 +9,7 @@ import literals as lit
 
 from stratablock import config
 from stratablock.__main__ import main
-from stratablock.sources import cityjson, sinks
+from stratablock.sources import cityjson, metrics, sinks
 from stratablock.streaming import convert
 
 
@@ -72,6 +72,16 @@ def test_streamed_blocks(spark, city, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
 
 
+def test_metrics(spark, tmp_path):
+    settings = config.Logging(loggers=["tensorboard", "mlflow"], save_dir=str(tmp_path))
+    rows = spark.createDataFrame([(1, "val_coord_mse", 0.5)], "step int, name string, value double")
+    metrics.log(rows, settings)
+    metrics.log(rows, settings)
+    assert spark.read.parquet(metrics.folders(settings)["mlflow"]).count() == 2
+    with pytest.raises(ValueError):
+        metrics.folders(config.Logging(loggers=["other"]))
+
+
 def test_config(tmp_path):
     file = tmp_path / "c.yaml"
     file.write_text("training:\n  max_epochs: 5\ndata:\n  lods: [2]\n  n_max: null\n")
