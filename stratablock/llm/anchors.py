@@ -115,11 +115,12 @@ def segments(u: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Bitmaps:
-    """Of anchors, of the windows of busy anchors, and of the segments whose text is sent."""
+    """Of anchors, of the windows of busy anchors, of the segments whose text is sent, and of those found to repeat."""
 
     anchors: seen.Bitmaps
     windows: seen.Bitmaps | None = None
     chosen: np.ndarray | None = None
+    found: np.ndarray | None = None
 
 
 #: Bits of all bitmaps here (8 MB each): a candidate more costs a few bytes, as texts come last.
@@ -344,7 +345,8 @@ def _occurrences(docs: DataFrame, scheme: Scheme, shared) -> DataFrame:
             for i, j, buf, off in text.slices(*text.buffers(batch.column(1))):
                 u = scheme.units(buf, off)
                 found = _repeats(u, scheme, shared.value)
-                (whole_a, whole_b), a, ck = found.sure, found.a, found.ck
+                told = seen.repeated(shared.value.found, text.mix(found.ck), _BITS)
+                (whole_a, whole_b), a, ck = found.sure, found.a[told], found.ck[told]
                 once = np.ones(j - i, bool)
                 for k in range(i, j):
                     who = (ids[k], int(hashes[k]))
@@ -481,6 +483,7 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
             return h, _content(h)
 
         maps.windows = seen.build(docs.select("text"), windows, 1 << 62, _BITS)
+        first.destroy()
     shared = spark.sparkContext.broadcast(maps)
     groups = store.cut(_contents(docs, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_groups, "part int, ck long, spans binary, pack binary"), f"{name}-groups")
     packs = groups.filter("pack is not null").select("part", "pack")
@@ -490,12 +493,20 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
 
     # each content's text is sent from one place
     maps.chosen = seen.build(packs.select("pack"), chosen, bits=_BITS, least=1)[0]
+    shared.destroy()
     full = spark.sparkContext.broadcast(maps)
     both = packs.select("part", F.lit(0).alias("kind"), F.col("pack").alias("bundle")).unionByName(_texts(docs, scheme, full, parts).select("part", F.lit(1).alias("kind"), "bundle"))
     solved = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_engine(scheme), "ck long, spans binary")
     found = groups.filter("ck is not null").select("ck", "spans").unionByName(store.cut(solved, name))
+    full.destroy()
+
+    def repeating(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+        return text.mix(batch.column(0).to_numpy().view(np.uint64)), None
+
+    last = Bitmaps(maps.anchors, maps.windows, found=seen.build(found.select("ck"), repeating, bits=_BITS, least=1)[0])
+    last = spark.sparkContext.broadcast(last)
     # rows that bring their spans get a key of their own, so that they spread and match nothing
-    places = _occurrences(docs, scheme, shared).withColumn("ck", F.coalesce("ck", F.xxhash64("doc_id", "hash")))
+    places = _occurrences(docs, scheme, last).withColumn("ck", F.coalesce("ck", F.xxhash64("doc_id", "hash")))
     spans = (
         places.withColumnRenamed("spans", "own")
         .join(found, "ck", "left")

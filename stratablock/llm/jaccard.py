@@ -368,6 +368,8 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     wanted = spark.sparkContext.broadcast(seen.build(blocks.select("node"), names, bits=NODE_BITS, least=1)[0])
     sent = _bodies(docs, bitmap, wanted, words).join(blocks.select("node").distinct(), "node", "left_semi")
     bodies = store.cut(sent.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    bitmap.destroy()
+    wanted.destroy()
     # first each node with the leader it shares most with; most classes are found there
     nearest = blocks.groupBy("node").agg(F.max_by("leader", F.struct("tokens", "leader")).alias("leader"))
     first = nearest.unionByName(nearest.select(F.col("leader").alias("node"), "leader")).distinct()
