@@ -123,3 +123,22 @@ def test_words_and_hashes():
     h = w.hashes()
     assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     assert [bytes(buf[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == [b"a", b"bb", b"a", b"bb", b"ccc"]
+
+
+def test_language_model_keeps_all_contexts(spark):
+    """Few words have a place in the matrix; every word has a restaurant and a place in all others all the same."""
+    rows = [(k, f"x{k % 40} y{k % 40} z", *[None] * 5) for k in range(400)]
+    model, tables = pitman_yor.train(frame(spark, rows), frequent=3)
+    probe = [(0, "x1 y1 z", *[None] * 5), (1, "x1 y2 z", *[None] * 5), (2, "x1 never z", *[None] * 5)]
+    got = by_id(pitman_yor.score(frame(spark, probe), model, tables))
+    assert math.isclose(got[0][0].base_score, got[1][0].base_score)
+    assert got[0][0].score > got[1][0].score + 1 > got[2][0].score + 1  # y1 follows x1, y2 never does
+    wide, also = pitman_yor.train(frame(spark, rows))
+    again = by_id(pitman_yor.score(frame(spark, probe), wide, also))
+    assert all(math.isclose(again[k][0].score, got[k][0].score, rel_tol=1e-5) for k in got)
+    words = {r.word: r for r in tables.words.collect()}
+    x1, y2 = (int(h) for h in pitman_yor.tokens(*text.buffers(pa.array(["x1 y2"])))[0][:2].view(np.int64))
+    pairs = tables.pairs.filter(f"u = {x1}").collect()
+    back, root = np.array(words[x1].back), lambda w: np.array(words[w].root)
+    mass = sum(p.x for p in pairs) / (1.0 + words[x1].n) + np.mean([back[s] * (sum(root(w)[s] for w in words) + model.unseen[s] / model.below[s]) for s in range(pitman_yor.SAMPLES)])
+    assert y2 not in {p.w for p in pairs} and math.isclose(mass, 1, abs_tol=1e-4)
