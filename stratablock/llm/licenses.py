@@ -5,7 +5,7 @@ Base phrases are found by their exact words. Signatures are regular
 expressions over that form: for every license in ``NAMES``, one for each way in
 ``WAYS`` to refer to it, each with a priority and a confidence. A rule runs
 only where its keyword occurs, and all rules only where a stem in ``STEMS``
-occurs. Of overlapping detections one survives: an interval inside another
+occurs; no rule matches without them. Of overlapping detections one survives: an interval inside another
 goes, and of two that partly overlap the one of better priority stays, on
 ties the earlier.
 
@@ -31,10 +31,10 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 BASE_CONFIDENCE = 0.9
 
-#: A text without any of these is not scanned by signatures.
-STEMS = ("licen", "copyright", "spdx", "public domain", "creative commons")
+#: A text without any of these is not scanned by signatures: every way in ``WAYS`` has one.
+STEMS = ("licen", "copyright", "spdx", "public domain", "creative commons", "released", "distributed", "published", "available", "provided", "dedicated")
 
-#: (label, keyword, name): the keyword is a word of every text that the name matches.
+#: (label, keyword, name): the keyword is a word of every text that the name matches, or with * an end of one.
 NAMES = [
     ("mit", "mit", "mit"),
     ("mit", "expat", "expat"),
@@ -42,11 +42,11 @@ NAMES = [
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?"),
     ("apache", "apache", r"apache(?: software)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "*bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd(?: style)?"),
-    ("gpl-1", "gpl", r"(?:gnu )?gpl(?: version)? ?v?1(?: 0)?"),
+    ("gpl-1", "gpl*", r"(?:gnu )?gpl(?: version)? ?v?1(?: 0)?"),
     ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version)? v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version)? v?3(?: 0)?(?: only| or later)?"),
     ("gpl-2", "gplv2", r"(?:gnu )?gplv2(?: only| or later)?"),
@@ -64,7 +64,7 @@ NAMES = [
     ("gfdl", "documentation", r"gnu free documentation license"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version)? v?1 1"),
     ("mpl-2", "mozilla", r"mozilla public license(?: version)? v?2(?: 0)?"),
-    ("mpl-2", "mpl", r"mpl(?: version)? ?v?2(?: 0)?"),
+    ("mpl-2", "mpl*", r"mpl(?: version)? ?v?2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?"),
     ("epl-2", "eclipse", r"eclipse public license(?: version)? v?2(?: 0)?"),
     ("cddl-1", "cddl", r"cddl(?: version)?(?: v?1(?: 0)?)?"),
@@ -104,9 +104,14 @@ WAYS = [
 RULES = [(p, c, label, word, rf"(?<= ){way.format(name)}(?= )") for label, word, name in NAMES for p, c, way in WAYS]
 
 
+def _gate(word: str) -> str:
+    """What stands in every padded text of words that has the keyword."""
+    return f" {word} ".replace(" *", "").replace("* ", "")
+
+
 def _rules() -> Column:
     return F.array(
-        *(F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(la).alias("label"), F.lit(f" {w} ").alias("word"), F.lit(x).alias("regex")) for p, c, la, w, x in RULES)
+        *(F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(la).alias("label"), F.lit(_gate(w)).alias("word"), F.lit(x).alias("regex")) for p, c, la, w, x in RULES)
     )
 
 

@@ -189,3 +189,45 @@ def test_every_operator_has_one_query():
 
 def test_items_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def variants(tree):
+    """Texts that a parsed pattern matches, each choice and option taken in one of them at least."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            found = [chr(arg)]
+        elif name == "IN":
+            found = [chr(x) for _, x in arg]
+        elif name == "BRANCH":
+            found = [v for branch in arg[1] for v in variants(branch)]
+        elif name == "SUBPATTERN":
+            found = variants(arg[3])
+        elif name == "MAX_REPEAT":
+            found = ([""] if arg[0] == 0 else []) + variants(arg[2])
+        else:
+            assert name == "ASSERT"
+            found = [""]
+        # the first of all others beside each, and the last: not the whole product
+        out = list(dict.fromkeys([o + found[0] for o in out] + [out[0] + f for f in found] + [out[-1] + f for f in found]))
+    return out
+
+
+def test_license_gates_are_necessary():
+    for _, _, _, word, regex in licenses.RULES:
+        for body in variants(re._parser.parse(regex)):
+            padded = f" {body} "
+            assert re.search(regex, padded), (regex, body)
+            assert licenses._gate(word) in padded, (regex, body)
+            assert any(s in body for s in licenses.STEMS), (regex, body)
+
+
+def test_license_scan_without_the_word_license(spark):
+    rows = [
+        (1, "Released under GPLv3.", "gpl-3"), (2, "distributed under CC BY-SA 4.0", "cc-by-sa"), (3, "available under Apache 2.0", "apache-2"), (4, "dedicated to the public\ndomain", "public-domain"),
+        (5, "licensed under MPLv2", "mpl-2"), (6, "FreeBSD license", "bsd-2-clause"), (7, "licensed under GPLv1", "gpl-1"), (8, "released in the wild", ""),
+    ]
+    got = by_id(licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")))
+    assert {k: got[k][0].labels for k in got} == {r[0]: r[2] for r in rows}
+    assert got[1][0].score == 0.9 and got[8][0].score == 0.0
