@@ -8,6 +8,10 @@ its suffix, a suffix to the whole. A page is blocked when the lower bound of
 its host's posterior share of bad pages exceeds a limit. Rules on host and
 path come first; the longest that fits decides.
 
+The suffix is the longest of ``SUFFIXES`` that a host ends in, else its last
+label, and the registered domain is one label more; ports do not count, and an
+IP address is its own domain and suffix.
+
 Scale: all counts are partial aggregates; pages meet their host's row by a
 join that Spark may split on a hot host. The moments are three sums a level.
 
@@ -35,6 +39,24 @@ RULES = [
 Z, LIMIT = 1.64, 0.3
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: Public suffixes of several labels: those in common use, not the whole public list.
+_SECOND = {
+    "ac co ed fi go or sa": "cr",
+    "co org me ltd plc net sch ac gov nhs police": "uk", "com net org edu gov asn id": "au", "co net org ac govt school geek gen iwi maori mil cri health": "nz",
+    "co org net ac gov web law nom school": "za", "co or ne ac ad ed go gr lg": "jp", "co or ne re pe go mil ac hs ms es sc kg": "kr",
+    "co net org firm gen ind ac edu res gov nic mil": "in", "com net org gov edu ac mil": "cn", "com net org edu gov idv": "tw hk", "com net org edu gov": "sg lb mt cy sv gt ni do",
+    "com net org edu gov mil name": "my", "co in ac go or net mi": "th", "co or ac go web sch net mil my biz desa": "id", "com net org gov edu ngo mil": "ph",
+    "com net org edu gov ac biz info name pro health": "vn", "com net org gov edu mil art blog eco ind inf adv eng etc": "br", "com net org gob gov edu int mil tur": "ar",
+    "com net org gob edu": "mx", "com net org edu gov mil nom": "co", "com net org gob edu mil nom": "pe", "com co net org gob edu info web": "ve", "com net org edu gub mil": "uy",
+    "com net org edu gob gov mil": "ec bo", "com net org gov edu bel pol av dr web gen info biz name tel tv k12": "tr", "co org net ac gov muni idf k12": "il",
+    "com net org gov edu in": "ua", "com net org edu gov info biz": "pl", "com nom org gob edu": "es", "com org net gov edu int publ nome": "pt", "gov edu": "it",
+    "com asso nom prd gouv tm": "fr", "co or ac gv": "at", "co org info": "hu", "com net org edu gov": "gr", "com net org edu gov sci mil name eun": "eg",
+    "com net org gov med pub edu sch": "sa", "com net org edu gov fam biz web": "pk", "com net org edu gov mil name sch i mobi": "ng", "co or ne go ac sc me mobi info": "ke",
+}
+SUFFIXES = sorted(
+    {f"{a}.{b}" for seconds, tops in _SECOND.items() for a in seconds.split() for b in tops.split()}
+    | set("github.io gitlab.io readthedocs.io blogspot.com herokuapp.com appspot.com firebaseapp.com web.app netlify.app vercel.app pages.dev workers.dev fly.dev onrender.com azurewebsites.net cloudfront.net s3.amazonaws.com".split())
+)
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,12 +68,29 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _name(name: Column) -> tuple[Column, Column]:
+    """A host without its port, and whether it is an IP address."""
+    bare = F.regexp_replace(name, r":[0-9]*$", "")
+    return bare, bare.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+
+
+def _labels(bare: Column, more: int) -> Column:
+    """The suffix of a host, with ``more`` labels before it."""
+    out = F.substring_index(bare, ".", -1 - more)
+    for n in sorted({s.count(".") + 1 for s in SUFFIXES}):  # the longest is asked first
+        listed = F.substring_index(bare, ".", -n).isin([s for s in SUFFIXES if s.count(".") + 1 == n])
+        out = F.when(listed, F.substring_index(bare, ".", -n - more)).otherwise(out)
+    return out
+
+
 def suffix(name: Column) -> Column:
-    return F.substring_index(name, ".", -1)
+    bare, address = _name(name)
+    return F.when(address, bare).otherwise(_labels(bare, 0))
 
 
 def domain(name: Column) -> Column:
-    return F.substring_index(name, ".", -2)
+    bare, address = _name(name)
+    return F.when(address, bare).otherwise(_labels(bare, 1))
 
 
 def rule(name: Column, at: Column, rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:

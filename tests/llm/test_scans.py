@@ -231,3 +231,20 @@ def test_license_scan_without_the_word_license(spark):
     got = by_id(licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")))
     assert {k: got[k][0].labels for k in got} == {r[0]: r[2] for r in rows}
     assert got[1][0].score == 0.9 and got[8][0].score == 0.0
+
+
+def test_url_suffixes_of_several_labels(spark):
+    want = {
+        "a.foo.co.uk": ("foo.co.uk", "co.uk"), "foo.co.uk": ("foo.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com:8080": ("x.com", "com"), "y.com:": ("y.com", "com"), "a.b.com.au:80": ("b.com.au", "com.au"),
+        "me.github.io": ("me.github.io", "github.io"), "d.b.s3.amazonaws.com": ("b.s3.amazonaws.com", "s3.amazonaws.com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"),
+        "[::1]:80": ("[::1]", "[::1]"), "www.x.org": ("x.org", "org"), "notco.uk": ("notco.uk", "uk"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string").select("h", urls.domain(urls.F.col("h")).alias("d"), urls.suffix(urls.F.col("h")).alias("s"))
+    assert {r.h: (r.d, r.s) for r in df.collect()} == want
+
+
+def test_url_evidence_reaches_the_registrants_other_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://b.foo.co.uk/"), (2, "http://b.bar.co.uk/"), (3, "http://a.foo.co.uk/"), (4, "http://a.bar.co.uk/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([("http://a.foo.co.uk/", 1)] * 300 + [("http://a.bar.co.uk/", 0)] * 300, "url string, bad int")
+    got = {r.page_id: r for r in urls.judge(pages, outcomes, rules=[]).collect()}
+    assert got[1].bad_mean > 0.6 > 0.4 > got[2].bad_mean and got[3].verdict == "block" and got[4].verdict == "allow"
