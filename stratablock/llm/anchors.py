@@ -7,15 +7,18 @@ with the anchor in the same place form a segment; segments with equal anchors
 meet in one shard, where an engine (suffix automaton or suffix array) decides
 exactly which windows occur more than once.
 
-Scale: an anchor that occurs once in the corpus cannot repeat a window, and is
-left out before anything is shuffled (``seen``); one that always stands in the
-same segment repeats that segment, and needs no text. Equal segments are sent once
-a task with their number, so a passage in a third of all documents is one row
-a task. What the engine finds goes back to places by a join that Spark can
-split on skew. First only hashes travel; the text of each different segment is
-then sent from one place that was chosen for it. An anchor with over ``hot`` different segments (a passage with
-different surroundings each time) is not kept in one shard: its windows are
-judged one by one by the hash of their whole content, which spreads them.
+Scale: texts are cut into segments once, and kept in a table with 24 bytes a
+segment; later passes read only these. An anchor that occurs once in the corpus
+cannot repeat a window, and is left out before anything is shuffled (``seen``);
+one that always stands in the same segment repeats that segment as a whole: its
+shard would be one text with its number. Equal segments are sent once a task
+with their number, so a passage in a third of all documents is one row a task.
+What the engine finds goes back to places by a join that Spark can split on
+skew. First only hashes travel; the text of each different segment is then sent
+from one place that was chosen for it. An anchor with over ``hot`` different
+segments (a passage with different surroundings each time) is split by a longer
+one, the window itself: windows that may repeat go to shards of their own, so
+the work on one anchor is spread.
 
 Texts travel in compressed bundles for their partition, segments and whole
 documents alike, so the disk that a shuffle takes stays under the input's size.
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ from . import seen, store, text
 
 #: Bytes of texts that a task gathers before it bundles them.
 BUNDLE_BYTES = 24_000_000
+#: Bitmaps have eight bits a segment, up to so many (32 MB); beyond, more candidates are sent.
+MOST_BITS = 28
 _POS_BITS = 24
 _STRIDE = 1 << 23
 
@@ -113,73 +119,104 @@ def segments(u: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+#: A segment: first and last window's start within its document, anchor key, content hash.
+RECORD = np.dtype([("a", "<i4"), ("b", "<i4"), ("key", "<u8"), ("ck", "<u8")])
+
+
+def _records(u: Units, a: np.ndarray, b: np.ndarray, key: np.ndarray, ck: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records in order of their documents, and how many each document has."""
+    doc = np.searchsorted(u.bounds, a, "right") - 1
+    out = np.empty(len(a), RECORD)
+    base = u.bounds[doc]
+    out["a"], out["b"], out["key"], out["ck"] = a - base, b - base, key, ck
+    return out, np.bincount(doc, minlength=len(u.bounds) - 1)
+
+
+def _packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """The records of each document, as bytes."""
+    found = np.concatenate([np.empty(0, RECORD), *(x for x, _ in parts)])
+    ends = np.concatenate([[0], *(n for _, n in parts)]).cumsum() * RECORD.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.view(np.uint8))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a batch, and the place of each one's document."""
+    _, off, data = column.buffers()
+    if data is None or not len(column):
+        return np.empty(0, RECORD), np.zeros(0, np.int64)
+    ends = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1]
+    found = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(RECORD)
+    return found, np.repeat(np.arange(len(column)), np.diff(ends) // RECORD.itemsize)
+
+
+def _with_records(docs: DataFrame, records: Callable[[pa.RecordBatch], pa.Array], only: bool = False) -> DataFrame:
+    """``docs`` with the records of each row in ``__segments``; with ``only``, rows that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__segments")
+            made = records(batch)
+            out = batch.append_column("__segments", made) if at < 0 else batch.set_column(at, "__segments", made)
+            yield out.filter(pc.greater(pc.binary_length(made), 0)) if only else out
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "__segments")
+    return docs.mapInArrow(run, f"{fields}, __segments binary")
+
+
 @dataclass
 class Bitmaps:
-    """Of anchors, of the windows of busy anchors, of the segments whose text is sent, and of those found to repeat."""
+    """Of anchors (repeated, mixed, busy), of the segments whose text is sent, and of those found to repeat."""
 
+    bits: int
     anchors: seen.Bitmaps
-    windows: seen.Bitmaps | None = None
     chosen: np.ndarray | None = None
     found: np.ndarray | None = None
 
 
-#: Bits of all bitmaps here (8 MB each): a candidate more costs a few bytes, as texts come last.
-_BITS = 26
+def _busy(found: np.ndarray, maps: Bitmaps) -> np.ndarray:
+    return seen.busy(maps.anchors[2], found["key"]) if maps.anchors[2] is not None else np.zeros(len(found), bool)
 
 
-@dataclass
-class Found:
-    """Repeats of a slice: windows from ``a`` to ``b`` that surely repeat; and candidates with key and content hash.
-
-    ``bare`` candidates are single windows that their hash stands for.
-    """
-
-    sure: tuple[np.ndarray, np.ndarray]
-    a: np.ndarray
-    b: np.ndarray
-    key: np.ndarray
-    ck: np.ndarray
-    bare: np.ndarray
+def _windows(u: Units, found: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of the given segments on its own: where it starts among the units, and its hash."""
+    n = found["b"] - found["a"] + 1
+    first = u.bounds[doc] + found["a"]
+    each = np.repeat(first + n - np.cumsum(n), n) + np.arange(n.sum())
+    return each, text.Rolling(u.values).spans(each, each + window) if len(each) else np.zeros(0, np.uint64)
 
 
-def _busy_windows(u: Units, scheme: Scheme, maps: seen.Bitmaps) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Segments that may repeat, less those of busy anchors; and starts and hashes of these one's windows."""
-    a, b, key, ck = segments(u, scheme.window, scheme.gram)
-    may = seen.repeated(maps[0], key, _BITS)
-    a, b, key, ck = a[may], b[may], key[may], ck[may]
-    hot = seen.busy(maps[2], key) if maps[2] is not None else np.zeros(len(a), bool)
-    n = b[hot] - a[hot] + 1
-    each = np.repeat(a[hot] + n - np.cumsum(n), n) + np.arange(n.sum())
-    windows = text.Rolling(u.values).spans(each, each + scheme.window) if len(each) else np.zeros(0, np.uint64)
-    return (a[~hot], b[~hot], key[~hot], ck[~hot]), each, windows
+def _busy_windows(batch: pa.RecordBatch, scheme: Scheme, maps: Bitmaps) -> Iterator[tuple[Units, np.ndarray, np.ndarray]]:
+    """For each slice of a batch, the windows of segments of busy anchors."""
+    found, doc = _unpacked(batch.column(batch.schema.get_field_index("__segments")))
+    hot = _busy(found, maps)
+    found, doc = found[hot], doc[hot]
+    none = np.zeros(0, np.int64)
+    for i, j, buf, off in text.slices(*text.buffers(batch.column(batch.schema.get_field_index("text")))):
+        x, y = np.searchsorted(doc, [i, j])
+        if x == y:
+            yield Units(none.view(np.uint64), np.zeros(j - i + 1, np.int64)), none, none.view(np.uint64)
+            continue
+        u = scheme.units(buf, off)
+        yield u, *_windows(u, found[x:y], doc[x:y] - i, scheme.window)
 
 
 def _content(windows: np.ndarray) -> np.ndarray:
     return text.mix(windows + np.uint64(3))
 
 
-def _repeats(u: Units, scheme: Scheme, maps: Bitmaps) -> Found:
-    (a, b, key, ck), each, windows = _busy_windows(u, scheme, maps.anchors)
-    open_ = seen.repeated(maps.anchors[1], key, _BITS)
-    sure_a, sure_b = [a[~open_]], [b[~open_]]
-    a, b, key, ck = a[open_], b[open_], key[open_], ck[open_]
-    bare = np.zeros(len(a), bool)
-    if len(each):
-        again, mixed = (seen.repeated(m, windows, _BITS) for m in maps.windows[:2])
-        sure_a.append(each[again & ~mixed])
-        sure_b.append(each[again & ~mixed])
-        each, windows = each[again & mixed], windows[again & mixed]
-        a, b, key = np.concatenate([a, each]), np.concatenate([b, each]), np.concatenate([key, windows])
-        ck, bare = np.concatenate([ck, _content(windows)]), np.concatenate([bare, np.ones(len(each), bool)])
-    x, y = np.concatenate(sure_a), np.concatenate(sure_b)
-    by = np.argsort(x)
-    return Found((x[by], y[by]), a, b, key, ck, bare)
+def _repeats(batch: pa.RecordBatch, scheme: Scheme, maps: Bitmaps) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Records of a batch that may repeat, their documents' places, whether each is a single window of a busy
+    anchor, and whether it surely repeats as it is: its anchor always stands in the same content."""
+    found, doc = _unpacked(batch.column(batch.schema.get_field_index("__segments")))
+    fine = batch.column(batch.schema.get_field_index("__fine")).to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, bool)
+    may = fine | (seen.repeated(maps.anchors[0], found["key"], maps.bits) & ~_busy(found, maps))
+    found, doc, fine = found[may], doc[may], fine[may]
+    return found, doc, fine, ~fine & ~seen.repeated(maps.anchors[1], found["key"], maps.bits)
 
 
-def _places(found: Found, u: Units, who: np.ndarray) -> np.ndarray:
-    """A fingerprint of each candidate's place: its document, where it stands, and its content."""
-    doc = np.searchsorted(u.bounds, found.a, "right") - 1
-    return text.mix(found.ck ^ text.mix(who[doc] + (found.a - u.bounds[doc]).astype(np.uint64)))
+def _places(found: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """A fingerprint of each record's place: its document, where it stands, and its content."""
+    return text.mix(found["ck"] ^ text.mix(who + found["a"].astype(np.uint64)))
 
 
 def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -189,17 +226,17 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield p, by[cuts[p] : cuts[p + 1]]
 
 
-def _reduced(key: np.ndarray, ck: np.ndarray, times: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _reduced(key: np.ndarray, ck: np.ndarray, times: np.ndarray, size: np.ndarray, place: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, ...]:
     """One entry per content, ordered by key: total times and the smallest place."""
     by = np.lexsort((place, ck, key))
-    key, ck, times, size, place = key[by], ck[by], times[by], size[by], place[by]
+    key, ck, times, size, place, fine = key[by], ck[by], times[by], size[by], place[by], fine[by]
     first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), (ck[1:] != ck[:-1]) | (key[1:] != key[:-1])))
-    return key[first], ck[first], np.add.reduceat(times, first) if len(first) else times, size[first], place[first]
+    return key[first], ck[first], np.add.reduceat(times, first) if len(first) else times, size[first], place[first], fine[first]
 
 
-def _contents(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
+def _contents(rows: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
     """Candidates without their text, once a task, by the partition of their anchor: bundles of
-    key, content hash, times, length in units, and one place."""
+    key, content hash, times, length in units, one place, and whether it is a single window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -210,46 +247,46 @@ def _contents(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "bundle"])
 
         for batch in batches:
-            who = batch.column(1).to_numpy().view(np.uint64)
-            for i, j, buf, off in text.slices(*text.buffers(batch.column(0))):
-                u = scheme.units(buf, off)
-                found = _repeats(u, scheme, shared.value)
-                if len(found.a):
-                    size = found.b - found.a + scheme.window
-                    held.append(_reduced(found.key, found.ck, np.ones(len(size), np.int64), size, _places(found, u, who[i:j])))
-                    n += len(held[-1][0])
+            found, doc, fine, sure = _repeats(batch, scheme, shared.value)
+            found, doc, fine = found[~sure], doc[~sure], fine[~sure]
+            if len(found):
+                who = batch.column(batch.schema.get_field_index("__who")).to_numpy().view(np.uint64)[doc]
+                size = found["b"].astype(np.int64) - found["a"] + scheme.window
+                held.append((found["key"], found["ck"], np.ones(len(size), np.int64), size, _places(found, who), fine))
+                n += len(found)
             if n >= 1_000_000:
                 yield flush()
                 held, n = [], 0
         if held:
             yield flush()
 
-    return docs.select("text", "__who").mapInArrow(run, "part int, bundle binary")
+    return rows.select("__who", "__segments", "__fine").mapInArrow(run, "part int, bundle binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's contents: those alone with their anchor, which repeat as a whole or not at all,
+    """Of a partition's contents: segments alone with their anchor, which repeat as a whole or not at all,
     with their span; and one pack of all others, which need the engine."""
     bundles = [(batch.column(0)[k].as_py(), pickle.loads(batch.column(1)[k].as_py())) for batch in batches for k in range(batch.num_rows)]
     if not bundles:
         return
-    key, ck, times, size, place = _reduced(*(np.concatenate(x) for x in zip(*(b for _, b in bundles), strict=True)))
+    key, ck, times, size, place, fine = _reduced(*(np.concatenate(x) for x in zip(*(b for _, b in bundles), strict=True)))
     edge = np.append(True, key[1:] != key[:-1])
     alone = edge & np.append(edge[1:], True)
-    again = np.flatnonzero(alone & (times > 1))
+    again = np.flatnonzero(alone & ~fine & (times > 1))
     spans = [np.array([0, n], np.int32).tobytes() for n in size[again].tolist()]
     n = len(again)
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(n, pa.int32()), pa.array(ck[again].view(np.int64)), pa.array(spans, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "ck", "spans", "pack"]
     )
-    if not alone.all():
-        pack = pickle.dumps((key[~alone], ck[~alone], times[~alone], place[~alone]), 5)
+    engine = ~alone | (fine & (times > 1))
+    if engine.any():
+        pack = pickle.dumps((key[engine], ck[engine], times[engine], place[engine]), 5)
         yield pa.RecordBatch.from_arrays(
             [pa.array([bundles[0][0]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack], pa.binary())], names=["part", "ck", "spans", "pack"]
         )
 
 
-def _texts(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
+def _texts(rows: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
     """Compressed bundles of the texts of chosen places, by the partition of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,33 +296,39 @@ def _texts(docs: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             c, k = np.array(cks, np.uint64), np.array(keys, np.uint64)
             out = []
-            for p, rows in _by_part((k % np.uint64(parts)).astype(np.int64), parts):
-                own = [bodies[r] for r in rows.tolist()]
-                out.append((p, pack(pickle.dumps((c[rows], np.array([len(x) for x in own], np.int64), b"".join(own)), 5))))
+            for p, at in _by_part((k % np.uint64(parts)).astype(np.int64), parts):
+                own = [bodies[r] for r in at.tolist()]
+                out.append((p, pack(pickle.dumps((c[at], np.array([len(x) for x in own], np.int64), b"".join(own)), 5))))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "bundle"])
 
         for batch in batches:
-            who = batch.column(1).to_numpy().view(np.uint64)
-            for i, j, buf, off in text.slices(*text.buffers(batch.column(0))):
+            found, doc, _, sure = _repeats(batch, scheme, shared.value)
+            who = batch.column(batch.schema.get_field_index("__who")).to_numpy().view(np.uint64)[doc]
+            mine = ~sure & seen.repeated(shared.value.chosen, _places(found, who), shared.value.bits)
+            found, doc = found[mine], doc[mine]
+            if not len(found):
+                continue
+            own = np.unique(doc)  # only these documents' units are needed
+            doc = np.searchsorted(own, doc)
+            column = batch.column(batch.schema.get_field_index("text")).take(pa.array(own))
+            for i, j, buf, off in text.slices(*text.buffers(column)):
+                x, y = np.searchsorted(doc, [i, j])
                 u = scheme.units(buf, off)
-                found = _repeats(u, scheme, shared.value)
-                if not len(found.a):
-                    continue
-                mine = np.flatnonzero(seen.repeated(shared.value.chosen, _places(found, u, who[i:j]), _BITS) & ~found.bare)
-                whole = buf.tobytes() if len(mine) else b""
-                for r in mine.tolist():
-                    x, y = u.span(int(found.a[r]), int(found.b[r]) + scheme.window)
-                    bodies.append(whole[x:y])
-                    held += y - x
-                cks.extend(found.ck[mine].tolist())
-                keys.extend(found.key[mine].tolist())
+                first = u.bounds[doc[x:y] - i]
+                whole = buf.tobytes()
+                for a, b in zip((first + found["a"][x:y]).tolist(), (first + found["b"][x:y] + scheme.window).tolist(), strict=True):
+                    a, b = u.span(a, b)
+                    bodies.append(whole[a:b])
+                    held += b - a
+            cks.extend(found["ck"].tolist())
+            keys.extend(found["key"].tolist())
             if held >= BUNDLE_BYTES:
                 yield flush()
                 cks, keys, bodies, held = [], [], [], 0
         if cks:
             yield flush()
 
-    return docs.select("text", "__who").mapInArrow(run, "part int, bundle binary")
+    return rows.select("text", "__who", "__segments", "__fine").mapInArrow(run, "part int, bundle binary")
 
 
 def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -317,7 +360,7 @@ def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             shard.clear()
 
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = [r for r in range(x, y) if int(ck[r]) in bodies]  # all but a bare window that met another by chance
+            own = [r for r in range(x, y) if int(ck[r]) in bodies]
             shard.extend(own)
             held += sum(len(bodies[int(ck[r])]) for r in own)
             if held >= scheme.shard_bytes:
@@ -330,57 +373,56 @@ def _engine(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _occurrences(docs: DataFrame, scheme: Scheme, shared) -> DataFrame:
+def _occurrences(rows: DataFrame, scheme: Scheme, shared) -> DataFrame:
     """part, doc_id, hash, at of repeats: with their spans if they repeat as they are, else with ck.
 
-    Equal rows of a batch give their places once.
+    Equal rows of a task give their places once.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     window = scheme.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
-            hashes, done = batch.column(2).to_numpy(), set()
-            ids = batch.column(0).to_pylist()
-            for i, j, buf, off in text.slices(*text.buffers(batch.column(1))):
-                u = scheme.units(buf, off)
-                found = _repeats(u, scheme, shared.value)
-                told = seen.repeated(shared.value.found, text.mix(found.ck), _BITS)
-                (whole_a, whole_b), a, ck = found.sure, found.a[told], found.ck[told]
-                once = np.ones(j - i, bool)
-                for k in range(i, j):
-                    who = (ids[k], int(hashes[k]))
-                    once[k - i] = who not in done
-                    done.add(who)
-
-                def rows(doc: np.ndarray, at: np.ndarray, cks: pa.Array, spans: pa.Array, i: int = i, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                    take = pa.array(doc + i)
-                    return pa.RecordBatch.from_arrays(
-                        [cks, batch.column(3).take(take), batch.column(0).take(take), batch.column(2).take(take), pa.array(at.astype(np.int32)), spans],
-                        names=["ck", "part", "doc_id", "hash", "at", "spans"],
-                    )
-
-                # all whole repeats of a document are one row
-                doc = np.searchsorted(u.bounds, whole_a, "right") - 1
-                keep = once[doc]
-                x, y, doc = whole_a[keep], whole_b[keep], doc[keep]
-                if len(doc):
-                    # runs of windows that follow one another are one span
-                    head = np.append(True, (doc[1:] != doc[:-1]) | (x[1:] > y[:-1] + 1))
-                    tail = np.append(head[1:], True)
-                    x, y, doc = x[head], y[tail], doc[head]
-                    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                    base = u.bounds[doc]
-                    pairs = np.stack([x - base, y - base + window], axis=1).astype(np.int32)
-                    packed = [p.tobytes() for p in np.split(pairs, first[1:])]
-                    yield rows(doc[first], np.zeros(len(first)), pa.nulls(len(first), pa.int64()), pa.array(packed, pa.binary()))
-                doc = np.searchsorted(u.bounds, a, "right") - 1
-                keep = once[doc]
-                a, ck, doc = a[keep], ck[keep], doc[keep]
-                if len(doc):
-                    yield rows(doc, a - u.bounds[doc], pa.array(ck.view(np.int64)), pa.nulls(len(doc), pa.binary()))
-
-    return docs.select("doc_id", "text", "__hash", "__part").mapInArrow(run, f"ck long, part int, doc_id {kind}, hash long, at int, spans binary")
+            found, doc, fine, sure = _repeats(batch, scheme, shared.value)
+            told = sure | seen.repeated(shared.value.found, text.mix(found["ck"]), shared.value.bits)
+            found, doc, fine, sure = found[told], doc[told], fine[told], sure[told]
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            once = np.zeros(batch.num_rows, bool)
+            level = np.zeros(batch.num_rows, bool)
+            level[doc[fine]] = True
+            for k in np.unique(doc).tolist():
+                who = (ids[k], hashes[k], bool(level[k]))
+                once[k] = who not in done
+                done.add(who)
+            if len(done) > 200_000:
+                done.clear()
+            keep = once[doc]
+            found, doc, sure = found[keep], doc[keep], sure[keep]
+
+            def out(doc: np.ndarray, at: np.ndarray, cks: pa.Array, spans: pa.Array, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                take = pa.array(doc)
+                return pa.RecordBatch.from_arrays(
+                    [cks, batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), spans],
+                    names=["ck", "part", "doc_id", "hash", "at", "spans"],
+                )
+
+            # all whole repeats of a document are one row
+            x, y, own = found["a"][sure], found["b"][sure], doc[sure]
+            if len(own):
+                # runs of windows that follow one another are one span
+                head = np.append(True, (own[1:] != own[:-1]) | (x[1:] > y[:-1] + 1))
+                tail = np.append(head[1:], True)
+                x, y, own = x[head], y[tail], own[head]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                pairs = np.stack([x, y + window], axis=1).astype(np.int32)
+                packed = [p.tobytes() for p in np.split(pairs, first[1:])]
+                yield out(own[first], np.zeros(len(first)), pa.nulls(len(first), pa.int64()), pa.array(packed, pa.binary()))
+            found, doc = found[~sure], doc[~sure]
+            if len(doc):
+                yield out(doc, found["a"], pa.array(found["ck"].view(np.int64)), pa.nulls(len(doc), pa.binary()))
+
+    return rows.select("doc_id", "__hash", "__part", "__segments", "__fine").mapInArrow(run, f"ck long, part int, doc_id {kind}, hash long, at int, spans binary")
 
 
 def _bundled(docs: DataFrame) -> DataFrame:
@@ -464,38 +506,57 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
     spark = docs.sparkSession
     store.bound_batches(spark)
     parts = store.partitions(spark)
-    docs = store.without(docs, "__hash", "__who", "__part").withColumn("__hash", F.xxhash64("text")).withColumn("__who", F.xxhash64("doc_id", "__hash"))
-    docs = docs.withColumn("__part", F.pmod("__who", F.lit(parts)).cast("int"))
+    own = docs = store.without(docs, "__hash", "__who", "__part", "__segments", "__fine")
+    own = own.withColumn("__hash", F.xxhash64("text")).withColumn("__who", F.xxhash64("doc_id", "__hash"))
+    own = own.withColumn("__part", F.pmod("__who", F.lit(parts)).cast("int"))
     window, gram, units = scheme.window, scheme.gram, scheme.units
 
+    def whole(batch: pa.RecordBatch) -> pa.Array:
+        each = [units(buf, off) for _, _, buf, off in text.slices(*text.buffers(batch.column(batch.schema.get_field_index("text"))))]
+        return _packed([_records(u, *segments(u, window, gram)) for u in each])
+
+    # texts are cut up once; all passes below read the segments only, but where they need some texts
+    table = store.cut(_with_records(own, whole), f"{name}-segments")
+    many = (table.agg(F.sum(F.octet_length("__segments"))).first()[0] or 0) // RECORD.itemsize
+    bits = min(max(20, (8 * many).bit_length()), MOST_BITS)
+
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found = [segments(units(buf, off), window, gram)[2:] for _, _, buf, off in text.slices(*text.buffers(batch.column(0)))]
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *(k for k, _ in found)]), np.concatenate([none, *(c for _, c in found)])
+        found, _ = _unpacked(batch.column(0))
+        return found["key"].copy(), found["ck"].copy()
 
-    maps = Bitmaps(seen.build(docs.select("text"), keys, scheme.hot, _BITS))
+    maps = Bitmaps(bits, seen.build(table.select("__segments"), keys, scheme.hot, bits))
+    rows = table.withColumn("__fine", F.lit(False))
     if maps.anchors[2] is not None:
-        first = spark.sparkContext.broadcast(maps.anchors)
+        first = spark.sparkContext.broadcast(maps)
 
-        def windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            found = [_busy_windows(units(buf, off), scheme, first.value)[2] for _, _, buf, off in text.slices(*text.buffers(batch.column(0)))]
-            h = np.concatenate([np.zeros(0, np.uint64), *found])
-            return h, _content(h)
+        def windows(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+            return np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h in _busy_windows(batch, scheme, first.value))]), None
+
+        again = spark.sparkContext.broadcast(seen.build(table.select("text", "__segments"), windows, bits=bits)[0])
+
+        def single(batch: pa.RecordBatch) -> pa.Array:
+            out = []
+            for u, at, h in _busy_windows(batch, scheme, first.value):
+                may = seen.repeated(again.value, h, bits)
+                out.append(_records(u, at[may], at[may], h[may], _content(h[may])))
+            return _packed(out)
 
-        maps.windows = seen.build(docs.select("text"), windows, 1 << 62, _BITS)
+        fine = store.cut(_with_records(table, single, only=True), f"{name}-windows")
+        rows = rows.unionByName(fine.withColumn("__fine", F.lit(True)))
         first.destroy()
+        again.destroy()
     shared = spark.sparkContext.broadcast(maps)
-    groups = store.cut(_contents(docs, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_groups, "part int, ck long, spans binary, pack binary"), f"{name}-groups")
+    groups = store.cut(_contents(rows, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_groups, "part int, ck long, spans binary, pack binary"), f"{name}-groups")
     packs = groups.filter("pack is not null").select("part", "pack")
 
     def chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
         return np.concatenate([np.zeros(0, np.uint64), *(pickle.loads(x)[3] for x in batch.column(0).to_pylist())]), None
 
     # each content's text is sent from one place
-    maps.chosen = seen.build(packs.select("pack"), chosen, bits=_BITS, least=1)[0]
+    maps.chosen = seen.build(packs.select("pack"), chosen, bits=bits, least=1)[0]
     shared.destroy()
     full = spark.sparkContext.broadcast(maps)
-    both = packs.select("part", F.lit(0).alias("kind"), F.col("pack").alias("bundle")).unionByName(_texts(docs, scheme, full, parts).select("part", F.lit(1).alias("kind"), "bundle"))
+    both = packs.select("part", F.lit(0).alias("kind"), F.col("pack").alias("bundle")).unionByName(_texts(rows, scheme, full, parts).select("part", F.lit(1).alias("kind"), "bundle"))
     solved = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_engine(scheme), "ck long, spans binary")
     found = groups.filter("ck is not null").select("ck", "spans").unionByName(store.cut(solved, name))
     full.destroy()
@@ -503,10 +564,9 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
     def repeating(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
         return text.mix(batch.column(0).to_numpy().view(np.uint64)), None
 
-    last = Bitmaps(maps.anchors, maps.windows, found=seen.build(found.select("ck"), repeating, bits=_BITS, least=1)[0])
-    last = spark.sparkContext.broadcast(last)
+    last = spark.sparkContext.broadcast(Bitmaps(bits, maps.anchors, found=seen.build(found.select("ck"), repeating, bits=bits, least=1)[0]))
     # rows that bring their spans get a key of their own, so that they spread and match nothing
-    places = _occurrences(docs, scheme, last).withColumn("ck", F.coalesce("ck", F.xxhash64("doc_id", "hash")))
+    places = _occurrences(rows, scheme, last).withColumn("ck", F.coalesce("ck", F.xxhash64("doc_id", "hash")))
     spans = (
         places.withColumnRenamed("spans", "own")
         .join(found, "ck", "left")
@@ -516,7 +576,7 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
     )
     kind = docs.schema["doc_id"].dataType
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("hash", "long"), ("at", "int"), ("spans", "binary"))]
-    bundles = _bundled(docs).select("part", F.lit(1).alias("kind"), *nothing, "bundle")
+    bundles = _bundled(table.select(*docs.columns, "__hash", "__part")).select("part", F.lit(1).alias("kind"), *nothing, "bundle")
     return spans.unionByName(bundles).repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_finished(finish), schema)
 
 

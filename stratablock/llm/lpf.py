@@ -1,6 +1,7 @@
 """Suffix-array dedup: longest-previous-factor arrays from neighbours in suffix order.
 
-In a shard (``anchors``) the suffix array of all its texts is built by prefix
+In a shard (``anchors``) windows whose hash occurs once there are left out: no
+match starts at them. The suffix array of what remains is built by prefix
 doubling; the ranks of every round stay, so the common prefix of any two
 suffixes is read by descending through them. Positions are then visited in
 suffix order: the previous and the next smaller position give each suffix its
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import anchors, store
+from . import anchors, store, text
 
 THRESHOLD = 400
 
@@ -106,32 +107,57 @@ def previous_factors(order: np.ndarray, near: np.ndarray, threshold: int) -> tup
     return np.array(at, np.int64), np.array(length, np.int64), np.array(source, np.int64)
 
 
+def repeated_runs(values: np.ndarray, ends: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal runs of positions in windows whose hash occurs more than once; all others have no match.
+
+    ``ends``: the end of each position's text.
+    """
+    h = text.Rolling(values).windows(window)
+    inside = np.flatnonzero(np.arange(len(h)) + window <= ends[: len(h)])
+    by = np.argsort(h[inside])
+    same = h[inside][by]
+    twice = np.zeros(len(by), bool)
+    twice[1:] = same[1:] == same[:-1]
+    twice[:-1] |= twice[1:]
+    at = np.sort(inside[by[twice]])
+    if not len(at):
+        return []
+    head = np.append(True, (at[1:] > at[:-1] + window) | (ends[at[1:]] != ends[at[:-1]]))
+    tail = np.append(head[1:], True)
+    return list(zip(at[head].tolist(), (at[tail] + window).tolist(), strict=True))
+
+
 def engine_for(keep_first: bool):
     def engine(texts: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
         """For each (times, text), spans of bytes that a removed copy covers."""
         sizes = np.array([len(b) for _, b in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        n = int(starts[-1])
-        symbols = np.zeros(n, np.int64)
-        parts = []
-        for k, (_, b) in enumerate(texts):
-            x = starts[k]
-            symbols[x : x + sizes[k]] = np.frombuffer(b, np.uint8)
-            symbols[x + sizes[k]] = 256 + k % 65_000  # texts end at different symbols
-            parts.append([(0, sizes[k])] if texts[k][0] > 1 and sizes[k] >= window and not keep_first else [])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(b"".join(b for _, b in texts), np.uint8)
+        parts = [[(0, n)] if t > 1 and n >= window and not keep_first else [] for (t, _), n in zip(texts, sizes.tolist(), strict=True)]
+        # only runs of windows that occur again go into the suffix array
+        runs = repeated_runs(text.byte_values(raw), np.repeat(starts[1:], sizes), window)
+        if not runs:
+            return [np.array(p, np.int32).reshape(-1, 2) for p in parts]
+        first, end = (np.array(x) for x in zip(*runs, strict=True))
+        length = end - first
+        begin = np.concatenate([[0], np.cumsum(length + 1)])
+        n = int(begin[-1])
+        owner = np.repeat(np.arange(len(runs)), length + 1)
+        source = first[owner] + np.arange(n) - begin[owner]
+        stop = source == end[owner]
+        symbols = np.where(stop, 256 + owner % 65_000, raw[np.minimum(source, len(raw) - 1)]).astype(np.int64)  # runs end at different symbols
         order, rounds = suffix_order(symbols, window)
         near = np.zeros(n, np.int64)
         near[1:] = common_prefix(order[:-1], order[1:], n, rounds)
-        owner = np.repeat(np.arange(len(texts)), sizes + 1)
-        left = starts[owner] + sizes[owner] - np.arange(n)
-        near[1:] = np.minimum(near[1:], np.minimum(left[order[:-1]], left[order[1:]]))  # a match ends with its text
-        at, length, source = previous_factors(order, near, window)
+        left = begin[owner] + length[owner] - np.arange(n)
+        near[1:] = np.minimum(near[1:], np.minimum(left[order[:-1]], left[order[1:]]))  # a match ends with its run
+        at, match, earlier = previous_factors(order, near, window)
         if not keep_first:
-            at, length = np.concatenate([at, source]), np.concatenate([length, length])
+            at, match = np.concatenate([at, earlier]), np.concatenate([match, match])
         by = np.argsort(at, kind="stable")
-        for x, m in zip(at[by].tolist(), length[by].tolist(), strict=True):
-            k = int(owner[x])
-            a = x - int(starts[k])
+        place = source[at[by]]
+        whose = np.searchsorted(starts, place, "right") - 1
+        for k, a, m in zip(whose.tolist(), (place - starts[whose]).tolist(), match[by].tolist(), strict=True):
             if parts[k] and parts[k][-1][0] <= a <= parts[k][-1][1]:
                 parts[k][-1] = (parts[k][-1][0], max(parts[k][-1][1], a + m))
             else:
