@@ -104,7 +104,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed: i
         words = text.Words(part, off)
         if len(words.starts):
             ids, count = np.unique(subwords(part, words.starts, words.ends)[0], return_counts=True)
-            bags.append((ids, count / count.sum(), langs.index(rows[i][1])))
+            bags.append((ids.astype(np.int32), (count / count.sum()).astype(np.float32), langs.index(rows[i][1])))
     train = [x for i, x in enumerate(bags) if i % 5 != 4]
     aside = [x for i, x in enumerate(bags) if i % 5 == 4]
     steps, done = max(1, epochs * len(train)), 0
@@ -120,7 +120,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed: i
             b -= lr * 0.1 * p
             emb[ids] -= (lr * 20 * share)[:, None] * back
             done += 1
-    model = Model(langs, emb, w, b)
+    model = Model(langs, emb.astype(np.float32), w, b)
     if aside:
         z = np.array([share @ model.table[ids] + b for ids, share, _ in aside])
         y = np.array([v for _, _, v in aside])
@@ -131,7 +131,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed: i
 
 def fit_on_labels(docs: DataFrame, lang: str = "lang") -> Model | None:
     """``docs``: the rows that may be learned from."""
-    return fit(sampling.labelled_sample(docs, docs, lang))
+    return sampling.fitted(sampling.labelled_sample(docs.select("doc_id", "text", F.col(lang).alias("label"))), fit)
 
 
 def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

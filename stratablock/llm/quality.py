@@ -1,8 +1,8 @@
 """Quality rules: fixed surface rules, then a calibrated classifier of hashed n-grams.
 
 The classifier is a logistic regression over hashed word and character
-n-grams. It is fitted on a bounded sample of labelled rows (``sampling``),
-its probability calibrated on a part of that sample that the fit did not see,
+n-grams. It is fitted on a bounded sample of labelled rows (``sampling``) in
+one task, its probability calibrated on a part of that sample that the fit did not see,
 and it scores every text in Arrow batches against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; without
@@ -121,41 +121,47 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[str, int]], epochs: int = 60, rate: float = 0.5, l2: float = 1e-6) -> Model:
     """Adagrad on the mean log loss; every fourth row is set aside to calibrate.
 
-    ``rows`` are (text, 0 or 1), 1 for good.
+    ``rows`` are (text, 0 or 1), 1 for good. Shares of n-grams are kept slice by
+    slice, 8 bytes for each bucket of a text, and the gradient is summed over slices.
     """
     y = np.array([int(v) for _, v in rows], float)
     if len(set(y)) < 2:
-        return Model(np.zeros((FAMILIES, 1)), 0.0, constant=1.0)
+        return Model(np.zeros((FAMILIES, 1), np.float32), 0.0, constant=1.0)
     size = 1 << BITS
-    cols, docs, vals = [], [], []
+    blocks = []  # first row, end, buckets, shares, bounds of rows
     for i, j, buf, offsets in text.slices(*text.buffers(pa.array([t for t, _ in rows], pa.string()))):
         for f, (idx, bounds) in enumerate(zip(*features(buf, offsets), strict=True)):
             n = np.diff(bounds)
             key, count = np.unique(np.repeat(np.arange(j - i), n) * size + idx, return_counts=True)
             own = key // size
-            docs.append((own + i).astype(np.int32))
-            cols.append((key % size + f * size).astype(np.int32))
-            vals.append((count / np.maximum(n, 1)[own]).astype(np.float32))
-    d, c, v = np.concatenate(docs), np.concatenate(cols), np.concatenate(vals)
-    del docs, cols, vals
+            share = (count / np.maximum(n, 1)[own]).astype(np.float32)
+            blocks.append((i, j, (key % size + f * size).astype(np.int32), share, np.searchsorted(own, np.arange(j - i + 1))))
     aside = np.arange(len(rows)) % 4 == 3
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False
-    w, bias = np.zeros(FAMILIES * size), 0.0
-    seen, seen_b = np.full(w.shape, 1e-8), 1e-8
+    w, bias = np.zeros(FAMILIES * size, np.float32), 0.0
+    seen, seen_b = np.full(w.shape, 1e-8, np.float32), 1e-8
     n = max(1, int((~aside).sum()))
     scale = 30.0  # n-gram shares are small numbers
+
+    def margins() -> np.ndarray:
+        z = np.full(len(rows), bias)
+        for i, j, c, v, bounds in blocks:
+            z[i:j] += text.group_sum(w[c] * v, bounds) * scale
+        return z
+
     for _ in range(epochs):
-        z = np.bincount(d, weights=w[c] * v, minlength=len(rows)) * scale + bias
-        err = np.where(aside, 0.0, sigmoid(z) - y) / n
-        g = np.bincount(c, weights=err[d] * v, minlength=len(w)) * scale + l2 * w
-        seen += g * g
-        w -= rate * g / np.sqrt(seen)
+        err = np.where(aside, 0.0, sigmoid(margins()) - y) / n
+        g = l2 * w.astype(float)
+        for i, j, c, v, bounds in blocks:
+            g += np.bincount(c, weights=np.repeat(err[i:j] * scale, np.diff(bounds)) * v, minlength=len(w))
+        seen += (g * g).astype(np.float32)
+        w -= (rate * g / np.sqrt(seen)).astype(np.float32)
         gb = err.sum()
         seen_b += gb * gb
         bias -= rate * gb / np.sqrt(seen_b)
-    z = np.bincount(d, weights=w[c] * v, minlength=len(rows)) * scale + bias
-    model = Model((w * scale).reshape(FAMILIES, size), bias)
+    z = margins()
+    model = Model((w * np.float32(scale)).reshape(FAMILIES, size), bias)
     if aside.any():
         model.slope, model.shift = platt(z[aside], y[aside])
     return model
@@ -175,7 +181,7 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    return fit(sampling.labelled_sample(docs, labels, label))
+    return sampling.fitted(sampling.labelled_sample(sampling.labels_of(docs, labels, label)), fit)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = KEEP_FROM) -> DataFrame:

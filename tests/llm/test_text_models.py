@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import by_id, corpus, frame, words
+from pyspark.sql import functions as F
 
-from stratablock.llm import langid, pitman_yor, quality, text
+from stratablock.llm import langid, pitman_yor, quality, sampling, text
 
 
 def brute_surface(body):
@@ -44,6 +46,24 @@ def test_quality_model_separates_and_is_calibrated():
     assert p[0] > 0.7 and p[1] < 0.3 and ((p >= 0) & (p <= 1)).all()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sample_pairs_each_text_with_its_own_label(spark, kind):
+    rows = [(1, "aaa", "en"), (1, "bbb", "de"), (1, "bbb", "de"), (2, "ccc", "en"), (3, None, "en"), (4, "ddd", None), (None, "eee", "fr"), (5, "long " * 30, "fr")]
+    df = spark.createDataFrame([(None if k is None else str(k) if kind == "string" else k, t, v) for k, t, v in rows], f"doc_id {kind}, text string, label string")
+    seen = []
+    for n in (1, 3):
+        got = sampling.labelled_sample(df.repartition(n), max_bytes=60).orderBy("place").collect()
+        seen.append([(r.text, r.label) for r in got])
+    assert seen[0] == seen[1] and set(seen[0]) == {("aaa", "en"), ("bbb", "de"), ("ccc", "en")} and len(seen[0]) == 3
+    assert sampling.labelled_sample(df, max_rows=2).count() == 2
+    assert sampling.labelled_sample(df, max_bytes=3).count() == 1
+    labels = df.select("doc_id", F.when(F.col("label") == "en", 1).otherwise(0).alias("quality"))
+    known = {(r.text, r.label) for r in sampling.labels_of(df, labels, "quality").collect()}
+    assert {("aaa", 0), ("bbb", 0), ("ccc", 1)} <= known  # of an id's labels the smallest, for all its rows
+    assert sampling.fitted(sampling.labelled_sample(df.filter("false")), len) == 0
+    assert sampling.fitted(sampling.labelled_sample(df, max_bytes=60), len) == 3
+
+
 def test_quality_on_labels(spark):
     rows = [(k, t, *[None] * 5) for k, (t, _) in enumerate(labelled())]
     labels = spark.createDataFrame([(k, q) for k, (_, q) in enumerate(labelled())] + [(None, 1), (5, None)], "doc_id long, quality int")
