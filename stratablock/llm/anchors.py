@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import seen, store, text
 
 #: Bytes of texts that a task gathers before it bundles them.
-BUNDLE_BYTES = 24_000_000
+BUNDLE_BYTES = 12_000_000
 #: Bitmaps have eight bits a segment, up to so many (32 MB); beyond, more candidates are sent.
 MOST_BITS = 28
 _POS_BITS = 24

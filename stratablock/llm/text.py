@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of one numpy working slice; a longer single document is its own slice.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
