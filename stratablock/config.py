@@ -13,7 +13,6 @@ class Data:
     dataset_dir: str = ""
     lods: list[int] = field(default_factory=lambda: [1, 2])
     normalize_coords: bool = True
-    num_workers: int = 4
     n_max: int | None = None
 
 
@@ -49,7 +48,6 @@ class Training:
     train_val_test_split: list[float] = field(default_factory=lambda: [0.8, 0.1, 0.1])
     lr: float = 1e-3
     max_epochs: int = 100
-    gradient_clip_val: float | None = None
     lr_scheduler: str = "none"
     lr_decay_steps: int = 50
     lr_decay_rate: float = 0.5
@@ -57,24 +55,15 @@ class Training:
     checkpoint: Checkpoint = field(default_factory=Checkpoint)
 
 
-@dataclass(frozen=True)
-class Trainer:
-    accelerator: str = "auto"
-    devices: int = 1
-    precision: str = "32"
-    log_every_n_steps: int = 50
-
-
 @dataclass(frozen=True)
 class Logging:
+    """Where ``sources.metrics`` writes."""
+
     loggers: list[str] = field(default_factory=lambda: ["tensorboard"])
-    project_name: str = "lod-generation"
-    experiment_name: str | None = "regnn_diffusion"
+    project_name: str = "buildings"
+    experiment_name: str | None = None
     run_name: str | None = "default"
     save_dir: str = "outputs"
-    wandb_entity: str | None = None
-    wandb_offline: bool = False
-    log_model: bool = False
 
 
 @dataclass(frozen=True)
@@ -92,10 +81,12 @@ class Config:
     data: Data = field(default_factory=Data)
     model: Model = field(default_factory=Model)
     training: Training = field(default_factory=Training)
-    trainer: Trainer = field(default_factory=Trainer)
     logging: Logging = field(default_factory=Logging)
     inference: Inference = field(default_factory=Inference)
-    resume_from: str | None = None
+
+
+#: Settings of frameworks for training and logging, which this engine does not have: accepted and not used.
+UNUSED = {"": {"trainer", "resume_from"}, "data": {"num_workers"}, "training": {"gradient_clip_val"}, "logging": {"wandb_entity", "wandb_offline", "log_model"}}
 
 
 def _typed(value: Any, kind: Any, where: str) -> Any:
@@ -127,6 +118,7 @@ def _typed(value: Any, kind: Any, where: str) -> Any:
 
 def _section(kind: type, values: dict, where: str = "") -> Any:
     hints = get_type_hints(kind)
+    values = {k: v for k, v in values.items() if k not in UNUSED.get(where, ())}
     if unknown := set(values) - set(hints):
         raise KeyError(f"{where or 'config'}: no such setting: {', '.join(sorted(unknown))}")
     return kind(**{k: _typed(v, hints[k], f"{where}.{k}".lstrip(".")) for k, v in values.items()})

@@ -1,14 +1,16 @@
 """Faces of a graph: chordless cycles of 3 to 8 nodes.
 
-Paths grow by one self-join a step, from their smallest node. A step that
-touches an inner node of the path would make a chord and is never made; a path
+A graph's neighbours are gathered once to one row; paths grow from their
+smallest node beside them, with no further shuffle. A step that touches an inner node of the path would make a chord and is never made; a path
 whose end touches its start is a cycle and grows no further. So nothing is
 enumerated only to be rejected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 8
@@ -32,37 +34,38 @@ def active_edges(probs: DataFrame, classes: DataFrame, key: str = "id") -> tuple
     return numbered, among
 
 
+def _may_follow(size: int) -> Callable[[Column], Column]:
+    """Whether a node may be the ``size``-th of a path: new, over the start, and no chord to an inner node."""
+    inner = F.slice("path", 2, size - 3) if size > 3 else F.array().cast("array<int>")
+
+    def may(v: Column) -> Column:
+        fresh = (v > F.col("path")[0]) & ~F.array_contains("path", v)
+        canonical = ~F.array_contains("start_near", v) | (F.col("path")[1] < v)
+        return fresh & canonical & ~F.arrays_overlap(F.element_at("adj", v), inner)
+
+    return may
+
+
 def chordless(edges: DataFrame, longest: int = LONGEST, key: str = "id") -> DataFrame:
     """key, cycle ARRAY<INT>: each starts at its smallest node, with the smaller neighbour next.
 
     ``edges``: key, src, dst, both directions; loops are ignored.
     """
     near = (
-        edges.filter("src <> dst").select(key, "src", "dst").distinct()
-        .groupBy(key, "src").agg(F.array_sort(F.collect_list(F.col("dst").cast("int"))).alias("near"))
+        edges.filter("src <> dst").select(key, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).distinct()
+        .groupBy(key, "src").agg(F.array_sort(F.collect_list("dst")).alias("near"))
     )
-    step = near.select(key, F.col("src").cast("int").alias("end"), "near")
-    # neighbours of the start, kept beside the path
-    paths = step.select(key, F.array("end").alias("path"), F.col("near").alias("start_near"), F.explode("near").alias("next")).filter("next > path[0]")
-    paths = paths.select(key, F.array_append("path", F.col("next")).alias("path"), "start_near", F.col("next").alias("end"))
+    graphs = near.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("src", "near"))).alias("adj"))
+    paths = graphs.select(key, "adj", F.explode("adj").alias("start", "start_near"))
+    paths = paths.select(key, "adj", "start_near", F.explode(F.transform(F.filter("start_near", lambda v: v > F.col("start")), lambda v: F.array("start", v))).alias("path"))
     paths = paths.withColumn("closed", F.lit(False))
-    # closed paths ride along unchanged, so the whole search is one chain of joins
+    none = F.array(F.lit(None).cast("int"))
     for size in range(3, longest + 1):
-        open_end = F.when(~F.col("closed"), F.col("end")).alias("end")
-        grown = paths.select(key, "path", "start_near", "closed", open_end).join(step, [key, "end"], "left")
-        grown = grown.select(key, "path", "start_near", "closed", F.explode_outer("near").alias("next"))
-        fresh = (F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))
-        grown = grown.filter(F.col("closed") | fresh)
-        grown = grown.join(step.select(key, F.col("end").alias("next"), F.col("near").alias("next_near")), [key, "next"], "left")
-        inner = F.slice("path", 2, size - 3) if size > 3 else F.array().cast("array<int>")
-        closes = F.array_contains("start_near", F.col("next"))
-        canonical = ~closes | (F.col("path")[1] < F.col("next"))
-        grown = grown.filter(F.col("closed") | (~F.arrays_overlap("next_near", inner) & canonical))
+        ends = F.filter(F.element_at("adj", F.element_at("path", -1)), _may_follow(size))
+        grown = paths.withColumn("next", F.explode(F.when(F.col("closed"), none).otherwise(ends)))
         paths = grown.select(
-            key,
+            key, "adj", "start_near",
             F.when(F.col("closed"), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
-            "start_near",
-            (F.col("closed") | F.coalesce(closes, F.lit(False))).alias("closed"),
-            F.col("next").alias("end"),
-        )
+            (F.col("closed") | F.coalesce(F.array_contains("start_near", F.col("next")), F.lit(False))).alias("closed"),
+        )
     return paths.filter("closed").select(key, F.col("path").alias("cycle"))

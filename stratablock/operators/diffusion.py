@@ -32,6 +32,11 @@ def schedule(spark: SparkSession, steps: int = 500, s: float = 0.008) -> DataFra
     return spark.range(steps + 1).select(F.col("id").cast("int").alias("t"), (F.pow(F.cos(angle), 2.0) / F.lit(start)).alias("alpha_bar"))
 
 
+def validation_time(steps: int) -> int:
+    """The step at which validation adds noise."""
+    return steps // 2
+
+
 def step_ratios(sched: DataFrame) -> DataFrame:
     """The schedule with alpha_prev, and alpha_t: the share that one step keeps."""
     return sched.withColumn("alpha_prev", F.lag("alpha_bar").over(Window.orderBy("t"))).withColumn("alpha_t", F.col("alpha_bar") / F.col("alpha_prev"))

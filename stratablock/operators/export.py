@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cycles, planes
+from . import cycles, dataset, planes
 
 #: Surface types in the order of their semantic index.
 SURFACE_TYPES = ("GroundSurface", "RoofSurface", "WallSurface")
@@ -25,17 +25,21 @@ def reconstruct(nodes: DataFrame, probs: DataFrame, threshold: float = 0.5, key:
     moved = planes.straightened(planes.corners(faces, nodes, key), [key, "face"])
     shell = moved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("face", index.cast("int").alias("s"), "p"))).alias("f"))
     points = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z"))).alias("n"))
-    found = shell.join(points, key).withColumn("corners", F.flatten(F.transform("f", lambda f: f["p"])))
+    # corners in the order of their nodes: each node reads its own run of them
+    found = shell.join(points, key).withColumn("corners", F.array_sort(F.flatten(F.transform("f", lambda f: F.transform(f["p"], lambda c: F.struct(c["node"], c["x"], c["y"], c["z"]))))))
+    found = found.withColumn("own", F.transform("corners", lambda c: c["node"]))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in "xyz"), F.lit(0).alias("size"))
 
     def averaged(n: Column) -> Column:
-        own = F.filter("corners", lambda c: c["node"] == n["node"])
+        first = F.array_position("own", n["node"]).cast("int")
+        run = F.slice("corners", F.greatest(first, F.lit(1)), F.size(F.filter("own", lambda v: v == n["node"])))
         total = F.aggregate(
-            own,
-            F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
-            lambda a, c: F.array(a[0] + c["x"], a[1] + c["y"], a[2] + c["z"]),
-            lambda a: F.transform(a, lambda v: v / F.size(own)),
+            run,
+            zero,
+            lambda a, c: F.struct(*((a[k] + c[k]).alias(k) for k in "xyz"), (a["size"] + 1).alias("size")),
+            lambda a: F.array(*(a[k] / a["size"] for k in "xyz")),
         )
-        return F.when(F.size(own) > 0, total).otherwise(F.array(n["x"], n["y"], n["z"]))
+        return F.when(first > 0, total).otherwise(F.array(n["x"], n["y"], n["z"]))
 
     return found.select(
         key,
@@ -72,18 +76,20 @@ def document(buildings: DataFrame, name: Column) -> DataFrame:
 
 
 def combined(merged: DataFrame, buildings: DataFrame) -> DataFrame:
-    """file_name and json of all buildings together. ``merged``: one row of ``merge``; ``buildings``: name, surface_values."""
-    each = merged.select("vertices", F.explode("objects").alias("name", "boundaries")).join(buildings.select("name", "surface_values"), "name")
-    members = each.groupBy("vertices").agg(
-        F.concat_ws(",", F.array_sort(F.collect_list(_object(F.col("name"), F.col("boundaries"), F.col("surface_values"))))).alias("o")
-    )
-    return members.select(F.lit("all_buildings.city.json").alias("file_name"), _document(F.col("o"), F.col("vertices")).alias("json"))
+    """file_name and json of all buildings together. ``merged``: one row of ``merge``; ``buildings``: name, surface_values.
+
+    Members are written from names and boundaries alone; the vertices of the whole meet them once.
+    """
+    each = merged.select(F.explode("objects").alias("name", "boundaries")).join(buildings.select("name", "surface_values"), "name")
+    members = each.agg(F.concat_ws(",", F.array_sort(F.collect_list(_object(F.col("name"), F.col("boundaries"), F.col("surface_values"))))).alias("o"))
+    both = merged.select(F.lit(0).alias("k"), "vertices").join(members.withColumn("k", F.lit(0)), "k")  # one row each
+    return both.select(F.lit("all_buildings.city.json").alias("file_name"), _document(F.col("o"), F.col("vertices")).alias("json"))
 
 
 def file_names(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``file_name``: building_0000.city.json and on, without gaps."""
-    n = F.row_number().over(Window.orderBy(order)) - 1  # generated buildings, a few
-    return rows.withColumn("file_name", F.format_string("building_%04d.city.json", n))
+    ranked = dataset.sorted_ranks(rows, order, "__place")
+    return ranked.withColumn("file_name", F.format_string("building_%04d.city.json", F.col("__place"))).drop("__place")
 
 
 def vertex_offsets(sizes: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:

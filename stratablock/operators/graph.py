@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,16 @@ def padded_nodes(at: DataFrame, n_max: int) -> DataFrame:
     )
 
 
+def transformed(padded: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Padded graphs after a caller's transform, which may change columns but neither keys nor rows."""
+    if hook is None:
+        return padded
+    out = padded.transform(hook)
+    if missing := {*KEY, "node"} - set(out.columns):
+        raise ValueError(f"the transform dropped {', '.join(sorted(missing))}")
+    return out
+
+
 def dense_adjacency(at: DataFrame, local: DataFrame, n_max: int) -> DataFrame:
     """One row per graph and node, with its row of the n_max by n_max adjacency."""
     near = local.groupBy(*KEY, "src").agg(F.collect_set("dst").alias("near")).withColumnRenamed("src", "node")

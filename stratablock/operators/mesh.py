@@ -37,6 +37,12 @@ def objects(documents: DataFrame) -> DataFrame:
     )
 
 
+def first_object(objects_: DataFrame) -> DataFrame:
+    """Of each file the object that comes first in the document."""
+    rest = [c for c in objects_.columns if c != "file"]
+    return objects_.groupBy("file").agg(F.min_by(F.struct(*rest), "obj_pos").alias("o")).select("file", "o.*")
+
+
 def geometries(objects_: DataFrame) -> DataFrame:
     """One row per geometry: its type, lod, surface types, and parsed boundaries and semantic values by shell."""
     flat = objects_.select("file", "obj_pos", "obj", "type", F.posexplode("geometry").alias("geom", "g"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
-from ..operators import dataset, export, planes
+from ..functions import arrays, times
+from ..operators import dataset, export, mesh, planes
 from ..sources import cityjson
 from . import synthetic as syn
 from .registry import query
@@ -95,9 +95,9 @@ def sampled_keys_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("source", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
-@query("sorted_ids", "SELECT c_custkey FROM customer WHERE c_nationkey < 10")
+@query("sorted_ids", "SELECT c_custkey FROM customer")
 def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syn.table(spark, sf_dir, "customer").filter("c_nationkey < 10").select("c_custkey").orderBy("c_custkey")
+    return syn.table(spark, sf_dir, "customer").select("c_custkey").orderBy("c_custkey")
 
 
 @query("top_k_checkpoints", """
@@ -152,9 +152,9 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("g", F.size("vertices").cast("long").alias("n_vertices"), total.alias("total"), F.array_max(ids).cast("long").alias("top"), F.size("objects").cast("long").alias("objects"))
 
 
-@query("building_file_names", "SELECT p_partkey AS id, 'building_' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 4, '0') || '.city.json' AS file_name FROM part WHERE p_partkey % 100 = 7")
+@query("building_file_names", "SELECT p_partkey AS id, 'building_' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 4, '0') || '.city.json' AS file_name FROM part")
 def building_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.file_names(syn.table(spark, sf_dir, "part").filter("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id")), "id")
+    return export.file_names(syn.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id")
 
 
 @query("file_job_status", """
@@ -181,33 +181,51 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("document_objects")
-def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON text and read back to mesh rows; ids that come twice keep their last value."""
-    from ..operators import mesh
-
-    part = syn.table(spark, sf_dir, "part").filter("p_partkey % 20 = 3")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON text; an id that comes twice keeps its last value."""
     k = F.col("p_partkey").cast("string")
     geom = '[{"type":"Solid","lod":"2","boundaries":[[[[0,1,2]]]],"semantics":{"surfaces":[{"type":"GroundSurface"}],"values":[[0]]}}]'
     text = F.concat(
         F.lit('{"type":"CityJSON","vertices":[[0,0,0],[1,0,0],[1,1,0]],"CityObjects":{"b'), k, F.lit('":{"type":"Old"},"x'), k,
         F.lit(f'":{{"geometry":{geom}}},"b'), k, F.lit(f'":{{"type":"Building","geometry":{geom}}}}}}}'),
     )
-    docs = cityjson.parse(part.select(k.alias("file"), text.alias("value")))
-    return mesh.rings(mesh.geometries(mesh.objects(docs))).select("file", "obj_pos", "obj", "type", "surface", F.size("vids").alias("n"))
+    return cityjson.parse(syn.table(spark, sf_dir, "part").select(k.alias("file"), text.alias("value")))
+
+
+@query("document_objects", """
+SELECT p_partkey::VARCHAR AS file, pos AS obj_pos, prefix || p_partkey AS obj, kind AS type, 0 AS surface, 3 AS n
+FROM part, (VALUES (0, 'b', 'Building'), (1, 'x', 'Unknown')) v(pos, prefix, kind)""")
+def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back to mesh rows."""
+    rows = mesh.rings(mesh.geometries(mesh.objects(_documents(spark, sf_dir))))
+    return rows.select("file", "obj_pos", "obj", "type", "surface", F.size("vids").alias("n"))
+
+
+@query("first_objects", "SELECT p_partkey::VARCHAR AS file, 'b' || p_partkey AS obj, 'Building' AS type FROM part")
+def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.first_object(mesh.objects(_documents(spark, sf_dir))).select("file", "obj", "type")
+
+
+@query("run_stamps", """
+SELECT user_id, strftime(min(ts), '%Y%m%d_%H%M%S') AS started, round(epoch(max(ts) - min(ts)), 3) AS seconds, printf('%.2f seconds', epoch(max(ts) - min(ts))) AS taken FROM events GROUP BY user_id""")
+def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events stand for a run: its name, and how long it took."""
+    runs = syn.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    seconds = times.elapsed(F.col("a"), F.col("b"))
+    return runs.select("user_id", times.stamp(F.col("a")).alias("started"), F.round(seconds, 3).alias("seconds"), times.elapsed_text(seconds).alias("taken"))
 
 
 @query("face_scatter_matrix", syn.sql("""
-SELECT p.id, p.face, cx, cy, cz, round(sum((x - cx) * (x - cx)), 4) AS sxx, round(sum((x - cx) * (y - cy)), 4) AS sxy, round(sum((x - cx) * (z - cz)), 4) AS sxz,
+SELECT p.id, p.face, round(cx, 6) + 0 AS cx, round(cy, 6) + 0 AS cy, round(cz, 6) + 0 AS cz, round(sum((x - cx) * (x - cx)), 4) AS sxx, round(sum((x - cx) * (y - cy)), 4) AS sxy, round(sum((x - cx) * (z - cz)), 4) AS sxz,
   round(sum((y - cy) * (y - cy)), 4) AS syy, round(sum((y - cy) * (z - cz)), 4) AS syz, round(sum((z - cz) * (z - cz)), 4) AS szz
 FROM faces p JOIN vertices v ON v.id = p.id AND v.vid = p.vid JOIN (
   SELECT f.id, f.face, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM faces f JOIN vertices v ON v.id = f.id AND v.vid = f.vid
-  WHERE f.id % 3 <> 0 GROUP BY f.id, f.face) c ON c.id = p.id AND c.face = p.face
+  GROUP BY f.id, f.face) c ON c.id = p.id AND c.face = p.face
 GROUP BY p.id, p.face, cx, cy, cz"""))
 def face_scatter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = planes.scatter(_corners(spark, sf_dir).filter("id % 3 <> 0"), ["id", "face"])
+    out = planes.scatter(_corners(spark, sf_dir), ["id", "face"])
     # + 0.0 turns a negative zero to zero
-    return out.select("id", "face", "cx", "cy", "cz", *((F.round(c, 4) + 0.0).alias(c) for c in ("sxx", "sxy", "sxz", "syy", "syz", "szz")))
+    return out.select("id", "face", *((F.round(c, 6) + 0.0).alias(c) for c in ("cx", "cy", "cz")), *((F.round(c, 4) + 0.0).alias(c) for c in ("sxx", "sxy", "sxz", "syy", "syz", "szz")))
 
 
 def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,39 @@ def closed_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syn.rings(spark, sf_dir).select(F.col("obj").alias("id"), "face", trace.alias("trace"))
 
 
+@query(
+    "closed_polyline_checked",
+    syn.sql("""SELECT f.id, f.face, string_agg(v.x::INT || ' ' || v.y::INT, ',' ORDER BY f.pos) || ',' || min_by(v.x::INT || ' ' || v.y::INT, f.pos) AS trace
+      FROM faces f JOIN vertices v ON v.id = f.id AND v.vid = f.vid WHERE f.id % 4 <> 1 OR f.face <> 2 GROUP BY f.id, f.face"""),
+)
+def closed_polyline_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of coordinates; a ring with an index past the end is skipped, here one in every fourth building."""
+    bad = F.when((F.col("obj") % 4 == 1) & (F.col("face") == 2), F.array_append("vids", F.lit(99))).otherwise(F.col("vids"))
+    at = rings.located(syn.rings(spark, sf_dir).withColumn("vids", bad), syn.vertices(spark, sf_dir))
+    point = lambda p: F.concat_ws(" ", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))
+    trace = F.array_join(F.transform(arrays.closed(F.col("points")), point), ",")
+    return at.select(F.col("obj").alias("id"), "face", trace.alias("trace"))
+
+
+@query("uncentered_nodes", syn.sql("SELECT n.id, n.node, v.x, v.y, v.z FROM nodes n JOIN vertices v ON v.id = n.id AND v.vid = n.vid"))
+def uncentered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as the document has them."""
+    at = graph.positions(_nodes(spark, sf_dir), syn.vertices(spark, sf_dir))
+    return at.select(F.col("obj").alias("id"), "node", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+
+
+@query(
+    "transformed_nodes",
+    syn.sql("""SELECT id, k AS node, coalesce(x, 0) / 2 AS x, coalesce(y, 0) / 2 AS y, (x IS NULL)::INT AS category FROM (
+      SELECT DISTINCT id, unnest(range(0, 10)) AS k FROM nodes) p LEFT JOIN (SELECT n.id AS nid, n.node, v.x, v.y FROM nodes n JOIN vertices v ON v.id = n.id AND v.vid = n.vid) ON nid = id AND node = k"""),
+)
+def transformed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's transform of padded graphs: half the size."""
+    at = graph.positions(_nodes(spark, sf_dir), syn.vertices(spark, sf_dir))
+    out = graph.transformed(graph.padded_nodes(at, 10), lambda df: df.withColumns({c: F.col(c) / 2 for c in "xyz"}))
+    return out.select(F.col("obj").alias("id"), "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "category")
+
+
 @query(
     "ring_sequence",
     syn.sql(

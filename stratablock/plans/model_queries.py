@@ -27,19 +27,18 @@ def _n(seed: str, *keys: str) -> str:
     return f"(sqrt(-2 * ln(greatest({_u(seed + 'a', *keys)}, {1 / (1 << 52)!r}))) * cos(2 * pi() * {_u(seed + 'b', *keys)}))"
 
 
-#: Pairs of a building's first four vertices, whether they are joined, and a made-up logit.
+#: All pairs of a building's vertices, whether they are joined, and a made-up logit.
 PAIRS = """
 pairs AS (
   SELECT a.id, a.vid AS i, c.vid AS j, CASE WHEN d.src IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y,
     ((a.id + 3 * a.vid + 5 * c.vid) % 9 - 4) / 2.0::DOUBLE AS logit, (a.id % 499 + 1)::INT AS t
-  FROM nodes a JOIN nodes c ON c.id = a.id LEFT JOIN directed d ON d.id = a.id AND d.src = a.vid AND d.dst = c.vid
-  WHERE a.vid < 4 AND c.vid < 4)
+  FROM nodes a JOIN nodes c ON c.id = a.id LEFT JOIN directed d ON d.id = a.id AND d.src = a.vid AND d.dst = c.vid)
 """
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.directed_edges(syn.rings(spark, sf_dir))
-    numbered = graph.nodes(edges).filter("node < 4")
+    numbered = graph.nodes(edges)
     near = graph.local_edges(edges, numbered).select(F.col("obj").alias("id"), F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("y"))
     a = numbered.select(F.col("obj").alias("id"), F.col("node").alias("i"))
     pairs = a.join(a.withColumnRenamed("i", "j"), "id").join(near, ["id", "i", "j"], "left").na.fill(0.0, ["y"])
@@ -178,9 +177,15 @@ def edge_step_absorbing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(_pairs(spark, sf_dir)).select("id", "i", "j", prev.alias("y_prev"))
 
 
-@query("edge_posterior_gaussian")
+#: The error function of z as a series of positive terms; the SQL engine has none.
+ERF = """CASE WHEN abs(z) > 6 THEN sign(z) WHEN z = 0 THEN 0 ELSE sign(z) * 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 160),
+  lambda n: exp(2 * n * ln(2.0::DOUBLE) + (2 * n + 1) * ln(abs(z)) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"""
+
+
+@query("edge_posterior_gaussian", syn.sql(f"""
+SELECT id, i, j, round(0.5 * (1 + {ERF}), 6) AS prob FROM (
+  SELECT id, i, j, sqrt(prev) * (2 / (1 + exp(-logit)) - 1) / (sqrt(greatest(1 - prev, 0)) + 0.00000001) / sqrt(2) AS z FROM pairs JOIN s USING (t))""", SCHEDULE, PAIRS, STEP))
 def edge_posterior_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Needs the error function: rows only."""
     prob = diffusion.edge_posterior(F.col("logit"), F.col("y"), F.col("alpha_bar"), F.col("alpha_prev"), "discretized_gaussian")
     return _scheduled(_pairs(spark, sf_dir)).select("id", "i", "j", F.round(prob, 6).alias("prob"))
 
@@ -188,14 +193,14 @@ def edge_posterior_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Scores of each building for two classes, from its size and position.
 CLASSES = """
 classes AS (
-  SELECT p_partkey AS id, (p_partkey % 500)::INT AS t, (p_size % 7 - 3) / 2.0::DOUBLE AS a, (p_partkey % 5 - 2) / 2.0::DOUBLE AS c, (p_partkey % 2)::INT AS target FROM part WHERE p_partkey % 500 > 0)
+  SELECT p_partkey AS id, (p_partkey % 499 + 1)::INT AS t, (p_size % 7 - 3) / 2.0::DOUBLE AS a, (p_partkey % 5 - 2) / 2.0::DOUBLE AS c, (p_partkey % 2)::INT AS target FROM part)
 """
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return syn.table(spark, sf_dir, "part").filter("p_partkey % 500 > 0").select(
-        k.alias("id"), (k % 500).cast("int").alias("t"), ((F.col("p_size") % 7 - 3) / 2.0).alias("a"), ((k % 5 - 2) / 2.0).alias("c"), (k % 2).cast("int").alias("target")
+    return syn.table(spark, sf_dir, "part").select(
+        k.alias("id"), (k % 499 + 1).cast("int").alias("t"), ((F.col("p_size") % 7 - 3) / 2.0).alias("a"), ((k % 5 - 2) / 2.0).alias("c"), (k % 2).cast("int").alias("target")
     )
 
 
@@ -218,14 +223,41 @@ def category_noise_absorbing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(_classes(spark, sf_dir)).select("id", noisy[0].alias("x0"), noisy[1].alias("x1"))
 
 
+@query("category_noise_gaussian", "WITH " + SCHEDULE + ", " + CLASSES + f"""
+SELECT id, (z0 >= z1)::INT::DOUBLE AS x0, (z1 > z0)::INT::DOUBLE AS x1 FROM (
+  SELECT id, sqrt(ab) * (target = 0)::INT + sqrt(1 - ab) * {_n("30", "id")} AS z0, sqrt(ab) * (target = 1)::INT + sqrt(1 - ab) * {_n("31", "id")} AS z1 FROM classes JOIN schedule USING (t))""")
+def category_noise_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = [(F.col("target") == k).cast("double") for k in (0, 1)]
+    noisy = diffusion.category_noise(x, F.col("alpha_bar"), "discretized_gaussian", 3, F.col("id"))
+    return _scheduled(_classes(spark, sf_dir)).select("id", noisy[0].alias("x0"), noisy[1].alias("x1"))
+
+
+def _category_posterior(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    x = [(F.col("target") == k).cast("double") for k in (0, 1)]
+    p = diffusion.category_posterior([F.col("a"), F.col("c")], x, F.col("alpha_bar"), F.col("alpha_prev"), kind)
+    return _scheduled(_classes(spark, sf_dir)).select("id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+
+
+#: Under the other kinds of noise the posterior is the prediction.
+PREDICTED = "WITH " + CLASSES + "SELECT id, round(exp(a) / (exp(a) + exp(c)), 6) AS p0, round(exp(c) / (exp(a) + exp(c)), 6) AS p1 FROM classes"
+
+
+@query("category_posterior_absorbing", PREDICTED)
+def category_posterior_absorbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _category_posterior(spark, sf_dir, "absorbing")
+
+
+@query("category_posterior_gaussian", PREDICTED)
+def category_posterior_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _category_posterior(spark, sf_dir, "discretized_gaussian")
+
+
 @query("category_posterior_uniform", "WITH " + SCHEDULE + ", " + CLASSES + ", " + STEP + """
 SELECT id, round(q0 / (q0 + q1 + 0.00000001), 6) AS p0, round(q1 / (q0 + q1 + 0.00000001), 6) AS p1 FROM (
   SELECT id, (ab / prev * (1 - target) + (1 - ab / prev) / 2) * exp(a) / (exp(a) + exp(c)) AS q0,
     (ab / prev * target + (1 - ab / prev) / 2) * exp(c) / (exp(a) + exp(c)) AS q1 FROM classes JOIN s USING (t))""")
 def category_posterior_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = [(F.col("target") == k).cast("double") for k in (0, 1)]
-    p = diffusion.category_posterior([F.col("a"), F.col("c")], x, F.col("alpha_bar"), F.col("alpha_prev"))
-    return _scheduled(_classes(spark, sf_dir)).select("id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+    return _category_posterior(spark, sf_dir, "uniform")
 
 
 @query("masked_mse", syn.sql("""
@@ -236,9 +268,48 @@ def masked_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.agg(F.round(diffusion.coordinate_loss(square, (F.col("node") < 6).cast("double")), 6).alias("loss"))
 
 
-@query("edge_bce", syn.sql("SELECT round(avg(greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit)))), 6) AS loss FROM pairs", PAIRS))
+#: The pairs of graphs padded to the largest: virtual nodes have no edges.
+PADDED = """
+size AS (SELECT max(node) + 1 AS n_max FROM nodes),
+place AS (SELECT id, unnest(range(0, n_max)) AS k FROM (SELECT DISTINCT id FROM nodes), size),
+padded AS (
+  SELECT a.id, a.k AS i, c.k AS j, CASE WHEN d.src IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, ((a.id + 3 * a.k + 5 * c.k) % 9 - 4) / 2.0::DOUBLE AS logit
+  FROM place a JOIN place c ON c.id = a.id LEFT JOIN directed d ON d.id = a.id AND d.src = a.k AND d.dst = c.k)
+"""
+
+
+def _padded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.directed_edges(syn.rings(spark, sf_dir))
+    numbered = graph.nodes(edges)
+    n_max = graph.check_n_max(graph.sizes(numbered).agg(F.max("n_nodes")).first()[0], None)
+    near = graph.dense_adjacency(numbered, graph.local_edges(edges, numbered), n_max)
+    flat = near.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode("adjacent").alias("j", "e"))
+    return flat.select("id", "i", "j", F.col("e").cast("double").alias("y"), (((F.col("id") + 3 * F.col("i") + 5 * F.col("j")) % 9 - 4) / 2.0).alias("logit"))
+
+
+@query("edge_bce", syn.sql("SELECT round(avg(greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit)))), 6) AS loss FROM padded", PADDED))
 def edge_bce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).agg(F.round(diffusion.edge_loss(F.col("logit"), F.col("y")), 6).alias("loss"))
+    """Over all pairs of padded graphs, virtual nodes included."""
+    return _padded_pairs(spark, sf_dir).agg(F.round(diffusion.edge_loss(F.col("logit"), F.col("y")), 6).alias("loss"))
+
+
+@query("validation_step", syn.sql(f"""
+SELECT round(sum({" + ".join(f"pow(ab * {c} + sqrt(1 - ab) * (e{c} - m{c}) - {c}, 2)" for c in "xyz")}) / (3 * count(*) + 0.000001), 5) AS val_coord_mse,
+  round(avg((((id + node) % 5 = 0)::INT = 0)::INT), 6) AS val_node_acc FROM (
+  SELECT *, {", ".join(f"sum(e{c}) OVER (PARTITION BY id) / (count(*) OVER (PARTITION BY id) + 0.000001) AS m{c}" for c in "xyz")} FROM (
+    SELECT n.id, n.node, v.x, v.y, v.z, s.ab, {", ".join(f"{_n('6' + c, 'n.id', 'n.node')} AS e{c}" for c in "xyz")}
+    FROM nodes n JOIN vertices v ON v.id = n.id AND v.vid = n.vid JOIN schedule s ON s.t = {T // 2}))""", SCHEDULE))
+def validation_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise at half the steps; the noisy coordinates and a made-up class stand for the prediction."""
+    nodes = graph.nodes(graph.directed_edges(syn.rings(spark, sf_dir))).join(syn.vertices(spark, sf_dir), ["file", "vid"])
+    rows = nodes.select(F.col("obj").alias("id"), "node", "x", "y", "z", F.lit(1.0).alias("mask"), F.lit(diffusion.validation_time(T)).alias("t"))
+    noisy = diffusion.coordinate_noise(_scheduled(rows), F.col("alpha_bar"), 6, ["id"])
+    square = sum(((F.col(f"{c}t") - F.col(c)) ** 2 for c in "yz"), (F.col("xt") - F.col("x")) ** 2)
+    wrong = ((F.col("id") + F.col("node")) % 5 == 0).cast("double")
+    return noisy.agg(
+        F.round(diffusion.coordinate_loss(square, F.col("mask")), 5).alias("val_coord_mse"),
+        F.round(diffusion.accuracy([1 - wrong, wrong], F.lit(0)), 6).alias("val_node_acc"),
+    )
 
 
 @query("node_cross_entropy", "WITH " + CLASSES + """
@@ -274,10 +345,10 @@ def message_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("center_of_mass", syn.sql("""
-SELECT id, vid, x - avg(x) OVER (PARTITION BY id) AS x, y - avg(y) OVER (PARTITION BY id) AS y, z - avg(z) OVER (PARTITION BY id) AS z FROM vertices WHERE id % 3 <> 0"""))
+SELECT id, vid, round(x - avg(x) OVER (PARTITION BY id), 6) + 0 AS x, round(y - avg(y) OVER (PARTITION BY id), 6) + 0 AS y, round(z - avg(z) OVER (PARTITION BY id), 6) + 0 AS z FROM vertices"""))
 def center_of_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = syn.vertices(spark, sf_dir).filter("file % 3 <> 0").select(F.col("file").alias("id"), "vid", "x", "y", "z")
-    return diffusion.centered(nodes, ["id"], ["x", "y", "z"])
+    nodes = syn.vertices(spark, sf_dir).select(F.col("file").alias("id"), "vid", "x", "y", "z")
+    return diffusion.centered(nodes, ["id"], ["x", "y", "z"]).select("id", "vid", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
 @query("embedding_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
@@ -304,8 +375,13 @@ def reconstruct_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.document(found, F.concat(F.lit("building_"), F.col("id").cast("string"))).select("id", "json")
 
 
+#: Weights of a small untrained network under which some nodes are active and some pairs pass the threshold.
+GENERATED = {"weights": {"hidden": 16, "layers": 2, "seed": 5}, "count": 10, "n": 8, "threshold": 0.2, "steps": 20, "seed": 0}
+
+
 @query("generate_buildings")
 def generate_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten graphs sampled with untrained weights, and what closes a face."""
-    weights = network.random_weights(hidden=16, layers=2)
-    return network.generate(spark, weights, 10, 8, steps=20).select("id", F.size("vertices").alias("n_vertices"), F.size("boundaries").alias("n_faces"))
+    weights = network.random_weights(**GENERATED["weights"])
+    found = network.generate(spark, weights, GENERATED["count"], GENERATED["n"], GENERATED["threshold"], steps=GENERATED["steps"], seed=GENERATED["seed"])
+    return found.select("id", F.size("vertices").alias("n_vertices"), F.size("boundaries").alias("n_faces"))

@@ -32,18 +32,28 @@ def lod_folder(dataset: str | Path, lod: int) -> Path:
     raise FileNotFoundError(f"no folder for LOD {lod} under {Path(dataset).name}")
 
 
-def find_dataset(name: str, roots: list[Path] | None = None) -> Path:
-    """The dataset's folder under the first data folder that exists, whatever its case."""
-    for root in roots or [Path.cwd() / "data", Path.cwd().parent / "data"]:
+def data_folder(roots: list[Path] | None = None) -> Path:
+    """The first data folder that exists: beside the package, below the working folder, or beside it."""
+    for root in roots or [Path(__file__).resolve().parents[2] / "data", Path.cwd() / "data", Path.cwd().parent / "data"]:
         if root.is_dir():
-            for d in sorted(root.iterdir()):
-                if d.is_dir() and d.name.lower() == name.lower():
-                    return d
-            have = ", ".join(sorted(d.name for d in root.iterdir() if d.is_dir())) or "none"
-            raise FileNotFoundError(f"no dataset {name!r} in {root}; there are: {have}")
+            return root
     raise FileNotFoundError("no data folder")
 
 
+def datasets(root: Path) -> list[str]:
+    """Names of the datasets in a data folder."""
+    return sorted(d.name for d in root.iterdir() if d.is_dir())
+
+
+def find_dataset(name: str, roots: list[Path] | None = None) -> Path:
+    """The dataset's folder under the first data folder that exists, whatever its case."""
+    root = data_folder(roots)
+    for have in datasets(root):
+        if have.lower() == name.lower():
+            return root / have
+    raise FileNotFoundError(f"no dataset {name!r} in {root}; there are: {', '.join(datasets(root)) or 'none'}")
+
+
 def simple_folder(detailed: Path) -> Path:
     """Where blocks of a detailed folder go: LOD1 beside an upper-case name, else lod1."""
     return detailed.parent / ("LOD1" if detailed.name.isupper() else "lod1")

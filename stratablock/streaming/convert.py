@@ -32,10 +32,10 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, folder: str | Path, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the block faces of new documents to a Parquet table."""
+    """Add the block faces of new documents to a Parquet table, one partition ``batch`` each time: a repeated batch replaces itself."""
 
     def batch(raw: DataFrame, number: int) -> None:
-        blocks(cityjson.parse(raw)).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+        blocks(cityjson.parse(raw)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = arriving(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -39,7 +39,8 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    """These have a plain version in test_reconstruction_queries.py."""
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
