@@ -12,7 +12,7 @@ by a separator of its own, so no match runs across.
 
 The phrases are the only data sent to every task. They are sent in blocks of at most
 ``BLOCK_BYTES`` of benchmark text; a larger benchmark takes more passes over
-the documents, in one plan and without a shuffle.
+the documents, one after another and without a shuffle.
 
 Defined cases: null texts have no words; items without words have no phrase;
 an item with a null id marks words but is not listed; an id that stands on
@@ -27,33 +27,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import store, text
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
 SAMPLE = 8
+#: Bytes of the documents of a shard.
+SHARD_BYTES = 2_000_000
 
 
 class Phrases:
-    """Windows of the items of a benchmark block, as symbols of its own vocabulary."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW):
-        words = []
-        for _, body in items:
-            raw = np.frombuffer((body or "").encode("utf-8", "surrogatepass"), np.uint8)
-            w = text.Words(text.LOWER[raw], np.array([0, len(raw)]), text.ALNUM)
-            words.append(w.hashes())
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-        owners: dict[tuple, set] = {}
-        for (item, _), h in zip(items, words, strict=True):
-            ids = (np.searchsorted(self.vocabulary, h) + 1).tolist()
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        by: dict[int, list[tuple]] = {}
-        for p in owners:
-            by.setdefault(len(p), []).append(p)
-        self.groups = [(n, np.array(ps, np.int64), [sorted(x for x in owners[p] if x is not None) for p in ps]) for n, ps in sorted(by.items())]
+    """Windows of the items of a benchmark block, as symbols of its own vocabulary.
+
+    ``groups``: of each length, all different phrases as rows of symbols, and the
+    items that have each one as a run of places in ``ids``. All are arrays: a
+    block of 2 MB of text takes some 30 MB.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
+        self.ids = sorted({k for k, _ in items if k is not None})
+        place = {k: n for n, k in enumerate(self.ids)}
+        whose = np.array([place.get(k, -1) for k, _ in items], np.int64)
+        buf, offsets = text.buffers(pa.array([t for _, t in items], pa.string()))
+        words = text.Words(text.LOWER[buf], offsets, text.ALNUM)
+        self.vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
+        symbols = (symbols + 1).astype(np.int32)
+        item = words.docs()
+        size = words.counts[item]
+        first = np.arange(len(symbols)) - words.bounds[item]
+        self.groups = []
+        for n in np.unique(np.minimum(words.counts[words.counts > 0], window)).tolist():
+            # all windows of longer items, or the whole of those of this length
+            at = np.flatnonzero((size == n) & (first == 0) if n < window else first + n <= size)
+            rows = np.ascontiguousarray(symbols[at[:, None] + np.arange(n)])
+            _, one, which = np.unique(rows.view(np.dtype((np.void, rows.itemsize * n))).ravel(), return_index=True, return_inverse=True)
+            pair = np.unique(np.stack([which, whose[item[at]]]), axis=1)
+            pair = pair[:, pair[1] >= 0]
+            bounds = np.searchsorted(pair[0], np.arange(len(one) + 1))
+            self.groups.append((n, rows[one].astype(np.int64), bounds, pair[1].astype(np.int32)))
         self.shortest = self.groups[0][0] if self.groups else 0
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
@@ -161,8 +175,8 @@ class FMIndex:
         return self.position[self.index[at]] + walked
 
 
-def occurrences(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, list]]:
-    """Of each length: first words of the occurrences, the length, the phrase of each, and phrases' items."""
+def occurrences(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length: first words of the occurrences, the length, the phrase of each, and phrases' items as runs."""
     if not phrases.groups or not len(symbols):
         return
     inside = symbols > 0
@@ -184,13 +198,13 @@ def occurrences(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> It
     joined = symbols[np.minimum(place, len(symbols) - 1)].astype(np.int64)
     joined[ends - 1] = 0
     index = FMIndex(joined, len(phrases.vocabulary))
-    for n, patterns, owners in phrases.groups:
+    for n, patterns, runs, owners in phrases.groups:
         lo, hi = index.search(patterns)
         count = hi - lo
         which = np.repeat(np.arange(len(patterns)), count)
         if len(which):
             rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-            yield place[index.locate(rows)], n, which, owners
+            yield place[index.locate(rows)], n, which, runs, owners
 
 
 def _runs(hit: np.ndarray) -> np.ndarray:
@@ -199,12 +213,13 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(step > 0), np.flatnonzero(step < 0)], 1)
 
 
-ADDED = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, item_ids array<bigint>, clean_text string"
+ADDED = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, item_ids array<{}>, clean_text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _NAMES = ["n_words", "n_hit", "spans", "item_ids", "clean_text"]
 
 
-def _search(docs: DataFrame, shared, with_text: bool) -> DataFrame:
+def _search(docs: DataFrame, shared, kind: T.DataType, with_text: bool) -> DataFrame:
+    item = to_arrow_type(kind)
     rest = [f for f in docs.schema.fields if f.name not in _NAMES]
     again = "spans" in docs.columns
 
@@ -220,19 +235,21 @@ def _search(docs: DataFrame, shared, with_text: bool) -> DataFrame:
             if again:
                 old = column("spans").to_pylist()
                 items = [set(x) for x in column("item_ids").to_pylist()]
-            for i, j, buf, off in text.slices(*text.buffers(column("text"))):
+            for i, j, buf, off in text.slices(*text.buffers(column("text")), SHARD_BYTES):
                 words = text.Words(text.LOWER[buf], off, text.ALNUM)
                 n_words[i:j] = words.counts
                 hit = np.zeros(len(words.starts) + 1, np.int64)
                 if len(words.starts) and len(phrases.vocabulary):
                     symbols = phrases.symbols(words.hashes())
-                    for first, size, which, owners in occurrences(phrases, symbols, words.bounds):
+                    for first, size, which, runs, owners in occurrences(phrases, symbols, words.bounds):
                         np.add.at(hit, first, 1)
                         np.add.at(hit, first + size, -1)
                         doc = np.searchsorted(words.bounds, first, "right") - 1
-                        pair = np.unique(np.stack([doc, which]), axis=1)
-                        for d, p in pair.T.tolist():
-                            items[i + d].update(owners[p])
+                        doc, which = np.unique(np.stack([doc, which]), axis=1)
+                        n_own = runs[which + 1] - runs[which]
+                        each = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own - runs[which], n_own)
+                        for d, o in np.unique(np.stack([np.repeat(doc, n_own), owners[each]]), axis=1).T.tolist():
+                            items[i + d].add(phrases.ids[o])
                 if again:
                     for d in range(i, j):
                         for s in old[d]:
@@ -254,28 +271,34 @@ def _search(docs: DataFrame, shared, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *(column(f.name) for f in rest),
-                    pa.array(n_words), pa.array(n_hit), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(clean, pa.string()),
+                    pa.array(n_words), pa.array(n_hit), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(item)), pa.array(clean, pa.string()),
                 ],
                 names=[*(f.name for f in rest), *_NAMES],
             )
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return docs.mapInArrow(run, fields + ADDED)
+    return docs.mapInArrow(run, fields + ADDED.format(kind.simpleString()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, spans (words of merged occurrences), item_ids, and clean_text without the spans.
 
-    ``benchmark`` has item_id and text.
+    ``benchmark`` has item_id, of any type that sorts, and text. A benchmark of
+    several blocks takes one pass over the documents after another, each written
+    as a table, so that one block at a time is held.
     """
     spark = docs.sparkSession
     store.bound_batches(spark)
+    kind = benchmark.schema["item_id"].dataType
     items = benchmark.select("item_id", "text").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes) if size > block_bytes else 1)
     out = store.without(docs, *_NAMES)
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        phrases = Phrases([(r["item_id"], r["text"]) for r in block.collect()], window)
-        out = _search(out, spark.sparkContext.broadcast(phrases), with_text)
+        shared = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in block.collect()], window))
+        out = _search(out, shared, kind, with_text)
+        if k + 1 < blocks:
+            out = store.cut(out, "decontaminated")
+            shared.destroy()
     return out

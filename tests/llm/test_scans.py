@@ -46,6 +46,13 @@ def test_decontamination_equals_brute_force(spark, block):
             assert low(x.clean_text) == [w for w, h in zip(low(r[1]), hit, strict=True) if not h]
 
 
+def test_items_of_any_type(spark):
+    items = [("b", " ".join(words(1, 70)[5:40])), ("a", " ".join(words(1, 70)[5:40])), (None, "two"), ("c", "one two")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = by_id(fmindex.decontaminate(frame(spark), bench))
+    assert list(got[8][0].item_ids) == ["a", "b"] and list(got[6][0].item_ids) == ["c"] and got[6][0].n_hit == 2
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(x.n_hit == 0 for v in by_id(fmindex.decontaminate(frame(spark), none)).values() for x in v)
