@@ -14,22 +14,25 @@ connected components of links.
    a node belongs to the blocks of its leaders. It leaves those through which
    it shares least, up to half of what a partner must share with it: of two
    sets that link, both leave out less than they share, so they still meet.
-3. Every node first goes to the one block whose leader it shares most with,
-   dealt out in chunks of at most ``CHUNK`` nodes with their leader. A chunk's
-   sets are stored in a trie; each set traverses it with the overlap so far,
-   shared by all sets below a branch, and leaves a branch when what remains of
-   both sides cannot reach the threshold. Sets already known to be of one
-   class need no further link.
-4. Then all blocks that still hold several classes are joined in full: their
-   nodes meet in pairs of parts; two parts of one class do not.
-5. Links are contracted to components in tables (``components``).
-
-Nothing is capped: the order and the bitmap only decide how much is sent.
+3. A block's nodes are dealt into parts of at most ``CHUNK`` nodes or
+   ``PART_BYTES``; every two parts meet in one task. The sets of one are stored
+   in a trie; each set of the other traverses it with the overlap so far, shared
+   by all sets below a branch, and leaves a branch when what remains of both
+   sides cannot reach the threshold. Two nodes that share several blocks count in
+   the one of their smallest common leader.
+4. What leaves a task is a number of links for each node, and links enough to
+   connect its classes: never a row for each pair. Links are contracted to
+   components in tables (``components``). A node's links count with the number
+   of copies of the other's text, and its own copies are links of each other.
+
+Nothing is capped: the order and the bitmap only decide how much is sent. To
+count the links of m near copies takes m * m / 2 comparisons, spread over
+(m / ``CHUNK``) ** 2 / 2 tasks.
 
 Defined cases: null and empty texts have no set, no link, and their own id as
 class; a text with fewer words than ``n`` has one n-gram, all its words; a row
-with a null id takes part and gets the class of its group; equal rows have
-equal results.
+with a null id takes part, counts as a link, and gets the class of its group;
+equal rows have equal results, and each counts as a link of the others.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ WORDS = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
 CHUNK = 512
+PART_BYTES = 4_000_000
 #: Partners must share one n-gram in so many among the rarest.
 SHARE = 10
 #: Bits of the bitmap of nodes whose sets are needed (8 MB).
@@ -170,22 +174,20 @@ def _blocks(tokens: DataFrame, threshold: int) -> DataFrame:
 
 
 class PrefixTree:
-    """A trie of ascending sets. Edges hold runs of members; a branch knows the sizes and the class of the sets below."""
+    """A trie of ascending sets. Edges hold runs of members; a branch knows the sizes of the sets below."""
 
-    __slots__ = ("run", "kids", "ends", "least", "most", "one")
+    __slots__ = ("run", "kids", "ends", "least", "most")
 
     def __init__(self, run: np.ndarray):
         self.run = run
         self.kids: dict[int, PrefixTree] = {}
         self.ends: list[int] = []
         self.least, self.most = 1 << 60, 0
-        self.one = -1  # a set below, if all below were of its class when last seen; else -2
 
-    def add(self, members: np.ndarray, number: int, classes: "Classes") -> None:
+    def add(self, members: np.ndarray, number: int) -> None:
         at, here, size = 0, self, len(members)
         while True:
             here.least, here.most = min(here.least, size), max(here.most, size)
-            here.one = number if here.one == -1 or here.one >= 0 and classes.find(here.one) == classes.find(number) else -2
             if at == size:
                 here.ends.append(number)
                 return
@@ -193,7 +195,6 @@ class PrefixTree:
             if nxt is None:
                 leaf = PrefixTree(members[at:])
                 leaf.least = leaf.most = size
-                leaf.one = number
                 leaf.ends.append(number)
                 here.kids[int(members[at])] = leaf
                 return
@@ -202,22 +203,19 @@ class PrefixTree:
             same = int(differ[0]) if len(differ) else m
             if same < len(nxt.run):  # part the edge
                 upper = PrefixTree(nxt.run[:same])
-                upper.least, upper.most, upper.one = nxt.least, nxt.most, nxt.one
+                upper.least, upper.most = nxt.least, nxt.most
                 nxt.run = nxt.run[same:]
                 upper.kids[int(nxt.run[0])] = nxt
                 here.kids[int(members[at])] = upper
                 nxt = upper
             here, at = nxt, at + same
 
-    def links(self, query: np.ndarray, number: int, threshold: int, classes: "Classes") -> Iterator[int]:
-        """Sets that link to ``query``, one at least of every class that has any; classes grow meanwhile."""
+    def links(self, query: np.ndarray, threshold: int) -> Iterator[int]:
+        """All sets that link to ``query``."""
         n = len(query)
         stack = [(kid, 0, 0, 0) for kid in self.kids.values()]
         while stack:
             branch, depth, at, overlap = stack.pop()
-            mine = classes.find(number)
-            if branch.one >= 0 and classes.find(branch.one) == mine:
-                continue
             if not _can(overlap, n - at, depth, branch, n, threshold):
                 continue
             run = branch.run
@@ -229,14 +227,9 @@ class PrefixTree:
             at += int(place[-1]) + int(place[-1] < len(rest) and rest[place[-1]] == run[-1])
             depth += len(run)
             if branch.ends and overlap * (100 + threshold) >= threshold * (n + depth):
-                for y in branch.ends:
-                    if classes.find(y) != classes.find(number):
-                        yield y
+                yield from branch.ends
             if branch.kids and _can(overlap, n - at, depth, branch, n, threshold):
-                likely = branch.kids.get(int(query[at])) if at < n else None
-                stack.extend((kid, depth, at, overlap) for kid in branch.kids.values() if kid is not likely)
-                if likely is not None:
-                    stack.append((likely, depth, at, overlap))  # taken next
+                stack.extend((kid, depth, at, overlap) for kid in branch.kids.values())
 
 
 def _can(overlap: int, left: int, depth: int, branch: PrefixTree, n: int, threshold: int) -> bool:
@@ -264,94 +257,93 @@ class Classes:
             self.up[max(a, b)] = min(a, b)
 
 
-def join_sets(members: list[np.ndarray], threshold: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets of a class; ``known`` classes need none within."""
-    classes = Classes(len(members))
-    first: dict[int, int] = {}
-    for k, c in enumerate(known or ()):
-        classes.join(k, first.setdefault(c, k))
-    tree, out = PrefixTree(members[0][:0]), []
-    for k in sorted(range(len(members)), key=lambda k: len(members[k])):
-        for y in tree.links(members[k], k, threshold, classes):
-            if classes.find(y) != classes.find(k):
-                classes.join(y, k)
-                out.append((k, y))
-        tree.add(members[k], k, classes)
-    return out
+def join_sets(members: list[np.ndarray], threshold: int, others: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """All links (k, y) of ``others`` to ``members``, or among ``members``."""
+    tree = PrefixTree(np.zeros(0, np.uint64))
+    if others is None:
+        for k in sorted(range(len(members)), key=lambda k: len(members[k])):
+            for y in tree.links(members[k], threshold):
+                yield k, y
+            tree.add(members[k], k)
+        return
+    for y, m in enumerate(members):
+        tree.add(m, y)
+    for k, query in enumerate(others):
+        for y in tree.links(query, threshold):
+            yield k, y
+
+
+_GROUP = ["leader", "lo", "hi"]
 
 
-def _join_groups(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Links (a, b) among the nodes of each group. ``rows``: keys, node, root, body."""
-    width = len(keys)
+def _join_groups(rows: DataFrame, threshold: int) -> DataFrame:
+    """For each two parts of a block that meet (``_GROUP``; rows: part, node, copies, smaller, body): a, n, the
+    copies of the nodes that link to node a; and a, b, links that connect the classes found here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, roots, bodies = None, [], [], []
+        at, held = None, []
 
         def solve() -> pa.RecordBatch:
-            found = join_sets([np.frombuffer(b, np.uint64) for b in bodies], threshold, roots) if len(nodes) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+            two = at[1] != at[2]
+            left = [r for r in held if not two or r[0] == at[1]]
+            right = [r for r in held if two and r[0] == at[2]]
+            ours, theirs = (left, right) if two else (left, left)
+            sets_ = [[np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right)]
+            smaller = [[frozenset(r[3]) for r in side] for side in (ours, theirs)]
+            count: dict[int, int] = {}
+            classes, place, links = Classes(len(held)), {r[1]: k for k, r in enumerate(held)}, []
+            for k, y in join_sets(sets_[0], threshold, sets_[1] if two else None):
+                a, b = theirs[k], ours[y]
+                if not smaller[1][k].isdisjoint(smaller[0][y]):
+                    continue  # they count in a block of a smaller leader
+                count[a[1]] = count.get(a[1], 0) + b[2]
+                count[b[1]] = count.get(b[1], 0) + a[2]
+                if classes.find(place[a[1]]) != classes.find(place[b[1]]):
+                    classes.join(place[a[1]], place[b[1]])
+                    links.append((a[1], b[1]))
+            none, some = [None] * len(count), [None] * len(links)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*count, *(a for a, _ in links)], pa.int64()), pa.array([*none, *(b for _, b in links)], pa.int64()), pa.array([*count.values(), *some], pa.int64())],
+                names=["a", "b", "n"],
+            )
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(width + 3)]
-            for row in zip(*columns, strict=True):
-                if row[:width] != at:
-                    if nodes:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for leader, lo, hi, *row in zip(*columns, strict=True):
+                if (leader, lo, hi) != at:
+                    if len(held) > 1:
                         yield solve()
-                    at, nodes, roots, bodies = row[:width], [], [], []
-                if nodes and nodes[-1] == row[width]:
-                    continue
-                nodes.append(row[width])
-                roots.append(row[width + 1])
-                bodies.append(row[width + 2])
-        if nodes:
+                    at, held = (leader, lo, hi), []
+                held.append(row)
+        if len(held) > 1:
             yield solve()
 
     return (
-        rows.repartition(store.partitions(rows.sparkSession), *keys)
-        .sortWithinPartitions(*keys, "node")
-        .select(*keys, "node", "root", "body")
-        .mapInArrow(run, "a long, b long")
+        rows.repartition(store.partitions(rows.sparkSession), *_GROUP)
+        .sortWithinPartitions(*_GROUP)
+        .select(*_GROUP, "part", "node", "copies", "smaller", "body")
+        .mapInArrow(run, "a long, b long, n long")
     )
 
 
-def _across_classes(blocks: DataFrame, roots: DataFrame, bodies: DataFrame, chunk: int, threshold: int) -> DataFrame:
-    """Links among nodes that share a block and are not yet of one class.
-
-    Blocks of one class are done. In the others, a large class is dealt into
-    parts of its own and small classes share parts; every two parts of a block
-    meet, except two of one class.
-    """
-    members = blocks.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
-    members = store.cut(members, "members")
-    several = members.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("leader")
-    members = members.join(several, "leader", "left_semi")
-    sizes = members.groupBy("leader", "root").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") * 2 <= chunk).groupBy("leader").agg(F.ceil(F.sum("n") / chunk).alias("small_parts"))
-    sizes = sizes.join(small, "leader", "left")
-    pure = F.col("n") * 2 > chunk
-    parts = members.join(sizes, ["leader", "root"]).select(
-        "leader", "node", "root",
-        F.when(pure, F.xxhash64("root")).otherwise(F.lit(0)).alias("own"),
-        F.when(pure, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk))).otherwise(F.pmod(F.xxhash64("root"), F.col("small_parts"))).alias("part"),
-    )
-    parts = store.cut(parts, "parts")
-    each = parts.select("leader", "own", "part").distinct()
-    other = each.select("leader", F.col("own").alias("own2"), F.col("part").alias("part2"))
-    ordered = (F.col("own") < F.col("own2")) | ((F.col("own") == F.col("own2")) & (F.col("part") <= F.col("part2")))
-    meet = (F.col("own") != F.col("own2")) | (F.col("own") == 0)
-    # a part of small classes meets itself only where no other pair covers it
-    alone = (F.col("own") == F.col("own2")) & (F.col("part") == F.col("part2"))
-    count = each.groupBy("leader").agg(F.count("*").alias("parts"))
-    pairs = each.join(other, "leader").filter(ordered & meet).join(count, "leader").filter(~alone | (F.col("parts") == 1)).drop("parts")
-    keys = ["leader", "own", "part", "own2", "part2"]
-    left = pairs.join(parts, ["leader", "own", "part"]).select(*keys, "node", "root")
-    right = pairs.join(parts.withColumnsRenamed({"own": "own2", "part": "part2"}), ["leader", "own2", "part2"]).select(*keys, "node", "root")
-    rows = left.unionByName(right).distinct().join(bodies, "node")
-    return _join_groups(rows, keys, threshold)
+def _groups(blocks: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
+    """leader, lo, hi, part, node, copies, smaller: each node of a block in every two parts of it that its own is one of."""
+    told = blocks.select("leader", "node").join(nodes.select("node", "copies", F.col("n_shingles").alias("size")), "node")
+    own = blocks.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") * 8 / PART_BYTES))
+    sizes = told.groupBy("leader").agg(parts.alias("parts"), F.count("*").alias("all")).filter("all > 1").drop("all")
+    dealt = told.join(own, "node").join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    smaller = F.filter("leaders", lambda x: x < F.col("leader"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    each = dealt.select("leader", "part", "node", "copies", smaller.alias("smaller"), other)
+    return each.select("leader", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "copies", "smaller")
 
 
 def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs`` (doc_id, text).
+
+    n_links: how many other rows the row's text links with, equal texts included.
+    """
     spark = docs.sparkSession
     store.bound_batches(spark)
 
@@ -370,24 +362,23 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     bodies = store.cut(sent.groupBy("node").agg(F.first("body").alias("body")), "bodies")
     bitmap.destroy()
     wanted.destroy()
-    # first each node with the leader it shares most with; most classes are found there
-    nearest = blocks.groupBy("node").agg(F.max_by("leader", F.struct("tokens", "leader")).alias("leader"))
-    first = nearest.unionByName(nearest.select(F.col("leader").alias("node"), "leader")).distinct()
-    sizes = first.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    places = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
-    dealt = first.join(sizes, "leader").select("leader", "node", F.explode(places).alias("part"))
-    near = dealt.join(bodies, "node").withColumn("root", F.col("node"))
-    links = store.cut(_join_groups(near, ["leader", "part"], threshold), "found")
-    known = components(links, "a", "b")
-    more = _across_classes(blocks.select("leader", "node"), known, bodies, chunk, threshold)
-    found = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = components(found, "a", "b")
     own = rows.select("doc_id", "n_shingles", "node")
-    named = own.filter("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
-    named = store.cut(named, "classes")
-    least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    nodes = store.cut(nodes, "nodes")
+    found = store.cut(_join_groups(_groups(blocks, nodes, chunk).join(bodies, "node"), threshold), "found")
+    roots = components(found.filter("b is not null"), "a", "b")
+    members = store.cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
+    least = store.cut(members.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    counts = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    # tables of nodes, each read by a join of its own, which Spark may split where a class or a text is hot
+    classed = store.cut(members.join(least, "root").select("node", "component_id"), "classed")
+    told = nodes.join(classed, "node", "left").join(counts, "node", "left").select(
+        "node", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    told = store.cut(told, "told")
     return (
-        named.join(least, "class")
-        .select("doc_id", "n_shingles", "component_id")
-        .unionByName(own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        own.filter("node is not null")
+        .join(told, "node")
+        .select("doc_id", "n_shingles", "component_id", "n_links")
+        .unionByName(own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
     )

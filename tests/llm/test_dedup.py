@@ -86,8 +86,10 @@ def shingles(body):
 
 
 def brute_classes(rows):
+    """Of each row: its set's size, the smallest id of its class, and how many other rows it links with."""
     sets = [shingles(r[1]) for r in rows]
     up = list(range(len(rows)))
+    links = [0] * len(rows)
 
     def find(x):
         while up[x] != x:
@@ -99,11 +101,13 @@ def brute_classes(rows):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), 1 << 60), r[0])
-    return [(len(s), least.get(find(i))) for i, s in enumerate(sets)]
+    return [(len(s), least.get(find(i)), n) for i, (s, n) in enumerate(zip(sets, links, strict=True))]
 
 
 def near_copies():
@@ -126,7 +130,7 @@ def test_jaccard_classes_equal_brute_force(spark, chunk):
     got = by_id(jaccard.classes(frame(spark, rows), chunk=chunk))
     for r, want in zip(rows, brute_classes(rows), strict=True):
         for x in got[r[0]]:
-            assert (x.n_shingles, x.component_id) == want, r[0]
+            assert (x.n_shingles, x.component_id, x.n_links) == want, r[0]
 
 
 def test_similarity_exactly_at_the_threshold(spark):
@@ -139,29 +143,16 @@ def test_similarity_exactly_at_the_threshold(spark):
     assert by_id(jaccard.classes(frame(spark, rows)))[2][0].component_id == 2  # 5 shared of 7
 
 
-def test_trie_finds_every_class():
+def test_trie_finds_every_link():
     rng = np.random.default_rng(3)
     base = np.sort(rng.choice(10_000, 80, replace=False)).astype(np.uint64)
     members = []
     for _ in range(60):
         keep = rng.random(80) > rng.random() * 0.3
         members.append(np.unique(np.concatenate([base[keep], rng.choice(10_000, 8).astype(np.uint64)])))
-    up = list(range(60))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in range(60):
-        for j in range(i):
-            both = len(np.intersect1d(members[i], members[j]))
-            if 100 * both >= 75 * (len(members[i]) + len(members[j]) - both):
-                up[find(i)] = find(j)
-    links = jaccard.join_sets(members, 75)
-    mine = jaccard.Classes(60)
-    for a, b in links:
-        both = len(np.intersect1d(members[a], members[b]))
-        assert 100 * both >= 75 * (len(members[a]) + len(members[b]) - both)
-        mine.join(a, b)
-    assert len({find(i) for i in range(60)}) == len({mine.find(i) for i in range(60)})
+    linked = lambda a, b: 100 * (n := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - n)
+    want = {(i, j) for i in range(60) for j in range(i) if linked(members[i], members[j])}
+    found = [(max(p), min(p)) for p in jaccard.join_sets(members, 75)]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+    across = set(jaccard.join_sets(members[:25], 75, members[25:]))
+    assert across == {(i - 25, j) for i, j in want if i >= 25 > j}

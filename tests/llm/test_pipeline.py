@@ -61,7 +61,7 @@ def test_stages_equal_plain_versions(spark, folder):
     second = plain(by_name["n-gram jaccard join"](spark, kept, folder))
     order = sorted(first)
     classes = brute_classes([(k, first[k]) for k in order])
-    assert second == {k: first[k] for k, (_, c) in zip(order, classes, strict=True) if c == k}
+    assert second == {k: first[k] for k, (_, c, _) in zip(order, classes, strict=True) if c == k}
 
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in second.items()], docs.schema)
     third = by_name["substring dedup"](spark, docs, folder)
