@@ -31,6 +31,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,10 @@ _STRIDE = 1 << 23
 
 @dataclass(frozen=True)
 class Scheme:
-    """Window and anchor length in units; how a slice's units are found; the engine of a shard."""
+    """Window and anchor length in units; how a slice's units are found; the engine of a shard.
+
+    ``alone``: whether contents that are alone with their anchor go to the engine too.
+    """
 
     window: int
     gram: int
@@ -59,6 +63,7 @@ class Scheme:
     engine: Callable[[list[tuple[int, bytes]], int], list[np.ndarray]]
     shard_bytes: int
     hot: int = 2000
+    alone: bool = False
 
 
 @dataclass
@@ -211,7 +216,8 @@ def _repeats(batch: pa.RecordBatch, scheme: Scheme, maps: Bitmaps) -> tuple[np.n
     fine = batch.column(batch.schema.get_field_index("__fine")).to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, bool)
     may = fine | (seen.repeated(maps.anchors[0], found["key"], maps.bits) & ~_busy(found, maps))
     found, doc, fine = found[may], doc[may], fine[may]
-    return found, doc, fine, ~fine & ~seen.repeated(maps.anchors[1], found["key"], maps.bits)
+    sure = np.zeros(len(found), bool) if scheme.alone else ~fine & ~seen.repeated(maps.anchors[1], found["key"], maps.bits)
+    return found, doc, fine, sure
 
 
 def _places(found: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -263,7 +269,7 @@ def _contents(rows: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
     return rows.select("__who", "__segments", "__fine").mapInArrow(run, "part int, bundle binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's contents: segments alone with their anchor, which repeat as a whole or not at all,
     with their span; and one pack of all others, which need the engine."""
     bundles = [(batch.column(0)[k].as_py(), pickle.loads(batch.column(1)[k].as_py())) for batch in batches for k in range(batch.num_rows)]
@@ -272,6 +278,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, ck, times, size, place, fine = _reduced(*(np.concatenate(x) for x in zip(*(b for _, b in bundles), strict=True)))
     edge = np.append(True, key[1:] != key[:-1])
     alone = edge & np.append(edge[1:], True)
+    if scheme.alone:
+        fine = np.ones(len(fine), bool)
     again = np.flatnonzero(alone & ~fine & (times > 1))
     spans = [np.array([0, n], np.int32).tobytes() for n in size[again].tolist()]
     n = len(again)
@@ -546,7 +554,7 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
         first.destroy()
         again.destroy()
     shared = spark.sparkContext.broadcast(maps)
-    groups = store.cut(_contents(rows, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(_groups, "part int, ck long, spans binary, pack binary"), f"{name}-groups")
+    groups = store.cut(_contents(rows, scheme, shared, parts).repartitionById(parts, "part").mapInArrow(partial(_groups, scheme), "part int, ck long, spans binary, pack binary"), f"{name}-groups")
     packs = groups.filter("pack is not null").select("part", "pack")
 
     def chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:

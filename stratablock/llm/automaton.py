@@ -127,7 +127,7 @@ def _spans(matched: list[int], window: int) -> np.ndarray:
 
 
 def scheme(threshold: int = THRESHOLD, hot: int = 2000) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, 500_000, hot)
+    return anchors.Scheme(threshold, min(8, threshold), anchors.word_units, engine, 500_000, hot, alone=True)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 2000) -> DataFrame:

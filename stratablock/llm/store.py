@@ -3,7 +3,7 @@
 Intermediate tables go to the shared folder that the cluster names in
 ``spark.checkpoint.dir``: every executor can read them, so a lost executor
 costs only its running tasks. A private folder is made only where the setting
-is absent (single-machine tests).
+is absent and the master is local (single-machine tests).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="stratablock-")
     return "file://" + _own["dir"]
@@ -36,6 +38,13 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a table that ``cut`` has written, once nothing reads it any more."""
+    if files := table.inputFiles():
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Keep Arrow batches small, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

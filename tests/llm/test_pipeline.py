@@ -90,3 +90,13 @@ def test_stages_equal_plain_versions(spark, folder):
 def test_run_is_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 30
+
+
+def test_jaccard_stage_tells_rows_apart_by_text(spark, folder):
+    """Different texts of one id stay, equal rows and copies without an id go."""
+    one, two, three = (" ".join(words(900 + k, 60)) for k in range(3))
+    near = one + " tail"
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, near), (None, three), (None, three), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, docs, folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one), (1, two), (None, three), (3, None), (4, "")], key=repr)
