@@ -28,11 +28,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class stays; so do documents without an id. Equal ids stay once."""
-    found = jaccard.classes(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """One row of each class stays: of the smallest id, an id before none, on ties the one of the smallest hash.
+
+    Rows are told apart by all of their columns, so different texts of one id are
+    judged each by itself, and copies without an id go like all others.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("hash"))
+    rows = docs.select(*COLUMNS).withColumn("__row", row)
+    found = jaccard.classes(rows.select(F.col("__row").alias("doc_id"), "text"))
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
