@@ -50,9 +50,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     held = F.coalesce(langid.fold(n=7) == 2, F.lit(False))
-    model, counts = pitman_yor.train(docs.filter(~held))
-    scored = pitman_yor.score(docs.select("doc_id", held.alias("held_out"), "text"), model, counts)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, tokens = pitman_yor.score(docs.select("doc_id", held.alias("held_out"), (~held).alias("learn"), "text"), stable=True)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,17 +95,18 @@ def test_fold_is_the_crc_of_the_id(spark):
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
 
 
-def test_language_model_base_and_order(spark):
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_language_model_base_and_order(spark, block):
     rows = corpus()
-    docs = frame(spark)
-    train = docs.filter("doc_id % 2 = 0")
-    model, counts = pitman_yor.train(train)
+    docs = frame(spark).withColumn("learn", F.col("doc_id") % 2 == 0)
+    scored, total = pitman_yor.score(docs, block_tokens=block)
     low = {i: i + 32 for i in range(65, 91)}
     toks = [(r[1] or "").translate(low).encode().split() + [None] for r in rows]
     c = Counter(w for r, t in zip(rows, toks, strict=True) if r[0] is not None and r[0] % 2 == 0 for w in t)
     n, v = sum(c.values()), len(c)
-    assert (model.total, model.types) == (n, v)
-    got = by_id(pitman_yor.score(docs, model, counts))
+    assert total == n and {"lang", "source", "learn"} <= set(scored.columns) and "text" not in scored.columns
+    got = by_id(scored)
+    assert sum(map(len, got.values())) == len(rows)
     for r, t in zip(rows, toks, strict=True):
         for x in got[r[0]]:
             assert x.n_tokens == len(t) and x.n_known == sum(c[w] > 0 for w in t)
@@ -113,27 +114,113 @@ def test_language_model_base_and_order(spark):
             assert x.score < 0
 
 
-def test_language_model_small_vocabulary_of_symbols(spark):
-    """With few symbols most words are rare, and go through the table of counts."""
-    model, counts = pitman_yor.train(frame(spark), frequent=3)
-    assert len(model.words) <= 4
-    assert np.allclose((10.0 ** model.symbols.astype(float)).sum(axis=1), 1, atol=1e-4)
-    got = by_id(pitman_yor.score(frame(spark), model, counts))
-    assert len(got) == len({r[0] for r in corpus()})
-
-
 def test_language_model_of_nothing(spark):
-    model, counts = pitman_yor.train(frame(spark, []))
-    got = by_id(pitman_yor.score(frame(spark), model, counts))
-    assert all(x.n_known == 0 and x.base_score == 0.0 and math.isfinite(x.score) for v in got.values() for x in v)
-    assert pitman_yor.score(frame(spark, []), model, counts).count() == 0
-
-
-def test_seating_stays_in_bounds():
-    rng = np.random.default_rng(0)
-    c = np.array([1, 2, 5, 400, 100_000])
-    t = pitman_yor.seat(rng, c, np.full(5, 0.2), np.full(5, 10), 0.7, 1.0)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
+    docs = frame(spark).withColumn("learn", F.lit(False))
+    scored, total = pitman_yor.score(docs)
+    got = by_id(scored)
+    assert total == 0 and all(x.n_known == 0 and x.base_score == 0.0 and math.isfinite(x.score) for v in got.values() for x in v)
+    assert pitman_yor.score(frame(spark, []).withColumn("learn", F.lit(True)))[0].count() == 0
+
+
+def in_process(texts, learn, shards, hot, size=1 << 20):
+    """The model's steps without Spark: each block's totals, words and tokens' counts and log probabilities."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(learn, pa.bool_())], names=["text", "learn"])
+    every = lambda batches: [r for x in batches for r in x.to_pylist()]
+    by_part = lambda rows: [pitman_yor._batch([(r["kind"], r["part"], r["block"], r["body"]) for r in rows if r["part"] == s]) for s in range(shards)]
+    asked = every(pitman_yor._asking(hot, shards, size)(iter([batch])))
+    told = [r for x in by_part(asked) for r in every(pitman_yor._restaurants(hot, shards, 3)(iter([x])))]
+    totals = pitman_yor.Totals.of(hot, [pitman_yor._unpacked(r["body"]) for r in told if r["kind"] == pitman_yor.TOTALS])
+    more = [dict(zip(("kind", "part", "block", "body"), x, strict=True)) for x in pitman_yor._hot_asked(hot, shards)]
+    to_root = [r for r in told if r["kind"] in (pitman_yor.TABLES, pitman_yor.WORDS)] + more
+    root = [r for x in by_part(to_root) for r in every(pitman_yor._root(3, totals.types)(iter([x])))]
+    few = [r for r in root if r["kind"] == pitman_yor.TOTALS or r["block"] == pitman_yor._HOT]
+    totals.add_root([(r["kind"], r["part"], pitman_yor._unpacked(r["body"])) for r in few], shards)
+    for name, _, h, bounds in pitman_yor._blocks(iter([batch]), size):
+        b = pitman_yor.Block(*np.unique(h, return_inverse=True), bounds)
+        mine = [(r["kind"], r["part"], r["body"]) for r in told + root if r["block"] == name]
+        yield totals, b, *pitman_yor._scored(mine, b, totals, shards)
+
+
+@pytest.mark.parametrize("shards,busy", [(1, []), (3, []), (3, ["a", "b"]), (2, ["a", "never"])])
+def test_probabilities_of_every_context_sum_to_one(shards, busy):
+    rng = np.random.default_rng(5)
+    vocabulary = [*"abcdefgh", *(f"w{k}" for k in range(25))]
+    weights = 1 / np.arange(1, len(vocabulary) + 1)
+    learned = [" ".join(rng.choice(vocabulary, 40, p=weights / weights.sum())) for _ in range(30)]
+    known = sorted({w for t in learned for w in t.split()})
+    # every word, the end, and one that is not known, after every word and after a start
+    probes = [f"{u} {w}" for u in known for w in [*known, "zzz"]] + known + ["zzz", ""]
+    hot = np.sort(text.Words(*text.buffers(pa.array(busy, pa.string()))).hashes()) if busy else np.zeros(0, np.uint64)
+    texts = learned + probes
+    ((totals, b, count, log),) = in_process(texts, [True] * 30 + [False] * len(probes), shards, hot)
+    assert totals.types == len(known) + 1 and totals.tokens == 30 * 41
+    assert totals.customers >= totals.types
+    p = {}
+    for k in range(30, len(texts)):
+        words = [*texts[k].split(), None]
+        for u, w, x in zip([None, *words], words, log[b.bounds[k] : b.bounds[k + 1]], strict=False):
+            p[u, w] = 10**x
+    for u in [None, *known]:
+        mass = sum(p[u, w] for w in [*known, None, "zzz"])
+        assert math.isclose(mass, 1, abs_tol=1e-6), (u, mass)
+    seen = Counter(w for t in learned for w in [*t.split(), None])
+    flat = [w for t in texts for w in [*t.split(), None]]
+    assert count.tolist() == [seen[w] for w in flat]
+
+
+def test_blocks_do_not_change_what_is_learned():
+    texts = [" ".join(words(k, 60, 30)) for k in range(40)]
+    learn = [k % 3 > 0 for k in range(40)]
+    none = np.zeros(0, np.uint64)
+    ((whole, b, count, log),) = in_process(texts, learn, 2, none)
+    parts = list(in_process(texts * 1, learn, 2, none, size=1))
+    assert (parts[0][0].types, parts[0][0].tokens, parts[0][0].customers) == (whole.types, whole.tokens, whole.customers)
+    assert np.array_equal(np.concatenate([c for _, _, c, _ in parts]), count)
+    assert np.allclose(np.concatenate([x for _, _, _, x in parts]), log)
+
+
+def stirling(n, d):
+    """Weights of a dish's customers at t = 0..n tables."""
+    s = np.zeros(n + 1)
+    s[0] = 1
+    for m in range(n):
+        s = np.concatenate([[0], s[:-1]]) + np.maximum(m - d * np.arange(n + 1), 0) * s
+    return s
+
+
+def brute_tables(dishes, d, strength=1.0):
+    """Mean tables of each dish of one restaurant, over all seatings: dishes are (customers, probability above)."""
+    total, mean = 0.0, np.zeros(len(dishes))
+    for t in np.ndindex(*(n for n, _ in dishes)):
+        t = np.array(t) + 1
+        weight = np.prod([strength + d * k for k in range(t.sum())])
+        for k, (n, g) in zip(t, dishes, strict=True):
+            weight *= stirling(n, d)[k] * g**k
+        total += weight
+        mean += weight * t
+    return mean / total
+
+
+@pytest.mark.parametrize("dishes", [[(2, 0.4)], [(6, 0.3)], [(12, 0.9)], [(5, 0.4), (3, 0.2)], [(7, 0.5), (2, 0.1), (4, 0.3)]])
+def test_seating_equals_brute_force(dishes):
+    copies, d = 2000, 0.6
+    n = np.tile([c for c, _ in dishes], copies)
+    parent = np.tile([g for _, g in dishes], copies)
+    seating = pitman_yor.Seating(n, np.repeat(np.arange(copies), len(dishes)), copies, parent, d, np.random.default_rng(1))
+    t, total = pitman_yor.gibbs(seating, burn_in=60, samples=8)
+    mean = t.reshape(copies, -1).mean(axis=0) / 8
+    assert np.allclose(mean, brute_tables(dishes, d), rtol=0.04)
+    assert total.sum() == t.sum() and (seating.t <= n).all() and (seating.t >= 1).all()
+    sizes = np.bincount(seating.table, minlength=len(seating.table))
+    assert np.array_equal(sizes, seating.size)  # every customer sits at a table of its dish
+    assert (seating.table >= np.repeat(seating.start, seating.n)).all() and (seating.table < np.repeat(seating.start + seating.n, seating.n)).all()
+
+
+def test_model_prefers_what_it_has_seen(spark):
+    rows = [(k, f"x{k % 40} y{k % 40} z", *[None] * 5) for k in range(400)] + [(1000, "x1 y1 z", *[None] * 5), (1001, "x1 y2 z", *[None] * 5), (1002, "x1 never z", *[None] * 5)]
+    got = by_id(pitman_yor.score(frame(spark, rows).withColumn("learn", F.col("doc_id") < 1000))[0])
+    assert math.isclose(got[1000][0].base_score, got[1001][0].base_score)
+    assert got[1000][0].score > got[1001][0].score + 1 > got[1002][0].score + 1  # y1 follows x1, y2 never does
 
 
 def test_words_and_hashes():
@@ -143,22 +230,3 @@ def test_words_and_hashes():
     h = w.hashes()
     assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     assert [bytes(buf[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == [b"a", b"bb", b"a", b"bb", b"ccc"]
-
-
-def test_language_model_keeps_all_contexts(spark):
-    """Few words have a place in the matrix; every word has a restaurant and a place in all others all the same."""
-    rows = [(k, f"x{k % 40} y{k % 40} z", *[None] * 5) for k in range(400)]
-    model, tables = pitman_yor.train(frame(spark, rows), frequent=3)
-    probe = [(0, "x1 y1 z", *[None] * 5), (1, "x1 y2 z", *[None] * 5), (2, "x1 never z", *[None] * 5)]
-    got = by_id(pitman_yor.score(frame(spark, probe), model, tables))
-    assert math.isclose(got[0][0].base_score, got[1][0].base_score)
-    assert got[0][0].score > got[1][0].score + 1 > got[2][0].score + 1  # y1 follows x1, y2 never does
-    wide, also = pitman_yor.train(frame(spark, rows))
-    again = by_id(pitman_yor.score(frame(spark, probe), wide, also))
-    assert all(math.isclose(again[k][0].score, got[k][0].score, rel_tol=1e-5) for k in got)
-    words = {r.word: r for r in tables.words.collect()}
-    x1, y2 = (int(h) for h in pitman_yor.tokens(*text.buffers(pa.array(["x1 y2"])))[0][:2].view(np.int64))
-    pairs = tables.pairs.filter(f"u = {x1}").collect()
-    back, root = np.array(words[x1].back), lambda w: np.array(words[w].root)
-    mass = sum(p.x for p in pairs) / (1.0 + words[x1].n) + np.mean([back[s] * (sum(root(w)[s] for w in words) + model.unseen[s] / model.below[s]) for s in range(pitman_yor.SAMPLES)])
-    assert y2 not in {p.w for p in pairs} and math.isclose(mass, 1, abs_tol=1e-4)
