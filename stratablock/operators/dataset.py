@@ -39,22 +39,22 @@ def check_ratios(ratios: tuple[float, float, float]) -> None:
         raise ValueError("split ratios must sum to 1.0")
 
 
-def _shifted(rows: DataFrame, slice_of: Column, *order: Column | str) -> DataFrame:
-    """``rows`` with ``__rank`` from 0 over the whole table, without sorting it in one task.
+def _shifted(rows: DataFrame, slice_of: Column, *order: Column | str, value: Column | None = None) -> DataFrame:
+    """``rows`` with ``__rank``: how many rows stand before over the whole table, or their sum of ``value``, without sorting it in one task.
 
     ``slice_of`` rises with the order and has a few thousand values at most: rows
     are ranked inside slices, and slices are shifted by the sizes before them.
     """
-    slices = rows.withColumn("__slice", slice_of)
-    sizes = slices.groupBy("__slice").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
-    shifts = sizes.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy("__slice").orderBy(*order)
+    slices = rows.withColumns({"__slice": slice_of, "__value": F.lit(1) if value is None else value})
+    sizes = slices.groupBy("__slice").agg(F.sum("__value").alias("__n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__slice", F.coalesce(F.sum("__n").over(earlier(Window.orderBy("__slice"))), F.lit(0)).alias("__shift"))  # a row a slice
+    inside = earlier(Window.partitionBy("__slice").orderBy(*order))
     return (
-        slices.withColumn("__in", F.row_number().over(inside) - 1)
+        slices.withColumn("__in", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
         .join(F.broadcast(shifts), "__slice")
         .withColumn("__rank", F.col("__in") + F.col("__shift"))
-        .drop("__slice", "__in", "__shift")
+        .drop("__slice", "__in", "__shift", "__value")
     )
 
 
@@ -63,8 +63,8 @@ def _ranks(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return _shifted(rows.withColumn("__order", order), F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"), "__order", key).drop("__order")
 
 
-def sorted_ranks(rows: DataFrame, order: str, name: str, slices: int = 256) -> DataFrame:
-    """``rows`` with their rank from 0 by the column ``order`` in ``name``; nulls first.
+def sorted_ranks(rows: DataFrame, order: str, name: str, slices: int = 256, value: Column | None = None) -> DataFrame:
+    """``rows`` with their rank from 0 by the column ``order`` in ``name``, or the sum of ``value`` before them; nulls first.
 
     Slices end at some values of the column, at most ``slices`` of them, chosen by a hash.
     """
@@ -72,7 +72,7 @@ def sorted_ranks(rows: DataFrame, order: str, name: str, slices: int = 256) -> D
     ends = sorted({r[0] for r in some})
     kind = rows.schema[order].dataType
     below = F.size(F.filter(F.array(*(F.lit(v).cast(kind) for v in ends)), lambda v: v <= F.col(order))) if ends else F.lit(0)
-    return _shifted(rows, F.when(F.col(order).isNull(), -1).otherwise(below), order).withColumnRenamed("__rank", name)
+    return _shifted(rows, F.when(F.col(order).isNull(), -1).otherwise(below), order, value=value).withColumnRenamed("__rank", name)
 
 
 def exact_split(rows: DataFrame, key: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:

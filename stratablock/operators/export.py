@@ -94,8 +94,9 @@ def file_names(rows: DataFrame, order: str) -> DataFrame:
 
 def vertex_offsets(sizes: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
     """``sizes`` (n) with ``offset``: the vertices of all documents before, within ``by``."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if not by:
+        return dataset.sorted_ranks(sizes, order, "offset", value=F.col("n"))
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 

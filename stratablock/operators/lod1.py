@@ -56,9 +56,14 @@ def roof_vertices(ground: DataFrame, converted: DataFrame, vertices: DataFrame)
     order = F.struct("obj_pos", "geom", "shell", "face", "ring", "pos")
     first = ground.select(*ring_ops.PLACE, F.posexplode("vids").alias("pos", "vid")).groupBy(*GEOM, "vid").agg(F.min(order).alias("at"))
     count = vertices.groupBy("file").agg(F.count("*").alias("v"))
-    numbered = first.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).join(count, "file")
+    # numbers inside a geometry, shifted by the geometries before it in the file: one row of these for each
+    inside = first.withColumn("rank", F.row_number().over(Window.partitionBy(*GEOM).orderBy("at")) - 1)
+    before = Window.partitionBy("file").orderBy("obj_pos", "geom").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = first.groupBy(*GEOM).agg(F.count("*").alias("n")).join(count, "file")
+    shifts = sizes.select(*GEOM, (F.col("v") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("shift"))
     return (
-        numbered.withColumn("roof_vid", (F.col("rank") + F.col("v")).cast("int"))
+        inside.join(shifts, GEOM)
+        .withColumn("roof_vid", (F.col("rank") + F.col("shift")).cast("int"))
         .join(vertices.select("file", "vid", "x", "y"), ["file", "vid"])
         .join(converted.select(*GEOM, "height"), GEOM)
         .select(*GEOM, "vid", "roof_vid", "x", "y", F.col("height").alias("z"))

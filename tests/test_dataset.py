@@ -61,3 +61,17 @@ def test_functions(spark):
     assert (row.m, row.c, row.e, row.s, row.z, row.n, row.u) == (1, [1, 2, 1], [], 0.5, 0.0, "a_b_c_d", 0.0)
     got = spark.range(3000).select(random.uniform(1, F.col("id")).alias("u"), random.normal(2, F.col("id")).alias("z"), random.integer(3, 4, F.col("id")).alias("i")).toPandas()
     assert abs(got.u.mean() - 0.5) < 0.03 and abs(got.z.mean()) < 0.08 and abs(got.z.std() - 1) < 0.06 and set(got.i) == {0, 1, 2}
+
+
+def test_running_numbers_over_a_whole_table(spark):
+    from stratablock.operators import export
+
+    rows = [(f"k{k:04d}", k % 7) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(5)
+    got = {r.k: r.place for r in dataset.sorted_ranks(df, "k", "place", slices=16).collect()}
+    assert got == {k: i for i, (k, _) in enumerate(rows)}
+    got, at = {r.k: r.offset for r in export.vertex_offsets(df, "k").collect()}, 0
+    for k, n in rows:
+        assert got[k] == at
+        at += n
+    assert dataset.sorted_ranks(df.limit(0), "k", "place").count() == 0
