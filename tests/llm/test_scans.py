@@ -94,6 +94,22 @@ def test_minimum_bin_slack_packs_fully():
     assert sum(k * c for k, c in best.items()) == 15
 
 
+def test_both_tokenizer_libraries_agree():
+    """Every character of the shorter way in every company, and random texts of them."""
+    full, fast = packing._encoders(packing.VOCABULARY)
+    chars = [chr(c) for c in range(ord(packing._SAFE) + 1)]
+    same = lambda t: fast.encode_ordinary(t) == full.encode(t, add_special_tokens=False).ids
+    for c in chars:
+        assert all(same(t) for t in (c, "a" + c, c + "a", " " + c, c + " ", c + c, "1" + c + "1", "'" + c)), repr(c)
+    rng = np.random.default_rng(12)
+    bits = ["'s", "'ll", "don't", "123", "  ", "\n\n", "\r\n", "\t", "abc", "É", "ǆ", "½", "--", *chars]
+    odds = np.array([20.0] * 13 + [1.0] * len(chars))
+    for _ in range(4000):
+        t = "".join(rng.choice(bits, rng.integers(1, 60), p=odds / odds.sum()))
+        assert same(t), repr(t)
+    assert packing.token_ids("日本 " + packing.SPECIAL) == full.encode("日本 " + packing.SPECIAL, add_special_tokens=False).ids
+
+
 def test_packing_places_every_token(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
