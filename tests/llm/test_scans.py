@@ -238,6 +238,30 @@ NOTICES = [
 ]
 
 
+def brute_base(body):
+    """Words, and the places of each base phrase."""
+    w = low(body)
+    found = []
+    for phrase, label in licenses.BASE:
+        p = phrase.encode().split()
+        found += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), sorted(found)
+
+
+def test_license_base_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    bits = ["under the MIT license", "apache license, version 2", "CC-BY-NC", "under", "the", "mit", "license", "é", "日本", "x1", "\n", ". ", "--", "\x00", "𝔘", "KİK"]
+    rows = [(k, "".join(str(rng.choice(bits)) + str(rng.choice([" ", "", "\t", "."])) for _ in range(rng.integers(0, 14)))) for k in range(300)]
+    rows += [(400, " "), (401, "\n\n"), (402, "a"), (403, " a"), (404, "a "), (405, None), (406, "")] + [(500 + r[0], r[1]) for r in corpus() if r[0] is not None]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, body in rows:
+        n, found = brute_base(body)
+        for x in got[k]:
+            assert (x.n_words, x.n_base, x.base_labels) == (n, len(found), ",".join(sorted({f[1] for f in found}))), body
+            assert (x.first_word, x.last_word) == ((found[0][0], found[-1][0]) if found else (None, None))
+            assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(",")) and 0 <= x.score <= 1
+
+
 def test_license_wording(spark):
     got = by_id(licenses.scan(spark.createDataFrame([r[:2] for r in NOTICES], "doc_id long, text string")))
     assert {k: got[k][0].labels for k in got} == {r[0]: r[2] for r in NOTICES}
