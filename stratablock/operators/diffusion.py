@@ -83,6 +83,28 @@ def edge_noise(y: Column, alpha_bar: Column, kind: str, seed: int, *keys: Column
     return (z > 0).cast("double")
 
 
+def uniform_edge(p, y, now, before):
+    """The probability of an edge one step earlier under uniform noise; of numbers, arrays or columns alike.
+
+    ``p``: predicted, ``y``: seen, ``now`` and ``before``: the shares of signal left at the step and at the one before.
+    """
+    keep = now / before
+    one = (keep * y + (1 - keep) * 0.5) * p
+    zero = (keep * (1 - y) + (1 - keep) * 0.5) * (1 - p)
+    return one / (one + zero + SMALL)
+
+
+def gaussian_edge(p, before, sqrt, erf_of):
+    """The probability that a thresholded Gaussian of the predicted edge is positive one step earlier."""
+    return 0.5 * (1 + erf_of(sqrt(before) * (2 * p - 1) / (sqrt(1 - before) + SMALL) / math.sqrt(2)))
+
+
+def uniform_class(p, x, now, before, size: int):
+    """The weight of a class one step earlier under uniform noise, before it is normed."""
+    keep = now / before
+    return (keep * x + (1 - keep) / size) * p
+
+
 def _erf(z: pd.Series) -> pd.Series:
     return z.map(math.erf)
 
@@ -99,11 +121,8 @@ def edge_posterior(logit: Column, yt: Column, alpha_bar: Column, alpha_prev: Col
     if kind == "absorbing":
         return p
     if kind == "discretized_gaussian":
-        return 0.5 * (1 + erf(F.sqrt(alpha_prev) * (2 * p - 1) / (F.sqrt(1 - alpha_prev) + SMALL) / F.lit(math.sqrt(2))))
-    keep = alpha_bar / alpha_prev
-    one = (keep * yt + (1 - keep) * 0.5) * p
-    zero = (keep * (1 - yt) + (1 - keep) * 0.5) * (1 - p)
-    return one / (one + zero + SMALL)
+        return gaussian_edge(p, alpha_prev, F.sqrt, lambda z: erf(z + F.lit(0.0)))
+    return uniform_edge(p, yt, alpha_bar, alpha_prev)
 
 
 def edge_step(logit: Column, yt: Column, alpha_bar: Column, alpha_prev: Column, t: int, kind: str, seed: int, *keys: Column) -> Column:
@@ -140,8 +159,7 @@ def category_posterior(logits: list[Column], xt: list[Column], alpha_bar: Column
     p = arrays.softmax(logits)
     if check_noise(kind) != "uniform":
         return p
-    keep = alpha_bar / alpha_prev
-    raw = [(keep * x + (1 - keep) / len(xt)) * q for x, q in zip(xt, p, strict=True)]
+    raw = [uniform_class(q, x, alpha_bar, alpha_prev, len(xt)) for x, q in zip(xt, p, strict=True)]
     total = sum(raw[1:], raw[0]) + SMALL
     return [r / total for r in raw]
 

@@ -75,15 +75,18 @@ def document(buildings: DataFrame, name: Column) -> DataFrame:
     return buildings.withColumn("json", _document(_object(name, F.col("boundaries"), F.col("surface_values")), F.col("vertices")))
 
 
-def combined(merged: DataFrame, buildings: DataFrame) -> DataFrame:
-    """file_name and json of all buildings together. ``merged``: one row of ``merge``; ``buildings``: name, surface_values.
+def combined(merged: DataFrame, buildings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """file_name and json of all buildings together, or of each group of ``by``. ``merged``: of ``merge``; ``buildings``: by, name, surface_values.
 
-    Members are written from names and boundaries alone; the vertices of the whole meet them once.
+    Members are written from names and boundaries alone; a document's vertices meet them once.
     """
-    each = merged.select(F.explode("objects").alias("name", "boundaries")).join(buildings.select("name", "surface_values"), "name")
-    members = each.agg(F.concat_ws(",", F.array_sort(F.collect_list(_object(F.col("name"), F.col("boundaries"), F.col("surface_values"))))).alias("o"))
-    both = merged.select(F.lit(0).alias("k"), "vertices").join(members.withColumn("k", F.lit(0)), "k")  # one row each
-    return both.select(F.lit("all_buildings.city.json").alias("file_name"), _document(F.col("o"), F.col("vertices")).alias("json"))
+    keys = by or ["__all"]
+    whole, own = (df if by else df.withColumn("__all", F.lit(0)) for df in (merged, buildings))
+    each = whole.select(*keys, F.explode("objects").alias("name", "boundaries")).join(own.select(*keys, "name", "surface_values"), [*keys, "name"])
+    text = _object(F.col("name"), F.col("boundaries"), F.col("surface_values"))
+    members = each.groupBy(*keys).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))), lambda m: m["text"])).alias("o"))
+    out = whole.select(*keys, "vertices").join(members, keys)
+    return out.select(*(by or []), F.lit("all_buildings.city.json").alias("file_name"), _document(F.col("o"), F.col("vertices")).alias("json"))
 
 
 def file_names(rows: DataFrame, order: str) -> DataFrame:

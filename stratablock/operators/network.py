@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .diffusion import check_noise
+from .diffusion import check_noise, gaussian_edge, uniform_class, uniform_edge
 
 Weights = dict[str, np.ndarray]
 
@@ -138,42 +138,39 @@ def sample(w: Weights, n: int, classes: int, steps: int, kind: str, rng: np.rand
 
 
 def _edges_before(logit, y, now, before, t, kind, rng):
+    """Edges one step earlier: drawn from their posterior, and decided at the last step."""
     p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-    if kind == "absorbing":
-        if t == 1:
-            new = (p > 0.5) * 1.0
-        else:
-            new = np.where(rng.random(p.shape) < before, (rng.random(p.shape) < p) * 1.0, 0.5)
-        return np.where(y == 0.5, new, y)
-    if kind == "discretized_gaussian":
-        if t == 1:
-            return (p > 0.5) * 1.0
-        arg = math.sqrt(before) * (2 * p - 1) / (math.sqrt(1 - before) + 1e-8) / math.sqrt(2)
-        return (rng.random(p.shape) < 0.5 * (1 + np.vectorize(math.erf)(arg))) * 1.0
-    keep = now / before
-    one = (keep * y + (1 - keep) / 2) * p
-    zero = (keep * (1 - y) + (1 - keep) / 2) * (1 - p)
-    sure = one / (one + zero + 1e-8)
-    return (rng.random(p.shape) < sure) * 1.0 if t > 1 else (sure > 0.5) * 1.0
+    if kind == "uniform":
+        sure = decisive = uniform_edge(p, y, now, before)
+    else:
+        sure = p if kind == "absorbing" else gaussian_edge(p, before, math.sqrt, np.vectorize(math.erf))
+        decisive = p
+    new = (rng.random(p.shape) < sure if t > 1 else decisive > 0.5) * 1.0
+    if kind != "absorbing":
+        return new
+    shown = np.ones(p.shape, bool) if t == 1 else rng.random(p.shape) < before
+    return np.where(y != 0.5, y, np.where(shown, new, 0.5))
 
 
 def _classes_before(logits, x, now, before, t, kind, rng, eye):
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p = e / e.sum(axis=1, keepdims=True)
-    draw = lambda q: (rng.random((len(q), 1)) * q.sum(axis=1, keepdims=True) < np.cumsum(q, axis=1)).argmax(axis=1)
-    if kind == "discretized_gaussian":
-        z = math.sqrt(before) * p + math.sqrt(1 - before) * rng.normal(size=p.shape) if t > 1 else p
-        return eye[z.argmax(axis=1)]
-    if kind == "absorbing":
-        hidden = x.max(axis=1) < 1 / len(eye) + 0.01
-        new = eye[p.argmax(axis=1)]
-        if t > 1:
-            new = np.where(rng.random((len(p), 1)) < before, eye[draw(p)], 1 / len(eye))
-        return np.where(hidden[:, None], new, x)
-    keep = now / before
-    q = (keep * x + (1 - keep) / len(eye)) * p
-    q = q / (q.sum(axis=1, keepdims=True) + 1e-8)
-    return eye[draw(q)] if t > 1 else eye[q.argmax(axis=1)]
+    """One-hot classes one step earlier, as for edges; those under absorbing noise that show already stay."""
+    weight = np.exp(logits - logits.max(axis=1, keepdims=True))
+    weight /= weight.sum(axis=1, keepdims=True)
+    size = len(eye)
+    if kind == "uniform":
+        weight = uniform_class(weight, x, now, before, size)
+    last = t == 1
+    if last or kind == "discretized_gaussian":
+        noise = 0.0 if last else math.sqrt(1 - before) * rng.normal(size=weight.shape)
+        best = ((1.0 if last else math.sqrt(before)) * weight + noise).argmax(axis=1)
+    else:
+        best = (rng.random((len(weight), 1)) * weight.sum(axis=1, keepdims=True) < np.cumsum(weight, axis=1)).argmax(axis=1)
+    new = eye[best]
+    if kind != "absorbing":
+        return new
+    shown = last | (rng.random((len(weight), 1)) < before)
+    hidden = x.max(axis=1, keepdims=True) < 1 / size + 0.01
+    return np.where(hidden, np.where(shown, new, 1 / size), x)
 
 
 def sample_graphs(spark: SparkSession, weights: Weights, count: int, n: int, steps: int = 500, kind: str = "uniform", classes: int = 2, seed: int = 0) -> DataFrame:

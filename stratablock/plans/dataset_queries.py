@@ -136,22 +136,39 @@ def vertex_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.vertex_offsets(sizes, "id", ["g"]).drop("g")
 
 
+def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices and boundaries of each building, ten buildings to a document."""
+    points = syn.vertices(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("vertices"))
+    faces = syn.rings(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("face", "vids"))), lambda f: F.array(f["vids"])).alias("boundaries"))
+    return points.join(faces, "file").select(F.floor(F.col("file") / 10).alias("g"), F.col("file").alias("id"), F.col("file").cast("string").alias("name"), "vertices", "boundaries")
+
+
 @query("merge_documents", syn.sql("""
 SELECT id // 10 AS g, count(*) AS n_vertices, sum(x + y + z) AS total, max(vid + o) AS top, count(DISTINCT id) AS objects
 FROM vertices JOIN (
   SELECT id AS k, coalesce(sum(2 * n) OVER (PARTITION BY id // 10 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM b) ON k = id
 GROUP BY id // 10"""))
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten buildings to a document."""
-    points = syn.vertices(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("vertices"))
-    faces = syn.rings(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("face", "vids"))), lambda f: F.array(f["vids"])).alias("boundaries"))
-    docs = points.join(faces, "file").select(F.floor(F.col("file") / 10).alias("g"), F.col("file").alias("id"), F.col("file").cast("string").alias("name"), "vertices", "boundaries")
-    whole = export.merge(docs, ["g"], "id")
+    whole = export.merge(_tens(spark, sf_dir), ["g"], "id")
     total = F.aggregate(F.flatten("vertices"), F.lit(0.0), lambda a, v: a + v)
     ids = F.flatten(F.flatten(F.flatten(F.map_values("objects"))))
     return whole.select("g", F.size("vertices").cast("long").alias("n_vertices"), total.alias("total"), F.array_max(ids).cast("long").alias("top"), F.size("objects").cast("long").alias("objects"))
 
 
+@query("combined_documents", syn.sql("""
+SELECT id // 10 AS g, 'all_buildings.city.json' AS file_name, 'CityJSON' AS type, '1' AS lod, count(*) AS n_vertices, count(DISTINCT id) AS objects,
+  sum((SELECT count(DISTINCT face) FROM faces f WHERE f.id = v.id) / (2.0::DOUBLE * (SELECT n FROM b WHERE b.id = v.id)))::BIGINT AS faces
+FROM vertices v GROUP BY id // 10"""))
+def combined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten buildings written to one document, which is read back."""
+    parts = _tens(spark, sf_dir)
+    values = parts.select("g", "name", F.transform("boundaries", lambda f, k: F.least(k, F.lit(2))).alias("surface_values"))
+    written = export.combined(export.merge(parts, ["g"], "id"), values, ["g"])
+    docs = cityjson.parse(written.select("g", "file_name", F.col("json").alias("value"), F.col("g").cast("string").alias("file"))).join(written.select("g", "file_name", F.col("g").cast("string").alias("file"), F.get_json_object("json", "$.metadata.datasetLod").alias("lod")), "file")
+    flat = mesh.geometries(mesh.objects(docs)).groupBy("file").agg(F.count("*").alias("objects"), F.sum(F.size(F.flatten("boundaries"))).alias("faces"))
+    return docs.join(flat, "file").select("g", "file_name", "type", "lod", F.size("vertices").cast("long").alias("n_vertices"), "objects", "faces")
+
+
 @query("building_file_names", "SELECT p_partkey AS id, 'building_' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 4, '0') || '.city.json' AS file_name FROM part")
 def building_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.file_names(syn.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id")

@@ -1,29 +1,34 @@
 """Writing documents under exact names, and the convert-or-copy job.
 
 Files are written by the tasks that hold them, to a folder that every executor
-mounts. A write goes to a temporary name first, so a repeated task leaves whole
-files only. What happened to each file comes back as rows.
+mounts or to a store by its URI. A write goes to a temporary name first, so a
+repeated task leaves whole files only. What happened to each file comes back as rows.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from statistics import median
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
-def _write(path: Path, data: bytes) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.{os.getpid()}")
-    part.write_bytes(data)
-    part.replace(path)
+def _write(folder: str, name: str, data: bytes) -> None:
+    """A whole file or none: under another name first. ``folder`` is a path, or a URI of any store that Arrow can write to."""
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    path = f"{root.rstrip('/')}/{name}"
+    parent, _, last = path.rpartition("/")
+    part = f"{parent}/.{last}.{uuid.uuid4().hex}"
+    store.create_dir(parent, recursive=True)
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
 
 
 def save_documents(rows: DataFrame, folder: str | Path, name: str = "file_name", body: str = "json") -> DataFrame:
@@ -35,7 +40,7 @@ def save_documents(rows: DataFrame, folder: str | Path, name: str = "file_name",
             sizes = []
             for n, b in zip(f["name"], f["body"], strict=True):
                 data = b.encode()
-                _write(Path(target) / n, data)
+                _write(target, n, data)
                 sizes.append(len(data))
             yield pd.DataFrame({"name": f["name"], "bytes": sizes})
 
@@ -52,13 +57,12 @@ def convert_or_copy(files: DataFrame, folder: str | Path, convert: Callable[[dic
 
     def one(name: str, content: bytes) -> tuple[str, str]:
         try:
-            out = Path(target) / name
             if name.lower().endswith(".json"):
                 doc = json.loads(content.decode("utf-8"))
                 if isinstance(doc, dict) and doc.get("type") == "CityJSON":
-                    _write(out, json.dumps(turn(doc)).encode())
+                    _write(target, name, json.dumps(turn(doc)).encode())
                     return "converted", "converted to LOD1"
-            _write(out, content)
+            _write(target, name, content)
             return "copied", "copied as it is"
         except Exception as e:  # every failure of a file is a result of the job
             return "error", f"{type(e).__name__}: {e}"
