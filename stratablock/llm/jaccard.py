@@ -50,7 +50,7 @@ from .components import components
 WORDS = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-CHUNK = 512
+CHUNK = 128
 PART_BYTES = 4_000_000
 #: Partners must share one n-gram in so many among the rarest.
 SHARE = 10
@@ -376,6 +376,8 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
         "node", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     told = store.cut(told, "told")
+    for table in (blocks, bodies, nodes, found, members, least, classed):
+        store.drop(table)
     return (
         own.filter("node is not null")
         .join(told, "node")

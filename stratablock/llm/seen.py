@@ -1,8 +1,9 @@
 """Bitmaps of fixed size telling which hashed keys occur more than once.
 
 Tasks sort their keys and send, per segment of the bitmap, 16-bit positions;
-a segment is merged in one stream and comes back as 8 KB of bits. The whole
-bitmap has ``2**28`` bits (32 MB) whatever the input, so it may be broadcast.
+a segment is merged in one stream and comes back as 8 KB of bits at most. The
+whole bitmap has ``2**28`` bits (32 MB) at most, whatever the input, so it may be
+broadcast.
 
 It errs only one way: a key it calls single occurs once in the whole input; a
 key it calls repeated may be single. Callers use it to leave out what cannot
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from . import store
 
 BITS = 28
-_LOW = 16
 #: Keys that a task gathers before it sends them.
 FLUSH = 2_000_000
 
@@ -37,6 +37,11 @@ Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]
 Bitmaps = tuple[np.ndarray, np.ndarray, np.ndarray | None]
 
 
+def _low(bits: int) -> int:
+    """Bits of a place within its segment: 1024 segments or more, so that they spread, and 16-bit places."""
+    return max(3, min(16, bits - 10))
+
+
 def _places(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -49,7 +54,8 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
     that share a bit with one count as such. With ``least`` 1 the first bitmap
     marks all keys.
     """
-    segments = 1 << (bits - _LOW)
+    in_segment = _low(bits)
+    segments = 1 << (bits - in_segment)
     per = (1 << BUSY_BITS) // segments  # bits of the busy bitmap in a segment
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +75,8 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
                 keep = ~third
                 first = first[keep]
             p = p[keep]
-            cuts = np.searchsorted(p, np.arange(segments + 1) << _LOW)
-            low = (p & ((1 << _LOW) - 1)).astype(np.uint16)
+            cuts = np.searchsorted(p, np.arange(segments + 1) << in_segment)
+            low = (p & ((1 << in_segment) - 1)).astype(np.uint16)
             full = np.flatnonzero(np.diff(cuts))
             rows = [(int(s), low[cuts[s] : cuts[s + 1]].tobytes() + (first[cuts[s] : cuts[s + 1]].tobytes() if busy_from else b"")) for s in full]
             if busy_from:
@@ -81,7 +87,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
                 k, count = np.unique(k[new], return_counts=True)
                 many = count >= _REPORT
                 k, count = k[many], count[many]
-                seg = _places(k, bits - _LOW)
+                seg = _places(k, bits - in_segment)
                 ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1 if len(seg) else []
                 for x, y in zip([0, *ends][:-1], ends, strict=True):
                     rows.append((-1 - int(seg[x]), np.stack([k[x:y], count[x:y].astype(np.uint64)]).tobytes()))
@@ -100,7 +106,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << _LOW
+        width = 1 << in_segment
         at, count, known, differ, sums, done = None, None, None, None, {}, []
 
         def packed() -> bytes:
@@ -147,7 +153,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
         .mapInArrow(merge, "segment int, bits binary")
         .toArrow()
     )
-    size = (1 << _LOW) // 8
+    size = (1 << in_segment) // 8
     again = np.zeros((segments, size), np.uint8)
     mixed = np.zeros((segments, size if busy_from else 0), np.uint8)
     busy = np.zeros((segments, per // 8), np.uint8)
