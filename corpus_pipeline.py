@@ -73,9 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each stage's output written as a table and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = store.cut(docs, f"stage{k}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = store.cut(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            store.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
