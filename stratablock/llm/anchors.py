@@ -566,8 +566,11 @@ def apply_to_repeats(docs: DataFrame, scheme: Scheme, name: str, finish: Finish,
     full = spark.sparkContext.broadcast(maps)
     both = packs.select("part", F.lit(0).alias("kind"), F.col("pack").alias("bundle")).unionByName(_texts(rows, scheme, full, parts).select("part", F.lit(1).alias("kind"), "bundle"))
     solved = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_engine(scheme), "ck long, spans binary")
-    found = groups.filter("ck is not null").select("ck", "spans").unionByName(store.cut(solved, name))
+    solved = store.cut(solved, f"{name}-solved")
+    found = store.cut(groups.filter("ck is not null").select("ck", "spans").unionByName(solved), name)
     full.destroy()
+    store.drop(groups)
+    store.drop(solved)
 
     def repeating(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
         return text.mix(batch.column(0).to_numpy().view(np.uint64)), None

@@ -64,12 +64,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         nearest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(nearest, "hi")
-        e = store.cut(
+        old, e = e, store.cut(
             small.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(nearest.select("hi", F.col("m").alias("lo")))
             .distinct(),
             "links",
         )
+        store.drop(old)
         now = _mark(e)
         if now == mark:
             break
