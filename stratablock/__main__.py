@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ def _convert(args: argparse.Namespace) -> int:
     root = cityjson.find_dataset(args.dataset, [args.data] if args.data else None)
     detailed = cityjson.lod_folder(root, 2)
     spark = session.local_session(1 if args.sequential else args.workers or "*")
+    began = time.monotonic()
     done = sinks.convert_or_copy(cityjson.scan_files(spark, detailed), cityjson.simple_folder(detailed)).cache()
     try:  # the job runs once; its statuses are read twice
-        for r in sinks.summary(done).orderBy("status").collect():
+        counts = sinks.summary(done).orderBy("status").collect()
+        for r in counts:
             print(r["status"], r["files"])
+        print(f"{sum(r['files'] for r in counts)} files in {time.monotonic() - began:.2f} seconds")
         return sinks.exit_code(done)
     finally:
         done.unpersist()

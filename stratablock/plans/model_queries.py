@@ -182,6 +182,26 @@ ERF = """CASE WHEN abs(z) > 6 THEN sign(z) WHEN z = 0 THEN 0 ELSE sign(z) * 2 /
   lambda n: exp(2 * n * ln(2.0::DOUBLE) + (2 * n + 1) * ln(abs(z)) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"""
 
 
+def _edge_step(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    prev = diffusion.edge_step(F.col("logit"), F.col("y"), F.col("alpha_bar"), F.col("alpha_prev"), 2, kind, 4, F.col("id"), F.col("i"), F.col("j"))
+    return _scheduled(_pairs(spark, sf_dir)).select("id", "i", "j", prev.alias("y_prev"))
+
+
+@query("edge_step_uniform", syn.sql(f"""
+SELECT id, i, j, CASE WHEN {_u("4", *KEYS)} < o * p1 / (o * p1 + z * (1 - p1) + 0.00000001) THEN 1.0 ELSE 0.0 END AS y_prev FROM (
+  SELECT id, i, j, ab / prev * y + (1 - ab / prev) * 0.5 AS o, ab / prev * (1 - y) + (1 - ab / prev) * 0.5 AS z, 1 / (1 + exp(-logit)) AS p1
+  FROM pairs JOIN s USING (t)) p""", SCHEDULE, PAIRS, STEP))
+def edge_step_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_step(spark, sf_dir, "uniform")
+
+
+@query("edge_step_gaussian", syn.sql(f"""
+SELECT id, i, j, CASE WHEN {_u("4", *KEYS)} < 0.5 * (1 + {ERF}) THEN 1.0 ELSE 0.0 END AS y_prev FROM (
+  SELECT id, i, j, sqrt(prev) * (2 / (1 + exp(-logit)) - 1) / (sqrt(greatest(1 - prev, 0)) + 0.00000001) / sqrt(2) AS z FROM pairs JOIN s USING (t)) p""", SCHEDULE, PAIRS, STEP))
+def edge_step_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_step(spark, sf_dir, "discretized_gaussian")
+
+
 @query("edge_posterior_gaussian", syn.sql(f"""
 SELECT id, i, j, round(0.5 * (1 + {ERF}), 6) AS prob FROM (
   SELECT id, i, j, sqrt(prev) * (2 / (1 + exp(-logit)) - 1) / (sqrt(greatest(1 - prev, 0)) + 0.00000001) / sqrt(2) AS z FROM pairs JOIN s USING (t))""", SCHEDULE, PAIRS, STEP))
@@ -260,6 +280,24 @@ def category_posterior_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _category_posterior(spark, sf_dir, "uniform")
 
 
+@query("category_step_uniform", "WITH " + SCHEDULE + ", " + CLASSES + ", " + STEP + f"""
+SELECT id, (u * (q0 + q1) < q0)::INT::DOUBLE AS x0, (u * (q0 + q1) >= q0)::INT::DOUBLE AS x1 FROM (
+  SELECT id, {_u("8", "id")} AS u, (ab / prev * (1 - target) + (1 - ab / prev) / 2) * exp(a) / (exp(a) + exp(c)) AS q0,
+    (ab / prev * target + (1 - ab / prev) / 2) * exp(c) / (exp(a) + exp(c)) AS q1 FROM classes JOIN s USING (t))""")
+def category_step_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = [(F.col("target") == k).cast("double") for k in (0, 1)]
+    new = diffusion.category_step([F.col("a"), F.col("c")], x, F.col("alpha_bar"), F.col("alpha_prev"), 2, "uniform", 8, F.col("id"))
+    return _scheduled(_classes(spark, sf_dir)).select("id", new[0].alias("x0"), new[1].alias("x1"))
+
+
+@query("category_step_last", "WITH " + CLASSES + "SELECT id, (a >= c)::INT::DOUBLE AS x0, (a < c)::INT::DOUBLE AS x1 FROM classes")
+def category_step_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the last step under Gaussian noise the likeliest class is taken."""
+    x = [(F.col("target") == k).cast("double") for k in (0, 1)]
+    new = diffusion.category_step([F.col("a"), F.col("c")], x, F.col("alpha_bar"), F.col("alpha_prev"), 1, "discretized_gaussian", 8, F.col("id"))
+    return _scheduled(_classes(spark, sf_dir)).select("id", new[0].alias("x0"), new[1].alias("x1"))
+
+
 @query("masked_mse", syn.sql("""
 SELECT round(sum(CASE WHEN n.node < 6 THEN pow((n.id % 3) * 0.5, 2) + pow(n.node * 0.25, 2) + 1 ELSE 0 END) / (3 * sum(CASE WHEN n.node < 6 THEN 1 ELSE 0 END) + 0.000001), 6) AS loss FROM nodes n"""))
 def masked_mse(spark: SparkSession, sf_dir: str) -> DataFrame:

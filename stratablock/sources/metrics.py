@@ -6,10 +6,12 @@ table of metric rows, kept as Parquet in a folder for each logger and run.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Logging
+from ..config import Checkpoint, Logging
+from ..operators import dataset
 
 LOGGERS = ("tensorboard", "wandb", "mlflow")
 
@@ -30,3 +32,18 @@ def log(metrics: DataFrame, settings: Logging) -> None:
     rows = metrics.select(F.col("step").cast("long").alias("step"), "name", F.col("value").cast("double").alias("value"))
     for path in folders(settings).values():
         rows.write.mode("append").parquet(path)
+
+
+def keep_checkpoints(saved: DataFrame, settings: Checkpoint) -> list[str]:
+    """Delete the files of checkpoints that are neither among the best nor the last; the paths that stay.
+
+    ``saved``: step, value of the monitored metric, and path (or URI) of every checkpoint of a run, a few rows.
+    """
+    rows = dataset.top_checkpoints(saved, "value", "step", settings.save_top_k, settings.mode).collect() if settings.enabled else []
+    kept = {r["path"] for r in rows}
+    for r in saved.collect():
+        if r["path"] not in kept:
+            store, path = fs.FileSystem.from_uri(r["path"]) if "://" in r["path"] else (fs.LocalFileSystem(), r["path"])
+            if store.get_file_info(path).type == fs.FileType.File:
+                store.delete_file(path)
+    return sorted(kept)

@@ -57,7 +57,8 @@ def test_save_documents(spark, tmp_path):
 def test_command_line(spark, city, capsys):
     data = str(city.parent.parent)
     assert main(["convert", "the town", "--data", data]) == 1  # one file is broken
-    assert "converted 1" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "converted 1" in said and "4 files in " in said
     (city / "sub dir/broken.json").unlink()
     assert main(["convert", "the town", "--data", data]) == 0
     capsys.readouterr()
@@ -82,6 +83,23 @@ def test_metrics(spark, tmp_path):
         metrics.folders(config.Logging(loggers=["other"]))
 
 
+def test_best_and_last_checkpoints_stay(spark, tmp_path):
+    values = [0.5, 0.2, 0.9, 0.1, 0.3, 0.8]
+    rows = []
+    for step, value in enumerate(values):
+        (tmp_path / f"{step}.npz").write_bytes(b"x")
+        rows.append((step, value, str(tmp_path / f"{step}.npz") if step else f"file://{tmp_path}/0.npz"))
+    saved = spark.createDataFrame(rows, "step long, value double, path string")
+    kept = metrics.keep_checkpoints(saved, config.Checkpoint(save_top_k=2))
+    assert kept == [str(tmp_path / f"{k}.npz") for k in (1, 3, 5)] and sorted(p.name for p in tmp_path.iterdir()) == ["1.npz", "3.npz", "5.npz"]
+
+
+def test_unused_settings_are_accepted(tmp_path):
+    file = tmp_path / "c.yaml"
+    file.write_text("trainer:\n  devices: 2\nresume_from: x\nlogging:\n  log_model: true\n  run_name: a\n")
+    assert config.load(file).logging.run_name == "a"
+
+
 def test_config(tmp_path):
     file = tmp_path / "c.yaml"
     file.write_text("training:\n  max_epochs: 5\ndata:\n  lods: [2]\n  n_max: null\n")
