@@ -37,8 +37,7 @@ BASE_CONFIDENCE = 0.9
 STEMS = (
     "licen", "copyright", "spdx", "released", "distributed", "published", "available", "provided", "dedicated",
     "hereby", "redistribut", "warrant", "endorse", "advertising", "misrepresented", "liable", "suitability", "invariant", "unencumbered", "fuck",
-    "beer", "openssl", "waived", "creativecommons", "attribution", "universal", "evil", "compile", "charityware", "perl", "ruby", "copyleft", "apache",
-    "font", "mpl", "eclipse", "confidential", "unauthorized",
+    "openssl", "waived", "creativecommons", "attribution", "universal", "evil", "compile", "charityware", "perl", "ruby", "copyleft", "apache", "mozilla", "eclipse", "confidential", "unauthorized",
 )
 
 #: (label, keyword, name): the keyword is a word of every text that the name matches, or with * an end of one.
@@ -193,7 +192,7 @@ WORDING = [
     ("unlicense", "unlicense", 3, 0.9, r"unlicense org"),
     ("wtfpl", "fuck", 2, 0.95, r"do what the fuck you want to public license"),
     ("wtfpl", "fuck", 4, 0.8, r"you just do what the fuck you want to"),
-    ("beerware", "beer", 2, 0.95, r"you can buy me a beer in return"),
+    ("beerware", "beerware", 3, 0.9, r"beerware licen[cs]e"),
     ("zlib", "altered", 2, 0.95, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("zlib", "misrepresented", 3, 0.9, r"the origin of this software must not be misrepresented"),
     ("zlib", "liable", 4, 0.8, r"in no event will the authors be held liable for any damages arising from the use of this software"),
@@ -313,12 +312,17 @@ def _survivors(found: Column) -> Column:
     return F.sort_array(kept)
 
 
+def _words(clean: Column) -> Column:
+    """How many words a text has that is its words with one space between."""
+    return F.when(clean == "", F.lit(0).cast("long")).otherwise((F.octet_length(clean) - F.octet_length(F.replace(clean, F.lit(" "), F.lit(""))) + 1).cast("long"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
-    docs = store.without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "__low", "__norm", "__stems", "__gate", "__found", "__base")
+    docs = store.without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "__low", "__clean", "__norm", "__stems", "__gate", "__found", "__base")
     names = docs.columns
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), CAPITALS, SMALL)
-    df = docs.withColumn("__low", lowered).withColumn("n_words", F.regexp_count("__low", F.lit(WORD)).cast("long"))
+    df = docs.withColumn("__low", lowered).withColumn("__clean", F.trim(F.regexp_replace("__low", GAP, " "))).withColumn("n_words", _words(F.col("__clean")))
     stems = F.lit(False)
     for s in STEMS:
         stems = stems | F.contains(F.col("__low"), F.lit(s))
@@ -327,7 +331,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for p in spaced:
         phrases = phrases | F.col("__low").rlike(p)
     df = df.withColumn("__stems", stems).withColumn("__gate", F.col("__stems") | phrases)
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", GAP, " ")), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.col("__clean"), F.lit(" "))
     df = df.withColumn("__norm", F.when(F.col("__gate"), padded))
     for k, (p, _) in enumerate(BASE):
         parts = F.split(F.col("__norm"), F.lit(rf"(?<= ){p}(?= )"), -1)
