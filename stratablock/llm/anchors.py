@@ -260,7 +260,7 @@ def _contents(rows: DataFrame, scheme: Scheme, shared, parts: int) -> DataFrame:
                 size = found["b"].astype(np.int64) - found["a"] + scheme.window
                 held.append((found["key"], found["ck"], np.ones(len(size), np.int64), size, _places(found, who), fine))
                 n += len(found)
-            if n >= 1_000_000:
+            if n >= 500_000:
                 yield flush()
                 held, n = [], 0
         if held:

@@ -26,7 +26,7 @@ from . import store
 
 BITS = 28
 #: Keys that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 #: Bits of the second bitmap, of keys with many different contents.
 BUSY_BITS = 24
