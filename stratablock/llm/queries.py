@@ -87,4 +87,9 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": oracles.URLS}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRINGS,
+    "op3_url_filters": oracles.URLS,
+    "op5_jaccard_join": oracles.JACCARD,
+    "op9_decontamination": oracles.BENCHMARK,
+}

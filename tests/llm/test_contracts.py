@@ -6,6 +6,7 @@ import os
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -165,5 +166,16 @@ def test_op10(spark, docs):
     assert np.mean(right) > 0.8
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda df: sorted((tuple(None if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
+    assert plain(got) == plain(want)
+
+
 def test_registered_once():
     assert sorted(queries.QUERIES) == sorted(COLUMNS)
