@@ -150,7 +150,8 @@ def test_probabilities_of_every_context_sum_to_one(shards, busy):
     known = sorted({w for t in learned for w in t.split()})
     # every word, the end, and one that is not known, after every word and after a start
     probes = [f"{u} {w}" for u in known for w in [*known, "zzz"]] + known + ["zzz", ""]
-    hot = np.sort(text.Words(*text.buffers(pa.array(busy, pa.string()))).hashes()) if busy else np.zeros(0, np.uint64)
+    hashes = text.Words(*text.buffers(pa.array(busy, pa.string()))).hashes().view(np.int64).tolist()
+    hot = pitman_yor.hot_of({h: 1.5 + 4 * k for k, h in enumerate(hashes)}, shards)
     texts = learned + probes
     ((totals, b, count, log),) = in_process(texts, [True] * 30 + [False] * len(probes), shards, hot)
     assert totals.types == len(known) + 1 and totals.tokens == 30 * 41
@@ -171,7 +172,7 @@ def test_probabilities_of_every_context_sum_to_one(shards, busy):
 def test_blocks_do_not_change_what_is_learned():
     texts = [" ".join(words(k, 60, 30)) for k in range(40)]
     learn = [k % 3 > 0 for k in range(40)]
-    none = np.zeros(0, np.uint64)
+    none = pitman_yor.hot_of({}, 2)
     ((whole, b, count, log),) = in_process(texts, learn, 2, none)
     parts = list(in_process(texts * 1, learn, 2, none, size=1))
     assert (parts[0][0].types, parts[0][0].tokens, parts[0][0].customers) == (whole.types, whole.tokens, whole.customers)
