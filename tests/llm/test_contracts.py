@@ -13,6 +13,7 @@ import pytest
 from test_dedup import brute_classes, repeats
 from test_scans import brute_base, brute_hits
 from test_text_models import brute_surface
+from test_vectors import brute_negatives
 
 from stratablock.llm import queries
 
@@ -29,6 +30,9 @@ COLUMNS = {
     "op7_lm_scoring": "doc_id bigint held_out boolean n_tokens bigint n_known bigint train_tokens bigint base_score double score double",
     "op8_suffix_array_dedup": "doc_id bigint n_bytes bigint n_removed bigint n_spans bigint kept_sha256 string",
     "op9_decontamination": "doc_id bigint n_words bigint n_hit bigint n_items bigint items_sha256 string contaminated boolean",
+    "op11_hard_negatives": "anchor_id bigint positive_id bigint rank int negative_id bigint positive_score bigint negative_score bigint",
+    "op12_sentencepiece": "doc_id bigint n_tokens bigint ids_sha256 string decoded_sha256 string",
+    "op13_whitening": "vec_id bigint component int n bigint deviation bigint whitened double explained double identity_error double",
     "op10_quality_rules": "doc_id bigint n_words bigint word_chars bigint n_symbols bigint n_dup_lines bigint n_repeat_words bigint base_failed boolean kept boolean",
 }
 
@@ -179,3 +183,37 @@ def test_query_equals_sql(spark, name):
 
 def test_registered_once():
     assert sorted(queries.QUERIES) == sorted(COLUMNS)
+
+
+def test_hard_negatives(spark):
+    own = [(i, v, (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in table("embeddings", "vec_id", "embedding", "label")]
+    assert sorted(map(tuple, rows(spark, "op11_hard_negatives"))) == sorted(brute_negatives(own))
+
+
+def test_sentencepiece(spark, docs):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = one(spark, "op12_sentencepiece", docs)
+    for i, text in docs:
+        ids = library.encode(text or "", add_bos=True, add_eos=True)
+        r = found[i]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode()))
+
+
+def test_whitening(spark):
+    own = table("embeddings", "vec_id", "embedding")
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in own])
+    n, total = len(x), x.sum(axis=0)
+    centred = x - total / n
+    e, u = np.linalg.eigh(centred.T @ centred / n)
+    want = (centred @ u[:, ::-1] / np.sqrt(e[::-1]))[:, :32]
+    found = rows(spark, "op13_whitening")
+    assert len(found) == n * 32 and {r.n for r in found} == {n} and max(r.identity_error for r in found) < 1e-8
+    at, deviation = {i: k for k, (i, _) in enumerate(own)}, ((n * x - total) ** 2).sum(axis=1)
+    got = np.zeros((n, 32))
+    for r in found:
+        got[at[r.vec_id], r.component - 1] = r.whitened
+        assert r.deviation == deviation[at[r.vec_id]] and abs(r.explained - e[-r.component] / e.sum()) < 1e-9
+    assert np.allclose(got * np.sign((got * want).sum(axis=0)), want, atol=1e-7)
