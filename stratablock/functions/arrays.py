@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 from operator import add
 
@@ -80,3 +82,8 @@ def safe_cosine(a: Column, b: Column) -> Column:
 def safe_name(path: Column) -> Column:
     """Path separators and blanks become underscores."""
     return F.regexp_replace(path, r"[/\\ ]", "_")
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it; the optimizer does not write it out again."""
+    return F.get(F.transform(F.array(value), f), 0)

@@ -261,14 +261,17 @@ def mean_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.mean_projection(nodes, moved).select("id", "node", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
-@query("straighten_faces")
+@query("straighten_faces", syn.sql("""
+SELECT id, face, surface_type, pos, vid AS node, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) + 0 AS z FROM flat""", syn.CORNERS, syn.PLANES))
 def straighten_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = planes.straighten_faces(_corners(spark, sf_dir), ["id", "face"])
-    return out.select("id", "face", "surface_type", "pos", "node", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return out.select("id", "face", "surface_type", "pos", "node", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
-@query("regularize")
+@query("regularize", syn.sql("""
+SELECT v.id, v.vid AS node, round(coalesce(m.x, v.x), 6) + 0 AS x, round(coalesce(m.y, v.y), 6) + 0 AS y, round(coalesce(m.z, v.z), 6) + 0 AS z
+FROM vertices v LEFT JOIN meant m ON m.id = v.id AND m.vid = v.vid""", syn.CORNERS, syn.PLANES))
 def regularize(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = syn.vertices(spark, sf_dir).select(F.col("file").alias("id"), F.col("vid").alias("node"), "x", "y", "z")
     faces = syn.rings(spark, sf_dir).select(F.col("obj").alias("id"), "face", F.col("vids").alias("cycle"))
-    return planes.regularize(nodes, faces)[0]
+    return planes.regularize(nodes, faces)[0].select("id", "node", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))

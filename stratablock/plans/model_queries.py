@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, random
-from ..operators import cycles, diffusion, export, graph, network
+from ..operators import cycles, diffusion, export, graph, mesh, network
+from ..sources import cityjson
 from . import synthetic as syn
 from .registry import query
 
@@ -60,8 +61,9 @@ probs AS (
 
 
 def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.directed_edges(syn.rings(spark, sf_dir)).select(F.col("obj").alias("id"), "src", "dst", F.lit(1).alias("e"))
-    a = graph.nodes(graph.directed_edges(syn.rings(spark, sf_dir))).select(F.col("obj").alias("id"), F.col("vid").alias("src"))
+    directed = graph.directed_edges(syn.rings(spark, sf_dir))
+    edges = directed.select(F.col("obj").alias("id"), "src", "dst", F.lit(1).alias("e"))
+    a = graph.nodes(directed).select(F.col("obj").alias("id"), F.col("vid").alias("src"))
     every = a.join(a.withColumnRenamed("src", "dst"), "id").filter("src <> dst").join(edges, ["id", "src", "dst"], "left")
     return every.select("id", "src", "dst", F.when(F.col("e").isNull(), 0.25).otherwise(0.5 + ((F.col("src") + F.col("dst") + F.col("id")) % 5) / 8.0).alias("prob"))
 
@@ -405,12 +407,35 @@ def hash_uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.round(random.uniform(1, F.col("doc_id")), 9).alias("u"), F.round(random.normal(1, F.col("doc_id")), 6).alias("z"))
 
 
-@query("reconstruct_buildings")
+#: The cycles of the edges over the threshold are faces; their corners go through the planes.
+RECONSTRUCTED = CYCLES.replace("directed", "linked").format(mesh=syn.SQL.strip() + ",\nlinked AS (SELECT * FROM directed WHERE (src + dst + id) % 5 <> 0)").replace(
+    "SELECT id, array_to_string(path, ',') AS cycle FROM closed c", ", cycle AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY path) - 1 AS face FROM closed c"
+) + "), " + """
+corner_of AS (SELECT id, face, generate_subscripts(path, 1) - 1 AS pos, unnest(path) AS vid FROM cycle),
+pts AS (SELECT c.id, c.face, c.pos, c.vid, v.x, v.y, v.z FROM corner_of c JOIN vertices v ON v.id = c.id AND v.vid = c.vid),
+""" + syn.PLANES.strip() + """,
+closed_faces AS (
+  SELECT c.id, '[' || string_agg('[[' || array_to_string(path, ',') || ']]', ',' ORDER BY c.face) || ']' AS boundaries,
+    string_agg(s.surface_type, ',' ORDER BY c.face) AS surfaces FROM cycle c JOIN snapped s ON s.id = c.id AND s.face = c.face GROUP BY c.id)
+SELECT f.id, 'building_' || f.id AS name, boundaries, surfaces,
+  string_agg(round(coalesce(m.x, v.x) * 100000)::BIGINT || ' ' || round(coalesce(m.y, v.y) * 100000)::BIGINT || ' ' || round(coalesce(m.z, v.z) * 100000)::BIGINT, ',' ORDER BY v.vid) AS vertices
+FROM closed_faces f JOIN vertices v ON v.id = f.id LEFT JOIN meant m ON m.id = v.id AND m.vid = v.vid GROUP BY f.id, boundaries, surfaces
+"""
+
+
+@query("reconstruct_buildings", RECONSTRUCTED)
 def reconstruct_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge probabilities to documents: faces, planes, JSON text."""
+    """Edge probabilities to documents: faces, planes, JSON text; and the text read back."""
     nodes = syn.vertices(spark, sf_dir).select(F.col("file").alias("id"), F.col("vid").alias("node"), "x", "y", "z")
     found = export.reconstruct(nodes, _probs(spark, sf_dir))
-    return export.document(found, F.concat(F.lit("building_"), F.col("id").cast("string"))).select("id", "json")
+    docs = export.document(found, F.concat(F.lit("building_"), F.col("id").cast("string"))).select(F.col("id").alias("file"), F.col("json").alias("value"))
+    parsed = cityjson.parse(docs)
+    units = F.transform("vertices", lambda v: F.array_join(F.transform(v, lambda c: F.round(c * 100000).cast("long").cast("string")), " "))
+    flat = mesh.geometries(mesh.objects(parsed)).select(
+        "file", F.col("obj").alias("name"), F.to_json(F.col("boundaries")[0]).alias("boundaries"),
+        F.array_join(F.transform(F.col("values")[0], lambda k: mesh.kind(F.col("surfaces"), k)), ",").alias("surfaces"),
+    )
+    return flat.join(parsed.select("file", F.array_join(units, ",").alias("vertices")), "file").withColumnRenamed("file", "id")
 
 
 #: Weights of a small untrained network under which some nodes are active and some pairs pass the threshold.

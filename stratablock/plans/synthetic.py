@@ -87,3 +87,51 @@ nodes AS (
 def sql(body: str, *more: str) -> str:
     """A query over the mesh tables, with further common tables."""
     return "WITH " + ",\n".join([SQL.strip(), *(m.strip() for m in more)]) + "\n" + body
+
+
+#: The corners ``pts`` (id, face, pos, vid, x, y, z) in the planes of their faces: ``flat`` has them with ``surface_type``, ``meant`` the corners' means by node.
+#: Eigenvalues are the roots of the characteristic polynomial; what is left of the matrix without the larger ones has the wanted direction in its columns.
+PLANES = """
+cen AS (SELECT id, face, count(*) AS k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pts GROUP BY id, face),
+middle AS (SELECT id, sum(cx * k) / sum(k) AS mx, sum(cy * k) / sum(k) AS my, sum(cz * k) / sum(k) AS mz FROM cen GROUP BY id),
+spread AS (
+  SELECT p.id, p.face, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, sum((x - cx) * (x - cx)) AS xx, sum((x - cx) * (y - cy)) AS xy,
+    sum((x - cx) * (z - cz)) AS xz, sum((y - cy) * (y - cy)) AS yy, sum((y - cy) * (z - cz)) AS yz, sum((z - cz) * (z - cz)) AS zz
+  FROM pts p JOIN cen c ON c.id = p.id AND c.face = p.face GROUP BY p.id, p.face),
+shape AS (SELECT *, (xx + yy + zz) / 3 AS q FROM spread),
+size AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM shape),
+turn AS (
+  SELECT *, CASE WHEN s <= 0.000001 * q THEN 0 ELSE acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * s * s * s)))) / 3 END AS phi
+  FROM size),
+roots AS (SELECT *, q + 2 * s * cos(phi) AS l3, q + 2 * s * cos(phi + 2 * pi() / 3) AS l1 FROM turn),
+three AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM roots),
+kinds AS (SELECT *, l2 - l1 <= 0.000001 * l3 AS tie, s <= 0.000001 * q AS ball FROM three),
+rest AS (
+  SELECT *, CASE WHEN ball THEN 1 WHEN tie THEN l3 - xx ELSE (xx - l2) * (xx - l3) + xy * xy + xz * xz END AS mxx, CASE WHEN ball THEN 0 WHEN tie THEN -xy ELSE (xx - l2) * xy + xy * (yy - l3) + xz * yz END AS mxy,
+    CASE WHEN ball THEN 0 WHEN tie THEN -xz ELSE (xx - l2) * xz + xy * yz + xz * (zz - l3) END AS mxz, CASE WHEN ball THEN 1 WHEN tie THEN l3 - yy ELSE xy * xy + (yy - l2) * (yy - l3) + yz * yz END AS myy,
+    CASE WHEN ball THEN 0 WHEN tie THEN -yz ELSE xy * xz + (yy - l2) * yz + yz * (zz - l3) END AS myz, CASE WHEN ball THEN 1 WHEN tie THEN l3 - zz ELSE xz * xz + yz * yz + (zz - l2) * (zz - l3) END AS mzz
+  FROM kinds),
+chosen AS (
+  SELECT *, CASE WHEN tie THEN CASE WHEN mzz > 0.000000001 * (mxx + myy + mzz) THEN 'z' WHEN myy > 0.000000001 * (mxx + myy + mzz) THEN 'y' ELSE 'x' END
+    WHEN mzz >= greatest(mxx, myy) THEN 'z' WHEN myy >= mxx THEN 'y' ELSE 'x' END AS col FROM rest),
+direction AS (
+  SELECT *, CASE col WHEN 'z' THEN mxz WHEN 'y' THEN mxy ELSE mxx END AS dx, CASE col WHEN 'z' THEN myz WHEN 'y' THEN myy ELSE mxy END AS dy,
+    CASE col WHEN 'z' THEN mzz WHEN 'y' THEN myz ELSE mxz END AS dz FROM chosen),
+unit AS (
+  SELECT d.id, d.face, cx, cy, cz, dx / sqrt(dx * dx + dy * dy + dz * dz) AS ux, dy / sqrt(dx * dx + dy * dy + dz * dz) AS uy, dz / sqrt(dx * dx + dy * dy + dz * dz) AS uz,
+    mx, my, mz FROM direction d JOIN middle m ON m.id = d.id),
+sided AS (SELECT *, ux * (cx - mx) + uy * (cy - my) + uz * (cz - mz) AS side FROM unit),
+facing AS (
+  SELECT *, CASE WHEN abs(side) > 0.000000001 THEN sign(side) WHEN abs(uz) > 0.000000001 THEN sign(uz) WHEN abs(uy) > 0.000000001 THEN sign(uy) ELSE sign(ux) END AS o FROM sided),
+outer_ AS (SELECT id, face, cx, cy, cz, ux * o AS ux, uy * o AS uy, uz * o AS uz FROM facing),
+snapped AS (
+  SELECT id, face, cx, cy, cz, CASE WHEN abs(uz) < 0.1 OR uz <= 0 AND uz >= -0.9 THEN 'WallSurface' WHEN uz > 0 THEN 'RoofSurface' ELSE 'GroundSurface' END AS surface_type,
+    CASE WHEN abs(uz) > 0.9 THEN 0 WHEN abs(uz) < 0.1 THEN ux / sqrt(ux * ux + uy * uy) ELSE ux END AS nx,
+    CASE WHEN abs(uz) > 0.9 THEN 0 WHEN abs(uz) < 0.1 THEN uy / sqrt(ux * ux + uy * uy) ELSE uy END AS ny,
+    CASE WHEN abs(uz) > 0.9 THEN sign(uz) WHEN abs(uz) < 0.1 THEN 0 ELSE uz END AS nz FROM outer_),
+away AS (SELECT p.*, surface_type, nx, ny, nz, (x - cx) * nx + (y - cy) * ny + (z - cz) * nz AS a FROM pts p JOIN snapped s ON s.id = p.id AND s.face = p.face),
+flat AS (SELECT id, face, pos, vid, surface_type, x - a * nx AS x, y - a * ny AS y, z - a * nz AS z FROM away),
+meant AS (SELECT id, vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM flat GROUP BY id, vid)
+"""
+#: Corners of the prisms' own faces.
+CORNERS = "pts AS (SELECT f.id, f.face, f.pos, f.vid, v.x, v.y, v.z FROM faces f JOIN vertices v ON v.id = f.id AND v.vid = f.vid)"

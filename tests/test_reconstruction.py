@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -62,14 +63,55 @@ def test_few_active_nodes_are_dropped(spark):
     assert among.count() == 9 and among.filter("src = 0 and dst = 2").first().prob == pytest.approx(3.1)
 
 
-@pytest.mark.parametrize("points,kind", [([[0, 0, 1], [1, 0, 1.05], [1, 1, 0.95], [0, 1, 1]], None), ([[0, 0, 0], [2, 0, 0], [2, 0.01, 2], [0, 0, 2]], "WallSurface")])
-def test_straightened_corners_lie_in_a_plane(points, kind):
-    moved, found = planes.straighten(np.array(points, float))
+def flat(spark, faces):
+    """Faces (lists of points) of one building, straightened: (points, surface type) by face."""
+    rows = [(1, f, pos, pos, *map(float, p)) for f, points in enumerate(faces) for pos, p in enumerate(points)]
+    found = planes.straightened(spark.createDataFrame(rows, "id long, face int, pos int, node int, x double, y double, z double"), ["id", "face"])
+    return {r.face: (np.array([[c.x, c.y, c.z] for c in r.p]), r.surface_type) for r in found.collect()}
+
+
+@pytest.mark.parametrize("points,kind", [([[0, 0, 1], [1, 0, 1.05], [1, 1, 0.95], [0, 1, 1]], "RoofSurface"), ([[0, 0, 0], [2, 0, 0], [2, 0.01, 2], [0, 0, 2]], "WallSurface")])
+def test_straightened_corners_lie_in_a_plane(spark, points, kind):
+    moved, found = flat(spark, [points])[0]
     spread = moved - moved.mean(axis=0)
-    assert np.linalg.eigvalsh(spread.T @ spread)[0] < 1e-12
-    assert kind is None or found == kind
-    if kind is None:
-        assert np.ptp(moved[:, 2]) < 1e-12 and found in ("RoofSurface", "GroundSurface")
+    assert np.linalg.eigvalsh(spread.T @ spread)[0] < 1e-12 and found == kind
+    if kind == "RoofSurface":
+        assert np.ptp(moved[:, 2]) < 1e-12
+
+
+def test_normals_point_out_of_the_building(spark):
+    box = np.array([[x, y, z] for z in (0, 3) for x, y in ((0, 0), (4, 0), (4, 2), (0, 2))], float)
+    slope = [[0, 0, 5], [4, 0, 9], [4, 2, 9], [0, 2, 5]]
+    under = [[0, 0, -2], [4, 0, -4], [4, 2, -4], [0, 2, -2]]
+    found = flat(spark, [box[:4], box[4:], box[[0, 1, 5, 4]], slope, under])
+    assert [found[k][1] for k in range(5)] == ["GroundSurface", "RoofSurface", "WallSurface", "RoofSurface", "WallSurface"]
+    assert np.allclose(found[3][0], slope) and np.allclose(found[4][0], under)
+
+
+def test_normals_equal_the_solver_of_a_library(spark):
+    rng = np.random.default_rng(5)
+    faces = [rng.normal(size=(k % 6 + 3, 3)) * rng.choice([1e-3, 1.0, 1e3], 3) for k in range(60)]
+    found = flat(spark, faces)
+    for k, points in enumerate(faces):
+        away = points - points.mean(axis=0)
+        spread, axes = np.linalg.eigh(away.T @ away)
+        up = abs(axes[2, 0])
+        normal = np.array([0, 0, 1.0]) if up > 0.9 else axes[:, 0] * [1, 1, up >= 0.1] / (1 if up >= 0.1 else np.hypot(*axes[:2, 0]))
+        assert spread[1] - spread[0] < 1e-3 * spread[1] or np.allclose(found[k][0], points - np.outer(away @ normal, normal), rtol=1e-5, atol=1e-5 * np.abs(points).max())
+
+
+@pytest.mark.parametrize("points, kind", [([[1, 1, 1]] * 3, "RoofSurface"), ([[0, 0, 0], [1, 0, 0], [2, 0, 0]], "RoofSurface"), ([[0, 0, 0], [0, 0, 1], [0, 0, 5]], "WallSurface"), ([[0, 0, 0], [1, 1, 0], [0, 1, 1], [1, 0, 1]], "RoofSurface")])
+def test_most_upright_of_equal_directions(spark, points, kind):
+    """One point, corners on a line, on a vertical line, and equal spreads in all directions."""
+    moved, found = flat(spark, [points])[0]
+    assert found == kind and np.ptp(moved[:, 2]) < 1e-9 if kind == "RoofSurface" else np.allclose(moved, points)
+
+
+def test_error_function(spark):
+    z = [k / 64 for k in range(-500, 501)] + [0.46875, -0.46875, 4.0, 6.0, 1e-300, 30.0, -30.0]
+    rows = spark.createDataFrame([(x,) for x in z] + [(None,)], "z double")
+    found = {r.z: r.e for r in rows.select("z", diffusion.erf(F.col("z")).alias("e")).collect()}
+    assert max(abs(found[x] - math.erf(x)) for x in z) < 1e-15 and found[None] is None
 
 
 def test_regularize_keeps_free_nodes(spark):

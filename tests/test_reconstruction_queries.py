@@ -1,4 +1,4 @@
-"""Queries that SQL cannot express, against a plain version over the same buildings."""
+"""Queries of planes and networks against a plain version over the same buildings, with a library's decompositions."""
 
 import itertools
 import json
@@ -79,7 +79,7 @@ def test_regularize(spark, buildings):
     assert len(rows) == sum(len(v) for v, _, _ in buildings.values())
     plain = {i: averaged(v, faces) for i, (v, faces, _) in buildings.items() if all(clear(v[f]) for f in faces)}
     assert len(plain) > 0.7 * len(buildings)
-    assert all(np.allclose(plain[r.id][r.node], (r.x, r.y, r.z), atol=1e-9) for r in rows if r.id in plain)
+    assert all(np.allclose(plain[r.id][r.node], (r.x, r.y, r.z), atol=1e-6) for r in rows if r.id in plain)
 
 
 def chordless(edges, longest=8):
@@ -105,7 +105,7 @@ def chordless(edges, longest=8):
 
 
 def test_reconstruct_buildings(spark, buildings):
-    rows = {r.id: json.loads(r.json) for r in registry.QUERIES["reconstruct_buildings"](spark, SF).collect()}
+    rows = {r.id: r for r in registry.QUERIES["reconstruct_buildings"](spark, SF).collect()}
     checked = 0
     for i, (vertices, _, probs) in buildings.items():
         faces = chordless([e for e, p in probs.items() if e[0] < e[1] and p > 0.5])
@@ -113,14 +113,12 @@ def test_reconstruct_buildings(spark, buildings):
         if not faces:
             continue
         doc = rows[i]
-        geometry = doc["CityObjects"][f"building_{i}"]["geometry"][0]
-        assert [f for (f,) in geometry["boundaries"][0]] == faces
-        types = [s["type"] for s in geometry["semantics"]["surfaces"]]
+        assert doc.name == f"building_{i}" and [f for (f,) in json.loads(doc.boundaries)] == faces
         sure = [clear(vertices[f]) for f in faces]
-        assert all(types[k] in flattened(vertices[f])[1] for k, f, ok in zip(geometry["semantics"]["values"][0], faces, sure, strict=True) if ok)
+        assert all(t in flattened(vertices[f])[1] for t, f, ok in zip(doc.surfaces.split(","), faces, sure, strict=True) if ok)
         if all(sure):
             checked += 1
-            assert np.allclose(doc["vertices"], averaged(vertices, faces), atol=1e-9)
+            assert np.allclose([[int(c) / 1e5 for c in v.split()] for v in doc.vertices.split(",")], averaged(vertices, faces), atol=6e-6)
     assert checked > 10
 
 
