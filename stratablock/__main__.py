@@ -24,15 +24,13 @@ def _convert(args: argparse.Namespace) -> int:
     detailed = cityjson.lod_folder(root, 2)
     spark = session.local_session(1 if args.sequential else args.workers or "*")
     began = time.monotonic()
-    done = sinks.convert_or_copy(cityjson.scan_files(spark, detailed), cityjson.simple_folder(detailed)).cache()
-    try:  # the job runs once; its statuses are read twice
-        counts = sinks.summary(done).orderBy("status").collect()
-        for r in counts:
-            print(r["status"], r["files"])
-        print(f"{sum(r['files'] for r in counts)} files in {time.monotonic() - began:.2f} seconds")
-        return sinks.exit_code(done)
-    finally:
-        done.unpersist()
+    done = sinks.convert_or_copy(cityjson.scan_files(spark, detailed), cityjson.simple_folder(detailed))
+    counts = sinks.summary(done).orderBy("status").collect()
+    done.unpersist()
+    for r in counts:
+        print(r["status"], r["files"])
+    print(f"{sum(r['files'] for r in counts)} files in {time.monotonic() - began:.2f} seconds")
+    return int(any(r["status"] == "error" for r in counts))
 
 
 def _sample(args: argparse.Namespace) -> int:
@@ -61,10 +59,11 @@ def _generate(args: argparse.Namespace) -> int:
     ).cache()
     name = F.concat(F.lit("generated_building_"), F.col("id").cast("string"))
     docs = export.file_names(export.document(found, name), "id")
-    print(sinks.save_documents(docs, cfg.inference.output_dir).count(), "buildings")
+    sinks.save_documents(docs, cfg.inference.output_dir)
+    print(found.count(), "buildings")
     if found.count() > 1:
         whole = export.merge(found.withColumn("name", name).withColumn("all", F.lit(0)), ["all"], "id")
-        sinks.save_documents(export.combined(whole, found.withColumn("name", name)), cfg.inference.output_dir).count()
+        sinks.save_documents(export.combined(whole, found.withColumn("name", name)), cfg.inference.output_dir)
     return 0
 
 

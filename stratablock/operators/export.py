@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from . import cycles, dataset, planes
 
 #: Surface types in the order of their semantic index.
@@ -49,16 +50,10 @@ def reconstruct(nodes: DataFrame, probs: DataFrame, threshold: float = 0.5, key:
     )
 
 
-def _quoted(name: Column) -> Column:
-    """A string as a JSON string."""
-    one = F.to_json(F.array(name))
-    return one.substr(F.lit(2), F.length(one) - 2)
-
-
 def _object(name: Column, boundaries: Column, values: Column) -> Column:
     """The JSON member of one building."""
     return F.concat(
-        _quoted(name), F.lit(':{"type":"Building","geometry":[{"type":"Solid","lod":"1","boundaries":['), F.to_json(boundaries),
+        documents.quoted(name), F.lit(':{"type":"Building","geometry":[{"type":"Solid","lod":"1","boundaries":['), F.to_json(boundaries),
         F.lit(f'],"semantics":{{"surfaces":{_SURFACES},"values":['), F.to_json(values), F.lit("]}}]}"),
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, times
-from ..operators import dataset, export, mesh, planes
-from ..sources import cityjson
+from ..functions import arrays, documents, times
+from ..operators import dataset, export, mesh, planes, rewrite
+from ..sources import cityjson, sinks
 from . import synthetic as syn
 from .registry import query
 
@@ -174,16 +174,84 @@ def building_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.file_names(syn.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id")
 
 
-@query("file_job_status", """
-SELECT CASE WHEN json_extract_string(props, '$.k')::INT % 3 = 0 THEN 'converted' WHEN json_extract_string(props, '$.k') IS NULL THEN 'error' ELSE 'copied' END AS status,
-  count(*) AS files FROM events GROUP BY 1""")
+#: Members of made-up documents that no schema names.
+_UNKNOWN = '"extra":{"k":[1,2.5,null],"s":"é\\"x"},'
+
+
+def _city_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prisms as files: rel_path and content. Of ten, one is no JSON, one no city document, one is broken, and one has a vertex too few."""
+    points = syn.vertices(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("points"))
+    faces = syn.rings(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("face", "vids", "surface"))).alias("f"))
+    k = F.col("file")
+    surfaces = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(n).alias("slope")) for n, t in enumerate(syn.SURFACES)))
+    semantics = F.when(k % 6 != 5, F.concat(F.lit(',"semantics":{"surfaces":'), F.to_json(surfaces), F.lit(',"values":['), F.to_json(F.transform("f", lambda f: f["surface"])), F.lit("]}"))).otherwise("")
+    solid = F.concat(F.lit('{"type":"Solid","lod":"2","boundaries":['), F.to_json(F.transform("f", lambda f: F.array(f["vids"]))), F.lit("]"), semantics, F.lit("}"))
+    vertices = F.to_json(F.when(k % 10 == 4, F.slice("points", F.lit(1), F.size("points") - 1)).otherwise(F.col("points")))
+    text = F.concat(
+        F.lit(f'{{"type":"CityJSON",{_UNKNOWN}"CityObjects":{{"b'), k.cast("string"), F.lit('":{"type":"Building","attributes":{"floors":'), (k % 7).cast("string"), F.lit('},"geometry":['),
+        solid, F.lit(',{"type":"MultiPoint","boundaries":[0]}]}},"vertices":'), vertices, F.lit(',"metadata":{"title":"t","datasetLod":"2"}}'),
+    )
+    body = F.when(k % 10 == 1, F.lit("notes")).when(k % 10 == 2, F.lit('{"type":"Feature"}')).when(k % 10 == 3, F.lit("{")).otherwise(text)
+    name = F.concat(F.lit("part/"), k.cast("string"), F.when(k % 10 == 1, ".txt").otherwise(".City.JSON"))
+    rows = points.join(faces, "file").select(k.alias("id"), name.alias("rel_path"), F.encode(body, "UTF-8").alias("content"))
+    return rows.groupBy("id", "rel_path").agg(F.first("content").alias("content"))  # a row each: texts are made once, not wherever they are read
+
+
+_STATUS = """
+status AS (
+  SELECT id, n, h, z0, CASE WHEN id % 10 IN (1, 2) THEN 'copied' WHEN id % 10 = 3 OR id % 10 = 4 AND id % 6 <> 5 THEN 'error' ELSE 'converted' END AS status FROM b)
+"""
+
+
+@query("file_job_status", syn.sql("SELECT status, count(*) AS files FROM status GROUP BY status", _STATUS))
 def file_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON text decides what happens to a file; states are counted."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    status = F.when(k % 3 == 0, "converted").when(k.isNull(), "error").otherwise("copied")
-    from ..sources import sinks
+    """What becomes of files, from the job's own rows."""
+    return sinks.summary(rewrite.converted_files(_city_files(spark, sf_dir).select("rel_path", "content")))
+
+
+@query("converted_documents", syn.sql("""
+SELECT s.id, status, CASE WHEN status = 'converted' THEN CASE WHEN id % 6 = 5 THEN '2' ELSE '1' END END AS lod,
+  CASE WHEN status = 'converted' THEN CASE WHEN id % 6 = 5 THEN 2 * n - (id % 10 = 4)::INT ELSE 3 * n END END AS n_vertices,
+  CASE WHEN status = 'converted' THEN 2 + n END AS n_faces,
+  CASE WHEN status = 'converted' AND id % 6 <> 5 THEN (SELECT median(z) FROM vertices v WHERE v.id = s.id AND v.vid >= s.n) END AS top,
+  CASE WHEN status = 'converted' THEN (id % 7)::VARCHAR END AS floors, CASE WHEN status = 'converted' THEN '[1,2.5,null]' END AS unknown, CASE WHEN status = 'converted' THEN 'é"x' END AS words,
+  CASE WHEN status = 'converted' AND id % 6 <> 5 THEN '0,1,2' END AS slopes, CASE WHEN status = 'converted' THEN 't1' END AS metadata, CASE WHEN status = 'converted' THEN '{"boundaries":[0],"type":"MultiPoint"}' END AS other
+FROM status s""", _STATUS))
+def converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files converted to blocks and read again: what was made, and what must have survived."""
+    done = rewrite.converted_files(_city_files(spark, sf_dir).select("rel_path", "content"))
+    done = done.withColumn("id", F.regexp_extract("rel_path", r"^part/(\d+)\.", 1).cast("long"))
+    v = F.when(F.col("status") == "converted", F.parse_json(F.decode("body", "UTF-8")))
+    building = F.concat(F.lit("$.CityObjects.b"), F.col("id").cast("string"))
+    at = lambda path, kind="string": F.try_variant_get("v", F.concat(building, F.lit(path)), kind)
+    faces = F.flatten(at(".geometry[0].boundaries", "array<array<variant>>"))
+    points = F.try_variant_get("v", "$.vertices", "array<array<double>>")
+    block = at(".geometry[0].lod") == "1"
+    return done.withColumn("v", v).select(
+        "id", "status", at(".geometry[0].lod").alias("lod"), F.size(points).alias("n_vertices"), F.size(faces).alias("n_faces"), F.when(block, F.element_at(points, -1)[2]).alias("top"),
+        at(".attributes.floors").alias("floors"), F.to_json(F.try_variant_get("v", "$.extra.k", "variant")).alias("unknown"), F.try_variant_get("v", "$.extra.s", "string").alias("words"),
+        F.when(block, F.array_join(at(".geometry[0].semantics.surfaces", "array<struct<slope:string>>")["slope"], ",")).alias("slopes"),
+        F.concat(F.try_variant_get("v", "$.metadata.title", "string"), F.try_variant_get("v", "$.metadata.datasetLod", "string")).alias("metadata"),
+        F.to_json(at(".geometry[1]", "variant")).alias("other"),
+    )
+
 
-    return sinks.summary(syn.table(spark, sf_dir, "events").select(status.alias("status")))
+@query("merged_nestings", syn.sql("""
+SELECT g, string_agg(objects, ';' ORDER BY id) AS objects, sum(n)::BIGINT AS n_vertices FROM (
+  SELECT id, id // 10 AS g, 2 * n AS n,
+    id || '=' || CASE id % 4 WHEN 0 THEN o::VARCHAR WHEN 1 THEN '[' || o || ',' || (o + 1) || ']' WHEN 2 THEN '[[[' || o || ',[' || (o + 2) || ']]],[]]' ELSE '[[[[' || o || ',' || (o + 1) || ',' || (o + 2) || ']]]]' END AS objects
+  FROM (SELECT id, n, coalesce(sum(2 * n) OVER (PARTITION BY id // 10 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM b)) GROUP BY g"""))
+def merged_nestings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents to one, whose boundaries differ in depth: a number, a list, uneven lists, a solid's."""
+    points = syn.vertices(spark, sf_dir).groupBy("file").agg(F.collect_list(F.array("x", "y", "z")).alias("p"))
+    k = F.col("file")
+    nested = F.when(k % 4 == 0, "0").when(k % 4 == 1, "[0,1]").when(k % 4 == 2, "[[[0,[2]]],[]]").otherwise("[[[[0,1,2]]]]")
+    name = F.lpad(k.cast("string"), 12, "0")
+    text = F.concat(F.lit('{"CityObjects":{"'), name, F.lit('":{"type":"T","geometry":[{"type":"X","boundaries":'), nested, F.lit('}]}},"vertices":'), F.to_json("p"), F.lit("}"))
+    whole = rewrite.merged(points.select(F.floor(k / 10).alias("g"), k.alias("id"), text.alias("value")), ["g"], "id").withColumn("v", F.parse_json("json"))
+    objects = F.map_entries(documents.as_object(F.col("v"), "$.CityObjects"))
+    shown = lambda e: F.concat(e["key"].cast("long").cast("string"), F.lit("="), F.to_json(F.try_variant_get(e["value"], "$.geometry[0].boundaries", "variant")))
+    return whole.select("g", F.array_join(F.transform(objects, shown), ";").alias("objects"), F.size(F.try_variant_get("v", "$.vertices", "array<variant>")).cast("long").alias("n_vertices"))
 
 
 @query("path_names", r"""

@@ -1,78 +1,33 @@
 """Writing documents under exact names, and the convert-or-copy job.
 
-Files are written by the tasks that hold them, to a folder that every executor
-mounts or to a store by its URI. A write goes to a temporary name first, so a
-repeated task leaves whole files only. What happened to each file comes back as rows.
+What happened to each file comes back as rows.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable, Iterator
 from pathlib import Path
-from statistics import median
 
-import pandas as pd
-from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rewrite
+from . import exact
 
-def _write(folder: str, name: str, data: bytes) -> None:
-    """A whole file or none: under another name first. ``folder`` is a path, or a URI of any store that Arrow can write to."""
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-    path = f"{root.rstrip('/')}/{name}"
-    parent, _, last = path.rpartition("/")
-    part = f"{parent}/.{last}.{uuid.uuid4().hex}"
-    store.create_dir(parent, recursive=True)
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
 
+def save_documents(rows: DataFrame, folder: str | Path, name: str = "file_name", body: str = "json") -> None:
+    """Write each row's text under its name: all files, or none if a task fails for good."""
+    exact.write(rows.select(F.col(name).alias("name"), F.col(body).alias("body")), str(folder))
 
-def save_documents(rows: DataFrame, folder: str | Path, name: str = "file_name", body: str = "json") -> DataFrame:
-    """Write each row's text under its name; returns name and bytes, once acted upon."""
-    target = str(folder)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sizes = []
-            for n, b in zip(f["name"], f["body"], strict=True):
-                data = b.encode()
-                _write(target, n, data)
-                sizes.append(len(data))
-            yield pd.DataFrame({"name": f["name"], "bytes": sizes})
+def convert_or_copy(files: DataFrame, folder: str | Path) -> DataFrame:
+    """rel_path, status, message, body of every file of ``files`` (rel_path, content), of which those without an error are in ``folder`` now.
 
-    return rows.select(F.col(name).alias("name"), F.col(body).alias("body")).mapInPandas(run, "name string, bytes long")
-
-
-def convert_or_copy(files: DataFrame, folder: str | Path, convert: Callable[[dict], dict] | None = None) -> DataFrame:
-    """rel_path, status (converted, copied, error), message for every file of ``files`` (rel_path, content).
-
-    JSON objects of type CityJSON are converted, keys that the schema does not
-    know included; everything else is copied byte by byte. An error concerns its file only.
+    The rows stay on the executors' disks, so that the work that was written is the work that is counted; the caller unpersists them.
     """
-    target, turn = str(folder), convert or block_document
-
-    def one(name: str, content: bytes) -> tuple[str, str]:
-        try:
-            if name.lower().endswith(".json"):
-                doc = json.loads(content.decode("utf-8"))
-                if isinstance(doc, dict) and doc.get("type") == "CityJSON":
-                    _write(target, name, json.dumps(turn(doc)).encode())
-                    return "converted", "converted to LOD1"
-            _write(target, name, content)
-            return "copied", "copied as it is"
-        except Exception as e:  # every failure of a file is a result of the job
-            return "error", f"{type(e).__name__}: {e}"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            done = [one(n, bytes(c)) for n, c in zip(f["rel_path"], f["content"], strict=True)]
-            yield pd.DataFrame({"rel_path": f["rel_path"], "status": [s for s, _ in done], "message": [m for _, m in done]})
-
-    return files.select("rel_path", "content").mapInPandas(run, "rel_path string, status string, message string")
+    done = rewrite.converted_files(files).persist(StorageLevel.DISK_ONLY)
+    exact.write(done.select(F.col("rel_path").alias("name"), "body"), str(folder))
+    return done
 
 
 def summary(statuses: DataFrame) -> DataFrame:
@@ -82,75 +37,3 @@ def summary(statuses: DataFrame) -> DataFrame:
 
 def exit_code(statuses: DataFrame) -> int:
     return int(not statuses.filter("status = 'error'").isEmpty())
-
-
-def _area(ring: list[int], points: list) -> float:
-    return sum(points[a][0] * points[b][1] - points[b][0] * points[a][1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-
-
-class _Block:
-    """The faces of one converted geometry; raised vertices are appended to the document's."""
-
-    def __init__(self, points: list, height: float, labels: tuple[int, int, int]):
-        self.points, self.height = points, height
-        self.ground, self.roof, self.wall = labels
-        self.lifted: dict[int, int] = {}
-        self.faces: list = []
-        self.values: list[int] = []
-
-    def lift(self, vid: int) -> int:
-        if vid not in self.lifted:
-            x, y = self.points[vid][:2]
-            self.lifted[vid] = len(self.points)
-            self.points.append([x, y, self.height])
-        return self.lifted[vid]
-
-    def put(self, rings: list, label: int) -> None:
-        self.faces.append(rings)
-        self.values.append(label)
-
-    def extrude(self, face: list) -> None:
-        rings = []
-        for k, ring in enumerate(face):
-            area = _area(ring, self.points)
-            rings.append(ring[::-1] if (area > 0 if k == 0 else area < 0) else ring)
-        self.put(rings, self.ground)
-        self.put([[self.lift(v) for v in r] for r in rings], self.roof)
-        for ring in rings:
-            for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-                self.put([[a, b, self.lift(b), self.lift(a)]], self.wall)
-
-
-def _block_geometry(geom: dict, points: list) -> dict:
-    """A solid with ground and roof semantics as a block; any other geometry as it is."""
-    semantics = geom.get("semantics")
-    if geom.get("type") != "Solid" or not semantics:
-        return geom
-    surfaces, values = semantics.get("surfaces", []), semantics.get("values", [])
-    last = {s.get("type"): k for k, s in enumerate(surfaces)}
-    ground, roof = last.get("GroundSurface"), last.get("RoofSurface")
-    if ground is None or roof is None:
-        return geom
-    if "WallSurface" not in last:
-        surfaces = [*surfaces, {"type": "WallSurface"}]
-    wall = last.get("WallSurface", len(surfaces) - 1)
-    labelled = [(values[i][j], face) for i, shell in enumerate(geom["boundaries"]) for j, face in enumerate(shell)]
-    floors = [f for label, f in labelled if label == ground]
-    tops = [points[v][2] for label, f in labelled if label == roof and label != ground for ring in f for v in ring]
-    if not floors or not tops:
-        return geom
-    block = _Block(points, median(tops), (ground, roof, wall))
-    for face in floors:
-        block.extrude(face)
-    return {"type": "Solid", "lod": "1", "boundaries": [block.faces], "semantics": {"surfaces": surfaces, "values": [block.values]}}
-
-
-def block_document(doc: dict) -> dict:
-    """A document with its detailed solids as blocks; all other keys stay."""
-    out = dict(doc)
-    points = list(doc["vertices"])
-    if "CityObjects" in doc:
-        out["CityObjects"] = {k: {**o, "geometry": [_block_geometry(g, points) for g in o.get("geometry", [])]} for k, o in doc["CityObjects"].items()}
-    out["vertices"] = points
-    out["metadata"] = {**doc.get("metadata", {}), "datasetLod": "1"}
-    return out

@@ -1,15 +1,18 @@
 import json
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import literals as lit
 
 from stratablock import config
 from stratablock.__main__ import main
-from stratablock.sources import cityjson, metrics, sinks
+from stratablock.sources import cityjson, exact, metrics, sinks
 from stratablock.streaming import convert
 
 
@@ -35,7 +38,7 @@ def test_folders(city):
 
 def test_convert_or_copy(spark, city):
     target = cityjson.simple_folder(city)
-    done = sinks.convert_or_copy(cityjson.scan_files(spark, city), target).cache()
+    done = sinks.convert_or_copy(cityjson.scan_files(spark, city), target)
     assert {r.rel_path: r.status for r in done.collect()} == {
         "sub dir/a+b.city.json": "converted", "sub dir/other.JSON": "copied", "sub dir/broken.json": "error", "sub dir/description.txt": "copied",
     }
@@ -48,10 +51,63 @@ def test_convert_or_copy(spark, city):
     assert {r.file for r in docs.collect()} == {"sub dir/a+b.city.json", "sub dir/other.JSON", "sub dir/broken.json"}
 
 
+def files_below(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+
+
 def test_save_documents(spark, tmp_path):
-    rows = spark.createDataFrame([("x/building_0000.city.json", '{"a":"é"}')], "file_name string, json string")
-    assert sinks.save_documents(rows, tmp_path).first().bytes == 10
-    assert json.loads((tmp_path / "x/building_0000.city.json").read_text()) == {"a": "é"}
+    rows = spark.createDataFrame([("x/building_0000.city.json", '{"a":"é"}'), ("no.json", None), ("y z/+.json", "")], "file_name string, json string")
+    sinks.save_documents(rows, tmp_path)
+    assert files_below(tmp_path) == {"x/building_0000.city.json": '{"a":"é"}'.encode(), "y z/+.json": b""}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x", "y z"]
+
+
+def test_rows_written_are_rows_read(spark, tmp_path):
+    rows = spark.range(500).select(F.format_string("d%d/%03d.bin", F.col("id") % 7, "id").alias("name"), F.encode(F.repeat(F.col("id").cast("string"), 50), "UTF-8").alias("body")).repartition(5)
+    exact.write(rows, f"file://{tmp_path}")
+    back = cityjson.scan_files(spark, tmp_path).select("rel_path", "content").collect()
+    assert {r.rel_path: bytes(r.content) for r in back} == {r.name: bytes(r.body) for r in rows.collect()} and len(back) == 500
+    exact.write(rows.filter("name = 'd0/000.bin'").withColumn("body", F.lit(b"new")), str(tmp_path))
+    assert (tmp_path / "d0/000.bin").read_bytes() == b"new" and len(files_below(tmp_path)) == 500
+
+
+@pytest.mark.parametrize("how", ["raise", "kill"])
+def test_failed_task_leaves_no_file(spark, tmp_path, how):
+    """One task dies in the middle; others have written their files by then."""
+    (tmp_path / "old").write_bytes(b"stays")
+
+    def fail(frames):
+        for f in frames:
+            if (f["id"] == 399).any():
+                time.sleep(2)
+                if how == "raise":
+                    raise ValueError("lost")
+                os.kill(os.getpid(), 9)
+            yield f
+
+    rows = spark.range(400, numPartitions=4).mapInPandas(fail, "id long").select(F.col("id").cast("string").alias("name"), F.lit("x").alias("body"))
+    with pytest.raises(Exception, match="lost|crash|exit|abort|fail"):
+        exact.write(rows, str(tmp_path))
+    assert files_below(tmp_path) == {"old": b"stays"} and len(list(tmp_path.iterdir())) == 1
+
+
+def test_uncommitted_files_are_cleared(tmp_path):
+    writer = exact.ExactWriter(str(tmp_path), 0, 1)
+    own = tmp_path / writer.staging / "000000-0"
+    own.mkdir(parents=True)
+    (own / "half").write_bytes(b"ha")
+    writer.abort([None])
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:1"
+
+    with pytest.raises(ValueError, match="URI"):
+        exact.check_folder(Session, "/data")
+    exact.check_folder(Session, "s3://bucket/data")
 
 
 def test_command_line(spark, city, capsys):

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import literals as lit
+import plain_blocks
 
 from stratablock.operators import graph, lod1, mesh, rings
-from stratablock.sources import cityjson, sinks
+from stratablock.sources import cityjson
 
 
 def tables(spark, **docs):
@@ -50,7 +51,7 @@ def test_box_block(spark):
 def test_relational_and_document_conversion_agree(spark, make):
     doc = make()
     faces, raised, converted = blocks(spark, doc)
-    out = sinks.block_document(json.loads(lit.text(doc)))
+    out = plain_blocks.block_document(json.loads(lit.text(doc)))
     g = lit.geometry(out)
     if not converted:
         assert g == lit.geometry(doc)
@@ -70,7 +71,7 @@ def test_missing_wall_is_appended(spark):
     lit.geometry(doc)["semantics"] = {"surfaces": [{"type": "GroundSurface"}, {"type": "RoofSurface"}], "values": [[0, 1, None, None, None, None]]}
     converted = blocks(spark, doc)[2][0]
     assert converted.surfaces == ["GroundSurface", "RoofSurface", "WallSurface"] and converted.wall == 2
-    assert lit.geometry(sinks.block_document(doc))["semantics"]["surfaces"][2] == {"type": "WallSurface"}
+    assert lit.geometry(plain_blocks.block_document(doc))["semantics"]["surfaces"][2] == {"type": "WallSurface"}
 
 
 def test_courtyard(spark):
@@ -108,7 +109,7 @@ def test_duplicate_ids_and_empty_objects(spark):
 def test_block_document_keeps_unknown_keys():
     doc = lit.variant(extra={"a": 1}, metadata={"title": "t"})
     doc["CityObjects"]["bare"] = {"type": "Tree", "attributes": {"h": 3}}
-    out = sinks.block_document(doc)
+    out = plain_blocks.block_document(doc)
     assert out["extra"] == {"a": 1} and out["metadata"] == {"title": "t", "datasetLod": "1"}
     assert out["CityObjects"]["bare"] == {"type": "Tree", "attributes": {"h": 3}, "geometry": []}
 
