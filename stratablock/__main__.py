@@ -38,12 +38,8 @@ def _sample(args: argparse.Namespace) -> int:
     root = cityjson.find_dataset(args.dataset, [args.data] if args.data else None)
     detailed = cityjson.lod_folder(root, 2)
     spark = session.local_session()
-    names = [
-        cityjson.read_documents(spark, d).select(F.col("file").alias("rel_path"), F.explode(F.map_keys("CityObjects")).alias("obj"))
-        for d in (detailed, cityjson.simple_folder(detailed))
-    ]
-    both = names[0].join(names[1].distinct(), ["rel_path", "obj"], "left_semi")
-    chosen = dataset.seeded_sample(dataset.last_wins(both, "obj", "rel_path"), "obj", args.num_objects, args.seed)
+    levels = [cityjson.read_documents(spark, d).withColumnRenamed("file", "rel_path") for d in (detailed, cityjson.simple_folder(detailed))]
+    chosen = dataset.seeded_sample(dataset.pair_objects(*levels), "obj", args.num_objects, args.seed)
     for r in dataset.group_keys(chosen, "rel_path", "obj").orderBy("rel_path").collect():
         print(r["rel_path"], *r["keys"])
     return 0

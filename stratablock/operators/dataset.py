@@ -34,6 +34,16 @@ def paired_files(detailed: DataFrame, simple: DataFrame) -> DataFrame:
     return detailed.join(simple.select("rel_path"), "rel_path", "left_semi")
 
 
+def pair_objects(detailed: DataFrame, simple: DataFrame) -> DataFrame:
+    """obj, rel_path: objects that both files of a pair have. Files (rel_path, CityObjects: a map) pair up by path; of several pairs with an object the last by path stays.
+
+    Ids meet inside the pair's row. A file that did not parse has no objects.
+    """
+    other = simple.select("rel_path", F.map_keys("CityObjects").alias("__ids"))
+    both = detailed.select("rel_path", F.map_keys("CityObjects").alias("ids")).join(other, "rel_path")
+    return last_wins(both.select("rel_path", F.explode(F.array_intersect("ids", "__ids")).alias("obj")), "obj", "rel_path")
+
+
 def check_ratios(ratios: tuple[float, float, float]) -> None:
     if abs(sum(ratios) - 1.0) >= 1e-5:
         raise ValueError("split ratios must sum to 1.0")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import rings as ring_ops
 
 #: Vertices less than this above the lowest one belong to the base when semantics do not tell.
@@ -118,18 +119,49 @@ def dense_adjacency(at: DataFrame, local: DataFrame, n_max: int) -> DataFrame:
     return graphs.join(near, [*KEY, "node"], "left").select(*KEY, "node", cells.alias("adjacent"))
 
 
-def batches(graphs: DataFrame, nodes_: DataFrame, n_max: int) -> DataFrame:
-    """One row per batch: ids, types and the padded graphs' coordinates, in batch order.
+def sparse(at: DataFrame, local: DataFrame) -> DataFrame:
+    """One row per graph: ``points`` (x, y, z by node), and its edges as ``offsets`` and ``indices``: node k is joined to indices[offsets[k]] up to offsets[k + 1]."""
+    points = at.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z"))), lambda n: F.array(n["x"], n["y"], n["z"])).alias("points"))
+    ends = local.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("e"))
+    before = F.transform(F.sequence(F.lit(0), F.size("points")), lambda k: F.coalesce(F.size(F.filter("e", lambda x: x["src"] < k)), F.lit(0)))
+    rows = points.join(ends, KEY, "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<src:int,dst:int>>")))
+    return rows.select(*KEY, "points", before.alias("offsets"), F.transform("e", lambda x: x["dst"].cast("int")).alias("indices"))
 
-    ``graphs``: obj, type, batch, place; ``nodes_``: of ``padded_nodes``.
+
+def dense(g: Column, n_max: int) -> dict[str, Column]:
+    """A sparse graph (a struct) padded to ``n_max`` nodes: x [n][3], node_categories [n][2] (active, virtual), y [n][n][1], node_mask [n], as floats."""
+    n, places = F.size(g["points"]), F.sequence(F.lit(0), F.lit(n_max - 1))
+    bit = lambda c: c.cast("int").cast("float")
+    near = lambda k: F.when(k < n, F.slice(g["indices"], F.get(g["offsets"], k) + 1, F.get(g["offsets"], k + 1) - F.get(g["offsets"], k))).otherwise(F.array().cast("array<int>"))
+    fits = F.when(n <= n_max, n).otherwise(F.raise_error(F.format_string("a graph has %d nodes, more than n_max", n)).cast("int"))
+    return {
+        "x": F.concat(g["points"], F.array_repeat(F.array(*[F.lit(0.0).cast("float")] * 3), n_max - fits)),
+        "node_categories": F.transform(places, lambda k: F.array(bit(k < n), bit(k >= n))),
+        "y": F.transform(places, lambda i: arrays.let(near(i), lambda own: F.transform(places, lambda j: F.array(bit(F.array_contains(own, j)))))),
+        "node_mask": F.transform(places, lambda k: bit(k < n)),
+    }
+
+
+def collate(graphs: DataFrame, levels: list[DataFrame], n_max: int) -> DataFrame:
+    """One row per batch, in batch order: x, node_categories, y, node_mask, ids, types; with several levels of detail a struct of these for each, ``lod_0``, ``lod_1``, ...
+
+    ``graphs``: obj, batch, place; each level: ``sparse`` graphs with their ``type``. Graphs that a level lacks are left out of all.
+    Graphs travel sparse; a batch is expanded once, where it is.
     """
-    one = nodes_.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z", "category"))).alias("n"))
-    rows = graphs.join(one, "obj").select("batch", F.struct("place", "obj", "type", "n").alias("g"))
-    held = rows.groupBy("batch").agg(F.array_sort(F.collect_list("g")).alias("g"))
-    return held.select(
-        "batch",
-        F.transform("g", lambda g: g["obj"]).alias("ids"),
-        F.transform("g", lambda g: g["type"]).alias("types"),
-        F.transform("g", lambda g: F.transform(g["n"], lambda n: F.array(n["x"], n["y"], n["z"]))).alias("x"),
-        F.transform("g", lambda g: F.transform(g["n"], lambda n: n["category"])).alias("categories"),
-    )
+    own = ("type", "points", "offsets", "indices")
+    rows = graphs.select("obj", "batch", "place")
+    for k, level in enumerate(levels):
+        rows = rows.join(level.select("obj", F.struct(*own).alias(f"lod_{k}")), "obj")
+    names = [f"lod_{k}" for k in range(len(levels))]
+    held = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", "obj", *names))).alias("g"))
+
+    def batch(name: str) -> dict[str, Column]:
+        def stacked(c: str) -> Column:
+            return F.transform("g", lambda g: dense(g[name], n_max)[c]).alias(c)
+
+        tensors = {c: stacked(c) for c in ("x", "node_categories", "y", "node_mask")}
+        return tensors | {"ids": F.transform("g", lambda g: g["obj"]).alias("ids"), "types": F.transform("g", lambda g: g[name]["type"]).alias("types")}
+
+    if len(levels) == 1:
+        return held.select("batch", *batch(names[0]).values())
+    return held.select("batch", *(F.struct(*batch(name).values()).alias(name) for name in names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, documents, times
@@ -51,6 +51,35 @@ def common_objects_last_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.last_wins(one.join(two.select("obj"), "obj", "left_semi"), "obj", "rel_path")
 
 
+#: Two folders of files with ten buildings each: the simple ones lack every fourth file and every third building, and have
+#: buildings of the next file; some buildings are in every file.
+_FOLDERS = """
+WITH one AS (SELECT p_partkey // 10 AS g, 'b' || p_partkey AS obj FROM part UNION SELECT p_partkey // 10, 'shared' || p_partkey % 3 FROM part),
+two AS (
+  SELECT p_partkey // 10 AS g, 'b' || p_partkey AS obj FROM part WHERE p_partkey % 3 <> 0 AND p_partkey // 10 % 4 <> 3
+  UNION SELECT p_partkey // 10, 'b' || (p_partkey + 10) FROM part WHERE p_partkey // 10 % 4 <> 3 UNION SELECT p_partkey // 10, 'shared' || p_partkey % 2 FROM part WHERE p_partkey // 10 % 4 <> 3)
+"""
+
+
+@query("pair_objects", _FOLDERS + "SELECT obj, max(lpad(one.g::VARCHAR, 9, '0') || '.json') AS rel_path FROM one JOIN two USING (g, obj) GROUP BY obj")
+def pair_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that both files of a pair have, from documents as text."""
+    k = F.col("p_partkey")
+    part = syn.table(spark, sf_dir, "part").select(k, F.floor(k / 10).alias("g"))
+
+    def folder(*ids: Column) -> DataFrame:
+        names = part.select("g", F.explode(F.array(*ids)).alias("id")).dropna().distinct()
+        member = F.concat(F.lit('"'), F.col("id"), F.lit('":{"type":"Building"}'))
+        text = F.concat(F.lit('{"vertices":[],"CityObjects":{'), F.concat_ws(",", F.collect_list(member)), F.lit("}}"))
+        rows = names.groupBy("g").agg(text.alias("value"))
+        return cityjson.parse(rows.select(F.concat(F.lpad(F.col("g").cast("string"), 9, "0"), F.lit(".json")).alias("file"), "value")).withColumnRenamed("file", "rel_path")
+
+    there = F.col("g") % 4 != 3
+    name = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    simple = folder(F.when(there & (k % 3 != 0), name("b", k)), F.when(there, name("b", k + 10)), F.when(there, name("shared", k % 2)))
+    return dataset.pair_objects(folder(name("b", k), name("shared", k % 3)), simple)
+
+
 @query("last_wins_dedup", "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = syn.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")

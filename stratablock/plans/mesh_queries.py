@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -373,19 +375,70 @@ def dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("obj").alias("id"), "node", F.array_join(F.transform("adjacent", lambda a: a.cast("string")), "").alias("adjacent"))
 
 
-@query(
-    "graph_batches",
-    syn.sql(
-        """SELECT batch, string_agg(id::VARCHAR, ',' ORDER BY place) AS ids, count(*) * 10 AS n_nodes FROM (
-          SELECT id, (r // 32) AS batch, r % 32 AS place FROM (SELECT id, row_number() OVER (ORDER BY md5('42:0:' || id::VARCHAR), id) - 1 AS r FROM b))
-        GROUP BY batch"""
-    ),
-)
+#: Graphs of one or two levels in batches of 32, padded to ten nodes: what a batch holds, as text.
+_BATCHES = """
+placed_graph AS (SELECT id, r // 32 AS batch, r % 32 AS place FROM (SELECT id, row_number() OVER (ORDER BY md5('42:0:' || id::VARCHAR), id) - 1 AS r FROM b)),
+slots AS (SELECT unnest(range(0, 10)) AS k),
+floor_nodes AS (SELECT id, vid, vid AS node FROM nodes WHERE vid < (SELECT n FROM b WHERE b.id = nodes.id)),
+floor_edges AS (SELECT id, vid AS src, nxt AS dst FROM ring_edges WHERE face = 0 UNION SELECT id, nxt, vid FROM ring_edges WHERE face = 0)
+"""
+
+
+def _batch_sql(nodes: str, edges: str, name: str, where: str = "TRUE") -> str:
+    return f"""
+{name}_x AS (SELECT g.id, string_agg(coalesce(v.x::INT || ' ' || v.y::INT || ' ' || v.z::INT, '0 0 0'), ',' ORDER BY k) AS x,
+    string_agg(CASE WHEN v.id IS NULL THEN '01' ELSE '10' END, '' ORDER BY k) AS categories, string_agg((v.id IS NOT NULL)::INT::VARCHAR, '' ORDER BY k) AS mask
+  FROM placed_graph g CROSS JOIN slots LEFT JOIN {nodes} n ON n.id = g.id AND n.node = k LEFT JOIN vertices v ON v.id = n.id AND v.vid = n.vid WHERE {where} GROUP BY g.id),
+{name}_y AS (SELECT g.id, string_agg((e.id IS NOT NULL)::INT::VARCHAR, '' ORDER BY i.k, j.k) AS y
+  FROM placed_graph g CROSS JOIN slots i CROSS JOIN slots j LEFT JOIN {edges} e ON e.id = g.id AND e.src = i.k AND e.dst = j.k WHERE {where} GROUP BY g.id),
+{name} AS (SELECT batch, string_agg(g.id::VARCHAR, ',' ORDER BY place) AS ids, string_agg(x, ';' ORDER BY place) AS x, string_agg(categories, ';' ORDER BY place) AS categories,
+    string_agg(mask, ';' ORDER BY place) AS mask, string_agg(y, ';' ORDER BY place) AS y
+  FROM placed_graph g JOIN {name}_x a ON a.id = g.id JOIN {name}_y c ON c.id = g.id GROUP BY batch)
+"""
+
+
+def _shown(b: Callable[[str], Column]) -> dict[str, Column]:
+    """A batch's tensors as text: numbers are whole."""
+    text = lambda c: c.cast("int").cast("string")
+    row = lambda r, sep: F.array_join(F.transform(r, text), sep)
+    each = lambda name, one: F.array_join(F.transform(b(name), one), ";")
+    return {
+        "ids": F.array_join(F.transform(b("ids"), lambda i: i.cast("string")), ","),
+        "x": each("x", lambda g: F.array_join(F.transform(g, lambda p: row(p, " ")), ",")),
+        "categories": each("node_categories", lambda g: row(F.flatten(g), "")),
+        "mask": each("node_mask", lambda g: row(g, "")),
+        "y": each("y", lambda g: row(F.flatten(F.flatten(g)), "")),
+    }
+
+
+def _sparse(spark: SparkSession, sf_dir: str, rings_: DataFrame, kind: str) -> DataFrame:
+    edges = graph.directed_edges(rings_)
+    numbered = graph.nodes(edges)
+    at = graph.positions(numbered, syn.vertices(spark, sf_dir))
+    return graph.sparse(at, graph.local_edges(edges, numbered)).withColumn("type", F.lit(kind))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.assign_batches(syn.buildings(spark, sf_dir).select(F.col("id").alias("obj")), "obj", 32)
+
+
+@query("graph_batches", syn.sql("SELECT batch, ids, x, categories, mask, y, 'Building' AS type FROM whole", _BATCHES, _batch_sql("nodes", "directed", "whole")))
 def graph_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded graphs collated to batches of 32."""
-    at = graph.positions(_nodes(spark, sf_dir), syn.vertices(spark, sf_dir))
-    graphs = dataset.assign_batches(syn.buildings(spark, sf_dir).select(F.col("id").alias("obj"), F.lit("Building").alias("type")), "obj", 32)
-    out = graph.batches(graphs, graph.padded_nodes(at, 10), 10)
+    """Whole graphs in batches."""
+    out = graph.collate(_placed(spark, sf_dir), [_sparse(spark, sf_dir, syn.rings(spark, sf_dir), "Building")], 10)
+    return out.select("batch", *(c.alias(k) for k, c in _shown(F.col).items()), F.array_join(F.array_distinct("types"), ",").alias("type"))
+
+
+@query("graph_batches_levels", syn.sql("""
+SELECT w.batch, w.ids, w.x, w.categories, w.mask, w.y, f.ids AS ids_1, f.x AS x_1, f.categories AS categories_1, f.mask AS mask_1, f.y AS y_1, 'Building/Floor' AS types
+FROM whole w JOIN ground f ON f.batch = w.batch""",
+_BATCHES, _batch_sql("nodes", "directed", "whole", "g.id % 7 <> 0"), _batch_sql("floor_nodes", "floor_edges", "ground", "g.id % 7 <> 0")))
+def graph_batches_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings and their ground rings as two levels; the second lacks every seventh building."""
+    all_rings = syn.rings(spark, sf_dir)
+    levels = [_sparse(spark, sf_dir, all_rings, "Building"), _sparse(spark, sf_dir, all_rings.filter("face = 0 and obj % 7 <> 0"), "Floor")]
+    out = graph.collate(_placed(spark, sf_dir), levels, 10)
+    kinds = F.concat_ws("/", F.array_join(F.array_distinct("lod_0.types"), ","), F.array_join(F.array_distinct("lod_1.types"), ","))
     return out.select(
-        "batch", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.size(F.flatten("x")).cast("long").alias("n_nodes")
+        "batch", *(c.alias(k) for k, c in _shown(lambda n: F.col("lod_0")[n]).items()), *(c.alias(f"{k}_1") for k, c in _shown(lambda n: F.col("lod_1")[n]).items()), kinds.alias("types")
     )

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratablock.functions import arrays, random
-from stratablock.operators import dataset
+from stratablock.operators import dataset, graph
 
 
 def test_exact_split_sizes(spark):
@@ -75,3 +75,27 @@ def test_running_numbers_over_a_whole_table(spark):
         assert got[k] == at
         at += n
     assert dataset.sorted_ranks(df.limit(0), "k", "place").count() == 0
+
+
+def test_objects_of_file_pairs(spark):
+    schema = "rel_path string, CityObjects map<string,string>"
+    one = spark.createDataFrame([("a", {"x": "", "y": "", "z": ""}), ("b", {"x": "", "q": ""}), ("c", {"w": ""}), ("d", None)], schema)
+    two = spark.createDataFrame([("a", {"x": "", "q": "", "y": ""}), ("b", {"x": "", "z": ""}), ("d", {"x": ""}), ("e", {"w": ""})], schema)
+    assert {(r.obj, r.rel_path) for r in dataset.pair_objects(one, two).collect()} == {("x", "b"), ("y", "a")}
+
+
+def test_collated_batches(spark):
+    nodes = [("f", o, k, float(k), float(n), 0.5) for o, n in (("a", 3), ("b", 2), ("c", 1)) for k in range(n)]
+    edges = [("f", "a", 0, 1), ("f", "a", 1, 0), ("f", "a", 2, 0), ("f", "b", 0, 1), ("f", "b", 0, 1)]
+    at = spark.createDataFrame(nodes, "file string, obj string, node int, x double, y double, z double").select("file", "obj", "node", *(F.col(c).cast("float").alias(c) for c in "xyz"))
+    level = graph.sparse(at, spark.createDataFrame(edges, "file string, obj string, src int, dst int")).withColumn("type", F.concat(F.lit("T"), "obj"))
+    places = spark.createDataFrame([("b", 0, 0), ("a", 0, 1), ("c", 1, 0), ("gone", 1, 1)], "obj string, batch int, place int")
+    rows = {r.batch: r for r in graph.collate(places, [level], 3).collect()}
+    assert rows[0].ids == ["b", "a"] and rows[0].types == ["Tb", "Ta"] and rows[1].ids == ["c"]
+    assert rows[0].x == [[[0, 2, 0.5], [1, 2, 0.5], [0, 0, 0]], [[0, 3, 0.5], [1, 3, 0.5], [2, 3, 0.5]]]
+    assert rows[0].node_mask == [[1, 1, 0], [1, 1, 1]] and rows[0].node_categories[0] == [[1, 0], [1, 0], [0, 1]]
+    assert rows[0].y == [[[[0], [1], [0]], [[0], [0], [0]], [[0], [0], [0]]], [[[0], [1], [0]], [[1], [0], [0]], [[1], [0], [0]]]]
+    two = graph.collate(places, [level, level.filter("obj <> 'a'")], 4).collect()
+    assert {r.batch: (r.lod_0.ids, r.lod_1.ids, len(r.lod_1.y[0][3])) for r in two} == {0: (["b"], ["b"], 4), 1: (["c"], ["c"], 4)}
+    with pytest.raises(Exception, match="more than n_max"):
+        graph.collate(places, [level], 2).collect()
