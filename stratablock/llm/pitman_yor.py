@@ -3,12 +3,13 @@
 Every word, and the start of a text, has a context restaurant of what follows
 it; all have the root restaurant over all words as parent, whose customers are
 their tables and whose base is uniform over the vocabulary and one unseen word.
-Seating is sampled by Gibbs moves (``gibbs``): a customer leaves its table and
-sits down again, at a table by its size less the discount or at a new one by
-the parent's probability, against all others as they sit. Tables are averaged
-over the sweeps after burn-in, and so are predictive probabilities, which are
-linear in them; a text's score sums their logarithms, and perplexity is
-10 ** (-score / n_tokens).
+Seating is sampled by Gibbs sweeps (``Seating``): all customers of a dish leave
+their tables and sit down again, at as many tables as their law says, given all
+others as they sit: the ways to seat them by the discount, times the odds of
+new tables by the parent's probability. Every customer moves in every sweep.
+Tables are averaged over the sweeps after burn-in, and so are predictive
+probabilities, which are linear in them; a text's score sums their logarithms,
+and perplexity is 10 ** (-score / n_tokens).
 
 Scale: documents are read in blocks of ``BLOCK_TOKENS``. A block sends each of
 its different pairs of neighbours once, with its number among what is learned
@@ -21,7 +22,9 @@ sample, at most four a shard) has its restaurant dealt over all shards by the
 following word; its totals are summed on the driver. Such a list decides only
 where pairs go. While a shard seats, the parent's probability is that of its
 own tables, which words dealt by hash make an unbiased sample of all; the
-probabilities that are scored use the whole root.
+probabilities that are scored use the whole root. How many shards there are
+follows from the bytes of text, and draws from the words themselves: scores do
+not depend on files, blocks or partitions.
 
 Defined cases: a null or empty text is its end alone; a null in ``learn`` is
 False; with nothing to learn from, all words are unseen. Words are told apart by
@@ -30,9 +33,11 @@ False; with nothing to learn from, all words are unseen. Words are told apart by
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,11 @@ from . import store, text
 
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
-ROOT_DISCOUNT = 0.5
+ROOT_DISCOUNT, DISCOUNT = 0.5, 0.7
+#: Customers of a dish up to which the ways to seat them are counted one by one; turns of a sweep; cells of a working matrix.
+EXACT, TURNS, CELLS = 512, 8, 1 << 18
+#: Bytes of text a shard has on average.
+SHARD_BYTES = 5_000_000
 #: Hash of the end of a text.
 END = np.uint64(0x0E0E0E0E0E0E0E0F)
 BLOCK_TOKENS = 1_000_000
@@ -72,97 +81,108 @@ def contexts(h: np.ndarray, bounds: np.ndarray, end: int | np.uint64) -> np.ndar
     return out
 
 
-def discount(n: np.ndarray) -> float:
-    """The usual ratio of dishes with one and with two customers."""
-    once, twice = int((n == 1).sum()), int((n == 2).sum())
-    return float(min(max(once / (once + 2 * twice), 0.05), 0.95)) if once else 0.5
+@cache
+def stirling(d: float) -> np.ndarray:
+    """Logarithms of the weights of n customers of a dish at t tables, for n and t up to ``EXACT`` (generalized Stirling numbers)."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        with np.errstate(divide="ignore"):
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.log(np.maximum(n - t * d, 0)) + out[n, 1:])
+    return out
+
+
+@cache
+def _shortfall(d: float) -> np.ndarray:
+    """What log weights at ``EXACT`` customers lack of their law for endlessly many, by tables less one."""
+    t = np.arange(1, EXACT + 1)
+    steps = np.concatenate([[0.0], np.cumsum(np.log(t[:-1] * d))])
+    return stirling(d)[EXACT, 1:] + steps - (math.lgamma(EXACT - d) - math.lgamma(1 - d))
+
+
+def uniform(names: np.ndarray, *salt: int) -> np.ndarray:
+    """Draws that depend on names alone."""
+    h = names
+    for k in salt:
+        h = text.mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
 class Seating:
-    """Restaurants with dishes of ``n`` customers each, seated table by table.
+    """Restaurants with dishes of ``n`` customers each, seated by blocks: all customers of a dish leave and sit down again.
+
+    How many tables they then have is drawn from its law given all others as they sit: the weight of t tables is the number of ways to
+    seat n customers at them, by the discount, times the odds of t new tables, each by the parent's probability. That holds for any n;
+    beyond ``EXACT`` customers the number of ways comes from that of ``EXACT``, at the same share of n ** d tables (ratios within 2 %).
+    Dishes come by turns, ``TURNS`` a sweep, so that they see each other's tables.
 
-    ``parent``: each dish's probability above; ``scale``: how many times its own
-    tables a restaurant has in all, where it holds only a part of it.
+    ``parent``: each dish's probability above; ``name``: of each dish, what its draws depend on; ``scale``: how many times its own tables
+    a restaurant has in all, where it holds only a part of it.
     """
 
-    def __init__(self, n: np.ndarray, where: np.ndarray, restaurants: int, parent: np.ndarray, d: float, rng: np.random.Generator, scale: np.ndarray | float = 1.0, strength: float = STRENGTH):
-        self.d, self.strength, self.rng = d, strength, rng
-        self.where, self.restaurants = where, restaurants
+    def __init__(self, n: np.ndarray, where: np.ndarray, restaurants: int, parent: np.ndarray, d: float, name: np.ndarray, scale: np.ndarray | float = 1.0, strength: float = STRENGTH):
+        self.d, self.strength = d, strength
+        self.where_all, self.restaurants = where, restaurants
         self.scale = np.broadcast_to(np.asarray(scale, float), (restaurants,))
         self.t = np.minimum(n, 1).astype(np.int64)
         self.total = np.bincount(where, self.t, restaurants)
-        # only dishes of several customers move; customers and places for tables of a dish are a run
-        self.live = np.flatnonzero(n > 1)
+        # only dishes of several customers move; those of like size together
+        live = np.flatnonzero(n > 1)
+        self.live = live[np.argsort(n[live], kind="stable")]
         self.n = n[self.live].astype(np.int64)
-        self.at = where[self.live]
-        self.parent = parent[self.live]
-        self.start = np.cumsum(self.n) - self.n
-        self._first()
-
-    def _odds(self, q: np.ndarray) -> np.ndarray:
-        """Of a new table, in customers."""
-        return (self.strength + self.d * self.total[self.at[q]] * self.scale[self.at[q]]) * self.parent[q]
-
-    def _first(self) -> None:
-        """A start near the end: the expected number of tables, found one after another; later customers join one before them."""
-        every = np.arange(len(self.n))
-        a = self._odds(every)
-        # tables grow by odds / (odds + seated): summed over customers
-        t = np.clip(1 + np.floor(a * np.log1p((self.n - 1) / (1 + a)) + self.rng.random(len(every))), 1, self.n).astype(np.int64)
-        inside = (np.arange(self.n.sum()) - np.repeat(self.start, self.n)).astype(np.int32)
-        head = (self.rng.random(len(inside)) * inside).astype(np.int32)
-        founds = inside < np.repeat(t, self.n)
-        head[founds] = inside[founds]
-        head += np.repeat(self.start.astype(np.int32), self.n)
-        del inside, founds
-        while True:  # whom a customer followed, followed another
-            nxt = head[head]
-            if np.array_equal(nxt, head):
-                break
-            head = nxt
-        self.table = head
-        self.size = np.bincount(head, minlength=len(head)).astype(np.int32)
-        self._count(every, t - self.t[self.live])
-
-    def _count(self, q: np.ndarray, change: np.ndarray) -> None:
-        self.t[self.live[q]] += change
-        self.total += np.bincount(self.at[q], change, self.restaurants)
-
-    def _member(self, q: np.ndarray) -> np.ndarray:
-        return self.start[q] + (self.rng.random(len(q)) * self.n[q]).astype(np.int64)
-
-    def move(self, q: np.ndarray) -> None:
-        """One customer of each dish ``q`` leaves its table and sits down again; dishes move at once."""
-        c = self._member(q)
-        self.size[self.table[c]] -= 1
-        self._count(q, -(self.size[self.table[c]] == 0).astype(np.int64))
-        new = self._odds(q)
-        old = self.n[q] - 1 - self.d * self.t[self.live[q]]
-        opens = self.rng.random(len(q)) * (new + old) < new
-        # a new table takes any free place of its dish
-        left = np.flatnonzero(opens)
-        while len(left):
-            place = self._member(q[left])
-            free = self.size[place] == 0
-            self.table[c[left[free]]] = place[free]
-            left = left[~free]
-        # an old one is that of another customer, kept by its size less the discount over its size
-        left = np.flatnonzero(~opens)
-        while len(left):
-            other = self._member(q[left])
-            size = self.size[self.table[other]]
-            ok = (other != c[left]) & (self.rng.random(len(left)) * size < size - self.d)
-            self.table[c[left[ok]]] = self.table[other[ok]]
-            left = left[~ok]
-        self.size[self.table[c]] += 1
-        self._count(q, opens.astype(np.int64))
+        self.at, self.parent, self.name = where[self.live], np.minimum(parent[self.live], 1 - 1e-9), name[self.live]
+        widths = [*(2**k for k in range(1, EXACT.bit_length())), np.iinfo(np.int64).max]
+        ends = np.searchsorted(self.n, widths, side="right").tolist()
+        self.groups = [(w, x, y) for w, x, y in zip(widths, [0, *ends], ends, strict=False) if y > x]
+        self.sweeps = 0
+
+    def _tables(self, q: np.ndarray, width: int, u: np.ndarray) -> np.ndarray:
+        """Tables drawn for dishes of at most ``width`` customers."""
+        others = self.scale[self.at[q]] * self.total[self.at[q]] - self.t[self.live[q]]
+        base, p = self.strength / self.d + others, self.d * self.parent[q]
+        log = np.cumsum(np.log((base[:, None] + np.arange(width)) * p[:, None]), axis=1)
+        log += stirling(self.d)[self.n[q], 1 : width + 1]
+        log -= log.max(axis=1, keepdims=True)
+        weight = np.cumsum(np.exp(log, out=log), axis=1, out=log)
+        return 1 + (weight < u[:, None] * weight[:, -1:]).sum(axis=1)
+
+    def _many(self, k: int, u: float) -> int:
+        """Tables drawn for a dish of more than ``EXACT`` customers."""
+        n, p = int(self.n[k]), float(self.parent[k])
+        base = self.strength / self.d + self.scale[self.at[k]] * self.total[self.at[k]] - self.t[self.live[k]]
+        # for endlessly many customers the tables beyond the first are negative binomial, which bounds where the weight lies
+        mean = (base + 1) * p / (1 - p)
+        most = int(min(n, mean + 12 * math.sqrt(mean / (1 - p)) + 60))
+        i = np.arange(1, most)
+        log = np.concatenate([[0.0], np.cumsum(np.log((base + i) * p / i))])
+        lack = _shortfall(self.d)
+        x = np.arange(most) * (EXACT / n) ** self.d
+        short = np.interp(x, np.arange(EXACT), lack)
+        log += np.where(x < EXACT - 1, short, lack[-1] + (x - EXACT + 1) * (lack[-1] - lack[-2]))
+        weight = np.cumsum(np.exp(log - log.max()))
+        return 1 + int(np.searchsorted(weight, u * weight[-1]))
 
     def sweep(self) -> None:
-        """Two moves of every dish, and more of larger ones."""
-        for least, moves in ((2, 2), (5, 2), (17, 4), (65, 8)):
-            q = np.flatnonzero(self.n >= least)
-            for _ in range(moves if len(q) else 0):
-                self.move(q)
+        """Every customer of every dish leaves and sits down again."""
+        self.sweeps += 1
+        u, turn = uniform(self.name, 2 * self.sweeps), (uniform(self.name, 2 * self.sweeps + 1) * TURNS).astype(np.int64)
+        for k in range(TURNS):
+            for width, x, y in self.groups:
+                q = x + np.flatnonzero(turn[x:y] == k)
+                if width > EXACT:
+                    for j in q.tolist():
+                        self._sit(np.array([j]), np.array([self._many(j, u[j])]))
+                    continue
+                step = max(CELLS // width, 1)
+                for i in range(0, len(q), step):
+                    part = q[i : i + step]
+                    self._sit(part, self._tables(part, width, u[part]))
+
+    def _sit(self, q: np.ndarray, tables: np.ndarray) -> None:
+        change = tables - self.t[self.live[q]]
+        self.t[self.live[q]] = tables
+        np.add.at(self.total, self.at[q], change)
 
 
 def gibbs(seating: Seating, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +309,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(body, pa.binary())], names=["kind", "part", "block", "body"])
 
 
-def hot_words(docs: DataFrame, shards: int, rows: int = SAMPLE_ROWS) -> Hot:
-    """Words with more than a quarter of a shard's share of the tokens of a sample of some ``rows`` rows.
+def hot_words(docs: DataFrame, shards: int, many: int, rows: int = SAMPLE_ROWS) -> Hot:
+    """Words with more than a quarter of a shard's share of the tokens of a sample of some ``rows`` of ``many`` rows, chosen by a hash of their text.
 
     Each is dealt over as many shards as it has quarters: over all words, five for each shard at most.
     """
-    many = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +321,7 @@ def hot_words(docs: DataFrame, shards: int, rows: int = SAMPLE_ROWS) -> Hot:
                 w, n = np.unique(tokens(buf, off)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    some = docs.select("text").sample(min(1.0, rows / max(many, 1)), 17).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(max(many, 1))) < rows).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = some.orderBy(F.desc("n"), "word").limit(4 * shards + 1).collect()
     total = some.agg(F.sum("n")).first()[0] or 0
     return hot_of({r["word"]: r["n"] * 4 * shards / total for r in top if r["n"] * 4 * shards > total}, shards)
@@ -348,7 +367,7 @@ def _asking(hot: Hot, shards: int, size: int):
     return run
 
 
-def _restaurants(hot: Hot, shards: int, seed: int):
+def _restaurants(hot: Hot, shards: int, seed: int, d: float = DISCOUNT):
     """A shard's messages to answers: numbers and tables of pairs and contexts, tables by follower, words asked for, and totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,8 +385,8 @@ def _restaurants(hot: Hot, shards: int, seed: int):
         u = np.concatenate([np.concatenate([np.repeat(x, a[1]), hot.words[a[2]]]) for x, a in zip(words, asked, strict=True)])
         w = _high(np.concatenate([a[3] for a in asked]))
         n = np.concatenate([a[4] for a in asked]).astype(np.int64)
-        # dishes: different pairs
-        _, first, back = np.unique(text.mix(u) ^ text.mix(w + np.uint64(1)), return_index=True, return_inverse=True)
+        # dishes: different pairs, in the order of their names
+        named, first, back = np.unique(text.mix(u) ^ text.mix(w + np.uint64(1)), return_index=True, return_inverse=True)
         back = back.astype(np.int32)
         count = np.bincount(back, n).astype(np.int64)
         u, w = u[first], w[first]
@@ -379,13 +398,12 @@ def _restaurants(hot: Hot, shards: int, seed: int):
         follower, which = np.unique(w[dish], return_inverse=True)
         del u, w
         c = count[dish]
-        d = discount(c)
         seen = np.bincount(which)
         parent = (seen - ROOT_DISCOUNT + (STRENGTH + ROOT_DISCOUNT * len(seen)) / (len(seen) + 1)) / (STRENGTH + len(c)) if len(c) else np.zeros(0)
         is_hot = _among(hot.words, context)
         scale = np.ones(len(context))
         scale[is_hot] = hot.parts[np.searchsorted(hot.words, context[is_hot])]
-        t, tables = gibbs(Seating(c, where[dish], len(context), parent[which], d, np.random.default_rng([seed, part]), scale))
+        t, tables = gibbs(Seating(c, where[dish], len(context), parent[which], d, named[dish] + np.uint64(seed), scale))
         all_t = np.zeros(len(count), np.int64)
         all_t[dish] = t
         size = np.bincount(where, count, len(context)).astype(np.int64)
@@ -434,7 +452,7 @@ def _root(seed: int, types: int):
         # its words stand for all: the root has as many times its tables as there are words
         scale = types / max(len(word), 1)
         even = np.full(len(word), 1 / (types + 1))
-        t, _ = gibbs(Seating(customers, np.zeros(len(word), np.int64), 1, even, ROOT_DISCOUNT, np.random.default_rng([seed, 7, part]), scale))
+        t, _ = gibbs(Seating(customers, np.zeros(len(word), np.int64), 1, even, ROOT_DISCOUNT, text.mix(word) + np.uint64(seed + 7), scale))
         out = [(TOTALS, part, 0, _packed(int(customers.sum()), int(t.sum())))]
         for block, body in sorted(asked):
             x = (_hashes(_unpacked(body)[0]) >> _LOW) << _LOW
@@ -537,7 +555,7 @@ def _scored(told: list[tuple[int, int, bytes]], b: Block, totals: Totals, shards
     return size[b.place], log[b.back]
 
 
-def score(docs: DataFrame, learn: str = "learn", seed: int = 11, block_tokens: int = BLOCK_TOKENS, stable: bool = False) -> tuple[DataFrame, int]:
+def score(docs: DataFrame, learn: str = "learn", seed: int = 11, block_tokens: int = BLOCK_TOKENS, stable: bool = False, discount: float = DISCOUNT) -> tuple[DataFrame, int]:
     """``docs`` without text, with n_tokens, n_known, base_score and score; and the number of tokens learned from.
 
     The model learns from rows where the Boolean column ``learn`` is true, and
@@ -546,13 +564,14 @@ def score(docs: DataFrame, learn: str = "learn", seed: int = 11, block_tokens: i
     """
     spark = docs.sparkSession
     store.bound_batches(spark)
-    shards = 2 * store.partitions(spark)  # a shard's counts take more memory than a partition's rows
     docs = store.without(docs, "n_tokens", "n_known", "base_score", "score")
     docs = docs if stable else store.cut(docs, "scored")
     docs = docs.withColumn("learn", F.col(learn)) if learn != "learn" else docs
-    hot = hot_words(docs, shards)
+    many, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shards = -(-(size or 1) // SHARD_BYTES)  # by the data alone, as what a shard knows of the root depends on it
+    hot = hot_words(docs, shards, many)
     asked = docs.select("text", "learn").mapInArrow(_asking(hot, shards, block_tokens), _ROWS)
-    told = store.cut(asked.repartitionById(shards, "part").mapInArrow(_restaurants(hot, shards, seed), _ROWS), "told")
+    told = store.cut(asked.repartitionById(shards, "part").mapInArrow(_restaurants(hot, shards, seed, discount), _ROWS), "told")
     totals = Totals.of(hot, [_unpacked(r["body"]) for r in told.filter(F.col("kind") == TOTALS).collect()])
     to_root = told.filter(F.col("kind").isin(TABLES, WORDS)).unionByName(spark.createDataFrame(_hot_asked(hot, shards), _ROWS))
     root = store.cut(to_root.repartitionById(shards, "part").mapInArrow(_root(seed, totals.types), _ROWS), "root")

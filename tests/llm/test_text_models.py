@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import by_id, corpus, frame, words
+from helpers import SCHEMA, by_id, corpus, frame, words
 from pyspark.sql import functions as F
 
 from stratablock.llm import langid, pitman_yor, quality, sampling, text
@@ -186,35 +186,53 @@ def stirling(n, d):
     s[0] = 1
     for m in range(n):
         s = np.concatenate([[0], s[:-1]]) + np.maximum(m - d * np.arange(n + 1), 0) * s
+        s /= s.max()
     return s
 
 
 def brute_tables(dishes, d, strength=1.0):
     """Mean tables of each dish of one restaurant, over all seatings: dishes are (customers, probability above)."""
+    ways = [stirling(n, d) for n, _ in dishes]
     total, mean = 0.0, np.zeros(len(dishes))
     for t in np.ndindex(*(n for n, _ in dishes)):
         t = np.array(t) + 1
-        weight = np.prod([strength + d * k for k in range(t.sum())])
-        for k, (n, g) in zip(t, dishes, strict=True):
-            weight *= stirling(n, d)[k] * g**k
+        if any(w[k] <= 0 for w, k in zip(ways, t, strict=True)):
+            continue
+        log = np.log(strength + d * np.arange(t.sum())).sum() + sum(np.log(w[k]) + k * math.log(g) for w, k, (_, g) in zip(ways, t, dishes, strict=True))
+        weight = math.exp(log)
         total += weight
         mean += weight * t
     return mean / total
 
 
-@pytest.mark.parametrize("dishes", [[(2, 0.4)], [(6, 0.3)], [(12, 0.9)], [(5, 0.4), (3, 0.2)], [(7, 0.5), (2, 0.1), (4, 0.3)]])
-def test_seating_equals_brute_force(dishes):
-    copies, d = 2000, 0.6
-    n = np.tile([c for c, _ in dishes], copies)
-    parent = np.tile([g for _, g in dishes], copies)
-    seating = pitman_yor.Seating(n, np.repeat(np.arange(copies), len(dishes)), copies, parent, d, np.random.default_rng(1))
-    t, total = pitman_yor.gibbs(seating, burn_in=60, samples=8)
-    mean = t.reshape(copies, -1).mean(axis=0) / 8
-    assert np.allclose(mean, brute_tables(dishes, d), rtol=0.04)
+CASES = [
+    ([(2, 0.4)], 0.6), ([(6, 0.3)], 0.6), ([(12, 0.9)], 0.6), ([(5, 0.4), (3, 0.2)], 0.6), ([(7, 0.5), (2, 0.1), (4, 0.3)], 0.6), ([(100, 0.3)], 0.6),
+    ([(1000, 0.3)], 0.6), ([(1000, 0.01)], 0.8), ([(3000, 0.05)], 0.9), ([(600, 0.5)], 0.5),
+]
+
+
+@pytest.mark.parametrize("dishes, d", CASES)
+def test_seating_equals_brute_force(dishes, d):
+    """At the operator's own numbers of sweeps."""
+    copies = 4000 if max(n for n, _ in dishes) <= pitman_yor.EXACT else 1000
+    n, parent = np.tile([c for c, _ in dishes], copies), np.tile([g for _, g in dishes], copies)
+    names = text.mix(np.arange(len(n)).astype(np.uint64))
+    seating = pitman_yor.Seating(n, np.repeat(np.arange(copies), len(dishes)), copies, parent, d, names)
+    t, total = pitman_yor.gibbs(seating)
+    assert np.allclose(t.reshape(copies, -1).mean(axis=0) / pitman_yor.SAMPLES, brute_tables(dishes, d), rtol=0.03)
     assert total.sum() == t.sum() and (seating.t <= n).all() and (seating.t >= 1).all()
-    sizes = np.bincount(seating.table, minlength=len(seating.table))
-    assert np.array_equal(sizes, seating.size)  # every customer sits at a table of its dish
-    assert (seating.table >= np.repeat(seating.start, seating.n)).all() and (seating.table < np.repeat(seating.start + seating.n, seating.n)).all()
+    assert np.array_equal(seating.total, np.bincount(seating.where_all, seating.t, copies))
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(k, " ".join(words(k, 80, 60)), *[None] * 5) for k in range(120)]
+    found = []
+    for parts in (2, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts).withColumn("learn", F.col("doc_id") % 3 > 0)
+        found.append({k: v[0].score for k, v in by_id(pitman_yor.score(docs, block_tokens=500 * parts)[0]).items()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
 
 
 def test_model_prefers_what_it_has_seen(spark):
