@@ -5,8 +5,10 @@ Jaccard similarity of their sets reaches the threshold, and classes are the
 connected components of links.
 
 1. Equal sets are one node. A bitmap of fixed size (``seen``) tells n-grams
-   that occur in one document only. All sets follow one global order: n-grams
-   seen again first, then single ones, each by hash.
+   that occur in one document only, and another those that occur in over
+   ``OFTEN``. All sets choose their rarest by one global order: single n-grams,
+   repeated ones, those of many documents, each by hash. So what half of a
+   corpus has in common leads no block, as long as a set has rarer n-grams.
 2. Two sets that link share ``l`` of their rarest ``n - ceil(t n) + l``
    n-grams, for any l; here l is one more than a tenth of the smaller set. A set
    with too few repeated n-grams among these has no partner and sends nothing.
@@ -54,6 +56,8 @@ CHUNK = 128
 PART_BYTES = 4_000_000
 #: Partners must share one n-gram in so many among the rarest.
 SHARE = 10
+#: Documents from which on an n-gram counts as frequent.
+OFTEN = 64
 #: Bits of the bitmap of nodes whose sets are needed (8 MB).
 NODE_BITS = 26
 _SINGLE = np.uint64(1 << 63)
@@ -97,11 +101,19 @@ def _node(s: np.ndarray) -> int:
     return int(text.signed(text.Rolling(text.mix(s)).spans(np.array([0]), np.array([len(s)])))[0])
 
 
-def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
+def _by_rarity(again: np.ndarray, often: np.ndarray | None) -> np.ndarray:
+    """Repeated n-grams, those of many documents last."""
+    if often is None or not len(again):
+        return again
+    late = seen.busy(often, again << np.uint64(1))
+    return np.concatenate([again[~late], again[late]])
+
+
+def _prepare(docs: DataFrame, bitmap, often, words: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, node; and once a task for each node that may have partners, what it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = bitmap.value
+        flags, late = bitmap.value, often.value
         sent: set[int] = set()
         for batch in batches:
             n, node, tokens = [], [], []
@@ -116,7 +128,7 @@ def _prepare(docs: DataFrame, bitmap, words: int, threshold: int) -> DataFrame:
                 rare = rarest - int((~again).sum())
                 if rare >= least_shared(len(s), threshold) and node[-1] not in sent:
                     sent.add(node[-1])
-                    tokens[-1] = s[again][:rare].tobytes()
+                    tokens[-1] = _by_rarity(s[again], late)[:rare].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(tokens, pa.binary())],
                 names=["doc_id", "n_shingles", "node", "tokens"],
@@ -350,8 +362,9 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
         return np.concatenate([np.zeros(0, np.uint64), *sets(batch.column(0), words)]) << np.uint64(1), None
 
-    bitmap = spark.sparkContext.broadcast(seen.build(docs.select("text"), keys)[0])
-    rows = store.cut(_prepare(docs, bitmap, words, threshold), "sets")
+    again, _, often = seen.build(docs.select("text"), keys, many_from=OFTEN)
+    bitmap, often = spark.sparkContext.broadcast(again), spark.sparkContext.broadcast(often)
+    rows = store.cut(_prepare(docs, bitmap, often, words, threshold), "sets")
     blocks = store.cut(_blocks(_tokens(rows), threshold), "blocks")
 
     def names(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
@@ -360,8 +373,8 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, chu
     wanted = spark.sparkContext.broadcast(seen.build(blocks.select("node"), names, bits=NODE_BITS, least=1)[0])
     sent = _bodies(docs, bitmap, wanted, words).join(blocks.select("node").distinct(), "node", "left_semi")
     bodies = store.cut(sent.groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    bitmap.destroy()
-    wanted.destroy()
+    for flags in (bitmap, often, wanted):
+        flags.destroy()
     own = rows.select("doc_id", "n_shingles", "node")
     nodes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     nodes = store.cut(nodes, "nodes")

@@ -46,18 +46,28 @@ def _places(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush_at: int = FLUSH, least: int = 2) -> Bitmaps:
+def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush_at: int = FLUSH, least: int = 2, many_from: int = 0) -> Bitmaps:
     """The bitmaps of the keys (uint64) that ``keys`` makes of each Arrow batch of ``df``: repeated, mixed, busy.
 
     With ``busy_from``, ``keys`` also gives a content of each key. Mixed keys
     have different contents; busy ones (2 MB, or None) more than so many. Keys
     that share a bit with one count as such. With ``least`` 1 the first bitmap
-    marks all keys.
+    marks all keys. With ``many_from`` instead, busy keys are those that a task
+    has found ``_REPORT`` times or more in a flush, and more than so many in all.
     """
+    busy_from_any = busy_from or many_from
     in_segment = _low(bits)
     segments = 1 << (bits - in_segment)
     per = (1 << BUSY_BITS) // segments  # bits of the busy bitmap in a segment
 
+    def often(k: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
+        """Rows of the keys that come often, by segment."""
+        many = count >= _REPORT
+        k, count = k[many], count[many]
+        seg = _places(k, bits - in_segment)
+        ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1 if len(seg) else []
+        return [(-1 - int(seg[x]), np.stack([k[x:y], count[x:y].astype(np.uint64)]).tobytes()) for x, y in zip([0, *ends][:-1], ends, strict=True)]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, contents, n = [], [], 0
 
@@ -84,13 +94,9 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
                 k, c = k[by], c[by]
                 new = np.ones(len(k), bool)
                 new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-                k, count = np.unique(k[new], return_counts=True)
-                many = count >= _REPORT
-                k, count = k[many], count[many]
-                seg = _places(k, bits - in_segment)
-                ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1 if len(seg) else []
-                for x, y in zip([0, *ends][:-1], ends, strict=True):
-                    rows.append((-1 - int(seg[x]), np.stack([k[x:y], count[x:y].astype(np.uint64)]).tobytes()))
+                rows += often(*np.unique(k[new], return_counts=True))
+            elif many_from:
+                rows += often(*np.unique(k, return_counts=True))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["segment", "low"])
 
         for batch in batches:
@@ -115,7 +121,7 @@ def build(df: DataFrame, keys: Keys, busy_from: int = 0, bits: int = BITS, flush
                 return again + np.packbits(differ, bitorder="little").tobytes() if busy_from else again
             out = np.zeros(per, bool)
             for k, c in sums.items():
-                if c > busy_from:
+                if c > busy_from_any:
                     out[(k >> (64 - BUSY_BITS)) & (per - 1)] = True
             return np.packbits(out, bitorder="little").tobytes()
 

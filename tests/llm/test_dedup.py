@@ -156,3 +156,19 @@ def test_trie_finds_every_link():
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
     across = set(jaccard.join_sets(members[:25], 75, members[25:]))
     assert across == {(i - 25, j) for i, j in want if i >= 25 > j}
+
+
+def test_rows_that_meet_grow_in_proportion_under_boilerplate(spark, monkeypatch):
+    """Near pairs that all share one passage: blocks must not be led by it."""
+    passage = words(1, 64, 10**6)
+    sent = []
+    plain = jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda *a: sent.append(plain(*a).count()) or plain(*a))
+    for n in (300, 600):
+        rows = []
+        for k in range(n):
+            own = words(1000 + k // 2, 140, 10**6)
+            rows.append((k, " ".join([*own[:70], *passage, *own[70:], f"x{k}"]), *[None] * 5))
+        found = by_id(jaccard.classes(frame(spark, rows)))
+        assert {k: (v[0].component_id, v[0].n_links) for k, v in found.items()} == {k: (k - k % 2, 1) for k in range(n)}
+    assert sent[1] <= 2.5 * sent[0] and sent[1] <= 4 * 600, sent
