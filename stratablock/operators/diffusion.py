@@ -251,6 +251,37 @@ def total_loss(coordinates: Column, edges: Column, nodes: Column) -> Column:
     return 3.0 * coordinates + 2.0 * edges + 1.0 * nodes
 
 
+def baseline_coordinate(xt: Column, alpha_bar: Column) -> Column:
+    """The linear least-squares prediction of a coordinate of unit variance from its noisy state: what a model must beat."""
+    return alpha_bar * xt / (alpha_bar * alpha_bar + 1 - alpha_bar)
+
+
+def baseline_edge(yt: Column, alpha_bar: Column, density: float = 0.25) -> Column:
+    """The log odds of an edge given its state under uniform noise, where a share ``density`` of all pairs is joined."""
+    spread = (1 - alpha_bar) / 2
+    return F.lit(math.log(density / (1 - density))) + F.log((alpha_bar * yt + spread) / (alpha_bar * (1 - yt) + spread))
+
+
+def baseline_classes(xt: list[Column], alpha_bar: Column) -> list[Column]:
+    """Class scores given the state under uniform noise, all classes alike before."""
+    return [F.log(alpha_bar * x + (1 - alpha_bar) / len(xt)) for x in xt]
+
+
+def batch_losses(nodes: DataFrame, pairs: DataFrame, scores: list[str], by: str = "batch") -> DataFrame:
+    """by, coord_mse, edge_bce, node_ce, node_acc and their weighted ``loss`` of each batch of padded graphs.
+
+    ``nodes``: by, x, y, z, mask, the predicted xp, yp, zp, class ``scores`` and ``target``, virtual nodes included;
+    ``pairs``: by, y and the predicted ``logit`` of all pairs.
+    """
+    square = sum(((F.col(f"{c}p") - F.col(c)) ** 2 for c in "yz"), (F.col("xp") - F.col("x")) ** 2)
+    logits = [F.col(c) for c in scores]
+    own = nodes.groupBy(by).agg(
+        coordinate_loss(square, F.col("mask")).alias("coord_mse"), node_loss(logits, F.col("target")).alias("node_ce"), accuracy(logits, F.col("target")).alias("node_acc")
+    )
+    both = own.join(pairs.groupBy(by).agg(edge_loss(F.col("logit"), F.col("y")).alias("edge_bce")), by)
+    return both.withColumn("loss", total_loss(F.col("coord_mse"), F.col("edge_bce"), F.col("node_ce")))
+
+
 def pair_features(nodes: DataFrame, by: list[str]) -> DataFrame:
     """All ordered pairs of a graph's nodes, loops included: distance, both norms, and a safe cosine.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, documents, times
-from ..operators import dataset, export, mesh, planes, rewrite
+from ..operators import dataset, export, graph, mesh, planes, rewrite
 from ..sources import cityjson, sinks
 from . import synthetic as syn
 from .registry import query
@@ -320,6 +320,34 @@ def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.first_object(mesh.objects(_documents(spark, sf_dir))).select("file", "obj", "type")
 
 
+def _sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an object of no geometry, one of empty surfaces only, a point, and two shells of three faces with too few semantic values."""
+    k = F.col("p_partkey").cast("string")
+    solid = '{"type":"Solid","boundaries":[[[[0,1,2]],[[1,2,0]],[]],[[[2,1,0]]]],"semantics":{"surfaces":[{"type":"GroundSurface"},{"type":"RoofSurface"}],"values":[[1]]}}'
+    text = F.concat(
+        F.lit('{"type":"CityJSON","vertices":[[0,0,0],[1,0,0],[1,1,0]],"CityObjects":{"none'), k, F.lit('":{"type":"A"},"empty'), k,
+        F.lit('":{"geometry":[{"type":"MultiSurface","boundaries":[[],[]]}]},"point'), k, F.lit('":{"geometry":[{"type":"MultiPoint","boundaries":[0]}]},"solid'), k,
+        F.lit(f'":{{"geometry":[{solid}]}}}}}}'),
+    )
+    return cityjson.parse(syn.table(spark, sf_dir, "part").select(k.alias("file"), text.alias("value")))
+
+
+@query("dropped_objects", "SELECT p_partkey::VARCHAR AS file, 'solid' || p_partkey AS obj, 3 AS nodes, 6 AS edges FROM part")
+def dropped_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects without an active vertex give no graph; empty surfaces no edge."""
+    directed = graph.directed_edges(mesh.rings(mesh.geometries(mesh.objects(_sparse_documents(spark, sf_dir)))))
+    counts = directed.groupBy("file", "obj").agg(F.count("*").cast("int").alias("edges"))
+    return graph.sizes(graph.nodes(directed)).join(counts, ["file", "obj"]).select("file", "obj", F.col("n_nodes").cast("int").alias("nodes"), "edges")
+
+
+@query("guarded_semantics", """
+SELECT p_partkey::VARCHAR AS file, shell, face, kind FROM part, (VALUES (0, 0, 'RoofSurface'), (0, 1, NULL), (1, 0, NULL)) v(shell, face, kind)""")
+def guarded_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces and shells past the end of the semantic values have no surface type."""
+    rows = mesh.rings(mesh.geometries(mesh.objects(_sparse_documents(spark, sf_dir))))
+    return rows.select("file", "shell", "face", mesh.kind(F.col("surfaces"), F.col("surface")).alias("kind"))
+
+
 @query("run_stamps", """
 SELECT user_id, strftime(min(ts), '%Y%m%d_%H%M%S') AS started, round(epoch(max(ts) - min(ts)), 3) AS seconds, printf('%.2f seconds', epoch(max(ts) - min(ts))) AS taken FROM events GROUP BY user_id""")
 def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, random
-from ..operators import cycles, diffusion, export, graph, mesh, network
+from ..operators import cycles, dataset, diffusion, export, graph, mesh, network
 from ..sources import cityjson
 from . import synthetic as syn
 from .registry import query
@@ -333,23 +333,74 @@ def edge_bce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _padded_pairs(spark, sf_dir).agg(F.round(diffusion.edge_loss(F.col("logit"), F.col("y")), 6).alias("loss"))
 
 
-@query("validation_step", syn.sql(f"""
-SELECT round(sum({" + ".join(f"pow(ab * {c} + sqrt(1 - ab) * (e{c} - m{c}) - {c}, 2)" for c in "xyz")}) / (3 * count(*) + 0.000001), 5) AS val_coord_mse,
-  round(avg((((id + node) % 5 = 0)::INT = 0)::INT), 6) AS val_node_acc FROM (
-  SELECT *, {", ".join(f"sum(e{c}) OVER (PARTITION BY id) / (count(*) OVER (PARTITION BY id) + 0.000001) AS m{c}" for c in "xyz")} FROM (
-    SELECT n.id, n.node, v.x, v.y, v.z, s.ab, {", ".join(f"{_n('6' + c, 'n.id', 'n.node')} AS e{c}" for c in "xyz")}
-    FROM nodes n JOIN vertices v ON v.id = n.id AND v.vid = n.vid JOIN schedule s ON s.t = {T // 2}))""", SCHEDULE))
+#: Graphs padded to ten nodes, in batches of 32, each at a step of its own or (``fixed``) all at one: nodes and pairs under noise.
+def _noisy_sql(step: str) -> str:
+    return f"""
+slots AS (SELECT unnest(range(0, 10)) AS k),
+batched AS (SELECT id, r // 32 AS batch FROM (SELECT id, row_number() OVER (ORDER BY md5('42:0:' || id::VARCHAR), id) - 1 AS r FROM b)),
+clean AS (
+  SELECT g.id, g.batch, k AS node, coalesce(v.x, 0) AS x, coalesce(v.y, 0) AS y, coalesce(v.z, 0) AS z, (v.id IS NOT NULL)::INT::DOUBLE AS mask, (v.id IS NULL)::INT AS target, s.ab
+  FROM batched g CROSS JOIN slots LEFT JOIN nodes n ON n.id = g.id AND n.node = k LEFT JOIN vertices v ON v.id = n.id AND v.vid = n.vid JOIN schedule s ON s.t = {step}),
+drawn AS (SELECT *, {", ".join(f"{_n('7' + c, 'id', 'node')} * mask AS e{c}" for c in "xyz")}, {_u("8", "id", "node")} AS u, floor({_u("8v", "id", "node")} * 2)::INT AS other FROM clean),
+moved AS (SELECT *, {", ".join(f"ab * {c} + sqrt(1 - ab) * (e{c} - sum(e{c}) OVER (PARTITION BY id) / (sum(mask) OVER (PARTITION BY id) + 0.000001)) AS {c}t" for c in "xyz")},
+  CASE WHEN u < ab THEN target ELSE other END AS state FROM drawn),
+guess AS (SELECT *, {", ".join(f"ab * {c}t / (ab * ab + 1 - ab) AS {c}p" for c in "xyz")}, ln(ab * (state = 0)::INT + (1 - ab) / 2) AS l0, ln(ab * (state = 1)::INT + (1 - ab) / 2) AS l1 FROM moved),
+node_part AS (
+  SELECT batch, sum(mask * (pow(xp - x, 2) + pow(yp - y, 2) + pow(zp - z, 2))) / (3 * sum(mask) + 0.000001) AS coord_mse,
+    avg(ln(exp(l0) + exp(l1)) - CASE target WHEN 0 THEN l0 ELSE l1 END) AS node_ce, avg(((l1 > l0)::INT = target)::INT) AS node_acc FROM guess GROUP BY batch),
+cells AS (
+  SELECT g.id, g.batch, i.k AS i, j.k AS j, (d.id IS NOT NULL)::INT::DOUBLE AS y, s.ab FROM batched g CROSS JOIN slots i CROSS JOIN slots j
+  LEFT JOIN directed d ON d.id = g.id AND d.src = i.k AND d.dst = j.k JOIN schedule s ON s.t = {step}),
+hidden AS (SELECT *, CASE WHEN {_u("9", "id", "i", "j")} > ab THEN ({_u("9v", "id", "i", "j")} > 0.5)::INT::DOUBLE ELSE y END AS yt FROM cells),
+told AS (SELECT *, ln(0.25 / 0.75) + ln((ab * yt + (1 - ab) / 2) / (ab * (1 - yt) + (1 - ab) / 2)) AS logit FROM hidden),
+pair_part AS (SELECT batch, avg(greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit)))) AS edge_bce FROM told GROUP BY batch)
+"""
+
+
+def _noisy_losses(spark: SparkSession, sf_dir: str, step: Column) -> DataFrame:
+    """Losses of the baseline prediction on noisy batches."""
+    directed = graph.directed_edges(syn.rings(spark, sf_dir))
+    numbered = graph.nodes(directed)
+    at = graph.positions(numbered, syn.vertices(spark, sf_dir))
+    placed = dataset.assign_batches(syn.buildings(spark, sf_dir).select("id"), "id", 32).select("id", "batch")
+    clean = graph.padded_nodes(at, 10).select(F.col("obj").alias("id"), "node", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col("category").alias("target"), F.col("mask").cast("double").alias("mask"))
+    noisy = diffusion.coordinate_noise(_scheduled(clean.withColumn("t", step)), F.col("alpha_bar"), 7, ["id"])
+    state = diffusion.category_noise([(F.col("target") == k).cast("double") for k in (0, 1)], F.col("alpha_bar"), "uniform", 8, F.col("id"), F.col("node"))
+    scores = dict(zip(("l0", "l1"), diffusion.baseline_classes(state, F.col("alpha_bar")), strict=True))
+    guess = noisy.withColumns({f"{c}p": diffusion.baseline_coordinate(F.col(f"{c}t"), F.col("alpha_bar")) for c in "xyz"} | scores)
+    cells = graph.dense_adjacency(at, graph.local_edges(directed, numbered), 10)
+    pairs = cells.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode("adjacent").alias("j", "e")).select("id", "i", "j", F.col("e").cast("double").alias("y"))
+    hidden = diffusion.edge_noise(F.col("y"), F.col("alpha_bar"), "uniform", 9, F.col("id"), F.col("i"), F.col("j"))
+    told = _scheduled(pairs.withColumn("t", step)).withColumn("logit", diffusion.baseline_edge(hidden, F.col("alpha_bar")))
+    return diffusion.batch_losses(guess.join(placed, "id"), told.join(placed, "id"), ["l0", "l1"])
+
+
+@query("training_step", syn.sql("""
+SELECT batch, round(coord_mse, 6) AS coord_mse, round(edge_bce, 6) AS edge_bce, round(node_ce, 6) AS node_ce, round(3 * coord_mse + 2 * edge_bce + node_ce, 5) AS loss
+FROM node_part JOIN pair_part USING (batch)""", SCHEDULE, _noisy_sql("g.id % 499 + 1")))
+def training_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each graph at a step of its own."""
+    out = _noisy_losses(spark, sf_dir, (F.col("id") % 499 + 1).cast("int"))
+    return out.select("batch", *(F.round(c, 6).alias(c) for c in ("coord_mse", "edge_bce", "node_ce")), F.round("loss", 5).alias("loss"))
+
+
+@query("validation_step", syn.sql("SELECT batch, round(coord_mse, 6) AS val_coord_mse, round(node_acc, 6) AS val_node_acc FROM node_part", SCHEDULE, _noisy_sql(str(T // 2))))
 def validation_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise at half the steps; the noisy coordinates and a made-up class stand for the prediction."""
-    nodes = graph.nodes(graph.directed_edges(syn.rings(spark, sf_dir))).join(syn.vertices(spark, sf_dir), ["file", "vid"])
-    rows = nodes.select(F.col("obj").alias("id"), "node", "x", "y", "z", F.lit(1.0).alias("mask"), F.lit(diffusion.validation_time(T)).alias("t"))
-    noisy = diffusion.coordinate_noise(_scheduled(rows), F.col("alpha_bar"), 6, ["id"])
-    square = sum(((F.col(f"{c}t") - F.col(c)) ** 2 for c in "yz"), (F.col("xt") - F.col("x")) ** 2)
-    wrong = ((F.col("id") + F.col("node")) % 5 == 0).cast("double")
-    return noisy.agg(
-        F.round(diffusion.coordinate_loss(square, F.col("mask")), 5).alias("val_coord_mse"),
-        F.round(diffusion.accuracy([1 - wrong, wrong], F.lit(0)), 6).alias("val_node_acc"),
-    )
+    """Noise at half the steps."""
+    out = _noisy_losses(spark, sf_dir, F.lit(diffusion.validation_time(T)))
+    return out.select("batch", F.round("coord_mse", 6).alias("val_coord_mse"), F.round("node_acc", 6).alias("val_node_acc"))
+
+
+@query("category_step_absorbing", "WITH " + SCHEDULE + ", " + CLASSES + ", " + STEP + f"""
+SELECT id, CASE WHEN id % 3 > 0 THEN (target = 0)::INT WHEN r >= prev THEN 0.5 ELSE (u * (exp(a) + exp(c)) < exp(a))::INT END::DOUBLE AS x0,
+  CASE WHEN id % 3 > 0 THEN (target = 1)::INT WHEN r >= prev THEN 0.5 ELSE (u * (exp(a) + exp(c)) >= exp(a))::INT END::DOUBLE AS x1
+FROM (SELECT *, {_u("8", "id")} AS u, {_u("8r", "id")} AS r FROM classes JOIN s USING (t))""")
+def category_step_absorbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third class is masked: it is revealed by what is predicted, or stays masked."""
+    hidden = F.col("id") % 3 == 0
+    x = [F.when(hidden, 0.5).otherwise((F.col("target") == k).cast("double")) for k in (0, 1)]
+    new = diffusion.category_step([F.col("a"), F.col("c")], x, F.col("alpha_bar"), F.col("alpha_prev"), 2, "absorbing", 8, F.col("id"))
+    return _scheduled(_classes(spark, sf_dir)).select("id", new[0].alias("x0"), new[1].alias("x1"))
 
 
 @query("node_cross_entropy", "WITH " + CLASSES + """
