@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import random
 
+#: Rows of a range that are numbered by one task.
+ROWS_A_RANGE = 2_000_000
+
 
 def last_wins(rows: DataFrame, key: str | list[str], order: str | Column) -> DataFrame:
     """Of rows with equal keys the last in ``order``; whole rows, so columns never mix."""
@@ -49,40 +53,32 @@ def check_ratios(ratios: tuple[float, float, float]) -> None:
         raise ValueError("split ratios must sum to 1.0")
 
 
-def _shifted(rows: DataFrame, slice_of: Column, *order: Column | str, value: Column | None = None) -> DataFrame:
-    """``rows`` with ``__rank``: how many rows stand before over the whole table, or their sum of ``value``, without sorting it in one task.
+def ranked(rows: DataFrame, order: list[str], name: str, value: Column | None = None) -> DataFrame:
+    """``rows`` with their rank from 0 in ``order`` as ``name``, or the sum of ``value`` over the rows before; nulls first, without sorting the table in one task.
 
-    ``slice_of`` rises with the order and has a few thousand values at most: rows
-    are ranked inside slices, and slices are shifted by the sizes before them.
+    Rows are dealt by ranges of the order, sorted and numbered where they are, and kept so (``session.settled``), for ranges are drawn
+    from samples; each range is then shifted by those before it, of which there is a row each. There are as many ranges as partitions,
+    and more where one would hold over ``ROWS_A_RANGE`` rows. Rows that are equal in ``order`` are of one range.
     """
-    slices = rows.withColumns({"__slice": slice_of, "__value": F.lit(1) if value is None else value})
-    sizes = slices.groupBy("__slice").agg(F.sum("__value").alias("__n"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_RANGE))
+    placed = rows.withColumn("__value", F.lit(1) if value is None else value).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = session.settled(placed.withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("__slice", F.coalesce(F.sum("__n").over(earlier(Window.orderBy("__slice"))), F.lit(0)).alias("__shift"))  # a row a slice
-    inside = earlier(Window.partitionBy("__slice").orderBy(*order))
-    return (
-        slices.withColumn("__in", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-        .join(F.broadcast(shifts), "__slice")
-        .withColumn("__rank", F.col("__in") + F.col("__shift"))
-        .drop("__slice", "__in", "__shift", "__value")
-    )
+    sizes = placed.groupBy("__range").agg(F.sum("__value").alias("__n"))
+    shifts = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier(Window.orderBy("__range"))), F.lit(0)).alias("__shift"))  # a row a range
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) if value is None else F.coalesce(F.sum("__value").over(earlier(Window.partitionBy("__range").orderBy("__at"))), F.lit(0))
+    return placed.withColumn("__in", inside).join(F.broadcast(shifts), "__range").withColumn(name, F.col("__in") + F.col("__shift")).drop("__range", "__at", "__in", "__shift", "__value")
 
 
 def _ranks(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """``rows`` with ``__rank`` in the order of a hexadecimal hash, by its first three digits."""
-    return _shifted(rows.withColumn("__order", order), F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"), "__order", key).drop("__order")
-
+    """``rows`` with ``__rank`` in the order of a hash, then of the key."""
+    return ranked(rows.withColumn("__order", order), ["__order", key], "__rank").drop("__order")
 
-def sorted_ranks(rows: DataFrame, order: str, name: str, slices: int = 256, value: Column | None = None) -> DataFrame:
-    """``rows`` with their rank from 0 by the column ``order`` in ``name``, or the sum of ``value`` before them; nulls first.
 
-    Slices end at some values of the column, at most ``slices`` of them, chosen by a hash.
-    """
-    some = rows.select(order).dropna().orderBy(F.xxhash64(order), order).limit(slices).collect()
-    ends = sorted({r[0] for r in some})
-    kind = rows.schema[order].dataType
-    below = F.size(F.filter(F.array(*(F.lit(v).cast(kind) for v in ends)), lambda v: v <= F.col(order))) if ends else F.lit(0)
-    return _shifted(rows, F.when(F.col(order).isNull(), -1).otherwise(below), order, value=value).withColumnRenamed("__rank", name)
+def sorted_ranks(rows: DataFrame, order: str, name: str, value: Column | None = None) -> DataFrame:
+    """``rows`` with their rank from 0 by the column ``order`` in ``name``, or the sum of ``value`` before them."""
+    return ranked(rows, [order], name, value)
 
 
 def exact_split(rows: DataFrame, key: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:

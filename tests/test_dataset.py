@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratablock.functions import arrays, random
@@ -68,7 +69,7 @@ def test_running_numbers_over_a_whole_table(spark):
 
     rows = [(f"k{k:04d}", k % 7) for k in range(1000)]
     df = spark.createDataFrame(rows, "k string, n long").repartition(5)
-    got = {r.k: r.place for r in dataset.sorted_ranks(df, "k", "place", slices=16).collect()}
+    got = {r.k: r.place for r in dataset.sorted_ranks(df, "k", "place").collect()}
     assert got == {k: i for i, (k, _) in enumerate(rows)}
     got, at = {r.k: r.offset for r in export.vertex_offsets(df, "k").collect()}, 0
     for k, n in rows:
@@ -99,3 +100,15 @@ def test_collated_batches(spark):
     assert {r.batch: (r.lod_0.ids, r.lod_1.ids, len(r.lod_1.y[0][3])) for r in two} == {0: (["b"], ["b"], 4), 1: (["c"], ["c"], 4)}
     with pytest.raises(Exception, match="more than n_max"):
         graph.collate(places, [level], 2).collect()
+
+
+@pytest.mark.parametrize("rows_a_range", [2_000_000, 7])
+def test_ranks_equal_a_global_window(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(dataset, "ROWS_A_RANGE", rows_a_range)
+    rows = spark.range(300).select(F.when(F.col("id") != 17, F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("k"), (F.col("id") % 5).alias("v")).distinct()
+    whole = Window.orderBy("k")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.k: (r.a, r.b) for r in rows.select("k", (F.row_number().over(whole) - 1).alias("a"), F.coalesce(F.sum("v").over(before), F.lit(0)).alias("b")).collect()}
+    assert {r.k: r.n for r in dataset.sorted_ranks(rows, "k", "n").collect()} == {k: a for k, (a, _) in want.items()}
+    assert {r.k: r.n for r in dataset.sorted_ranks(rows, "k", "n", value=F.col("v")).collect()} == {k: b for k, (_, b) in want.items()}
+    assert dataset.sorted_ranks(rows.filter("false"), "k", "n").collect() == []
