@@ -12,7 +12,8 @@ text to the one shard that can hold its match, and shards are of bounded size.
 
 Defined cases: null and empty texts have no words and are never removed;
 repeated rows count as different places, so both copies lose their words; texts
-shorter than the threshold keep all words.
+shorter than the threshold keep all words. Columns of the names that
+``remove_repeats`` adds are replaced, others are carried.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ labelled rows. A temperature fitted on rows set aside calibrates the
 probabilities, and ``reject_below`` marks predictions not to be relied on.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-with no labelled rows every text is ``und``.
+with no labelled rows every text is ``und``. Of languages that are equally
+likely the first in alphabetical order is predicted. Texts of any length are
+read whole, repeated rows are predicted each; an empty table gives no rows.
+Columns of the names that ``predict`` adds are replaced, others are carried.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Everything happens in one row: no shuffle, no Python. The rules are a constant
 array in the plan.
 
 Defined cases: a null text is empty and has no labels and score 0; positions
-are null where no base phrase stands; equal rows are scanned each.
+are null where no base phrase stands; equal rows are scanned each. Columns of
+the names that ``scan`` adds are replaced, others are carried.
 """
 
 from __future__ import annotations

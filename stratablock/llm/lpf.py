@@ -10,7 +10,8 @@ later copy; the earliest copy is kept, or, with ``keep_first=False``, goes too.
 
 Defined cases: null and empty texts have no bytes; repeated rows are different
 places; texts shorter than the threshold keep all bytes. Removal is by bytes,
-so kept bytes need not be valid UTF-8.
+so kept bytes need not be valid UTF-8. Columns of the names that
+``remove_repeats`` adds are replaced, others are carried.
 """
 
 from __future__ import annotations

@@ -27,8 +27,10 @@ follows from the bytes of text, and draws from the words themselves: scores do
 not depend on files, blocks or partitions.
 
 Defined cases: a null or empty text is its end alone; a null in ``learn`` is
-False; with nothing to learn from, all words are unseen. Words are told apart by
-64-bit hashes, the followers of a word by 40 bits.
+False; with nothing to learn from, all words are unseen. Texts of any length are
+read whole; repeated rows are learned from and scored each; an empty table gives
+no rows. Columns of the names that ``score`` adds are replaced, others are
+carried. Words are told apart by 64-bit hashes, the followers of a word by 40 bits.
 """
 
 from __future__ import annotations

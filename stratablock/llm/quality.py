@@ -6,8 +6,11 @@ one task, its probability calibrated on a part of that sample that the fit did n
 and it scores every text in Arrow batches against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; without
-labels of both kinds the classifier keeps everything (probability 1).
-Extra columns are carried or dropped by name, never matched by position.
+labels of both kinds the classifier keeps everything (probability 1). A
+probability equal to the threshold is kept. Texts of any length are read whole,
+repeated rows are scored each; an empty table gives no rows. Extra columns are
+carried or dropped by name, never matched by position; columns of the names
+that ``score`` adds are replaced.
 """
 
 from __future__ import annotations

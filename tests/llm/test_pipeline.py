@@ -100,3 +100,9 @@ def test_jaccard_stage_tells_rows_apart_by_text(spark, folder):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, docs, folder).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one), (1, two), (None, three), (3, None), (4, "")], key=repr)
+
+
+def test_stages_of_an_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).collect() == [], name

@@ -249,3 +249,67 @@ def test_words_and_hashes():
     h = w.hashes()
     assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     assert [bytes(buf[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == [b"a", b"bb", b"a", b"bb", b"ccc"]
+
+
+def plain_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 % 2**64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def plain_hash(raw):
+    """The hash of a run of bytes, one byte after another."""
+    values, base = text.byte_values(np.arange(256, dtype=np.uint8)).tolist(), 0x9E3779B97F4A7C15
+    return plain_mix(sum(values[b] * pow(base, k, 2**64) for k, b in enumerate(raw)) % 2**64)
+
+
+def awkward():
+    return [r[1] for r in corpus()] + ["a", "A a", "Été à la plage", "x" * 700, "one two three", "#* 12"]
+
+
+def test_language_prediction_equals_plain_loops(spark):
+    rows = [(language(k, "aeiourst" if k % 3 else "kzwyxqpé"), ("one", "two", "three")[k % 3]) for k in range(60)]
+    model = langid.fit(rows)
+    texts = awkward()
+    got = by_id(langid.predict(frame(spark, [(k, t, *[None] * 5) for k, t in enumerate(texts)]), model))
+    low, mask = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))), (1 << langid.BITS) - 1
+    for k, t in enumerate(texts):
+        total, n = np.zeros(len(model.langs)), 0
+        for w in (t or "").encode().translate(low).split():
+            flat = b" " + w + b" "
+            pieces = [flat[i : i + m] for m in langid.ORDERS for i in range(len(flat) - m + 1) if m > 1 or 0 < i < len(flat) - 1]
+            for bucket in [*(plain_hash(p) & mask for p in pieces), plain_mix((plain_hash(flat) + 5) % 2**64) & mask]:
+                total += model.embeddings[bucket].astype(float) @ model.softmax
+                n += 1
+        e = np.exp((total / max(n, 1) + model.bias) / model.temperature)
+        letter = any(map(str.isalpha, t or ""))
+        want = model.langs[int((e / e.sum()).argmax())] if letter else "und"
+        assert got[k][0].lang_pred == want and got[k][0].score == pytest.approx((e / e.sum()).max() if letter else 0, abs=1e-4)
+        assert got[k][0].rejected == (got[k][0].score < langid.REJECT_BELOW)
+
+
+def test_quality_score_equals_plain_loops(spark):
+    model = quality.fit(labelled())
+    texts = awkward() + [labelled()[0][0], labelled()[70][0]]
+    got = by_id(quality.score(frame(spark, [(k, t, *[None] * 5) for k, t in enumerate(texts)]), model))
+    mask = (1 << quality.BITS) - 1
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        hashes = [plain_hash(w) for w in raw.split()]
+        families = [[plain_hash(raw[i : i + m]) for i in range(len(raw) - m + 1)] if len(raw) < 3000 else None for m in quality.CHAR_ORDERS]
+        if None in families:
+            continue
+        families += [[plain_mix((h + 11) % 2**64) for h in hashes], [plain_mix((a * 31 + b) % 2**64) for a, b in zip(hashes, hashes[1:], strict=False)]]
+        z = model.bias + sum(sum(float(model.weights[f][h & mask]) for h in own) / max(len(own), 1) for f, own in enumerate(families))
+        p = 1 / (1 + math.exp(-max(min(model.slope * z + model.shift, 40), -40)))
+        assert got[k][0].quality_score == pytest.approx(p, abs=1e-5)
+        assert got[k][0].kept == (not got[k][0].base_failed and got[k][0].quality_score >= quality.KEEP_FROM)
+
+
+def test_models_of_empty_tables(spark):
+    none = frame(spark, [])
+    model = langid.fit_on_labels(none)
+    assert model is None and langid.predict(none, model).collect() == [] and by_id(langid.predict(frame(spark), model))[0][0].lang_pred == "und"
+    assert quality.score(none, quality.fit_on_labels(none, spark.createDataFrame([], "doc_id long, quality int"))).collect() == []
