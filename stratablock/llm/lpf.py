@@ -1,6 +1,7 @@
 """Suffix-array dedup: longest-previous-factor arrays from neighbours in suffix order.
 
-In a shard (``anchors``) windows whose hash occurs once there are left out: no
+Every different text of a shard (``anchors``) goes through its arrays; one that
+stands in several places has a copy there, which it matches. In a shard windows whose hash occurs once there are left out: no
 match starts at them. The suffix array of what remains is built by prefix
 doubling; the ranks of every round stay, so the common prefix of any two
 suffixes is read by descending through them. Positions are then visited in
@@ -59,8 +60,9 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tupl
     return np.lexsort((np.arange(n), rank)), rounds
 
 
-def common_prefix(i: np.ndarray, j: np.ndarray, n: int, rounds: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes i and j, as far as the rounds tell."""
+def common_prefix(i: np.ndarray, j: np.ndarray, symbols: np.ndarray, rounds: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes i and j, as far as the rounds tell; the last symbols one by one."""
+    n = len(symbols)
     i, j, out = i.copy(), j.copy(), np.zeros(len(i), np.int64)
     for width, rank in reversed(rounds):
         ok = np.flatnonzero((i < n) & (j < n))
@@ -68,6 +70,13 @@ def common_prefix(i: np.ndarray, j: np.ndarray, n: int, rounds: list[tuple[int,
         i[same] += width
         j[same] += width
         out[same] += width
+    live = np.arange(len(i))
+    for _ in range(rounds[0][0] - 1):
+        live = live[(i[live] < n) & (j[live] < n)]
+        live = live[symbols[i[live]] == symbols[j[live]]]
+        i[live] += 1
+        j[live] += 1
+        out[live] += 1
     return out
 
 
@@ -131,14 +140,16 @@ def repeated_runs(values: np.ndarray, ends: np.ndarray, window: int) -> list[tup
 def engine_for(keep_first: bool):
     def engine(texts: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
         """For each (times, text), spans of bytes that a removed copy covers."""
+        number = len(texts)
+        texts = [*texts, *((1, b) for t, b in texts if t > 1)]  # what stands in several places has a copy to match
         sizes = np.array([len(b) for _, b in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         raw = np.frombuffer(b"".join(b for _, b in texts), np.uint8)
-        parts = [[(0, n)] if t > 1 and n >= window and not keep_first else [] for (t, _), n in zip(texts, sizes.tolist(), strict=True)]
+        parts: list[list[tuple[int, int]]] = [[] for _ in texts]
         # only runs of windows that occur again go into the suffix array
         runs = repeated_runs(text.byte_values(raw), np.repeat(starts[1:], sizes), window)
         if not runs:
-            return [np.array(p, np.int32).reshape(-1, 2) for p in parts]
+            return [np.zeros((0, 2), np.int32)] * number
         first, end = (np.array(x) for x in zip(*runs, strict=True))
         length = end - first
         begin = np.concatenate([[0], np.cumsum(length + 1)])
@@ -149,7 +160,7 @@ def engine_for(keep_first: bool):
         symbols = np.where(stop, 256 + owner % 65_000, raw[np.minimum(source, len(raw) - 1)]).astype(np.int64)  # runs end at different symbols
         order, rounds = suffix_order(symbols, window)
         near = np.zeros(n, np.int64)
-        near[1:] = common_prefix(order[:-1], order[1:], n, rounds)
+        near[1:] = common_prefix(order[:-1], order[1:], symbols, rounds)
         left = begin[owner] + length[owner] - np.arange(n)
         near[1:] = np.minimum(near[1:], np.minimum(left[order[:-1]], left[order[1:]]))  # a match ends with its run
         at, match, earlier = previous_factors(order, near, window)
@@ -163,13 +174,13 @@ def engine_for(keep_first: bool):
                 parts[k][-1] = (parts[k][-1][0], max(parts[k][-1][1], a + m))
             else:
                 parts[k].append((a, a + m))
-        return [np.array(p, np.int32).reshape(-1, 2) for p in parts]
+        return [np.array(p, np.int32).reshape(-1, 2) for p in parts[:number]]
 
     return engine
 
 
 def scheme(threshold: int = THRESHOLD, hot: int = 1500) -> anchors.Scheme:
-    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), 500_000, hot)
+    return anchors.Scheme(threshold, min(64, threshold), anchors.byte_units, engine_for(False), 500_000, hot, alone=True)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 1500) -> DataFrame:
