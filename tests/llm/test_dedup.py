@@ -172,16 +172,3 @@ def test_rows_that_meet_grow_in_proportion_under_boilerplate(spark, monkeypatch)
         found = by_id(jaccard.classes(frame(spark, rows)))
         assert {k: (v[0].component_id, v[0].n_links) for k, v in found.items()} == {k: (k - k % 2, 1) for k in range(n)}
     assert sent[1] <= 2.5 * sent[0] and sent[1] <= 4 * 600, sent
-
-
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_only_the_arrays_remove_bytes(spark, monkeypatch, hot):
-    """With an engine that finds nothing, nothing goes."""
-    plain = lpf.scheme(40, hot)
-
-    def finds_nothing(texts, window):
-        return [np.zeros((0, 2), np.int32)] * len(texts)
-
-    nothing = anchors.Scheme(plain.window, plain.gram, plain.units, finds_nothing, plain.shard_bytes, plain.hot, plain.alone)
-    monkeypatch.setattr(lpf, "scheme", lambda *_: nothing)
-    assert {r.n_removed for v in by_id(lpf.remove_repeats(frame(spark), 40, hot)).values() for r in v} == {0}
