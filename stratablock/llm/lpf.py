@@ -59,8 +59,9 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tupl
     return np.lexsort((np.arange(n), rank)), rounds
 
 
-def common_prefix(i: np.ndarray, j: np.ndarray, n: int, rounds: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes i and j, as far as the rounds tell."""
+def common_prefix(i: np.ndarray, j: np.ndarray, symbols: np.ndarray, rounds: list[tuple[int, np.ndarray]], odd: int) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes i and j, as far as the rounds tell: in fours, and ``odd`` symbols one by one."""
+    n = len(symbols)
     i, j, out = i.copy(), j.copy(), np.zeros(len(i), np.int64)
     for width, rank in reversed(rounds):
         ok = np.flatnonzero((i < n) & (j < n))
@@ -68,6 +69,13 @@ def common_prefix(i: np.ndarray, j: np.ndarray, n: int, rounds: list[tuple[int,
         i[same] += width
         j[same] += width
         out[same] += width
+    live = np.arange(len(i))
+    for _ in range(odd):
+        live = live[(i[live] < n) & (j[live] < n)]
+        live = live[symbols[i[live]] == symbols[j[live]]]
+        i[live] += 1
+        j[live] += 1
+        out[live] += 1
     return out
 
 
@@ -149,7 +157,7 @@ def engine_for(keep_first: bool):
         symbols = np.where(stop, 256 + owner % 65_000, raw[np.minimum(source, len(raw) - 1)]).astype(np.int64)  # runs end at different symbols
         order, rounds = suffix_order(symbols, window)
         near = np.zeros(n, np.int64)
-        near[1:] = common_prefix(order[:-1], order[1:], n, rounds)
+        near[1:] = common_prefix(order[:-1], order[1:], symbols, rounds, window % rounds[0][0])
         left = begin[owner] + length[owner] - np.arange(n)
         near[1:] = np.minimum(near[1:], np.minimum(left[order[:-1]], left[order[1:]]))  # a match ends with its run
         at, match, earlier = previous_factors(order, near, window)

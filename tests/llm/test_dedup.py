@@ -67,6 +67,15 @@ def test_lpf_keeps_the_first_copy():
     assert spans[0].tolist() == [] and spans[1].tolist() == [[1, 601]]
 
 
+@pytest.mark.parametrize("window", [400, 401, 402, 403])
+def test_matches_of_just_the_threshold(window):
+    rng = np.random.default_rng(window)
+    some = [b"%d" % k + bytes(rng.integers(97, 122, 298, dtype=np.uint8)) + b"%d" % k for k in range(4)]  # what surrounds a match differs
+    shared = bytes(rng.integers(97, 122, window, dtype=np.uint8))
+    spans = lpf.engine_for(False)([(1, some[0] + shared + some[1]), (1, some[2] + shared + some[3]), (1, some[0] + shared[1:] + some[2])], window)
+    assert [x.tolist() for x in spans[:2]] == [[[300, 300 + window]]] * 2 and not len(spans[2])
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 60, 90, dtype=np.uint64)
