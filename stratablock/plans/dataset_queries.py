@@ -354,7 +354,7 @@ def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events stand for a run: its name, and how long it took."""
     runs = syn.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     seconds = times.elapsed(F.col("a"), F.col("b"))
-    return runs.select("user_id", times.stamp(F.col("a")).alias("started"), F.round(seconds, 3).alias("seconds"), times.elapsed_text(seconds).alias("taken"))
+    return runs.select("user_id", times.stamp(F.col("a")).alias("started"), times.rounded(seconds, 3).alias("seconds"), times.elapsed_text(seconds).alias("taken"))
 
 
 @query("face_scatter_matrix", syn.sql("""
