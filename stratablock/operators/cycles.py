@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
+
 LONGEST = 8
 
 
@@ -30,7 +32,7 @@ def active_edges(probs: DataFrame, classes: DataFrame, key: str = "id") -> tuple
     numbered = active.withColumn("new", F.row_number().over(Window.partitionBy(key).orderBy("node")) - 1).select(key, "node", "new")
     src = numbered.select(key, F.col("node").alias("src"), F.col("new").alias("s"))
     dst = numbered.select(key, F.col("node").alias("dst"), F.col("new").alias("d"))
-    among = probs.join(src, [key, "src"]).join(dst, [key, "dst"]).select(key, F.col("s").alias("src"), F.col("d").alias("dst"), "prob")
+    among = probs.join(session.shuffled(src), [key, "src"]).join(session.shuffled(dst), [key, "dst"]).select(key, F.col("s").alias("src"), F.col("d").alias("dst"), "prob")
     return numbered, among
 
 

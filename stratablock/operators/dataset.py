@@ -30,12 +30,12 @@ def common_ids(levels: list[DataFrame], key: str = "obj") -> DataFrame:
 def aligned(levels: list[DataFrame], key: str = "obj") -> DataFrame:
     """One row per common id, with a struct of each level's columns: ``lod_0``, ``lod_1``, ..."""
     parts = [x.select(key, F.struct(*(c for c in x.columns if c != key)).alias(f"lod_{k}")) for k, x in enumerate(levels)]
-    return reduce(lambda a, b: a.join(b, key), parts)
+    return reduce(lambda a, b: a.join(session.shuffled(b), key), parts)
 
 
 def paired_files(detailed: DataFrame, simple: DataFrame) -> DataFrame:
     """Files with a counterpart at the same relative path."""
-    return detailed.join(simple.select("rel_path"), "rel_path", "left_semi")
+    return detailed.join(session.shuffled(simple.select("rel_path")), "rel_path", "left_semi")
 
 
 def pair_objects(detailed: DataFrame, simple: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def pair_objects(detailed: DataFrame, simple: DataFrame) -> DataFrame:
     Ids meet inside the pair's row. A file that did not parse has no objects.
     """
     other = simple.select("rel_path", F.map_keys("CityObjects").alias("__ids"))
-    both = detailed.select("rel_path", F.map_keys("CityObjects").alias("ids")).join(other, "rel_path")
+    both = detailed.select("rel_path", F.map_keys("CityObjects").alias("ids")).join(session.shuffled(other), "rel_path")
     return last_wins(both.select("rel_path", F.explode(F.array_intersect("ids", "__ids")).alias("obj")), "obj", "rel_path")
 
 

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays, random
 
 NOISE = ("uniform", "absorbing", "discretized_gaussian")
@@ -278,7 +279,7 @@ def batch_losses(nodes: DataFrame, pairs: DataFrame, scores: list[str], by: str
     own = nodes.groupBy(by).agg(
         coordinate_loss(square, F.col("mask")).alias("coord_mse"), node_loss(logits, F.col("target")).alias("node_ce"), accuracy(logits, F.col("target")).alias("node_acc")
     )
-    both = own.join(pairs.groupBy(by).agg(edge_loss(F.col("logit"), F.col("y")).alias("edge_bce")), by)
+    both = own.join(session.shuffled(pairs.groupBy(by).agg(edge_loss(F.col("logit"), F.col("y")).alias("edge_bce"))), by)
     return both.withColumn("loss", total_loss(F.col("coord_mse"), F.col("edge_bce"), F.col("node_ce")))
 
 
@@ -292,7 +293,7 @@ def pair_features(nodes: DataFrame, by: list[str]) -> DataFrame:
     square = lambda s: F.col(f"x{s}") ** 2 + F.col(f"y{s}") ** 2 + F.col(f"z{s}") ** 2
     apart = sum(((F.col(f"{c}i") - F.col(f"{c}j")) ** 2 for c in "yz"), (F.col("xi") - F.col("xj")) ** 2)
     along = sum((F.col(f"{c}i") * F.col(f"{c}j") for c in "yz"), F.col("xi") * F.col("xj"))
-    return a.join(b, by).select(
+    return a.join(session.shuffled(b), by).select(
         *by, "i", "j", F.sqrt(apart).alias("dist"), F.sqrt(square("i")).alias("norm_i"), F.sqrt(square("j")).alias("norm_j"),
         (along / (F.sqrt(square("i")) * F.sqrt(square("j")) + 1e-6)).alias("cos"),
     )

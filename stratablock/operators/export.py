@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import documents
 from . import cycles, dataset, planes
 
@@ -27,7 +28,7 @@ def reconstruct(nodes: DataFrame, probs: DataFrame, threshold: float = 0.5, key:
     shell = moved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("face", index.cast("int").alias("s"), "p"))).alias("f"))
     points = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z"))).alias("n"))
     # corners in the order of their nodes: each node reads its own run of them
-    found = shell.join(points, key).withColumn("corners", F.array_sort(F.flatten(F.transform("f", lambda f: F.transform(f["p"], lambda c: F.struct(c["node"], c["x"], c["y"], c["z"]))))))
+    found = shell.join(session.shuffled(points), key).withColumn("corners", F.array_sort(F.flatten(F.transform("f", lambda f: F.transform(f["p"], lambda c: F.struct(c["node"], c["x"], c["y"], c["z"]))))))
     found = found.withColumn("own", F.transform("corners", lambda c: c["node"]))
     zero = F.struct(*(F.lit(0.0).alias(c) for c in "xyz"), F.lit(0).alias("size"))
 
@@ -77,10 +78,10 @@ def combined(merged: DataFrame, buildings: DataFrame, by: list[str] | None = Non
     """
     keys = by or ["__all"]
     whole, own = (df if by else df.withColumn("__all", F.lit(0)) for df in (merged, buildings))
-    each = whole.select(*keys, F.explode("objects").alias("name", "boundaries")).join(own.select(*keys, "name", "surface_values"), [*keys, "name"])
+    each = whole.select(*keys, F.explode("objects").alias("name", "boundaries")).join(session.shuffled(own.select(*keys, "name", "surface_values")), [*keys, "name"])
     text = _object(F.col("name"), F.col("boundaries"), F.col("surface_values"))
     members = each.groupBy(*keys).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))), lambda m: m["text"])).alias("o"))
-    out = whole.select(*keys, "vertices").join(members, keys)
+    out = whole.select(*keys, "vertices").join(session.shuffled(members), keys)
     return out.select(*(by or []), F.lit("all_buildings.city.json").alias("file_name"), _document(F.col("o"), F.col("vertices")).alias("json"))
 
 
@@ -109,4 +110,4 @@ def merge(documents: DataFrame, by: list[str], order: str) -> DataFrame:
     points = moved.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "vertices"))), lambda x: x["vertices"])).alias("vertices"))
     last = moved.groupBy(*by, "name").agg(F.max_by("boundaries", order).alias("boundaries"))
     objects = last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "boundaries")))).alias("objects"))
-    return points.join(objects, by)
+    return points.join(session.shuffled(objects), by)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays
 from . import rings as ring_ops
 
@@ -37,7 +38,7 @@ def local_edges(directed: DataFrame, numbered: DataFrame) -> DataFrame:
     """Edges between node numbers."""
     src = numbered.select(*KEY, F.col("vid").alias("src"), F.col("node").alias("s"))
     dst = numbered.select(*KEY, F.col("vid").alias("dst"), F.col("node").alias("d"))
-    return directed.join(src, [*KEY, "src"]).join(dst, [*KEY, "dst"]).select(*KEY, F.col("s").alias("src"), F.col("d").alias("dst"))
+    return directed.join(session.shuffled(src), [*KEY, "src"]).join(session.shuffled(dst), [*KEY, "dst"]).select(*KEY, F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
 def sizes(numbered: DataFrame) -> DataFrame:
@@ -59,26 +60,26 @@ def base_centers(rings: DataFrame, vertices: DataFrame, numbered: DataFrame) ->
     at = vertices.select("file", "vid", "x", "y", "z")
     mean = [F.avg(c).alias(n) for c, n in (("x", "cx"), ("y", "cy"), ("z", "cz"))]
     on_ground = rings.filter(F.get("surfaces", F.col("surface")) == "GroundSurface")
-    ground = on_ground.select(*KEY, F.explode("vids").alias("vid")).distinct().join(at, ["file", "vid"]).groupBy(*KEY).agg(*mean)
+    ground = on_ground.select(*KEY, F.explode("vids").alias("vid")).distinct().join(session.shuffled(at), ["file", "vid"]).groupBy(*KEY).agg(*mean)
     lowest = Window.partitionBy(*KEY)
     near = (
         numbered.select(*KEY, "vid")
-        .join(at, ["file", "vid"])
+        .join(session.shuffled(at), ["file", "vid"])
         .withColumn("low", F.min("z").over(lowest))
         .filter(F.abs(F.col("z") - F.col("low")) < BASE_TOLERANCE)
         .groupBy(*KEY)
         .agg(F.struct(*mean).alias("fallback"))
     )
     semantic = ground.select(*KEY, F.struct("cx", "cy", "cz").alias("semantic"))
-    return near.join(semantic, KEY, "left").select(*KEY, F.coalesce("semantic", "fallback").alias("c")).select(*KEY, "c.*")
+    return near.join(session.shuffled(semantic), KEY, "left").select(*KEY, F.coalesce("semantic", "fallback").alias("c")).select(*KEY, "c.*")
 
 
 def positions(numbered: DataFrame, vertices: DataFrame, centers: DataFrame | None = None) -> DataFrame:
     """file, obj, node, x, y, z as floats, cast last; relative to the base centre when centres are given."""
-    at = numbered.join(vertices.select("file", "vid", "x", "y", "z"), ["file", "vid"])
+    at = numbered.join(session.shuffled(vertices.select("file", "vid", "x", "y", "z")), ["file", "vid"])
     if centers is None:
         return at.select(*KEY, "node", *(F.col(c).cast("float").alias(c) for c in "xyz"))
-    moved = at.join(centers, KEY, "left")
+    moved = at.join(session.shuffled(centers), KEY, "left")
     return moved.select(*KEY, "node", *((F.col(c) - F.coalesce(F.col(f"c{c}"), F.lit(0.0))).cast("float").alias(c) for c in "xyz"))
 
 
@@ -95,7 +96,7 @@ def sequences(rings: DataFrame, vertices: DataFrame) -> DataFrame:
 def padded_nodes(at: DataFrame, n_max: int) -> DataFrame:
     """n_max rows per graph: virtual nodes have zero coordinates, class 1 and mask 0."""
     graphs = at.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))
-    return graphs.join(at, [*KEY, "node"], "left").select(
+    return graphs.join(session.shuffled(at), [*KEY, "node"], "left").select(
         *KEY, "node", *(F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in "xyz"),
         F.col("x").isNull().cast("int").alias("category"), F.col("x").isNotNull().cast("int").alias("mask"),
     )
@@ -116,7 +117,7 @@ def dense_adjacency(at: DataFrame, local: DataFrame, n_max: int) -> DataFrame:
     near = local.groupBy(*KEY, "src").agg(F.collect_set("dst").alias("near")).withColumnRenamed("src", "node")
     graphs = at.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(n_max - 1)), lambda j: F.coalesce(F.array_contains("near", j), F.lit(False)).cast("int"))
-    return graphs.join(near, [*KEY, "node"], "left").select(*KEY, "node", cells.alias("adjacent"))
+    return graphs.join(session.shuffled(near), [*KEY, "node"], "left").select(*KEY, "node", cells.alias("adjacent"))
 
 
 def sparse(at: DataFrame, local: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def sparse(at: DataFrame, local: DataFrame) -> DataFrame:
     points = at.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z"))), lambda n: F.array(n["x"], n["y"], n["z"])).alias("points"))
     ends = local.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("e"))
     before = F.transform(F.sequence(F.lit(0), F.size("points")), lambda k: F.coalesce(F.size(F.filter("e", lambda x: x["src"] < k)), F.lit(0)))
-    rows = points.join(ends, KEY, "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<src:int,dst:int>>")))
+    rows = points.join(session.shuffled(ends), KEY, "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<src:int,dst:int>>")))
     return rows.select(*KEY, "points", before.alias("offsets"), F.transform("e", lambda x: x["dst"].cast("int")).alias("indices"))
 
 
@@ -151,7 +152,7 @@ def collate(graphs: DataFrame, levels: list[DataFrame], n_max: int) -> DataFrame
     own = ("type", "points", "offsets", "indices")
     rows = graphs.select("obj", "batch", "place")
     for k, level in enumerate(levels):
-        rows = rows.join(level.select("obj", F.struct(*own).alias(f"lod_{k}")), "obj")
+        rows = rows.join(session.shuffled(level.select("obj", F.struct(*own).alias(f"lod_{k}"))), "obj")
     names = [f"lod_{k}" for k in range(len(levels))]
     held = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", "obj", *names))).alias("g"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays
 from . import mesh
 from . import rings as ring_ops
@@ -36,16 +37,16 @@ def surface_indices(geometries: DataFrame) -> DataFrame:
 def heights(rings: DataFrame, indices: DataFrame, vertices: DataFrame) -> DataFrame:
     """Convertible geometries with ``height``: the median over every roof ring vertex, repeats included, of the stored z."""
     known = indices.filter((F.col("geom_type") == mesh.SOLID) & F.col("ground").isNotNull() & F.col("roof").isNotNull())
-    faces = rings.select(*GEOM, "surface", "vids").join(known, GEOM)
+    faces = rings.select(*GEOM, "surface", "vids").join(session.shuffled(known), GEOM)
     ground = faces.filter("surface = ground").select(*GEOM).distinct()
     roof = faces.filter("surface = roof and surface <> ground").select(*GEOM, F.explode("vids").alias("vid"))
-    median = roof.join(vertices.select("file", "vid", "raw_z"), ["file", "vid"]).groupBy(*GEOM).agg(F.median("raw_z").alias("height"))
-    return known.join(median, GEOM).join(ground, GEOM, "left_semi")
+    median = roof.join(session.shuffled(vertices.select("file", "vid", "raw_z")), ["file", "vid"]).groupBy(*GEOM).agg(F.median("raw_z").alias("height"))
+    return known.join(session.shuffled(median), GEOM).join(session.shuffled(ground), GEOM, "left_semi")
 
 
 def ground_rings(rings: DataFrame, converted: DataFrame, vertices: DataFrame, outer_ccw: bool = False) -> DataFrame:
     """Ground rings of converted geometries: outer rings turned one way, holes the other."""
-    own = rings.select(*ring_ops.PLACE, "surface", "vids").join(converted.select(*GEOM, "ground"), GEOM).filter("surface = ground")
+    own = rings.select(*ring_ops.PLACE, "surface", "vids").join(session.shuffled(converted.select(*GEOM, "ground")), GEOM).filter("surface = ground")
     areas = ring_ops.signed_area(own.drop("ground", "surface"), vertices.select("file", "vid", "x", "y", F.col("raw_z").alias("z")))
     ccw = F.when(F.col("ring") == 0, F.lit(outer_ccw)).otherwise(F.lit(not outer_ccw))
     return ring_ops.oriented(areas, ccw).select(*ring_ops.PLACE, "vids")
@@ -59,13 +60,13 @@ def roof_vertices(ground: DataFrame, converted: DataFrame, vertices: DataFrame)
     # numbers inside a geometry, shifted by the geometries before it in the file: one row of these for each
     inside = first.withColumn("rank", F.row_number().over(Window.partitionBy(*GEOM).orderBy("at")) - 1)
     before = Window.partitionBy("file").orderBy("obj_pos", "geom").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = first.groupBy(*GEOM).agg(F.count("*").alias("n")).join(count, "file")
+    sizes = first.groupBy(*GEOM).agg(F.count("*").alias("n")).join(session.shuffled(count), "file")
     shifts = sizes.select(*GEOM, (F.col("v") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("shift"))
     return (
-        inside.join(shifts, GEOM)
+        inside.join(session.shuffled(shifts), GEOM)
         .withColumn("roof_vid", (F.col("rank") + F.col("shift")).cast("int"))
-        .join(vertices.select("file", "vid", "x", "y"), ["file", "vid"])
-        .join(converted.select(*GEOM, "height"), GEOM)
+        .join(session.shuffled(vertices.select("file", "vid", "x", "y")), ["file", "vid"])
+        .join(session.shuffled(converted.select(*GEOM, "height")), GEOM)
         .select(*GEOM, "vid", "roof_vid", "x", "y", F.col("height").alias("z"))
     )
 
@@ -81,8 +82,8 @@ def block_faces(ground: DataFrame, raised: DataFrame, converted: DataFrame, turn
     faces = (
         ground.groupBy(*GEOM, "shell", "face")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "vids"))), lambda r: r["vids"]).alias("rings"))
-        .join(lift, GEOM)
-        .join(converted.select(*GEOM, "ground", "roof", "wall"), GEOM)
+        .join(session.shuffled(lift), GEOM)
+        .join(session.shuffled(converted.select(*GEOM, "ground", "roof", "wall")), GEOM)
     )
     up = lambda v: F.element_at("lift", v)
     wall = lambda e: F.struct(F.col("wall").alias("surface"), F.array(F.array(e["vid"], e["nxt"], up(e["nxt"]), up(e["vid"]))).alias("rings"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays
 
 #: A normal steeper than LEVEL is snapped to the vertical, one flatter than UPRIGHT to the horizontal.
@@ -33,7 +34,7 @@ _ENTRIES = ("xx", "xy", "xz", "yy", "yz", "zz")
 def corners(faces: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """key, face, pos, node, x, y, z. ``faces``: key, face, cycle; ``nodes``: key, node, x, y, z."""
     flat = faces.select(key, "face", F.posexplode("cycle").alias("pos", "node"))
-    return flat.join(nodes, [key, "node"])
+    return flat.join(session.shuffled(nodes), [key, "node"])
 
 
 def _moments() -> list[Column]:
@@ -138,7 +139,7 @@ def straighten_faces(points: DataFrame, by: list[str]) -> DataFrame:
 def mean_projection(nodes: DataFrame, moved: DataFrame, key: str = "id") -> DataFrame:
     """``nodes`` at the mean of their projections; nodes of no face stay where they are."""
     mean = moved.groupBy(key, "node").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    return nodes.join(mean, [key, "node"], "left").select(key, "node", *(F.coalesce(f"m{c}", F.col(c)).alias(c) for c in "xyz"))
+    return nodes.join(session.shuffled(mean), [key, "node"], "left").select(key, "node", *(F.coalesce(f"m{c}", F.col(c)).alias(c) for c in "xyz"))
 
 
 def regularize(nodes: DataFrame, faces: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

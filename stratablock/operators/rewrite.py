@@ -70,13 +70,13 @@ def to_blocks(raw: DataFrame) -> DataFrame:
     geometries = mesh.geometries(mesh.objects(sound))
     faces, raised, converted = lod1.convert(geometries, mesh.rings(geometries), mesh.vertices(sound))
 
-    each = faces.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(F.struct("face", "surface", "rings"))).alias("f")).join(converted.select(*_PLACE, "wall"), _PLACE)
+    each = faces.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(F.struct("face", "surface", "rings"))).alias("f")).join(session.shuffled(converted.select(*_PLACE, "wall")), _PLACE)
     text = F.struct(F.to_json(F.transform("f", lambda f: f["rings"])).alias("boundaries"), F.to_json(F.transform("f", lambda f: f["surface"])).alias("values"), "wall")
     entry = F.struct(F.struct("obj", "geom").alias("key"), text.alias("value"))
     blocks = each.groupBy("file").agg(F.map_from_entries(F.collect_list(entry)).alias("blocks"))
     tops = raised.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("roof_vid", "x", "y", "z"))).alias("raised"))
 
-    rows = read.join(blocks, "file", "left").join(tops, "file", "left")
+    rows = read.join(session.shuffled(blocks), "file", "left").join(session.shuffled(tops), "file", "left")
     none = F.array().cast("array<string>")
     whole = F.schema_of_variant(F.try_variant_get("v", "$.vertices", "variant")).isin("ARRAY<ARRAY<BIGINT>>")
     lifted = F.transform("raised", lambda r: F.concat(F.lit("["), *(x for c in "xyz" for x in (_number(r[c], whole), F.lit("," if c < "z" else "]")))))
@@ -110,7 +110,7 @@ def converted_files(files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"city": city, "unread": F.col("named") & parsed.isNull()})
     done = to_blocks(rows.filter("city").select(F.col("rel_path").alias("file"), F.col("text").alias("value"))).withColumnRenamed("file", "rel_path")
     bad = F.col("unread") | F.col("wrong").isNotNull()
-    out = rows.join(done, "rel_path", "left")
+    out = rows.join(session.shuffled(done), "rel_path", "left")
     return out.select(
         "rel_path",
         F.when(bad, "error").when(F.col("city"), "converted").otherwise("copied").alias("status"),
@@ -150,4 +150,4 @@ def merged(raw: DataFrame, by: list[str], order: str) -> DataFrame:
         F.lit('"type":"CityJSON"'), F.lit('"version":"1.1"'), doc.member("CityObjects", doc.object_of(F.coalesce("o", F.array().cast("array<string>")))),
         doc.member("vertices", doc.array_of(F.filter("p", lambda t: t != ""))), F.lit('"metadata":{"datasetLod":"1"}'),
     )
-    return reduce(lambda a, b: a.join(b, by, "left"), [vertices, objects]).select(*by, doc.object_of(parts).alias("json"))
+    return reduce(lambda a, b: a.join(session.shuffled(b), by, "left"), [vertices, objects]).select(*by, doc.object_of(parts).alias("json"))

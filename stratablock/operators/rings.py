@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays
 
 PLACE = ["file", "obj_pos", "obj", "geom", "shell", "face", "ring"]
@@ -29,7 +30,7 @@ def located(rings: DataFrame, vertices: DataFrame) -> DataFrame:
     flat = rings.select(*rest, F.size("vids").alias("__n"), F.posexplode("vids").alias("pos", "vid"))
     held = [c for c in rest if c not in PLACE]
     return (
-        flat.join(vertices.select("file", "vid", "x", "y", "z"), ["file", "vid"])
+        flat.join(session.shuffled(vertices.select("file", "vid", "x", "y", "z")), ["file", "vid"])
         .groupBy(*(c for c in PLACE if c in rest))
         .agg(
             *(F.first(c).alias(c) for c in held),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays, documents, times
 from ..operators import dataset, export, graph, mesh, planes, rewrite
 from ..sources import cityjson, sinks
@@ -48,7 +49,7 @@ def common_objects_last_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of one folder that another folder has too; the last pair of files wins."""
     events = syn.table(spark, sf_dir, "events").select(F.col("user_id").alias("obj"), F.col("event_id").alias("rel_path"))
     one, two = events.filter("rel_path % 2 = 1"), events.filter("rel_path % 2 = 0")
-    return dataset.last_wins(one.join(two.select("obj"), "obj", "left_semi"), "obj", "rel_path")
+    return dataset.last_wins(one.join(session.shuffled(two.select("obj")), "obj", "left_semi"), "obj", "rel_path")
 
 
 #: Two folders of files with ten buildings each: the simple ones lack every fourth file and every third building, and have
@@ -169,7 +170,7 @@ def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices and boundaries of each building, ten buildings to a document."""
     points = syn.vertices(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("vertices"))
     faces = syn.rings(spark, sf_dir).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("face", "vids"))), lambda f: F.array(f["vids"])).alias("boundaries"))
-    return points.join(faces, "file").select(F.floor(F.col("file") / 10).alias("g"), F.col("file").alias("id"), F.col("file").cast("string").alias("name"), "vertices", "boundaries")
+    return points.join(session.shuffled(faces), "file").select(F.floor(F.col("file") / 10).alias("g"), F.col("file").alias("id"), F.col("file").cast("string").alias("name"), "vertices", "boundaries")
 
 
 @query("merge_documents", syn.sql("""
@@ -193,9 +194,9 @@ def combined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _tens(spark, sf_dir)
     values = parts.select("g", "name", F.transform("boundaries", lambda f, k: F.least(k, F.lit(2))).alias("surface_values"))
     written = export.combined(export.merge(parts, ["g"], "id"), values, ["g"])
-    docs = cityjson.parse(written.select("g", "file_name", F.col("json").alias("value"), F.col("g").cast("string").alias("file"))).join(written.select("g", "file_name", F.col("g").cast("string").alias("file"), F.get_json_object("json", "$.metadata.datasetLod").alias("lod")), "file")
+    docs = cityjson.parse(written.select("g", "file_name", F.col("json").alias("value"), F.col("g").cast("string").alias("file"))).join(session.shuffled(written.select("g", "file_name", F.col("g").cast("string").alias("file"), F.get_json_object("json", "$.metadata.datasetLod").alias("lod"))), "file")
     flat = mesh.geometries(mesh.objects(docs)).groupBy("file").agg(F.count("*").alias("objects"), F.sum(F.size(F.flatten("boundaries"))).alias("faces"))
-    return docs.join(flat, "file").select("g", "file_name", "type", "lod", F.size("vertices").cast("long").alias("n_vertices"), "objects", "faces")
+    return docs.join(session.shuffled(flat), "file").select("g", "file_name", "type", "lod", F.size("vertices").cast("long").alias("n_vertices"), "objects", "faces")
 
 
 @query("building_file_names", "SELECT p_partkey AS id, 'building_' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 4, '0') || '.city.json' AS file_name FROM part")
@@ -222,7 +223,7 @@ def _city_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(k % 10 == 1, F.lit("notes")).when(k % 10 == 2, F.lit('{"type":"Feature"}')).when(k % 10 == 3, F.lit("{")).otherwise(text)
     name = F.concat(F.lit("part/"), k.cast("string"), F.when(k % 10 == 1, ".txt").otherwise(".City.JSON"))
-    rows = points.join(faces, "file").select(k.alias("id"), name.alias("rel_path"), F.encode(body, "UTF-8").alias("content"))
+    rows = points.join(session.shuffled(faces), "file").select(k.alias("id"), name.alias("rel_path"), F.encode(body, "UTF-8").alias("content"))
     return rows.groupBy("id", "rel_path").agg(F.first("content").alias("content"))  # a row each: texts are made once, not wherever they are read
 
 
@@ -337,7 +338,7 @@ def dropped_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects without an active vertex give no graph; empty surfaces no edge."""
     directed = graph.directed_edges(mesh.rings(mesh.geometries(mesh.objects(_sparse_documents(spark, sf_dir)))))
     counts = directed.groupBy("file", "obj").agg(F.count("*").cast("int").alias("edges"))
-    return graph.sizes(graph.nodes(directed)).join(counts, ["file", "obj"]).select("file", "obj", F.col("n_nodes").cast("int").alias("nodes"), "edges")
+    return graph.sizes(graph.nodes(directed)).join(session.shuffled(counts), ["file", "obj"]).select("file", "obj", F.col("n_nodes").cast("int").alias("nodes"), "edges")
 
 
 @query("guarded_semantics", """

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays
 from ..operators import dataset, graph, lod1, mesh, rings
 from . import synthetic as syn
@@ -272,7 +273,7 @@ def lod1_faces_outward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lod1_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries that are not convertible and pass as they are."""
     converted = _blocks(spark, sf_dir)[2]
-    return syn.geometries(spark, sf_dir).join(converted, lod1.GEOM, "left_anti").select(F.col("obj").alias("id"))
+    return syn.geometries(spark, sf_dir).join(session.shuffled(converted), lod1.GEOM, "left_anti").select(F.col("obj").alias("id"))
 
 
 @query(

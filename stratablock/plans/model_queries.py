@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import arrays, random
 from ..operators import cycles, dataset, diffusion, export, graph, mesh, network
 from ..sources import cityjson
@@ -42,7 +43,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = graph.nodes(edges)
     near = graph.local_edges(edges, numbered).select(F.col("obj").alias("id"), F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("y"))
     a = numbered.select(F.col("obj").alias("id"), F.col("node").alias("i"))
-    pairs = a.join(a.withColumnRenamed("i", "j"), "id").join(near, ["id", "i", "j"], "left").na.fill(0.0, ["y"])
+    pairs = a.join(session.shuffled(a.withColumnRenamed("i", "j")), "id").join(session.shuffled(near), ["id", "i", "j"], "left").na.fill(0.0, ["y"])
     logit = ((F.col("id") + 3 * F.col("i") + 5 * F.col("j")) % 9 - 4) / 2.0
     return pairs.withColumns({"logit": logit, "t": (F.col("id") % 499 + 1).cast("int")})
 
@@ -64,7 +65,7 @@ def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     directed = graph.directed_edges(syn.rings(spark, sf_dir))
     edges = directed.select(F.col("obj").alias("id"), "src", "dst", F.lit(1).alias("e"))
     a = graph.nodes(directed).select(F.col("obj").alias("id"), F.col("vid").alias("src"))
-    every = a.join(a.withColumnRenamed("src", "dst"), "id").filter("src <> dst").join(edges, ["id", "src", "dst"], "left")
+    every = a.join(session.shuffled(a.withColumnRenamed("src", "dst")), "id").filter("src <> dst").join(session.shuffled(edges), ["id", "src", "dst"], "left")
     return every.select("id", "src", "dst", F.when(F.col("e").isNull(), 0.25).otherwise(0.5 + ((F.col("src") + F.col("dst") + F.col("id")) % 5) / 8.0).alias("prob"))
 
 
@@ -126,7 +127,7 @@ SELECT id, node, {", ".join(f"round(ab * {c} + sqrt(1 - ab) * (e{c} - m{c}), 5)
     SELECT n.id, n.node, v.x, v.y, v.z, s.ab, {", ".join(f"{_n('5' + c, 'n.id', 'n.node')} AS e{c}" for c in "xyz")}
     FROM nodes n JOIN vertices v ON v.id = n.id AND v.vid = n.vid JOIN schedule s ON s.t = n.id % 499 + 1))""", SCHEDULE))
 def gaussian_noise_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graph.nodes(graph.directed_edges(syn.rings(spark, sf_dir))).join(syn.vertices(spark, sf_dir), ["file", "vid"])
+    nodes = graph.nodes(graph.directed_edges(syn.rings(spark, sf_dir))).join(session.shuffled(syn.vertices(spark, sf_dir)), ["file", "vid"])
     rows = nodes.select(F.col("obj").alias("id"), "node", "x", "y", "z", F.lit(1.0).alias("mask"), (F.col("obj") % 499 + 1).cast("int").alias("t"))
     out = diffusion.coordinate_noise(_scheduled(rows), F.col("alpha_bar"), 5, ["id"])
     return out.select("id", "node", *(F.round(f"{c}t", 5).alias(f"{c}t") for c in "xyz"))
@@ -372,7 +373,7 @@ def _noisy_losses(spark: SparkSession, sf_dir: str, step: Column) -> DataFrame:
     pairs = cells.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode("adjacent").alias("j", "e")).select("id", "i", "j", F.col("e").cast("double").alias("y"))
     hidden = diffusion.edge_noise(F.col("y"), F.col("alpha_bar"), "uniform", 9, F.col("id"), F.col("i"), F.col("j"))
     told = _scheduled(pairs.withColumn("t", step)).withColumn("logit", diffusion.baseline_edge(hidden, F.col("alpha_bar")))
-    return diffusion.batch_losses(guess.join(placed, "id"), told.join(placed, "id"), ["l0", "l1"])
+    return diffusion.batch_losses(guess.join(session.shuffled(placed), "id"), told.join(session.shuffled(placed), "id"), ["l0", "l1"])
 
 
 @query("training_step", syn.sql("""
@@ -486,7 +487,7 @@ def reconstruct_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file", F.col("obj").alias("name"), F.to_json(F.col("boundaries")[0]).alias("boundaries"),
         F.array_join(F.transform(F.col("values")[0], lambda k: mesh.kind(F.col("surfaces"), k)), ",").alias("surfaces"),
     )
-    return flat.join(parsed.select("file", F.array_join(units, ",").alias("vertices")), "file").withColumnRenamed("file", "id")
+    return flat.join(session.shuffled(parsed.select("file", F.array_join(units, ",").alias("vertices"))), "file").withColumnRenamed("file", "id")
 
 
 #: Weights of a small untrained network under which some nodes are active and some pairs pass the threshold.

@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 _GEOMETRY = (
     "struct<type:string,lod:string,boundaries:string,"
     "semantics:struct<surfaces:array<struct<type:string>>,values:string>>"
@@ -94,4 +96,4 @@ def scan_files(spark: SparkSession, folder: str | Path) -> DataFrame:
 def file_pairs(spark: SparkSession, detailed: str | Path, simple: str | Path) -> DataFrame:
     """rel_path of JSON files that both folders have."""
     only = lambda d: scan_files(spark, d).select("rel_path").filter(F.lower("rel_path").endswith(".json"))
-    return only(detailed).join(only(simple), "rel_path", "left_semi")
+    return only(detailed).join(session.shuffled(only(simple)), "rel_path", "left_semi")

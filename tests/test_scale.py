@@ -1,11 +1,31 @@
-"""Texts of times at ties."""
+"""Plans that hold when a small file unfolds to many rows, and texts of times at ties."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratablock.functions import times
+from stratablock.plans import dataset_queries, mesh_queries, model_queries, registry
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+PLANS = (mesh_queries, dataset_queries, model_queries)
+#: Broadcasts of proven size: the noise schedule, and the shifts of ranges.
+BROADCASTS = {
+    **dict.fromkeys(("lod1_faces_outward", "message_sum", "reconstruct_buildings", "active_submatrix", "base_center", "centered_nodes", "closed_polyline_checked"), 0),
+    **dict.fromkeys(("converted_documents", "combined_documents", "base_center_fallback", "dense_adjacency", "edge_bce", "edge_threshold", "face_scatter_matrix"), 0),
+    **dict.fromkeys(("edge_posterior_gaussian", "edge_posterior_uniform", "edge_step_absorbing", "edge_step_gaussian", "edge_step_uniform", "gaussian_noise_replay"), 1),
+    **dict.fromkeys(("edge_noise_absorbing", "edge_noise_gaussian", "edge_noise_uniform"), 1), "training_step": 4,
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(BROADCASTS))
+def test_only_small_tables_are_broadcast(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == BROADCASTS[name]
+    assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_times_at_ties(spark):
