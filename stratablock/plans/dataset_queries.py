@@ -296,15 +296,19 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.dealt(syn.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file")), "file")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON text; an id that comes twice keeps its last value."""
-    k = F.col("p_partkey").cast("string")
+    k = F.col("file")
     geom = '[{"type":"Solid","lod":"2","boundaries":[[[[0,1,2]]]],"semantics":{"surfaces":[{"type":"GroundSurface"}],"values":[[0]]}}]'
     text = F.concat(
         F.lit('{"type":"CityJSON","vertices":[[0,0,0],[1,0,0],[1,1,0]],"CityObjects":{"b'), k, F.lit('":{"type":"Old"},"x'), k,
         F.lit(f'":{{"geometry":{geom}}},"b'), k, F.lit(f'":{{"type":"Building","geometry":{geom}}}}}}}'),
     )
-    return cityjson.parse(syn.table(spark, sf_dir, "part").select(k.alias("file"), text.alias("value")))
+    return cityjson.parse(_files(spark, sf_dir).select("file", text.alias("value")))
 
 
 @query("document_objects", """
@@ -323,14 +327,14 @@ def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an object of no geometry, one of empty surfaces only, a point, and two shells of three faces with too few semantic values."""
-    k = F.col("p_partkey").cast("string")
+    k = F.col("file")
     solid = '{"type":"Solid","boundaries":[[[[0,1,2]],[[1,2,0]],[]],[[[2,1,0]]]],"semantics":{"surfaces":[{"type":"GroundSurface"},{"type":"RoofSurface"}],"values":[[1]]}}'
     text = F.concat(
         F.lit('{"type":"CityJSON","vertices":[[0,0,0],[1,0,0],[1,1,0]],"CityObjects":{"none'), k, F.lit('":{"type":"A"},"empty'), k,
         F.lit('":{"geometry":[{"type":"MultiSurface","boundaries":[[],[]]}]},"point'), k, F.lit('":{"geometry":[{"type":"MultiPoint","boundaries":[0]}]},"solid'), k,
         F.lit(f'":{{"geometry":[{solid}]}}}}}}'),
     )
-    return cityjson.parse(syn.table(spark, sf_dir, "part").select(k.alias("file"), text.alias("value")))
+    return cityjson.parse(_files(spark, sf_dir).select("file", text.alias("value")))
 
 
 @query("dropped_objects", "SELECT p_partkey::VARCHAR AS file, 'solid' || p_partkey AS obj, 3 AS nodes, 6 AS edges FROM part")

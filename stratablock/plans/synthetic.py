@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 SURFACES = ["GroundSurface", "RoofSurface", "WallSurface"]
 
 
@@ -19,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return session.dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         k.alias("id"), F.when(k % 3 == 0, 3).otherwise(4).alias("n"),
         (1 + F.col("p_size") % 7).cast("double").alias("w"), (1 + k % 5).cast("double").alias("d"), (2 + F.col("p_size") % 11).cast("double").alias("h"),
         (k % 4).cast("double").alias("z0"), (k % 13).cast("double").alias("x0"),

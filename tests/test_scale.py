@@ -1,4 +1,4 @@
-"""Plans that hold when a small file unfolds to many rows, and texts of times at ties."""
+"""Plans and partitions that hold when a small file unfolds to many rows, and texts of times at ties."""
 
 import datetime as dt
 import os
@@ -6,8 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratablock import session
 from stratablock.functions import times
+from stratablock.operators import export, graph
 from stratablock.plans import dataset_queries, mesh_queries, model_queries, registry
+from stratablock.plans import synthetic as syn
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PLANS = (mesh_queries, dataset_queries, model_queries)
@@ -28,6 +31,24 @@ def test_only_small_tables_are_broadcast(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("parts"))
+    rows = 2 * session.ROWS_A_TASK + 1
+    spark.range(rows).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def _largest(rows) -> int:
+    """Files of the partition that has most."""
+    return rows.select("file", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().agg(F.max("count")).first()[0]
+
+
+def test_a_small_file_is_dealt_before_it_unfolds(spark, parts):
+    for rows in (syn.rings(spark, parts), graph.directed_edges(syn.rings(spark, parts)), dataset_queries._documents(spark, parts), dataset_queries._sparse_documents(spark, parts)):
+        assert _largest(rows) <= 1.2 * session.ROWS_A_TASK
+
+
 def test_times_at_ties(spark):
     start, micros = dt.datetime(2024, 1, 1), [0, 1_775_000, 2_125_000, 5_000, 1_711_910_365_000, 986_565_171_500, 191_188_795_000, -1_775_000]
     rows = spark.createDataFrame([(m, start, start + dt.timedelta(microseconds=m)) for m in micros], "m long, a timestamp_ntz, b timestamp_ntz")
@@ -37,3 +58,9 @@ def test_times_at_ties(spark):
         assert r["text"] == f"{r['s']:.2f} seconds"
         assert abs(r["r"] - r["s"]) <= 0.000500001
     assert rows.filter("m = 986565171500").select(times.rounded(seconds, 3)).first()[0] == 986565.171
+
+
+def test_file_names_are_all_different_past_four_digits(spark):
+    named = export.file_names(spark.range(10_002), "id")
+    assert named.select("file_name").distinct().count() == 10_002
+    assert named.filter("id = 10001").first()["file_name"] == "building_10001.city.json"
