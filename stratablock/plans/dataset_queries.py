@@ -191,9 +191,9 @@ SELECT id // 10 AS g, 'all_buildings.city.json' AS file_name, 'CityJSON' AS type
 FROM vertices v GROUP BY id // 10"""))
 def combined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten buildings written to one document, which is read back."""
-    parts = _tens(spark, sf_dir)
+    parts = session.settled(_tens(spark, sf_dir))  # buildings and documents are each read several times, and made once
     values = parts.select("g", "name", F.transform("boundaries", lambda f, k: F.least(k, F.lit(2))).alias("surface_values"))
-    written = export.combined(export.merge(parts, ["g"], "id"), values, ["g"])
+    written = session.settled(export.combined(export.merge(parts, ["g"], "id"), values, ["g"]))
     docs = cityjson.parse(written.select("g", "file_name", F.col("json").alias("value"), F.col("g").cast("string").alias("file"))).join(session.shuffled(written.select("g", "file_name", F.col("g").cast("string").alias("file"), F.get_json_object("json", "$.metadata.datasetLod").alias("lod"))), "file")
     flat = mesh.geometries(mesh.objects(docs)).groupBy("file").agg(F.count("*").alias("objects"), F.sum(F.size(F.flatten("boundaries"))).alias("faces"))
     return docs.join(session.shuffled(flat), "file").select("g", "file_name", "type", "lod", F.size("vertices").cast("long").alias("n_vertices"), "objects", "faces")

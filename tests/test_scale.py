@@ -64,3 +64,21 @@ def test_file_names_are_all_different_past_four_digits(spark):
     named = export.file_names(spark.range(10_002), "id")
     assert named.select("file_name").distinct().count() == 10_002
     assert named.filter("id = 10001").first()["file_name"] == "building_10001.city.json"
+
+
+def _optimized(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["combined_documents", "reconstruct_buildings"])
+def test_documents_read_twice_are_made_once(spark, name):
+    """What is read back comes from documents that were kept, not from the tables again."""
+    assert "parquet" not in _optimized(registry.QUERIES[name](spark, SF))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["straighten_faces", "regularize"])
+def test_planes_are_not_worked_out_in_a_filter(spark, name):
+    plan = _optimized(registry.QUERIES[name](spark, SF))
+    assert not any("aggregate(" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
