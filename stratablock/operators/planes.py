@@ -55,8 +55,8 @@ def _symmetric(value: dict[str, Column], size: Column) -> Column:
 def _squared(m: Column) -> Column:
     """The square of a symmetric matrix, of trace 1."""
     at = lambda a, b: m["".join(sorted(a + b))]
-    square = {p: sum((at(p[0], k) * at(k, p[1]) for k in "yz"), at(p[0], "x") * at("x", p[1])) for p in _ENTRIES}
-    return _symmetric(square, square["xx"] + square["yy"] + square["zz"])
+    square = F.struct(*(sum((at(p[0], k) * at(k, p[1]) for k in "yz"), at(p[0], "x") * at("x", p[1])).alias(p) for p in _ENTRIES))
+    return arrays.let(square, lambda q: _symmetric(q, q["xx"] + q["yy"] + q["zz"]))
 
 
 def _adjugate(s: dict[str, Column]) -> dict[str, Column]:
@@ -131,9 +131,14 @@ def straightened(points: DataFrame, by: list[str]) -> DataFrame:
     return faces.withColumn("normal", normal).select(*by, kind.alias("surface_type"), arrays.let(_snapped(F.col("normal")), lambda n: onto(F.col("p"), n)).alias("p"))
 
 
+def corners_of(p: Column) -> Column:
+    """The corners of ``straightened`` as rows. A face has one at least: an inner generator would test that first, on the plane worked out once for each mention."""
+    return F.inline_outer(p)
+
+
 def straighten_faces(points: DataFrame, by: list[str]) -> DataFrame:
     """``points`` (by, pos, node, x, y, z) moved to their face's plane, with ``surface_type``."""
-    return straightened(points, by).select(*by, "surface_type", F.inline("p"))
+    return straightened(points, by).select(*by, "surface_type", corners_of(F.col("p")))
 
 
 def mean_projection(nodes: DataFrame, moved: DataFrame, key: str = "id") -> DataFrame:
@@ -145,4 +150,4 @@ def mean_projection(nodes: DataFrame, moved: DataFrame, key: str = "id") -> Data
 def regularize(nodes: DataFrame, faces: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Nodes after flattening all faces, and key, face, surface_type."""
     flat = straightened(corners(faces, nodes, key), [key, "face"])
-    return mean_projection(nodes, flat.select(key, F.inline("p")), key), flat.select(key, "face", "surface_type")
+    return mean_projection(nodes, flat.select(key, corners_of(F.col("p"))), key), flat.select(key, "face", "surface_type")

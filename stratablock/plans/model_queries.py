@@ -481,7 +481,7 @@ def reconstruct_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = syn.vertices(spark, sf_dir).select(F.col("file").alias("id"), F.col("vid").alias("node"), "x", "y", "z")
     found = export.reconstruct(nodes, _probs(spark, sf_dir))
     docs = export.document(found, F.concat(F.lit("building_"), F.col("id").cast("string"))).select(F.col("id").alias("file"), F.col("json").alias("value"))
-    parsed = cityjson.parse(docs)
+    parsed = cityjson.parse(session.settled(docs))  # read twice below, made once
     units = F.transform("vertices", lambda v: F.array_join(F.transform(v, lambda c: F.round(c * 100000).cast("long").cast("string")), " "))
     flat = mesh.geometries(mesh.objects(parsed)).select(
         "file", F.col("obj").alias("name"), F.to_json(F.col("boundaries")[0]).alias("boundaries"),
