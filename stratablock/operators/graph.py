@@ -41,6 +41,19 @@ def local_edges(directed: DataFrame, numbered: DataFrame) -> DataFrame:
     return directed.join(session.shuffled(src), [*KEY, "src"]).join(session.shuffled(dst), [*KEY, "dst"]).select(*KEY, F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
+def pairs(directed: DataFrame) -> DataFrame:
+    """file, obj, i, j, src, dst, joined: all ordered pairs of a graph's active vertices, loops included, by node number and by id, and whether an edge joins them.
+
+    A graph's edges are brought together and its pairs unfold where they are: the pairs, many times the edges, are never shuffled or sorted.
+    """
+    graphs = directed.groupBy(*KEY).agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
+    active = graphs.withColumn("active", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["src"]))))
+    # outer generators: from others Spark infers a filter that works the arrays out again
+    first = active.select(*KEY, "edges", "active", F.posexplode_outer("active").alias("i", "src"))
+    both = first.select(*KEY, "edges", "i", "src", F.posexplode_outer("active").alias("j", "dst"))
+    return both.select(*KEY, "i", "j", "src", "dst", F.array_contains("edges", F.struct("src", "dst")).alias("joined"))
+
+
 def sizes(numbered: DataFrame) -> DataFrame:
     return numbered.groupBy(*KEY).agg(F.count("*").alias("n_nodes"))
 

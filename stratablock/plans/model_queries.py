@@ -39,11 +39,8 @@ pairs AS (
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.directed_edges(syn.rings(spark, sf_dir))
-    numbered = graph.nodes(edges)
-    near = graph.local_edges(edges, numbered).select(F.col("obj").alias("id"), F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("y"))
-    a = numbered.select(F.col("obj").alias("id"), F.col("node").alias("i"))
-    pairs = a.join(session.shuffled(a.withColumnRenamed("i", "j")), "id").join(session.shuffled(near), ["id", "i", "j"], "left").na.fill(0.0, ["y"])
+    every = graph.pairs(graph.directed_edges(syn.rings(spark, sf_dir)))
+    pairs = every.select(F.col("obj").alias("id"), "i", "j", F.col("joined").cast("double").alias("y"))
     logit = ((F.col("id") + 3 * F.col("i") + 5 * F.col("j")) % 9 - 4) / 2.0
     return pairs.withColumns({"logit": logit, "t": (F.col("id") % 499 + 1).cast("int")})
 
@@ -62,11 +59,8 @@ probs AS (
 
 
 def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directed = graph.directed_edges(syn.rings(spark, sf_dir))
-    edges = directed.select(F.col("obj").alias("id"), "src", "dst", F.lit(1).alias("e"))
-    a = graph.nodes(directed).select(F.col("obj").alias("id"), F.col("vid").alias("src"))
-    every = a.join(session.shuffled(a.withColumnRenamed("src", "dst")), "id").filter("src <> dst").join(session.shuffled(edges), ["id", "src", "dst"], "left")
-    return every.select("id", "src", "dst", F.when(F.col("e").isNull(), 0.25).otherwise(0.5 + ((F.col("src") + F.col("dst") + F.col("id")) % 5) / 8.0).alias("prob"))
+    every = graph.pairs(graph.directed_edges(syn.rings(spark, sf_dir))).select(F.col("obj").alias("id"), "src", "dst", "joined").filter("src <> dst")
+    return every.select("id", "src", "dst", F.when(F.col("joined"), 0.5 + ((F.col("src") + F.col("dst") + F.col("id")) % 5) / 8.0).otherwise(0.25).alias("prob"))
 
 
 @query("edge_threshold", syn.sql("""

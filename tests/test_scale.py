@@ -82,3 +82,21 @@ def test_documents_read_twice_are_made_once(spark, name):
 def test_planes_are_not_worked_out_in_a_filter(spark, name):
     plan = _optimized(registry.QUERIES[name](spark, SF))
     assert not any("aggregate(" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+
+
+@pytest.mark.parametrize("name", ["edge_posterior_gaussian", "edge_step_absorbing", "message_sum", "edge_noise_uniform", "edge_threshold"])
+def test_pairs_are_never_joined_or_shuffled(spark, parts, name):
+    """All pairs of a building unfold where its edges are: only the table's rows are dealt."""
+    plan = registry.QUERIES[name](spark, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(p_partkey") > 0
+
+
+def test_pairs_equal_plain_loops(spark):
+    edges = [(1, 7, 5), (1, 5, 7), (1, 7, 9), (1, 9, 7), (2, 3, 3)]
+    directed = spark.createDataFrame([(f, f, a, b) for f, a, b in edges], "file long, obj long, src int, dst int")
+    want = set()
+    for f in (1, 2):
+        vids = sorted({a for g, a, _ in edges if g == f})
+        want |= {(f, f, i, j, a, b, (f, a, b) in edges) for i, a in enumerate(vids) for j, b in enumerate(vids)}
+    assert {tuple(r) for r in graph.pairs(directed).collect()} == want
