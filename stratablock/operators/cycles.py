@@ -30,9 +30,10 @@ def active_edges(probs: DataFrame, classes: DataFrame, key: str = "id") -> tuple
 
     active = classes.filter("class = 0").withColumn("n", F.count("*").over(Window.partitionBy(key))).filter("n >= 3")
     numbered = active.withColumn("new", F.row_number().over(Window.partitionBy(key).orderBy("node")) - 1).select(key, "node", "new")
-    src = numbered.select(key, F.col("node").alias("src"), F.col("new").alias("s"))
-    dst = numbered.select(key, F.col("node").alias("dst"), F.col("new").alias("d"))
-    among = probs.join(session.shuffled(src), [key, "src"]).join(session.shuffled(dst), [key, "dst"]).select(key, F.col("s").alias("src"), F.col("d").alias("dst"), "prob")
+    # a graph's active nodes meet its key once: the pairs are neither shuffled nor joined by node
+    held = numbered.groupBy(key).agg(F.array_sort(F.collect_list("node")).alias("__nodes"))
+    number = lambda c: (F.array_position("__nodes", F.col(c)) - 1).cast("int")
+    among = probs.join(session.shuffled(held), key).select(key, number("src").alias("src"), number("dst").alias("dst"), "prob").filter("src >= 0 and dst >= 0")
     return numbered, among
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratablock import session
 from stratablock.functions import times
-from stratablock.operators import export, graph
+from stratablock.operators import cycles, export, graph
 from stratablock.plans import dataset_queries, mesh_queries, model_queries, registry
 from stratablock.plans import synthetic as syn
 
@@ -100,3 +100,29 @@ def test_pairs_equal_plain_loops(spark):
         vids = sorted({a for g, a, _ in edges if g == f})
         want |= {(f, f, i, j, a, b, (f, a, b) in edges) for i, a in enumerate(vids) for j, b in enumerate(vids)}
     assert {tuple(r) for r in graph.pairs(directed).collect()} == want
+
+
+def _exchanges(spark, parts, name) -> tuple[int, int]:
+    """Shuffles by key, and those of the table's rows among them."""
+    plan = registry.QUERIES[name](spark, parts)._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning("), plan.count("Exchange hashpartitioning(p_partkey")
+
+
+def test_active_pairs_are_never_shuffled(spark, parts):
+    """A building's active nodes meet its pairs where they unfold: only the table's rows are dealt."""
+    every, dealt = _exchanges(spark, parts, "active_submatrix")
+    assert every == dealt > 0
+
+
+def test_active_pairs_equal_plain_loops(spark):
+    classes = [(g, v, (g + v) % 3 // 2) for g in range(6) for v in range(2, 2 + g)]
+    pairs = [(g, a, b, float(100 * g + 10 * a + b)) for g in range(6) for a in range(9) for b in range(9)]
+    numbered, among = cycles.active_edges(spark.createDataFrame(pairs, "id long, src int, dst int, prob double"), spark.createDataFrame(classes, "id long, node int, class int"))
+    want_nodes, want = set(), set()
+    for g in range(6):
+        active = [v for k, v, c in classes if k == g and c == 0]
+        if len(active) >= 3:
+            want_nodes |= {(g, v, k) for k, v in enumerate(active)}
+            want |= {(g, active.index(a), active.index(b), p) for k, a, b, p in pairs if k == g and a in active and b in active}
+    assert want and {tuple(r) for r in numbered.collect()} == want_nodes
+    assert {tuple(r) for r in among.collect()} == want
