@@ -41,15 +41,19 @@ def local_edges(directed: DataFrame, numbered: DataFrame) -> DataFrame:
     return directed.join(session.shuffled(src), [*KEY, "src"]).join(session.shuffled(dst), [*KEY, "dst"]).select(*KEY, F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
+def _gathered(directed: DataFrame) -> DataFrame:
+    """One row per graph: its ``edges``, and its ``active`` vertices in the order of their numbers."""
+    graphs = directed.groupBy(*KEY).agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
+    return graphs.withColumn("active", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["src"]))))
+
+
 def pairs(directed: DataFrame) -> DataFrame:
     """file, obj, i, j, src, dst, joined: all ordered pairs of a graph's active vertices, loops included, by node number and by id, and whether an edge joins them.
 
     A graph's edges are brought together and its pairs unfold where they are: the pairs, many times the edges, are never shuffled or sorted.
     """
-    graphs = directed.groupBy(*KEY).agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
-    active = graphs.withColumn("active", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["src"]))))
     # outer generators: from others Spark infers a filter that works the arrays out again
-    first = active.select(*KEY, "edges", "active", F.posexplode_outer("active").alias("i", "src"))
+    first = _gathered(directed).select(*KEY, "edges", "active", F.posexplode_outer("active").alias("i", "src"))
     both = first.select(*KEY, "edges", "i", "src", F.posexplode_outer("active").alias("j", "dst"))
     return both.select(*KEY, "i", "j", "src", "dst", F.array_contains("edges", F.struct("src", "dst")).alias("joined"))
 
@@ -125,12 +129,26 @@ def transformed(padded: DataFrame, hook: Callable[[DataFrame], DataFrame] | None
     return out
 
 
+def _dense_rows(graphs: DataFrame, n_max: int) -> DataFrame:
+    """file, obj, node, adjacent of graphs that hold their ``edges`` (src, dst) by node number: rows unfold where these are."""
+    places = F.sequence(F.lit(0), F.lit(n_max - 1))
+    rows = graphs.select(*KEY, "edges", F.explode(places).alias("node"))
+    near = F.transform(F.filter("edges", lambda e: e["src"] == F.col("node")), lambda e: e["dst"])
+    cells = arrays.let(near, lambda own: F.transform(places, lambda j: F.coalesce(F.array_contains(own, j), F.lit(False)).cast("int")))
+    return rows.select(*KEY, "node", cells.alias("adjacent"))
+
+
 def dense_adjacency(at: DataFrame, local: DataFrame, n_max: int) -> DataFrame:
     """One row per graph and node, with its row of the n_max by n_max adjacency."""
-    near = local.groupBy(*KEY, "src").agg(F.collect_set("dst").alias("near")).withColumnRenamed("src", "node")
-    graphs = at.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n_max - 1)), lambda j: F.coalesce(F.array_contains("near", j), F.lit(False)).cast("int"))
-    return graphs.join(session.shuffled(near), [*KEY, "node"], "left").select(*KEY, "node", cells.alias("adjacent"))
+    graphs = local.groupBy(*KEY).agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
+    return _dense_rows(at.select(*KEY).distinct().join(session.shuffled(graphs), KEY, "left"), n_max)
+
+
+def dense_active(directed: DataFrame, n_max: int) -> DataFrame:
+    """``dense_adjacency`` of all active vertices, numbered where their graph's edges are: nothing is joined."""
+    number = lambda v: (F.array_position("active", v) - 1).cast("int")
+    edges = F.transform("edges", lambda e: F.struct(number(e["src"]).alias("src"), number(e["dst"]).alias("dst")))
+    return _dense_rows(_gathered(directed).select(*KEY, edges.alias("edges")), n_max)
 
 
 def sparse(at: DataFrame, local: DataFrame) -> DataFrame:

@@ -369,10 +369,7 @@ def pad_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _directed(spark, sf_dir)
-    numbered = graph.nodes(edges)
-    at = graph.positions(numbered, syn.vertices(spark, sf_dir))
-    out = graph.dense_adjacency(at, graph.local_edges(edges, numbered), 10)
+    out = graph.dense_active(_directed(spark, sf_dir), 10)
     return out.select(F.col("obj").alias("id"), "node", F.array_join(F.transform("adjacent", lambda a: a.cast("string")), "").alias("adjacent"))
 
 

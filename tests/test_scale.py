@@ -126,3 +126,24 @@ def test_active_pairs_equal_plain_loops(spark):
             want |= {(g, active.index(a), active.index(b), p) for k, a, b, p in pairs if k == g and a in active and b in active}
     assert want and {tuple(r) for r in numbered.collect()} == want_nodes
     assert {tuple(r) for r in among.collect()} == want
+
+
+def test_dense_rows_are_never_shuffled(spark, parts):
+    every, dealt = _exchanges(spark, parts, "dense_adjacency")
+    assert every == dealt > 0
+
+
+def test_dense_rows_of_active_vertices_equal_those_joined_to_numbers(spark):
+    edges = [(1, 7, 5), (1, 5, 7), (1, 7, 9), (1, 9, 7), (2, 3, 3), (3, 4, 8), (3, 8, 4)]
+    directed = spark.createDataFrame([(f, f, a, b) for f, a, b in edges], "file long, obj long, src int, dst int")
+    numbered = graph.nodes(directed)
+    want, found = graph.dense_adjacency(numbered, graph.local_edges(directed, numbered), 4), graph.dense_active(directed, 4)
+    assert found.dtypes == want.dtypes
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_graph_without_edges_has_empty_dense_rows(spark):
+    at = spark.createDataFrame([("f", "a", 0), ("f", "a", 1), ("f", "b", 0)], "file string, obj string, node int")
+    local = spark.createDataFrame([("f", "a", 0, 1), ("f", "a", 1, 0)], "file string, obj string, src int, dst int")
+    dense = {(r.obj, r.node): r.adjacent for r in graph.dense_adjacency(at, local, 2).collect()}
+    assert dense == {("a", 0): [0, 1], ("a", 1): [1, 0], ("b", 0): [0, 0], ("b", 1): [0, 0]}
