@@ -315,10 +315,9 @@ padded AS (
 
 def _padded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.directed_edges(syn.rings(spark, sf_dir))
-    numbered = graph.nodes(edges)
-    n_max = graph.check_n_max(graph.sizes(numbered).agg(F.max("n_nodes")).first()[0], None)
-    near = graph.dense_adjacency(numbered, graph.local_edges(edges, numbered), n_max)
-    flat = near.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode("adjacent").alias("j", "e"))
+    n_max = graph.check_n_max(graph.sizes(graph.nodes(edges)).agg(F.max("n_nodes")).first()[0], None)
+    near = graph.dense_active(edges, n_max)
+    flat = near.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode_outer("adjacent").alias("j", "e"))  # outer: see graph.pairs
     return flat.select("id", "i", "j", F.col("e").cast("double").alias("y"), (((F.col("id") + 3 * F.col("i") + 5 * F.col("j")) % 9 - 4) / 2.0).alias("logit"))
 
 

@@ -147,3 +147,8 @@ def test_a_graph_without_edges_has_empty_dense_rows(spark):
     local = spark.createDataFrame([("f", "a", 0, 1), ("f", "a", 1, 0)], "file string, obj string, src int, dst int")
     dense = {(r.obj, r.node): r.adjacent for r in graph.dense_adjacency(at, local, 2).collect()}
     assert dense == {("a", 0): [0, 1], ("a", 1): [1, 0], ("b", 0): [0, 0], ("b", 1): [0, 0]}
+
+
+def test_padded_pairs_are_never_shuffled(spark, parts):
+    every, dealt = _exchanges(spark, parts, "edge_bce")
+    assert every == dealt > 0
