@@ -111,11 +111,13 @@ def sequences(rings: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def padded_nodes(at: DataFrame, n_max: int) -> DataFrame:
-    """n_max rows per graph: virtual nodes have zero coordinates, class 1 and mask 0."""
-    graphs = at.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))
-    return graphs.join(session.shuffled(at), [*KEY, "node"], "left").select(
-        *KEY, "node", *(F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in "xyz"),
-        F.col("x").isNull().cast("int").alias("category"), F.col("x").isNotNull().cast("int").alias("mask"),
+    """n_max rows per graph: virtual nodes have zero coordinates, class 1 and mask 0. A graph's nodes are brought together, and its rows unfold there."""
+    graphs = at.groupBy(*KEY).agg(F.collect_list(F.struct("node", "x", "y", "z")).alias("own"))
+    rows = graphs.select(*KEY, "own", F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("node"))
+    found = rows.select(*KEY, "node", F.get(F.filter("own", lambda n: n["node"] == F.col("node")), 0).alias("n"))
+    return found.select(
+        *KEY, "node", *(F.coalesce(F.col("n")[c], F.lit(0.0)).cast("float").alias(c) for c in "xyz"),
+        F.col("n.x").isNull().cast("int").alias("category"), F.col("n.x").isNotNull().cast("int").alias("mask"),
     )
 
 

@@ -354,19 +354,19 @@ pair_part AS (SELECT batch, avg(greatest(logit, 0) - logit * y + ln(1 + exp(-abs
 def _noisy_losses(spark: SparkSession, sf_dir: str, step: Column) -> DataFrame:
     """Losses of the baseline prediction on noisy batches."""
     directed = graph.directed_edges(syn.rings(spark, sf_dir))
-    numbered = graph.nodes(directed)
-    at = graph.positions(numbered, syn.vertices(spark, sf_dir))
+    at = graph.positions(graph.nodes(directed), syn.vertices(spark, sf_dir))
     placed = dataset.assign_batches(syn.buildings(spark, sf_dir).select("id"), "id", 32).select("id", "batch")
     clean = graph.padded_nodes(at, 10).select(F.col("obj").alias("id"), "node", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col("category").alias("target"), F.col("mask").cast("double").alias("mask"))
     noisy = diffusion.coordinate_noise(_scheduled(clean.withColumn("t", step)), F.col("alpha_bar"), 7, ["id"])
     state = diffusion.category_noise([(F.col("target") == k).cast("double") for k in (0, 1)], F.col("alpha_bar"), "uniform", 8, F.col("id"), F.col("node"))
     scores = dict(zip(("l0", "l1"), diffusion.baseline_classes(state, F.col("alpha_bar")), strict=True))
     guess = noisy.withColumns({f"{c}p": diffusion.baseline_coordinate(F.col(f"{c}t"), F.col("alpha_bar")) for c in "xyz"} | scores)
-    cells = graph.dense_adjacency(at, graph.local_edges(directed, numbered), 10)
-    pairs = cells.select(F.col("obj").alias("id"), F.col("node").alias("i"), F.posexplode("adjacent").alias("j", "e")).select("id", "i", "j", F.col("e").cast("double").alias("y"))
+    cells = graph.dense_active(directed, 10).select(F.col("obj").alias("id"), F.col("node").alias("i"), "adjacent")
+    flat = cells.join(session.shuffled(placed), "id").select("id", "batch", "i", F.posexplode_outer("adjacent").alias("j", "e"))  # batched before they unfold
+    pairs = flat.select("id", "batch", "i", "j", F.col("e").cast("double").alias("y"))
     hidden = diffusion.edge_noise(F.col("y"), F.col("alpha_bar"), "uniform", 9, F.col("id"), F.col("i"), F.col("j"))
     told = _scheduled(pairs.withColumn("t", step)).withColumn("logit", diffusion.baseline_edge(hidden, F.col("alpha_bar")))
-    return diffusion.batch_losses(guess.join(session.shuffled(placed), "id"), told.join(session.shuffled(placed), "id"), ["l0", "l1"])
+    return diffusion.batch_losses(guess.join(session.shuffled(placed), "id"), told, ["l0", "l1"])
 
 
 @query("training_step", syn.sql("""

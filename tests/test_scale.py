@@ -152,3 +152,24 @@ def test_a_graph_without_edges_has_empty_dense_rows(spark):
 def test_padded_pairs_are_never_shuffled(spark, parts):
     every, dealt = _exchanges(spark, parts, "edge_bce")
     assert every == dealt > 0
+
+
+def test_pairs_unfold_after_their_batch_is_known(spark, parts):
+    """From where a batch's pairs unfold to where they are summed, only the noise schedule is joined."""
+    lines = _optimized(registry.QUERIES["training_step"](spark, parts)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(k for k, line in enumerate(lines) if "Generate posexplode(adjacent" in line)
+    joins, here = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < here:
+            here = depth(line)
+            if line.lstrip(" :+-").startswith("Aggregate"):
+                break
+            joins += [line] if "Join" in line else []
+    assert len(joins) == 1 and "strategy=broadcast" in joins[0]
+
+
+def test_padded_nodes_are_never_joined(spark, parts):
+    at = graph.nodes(graph.directed_edges(syn.rings(spark, parts))).select("file", "obj", "node", *(F.lit(1.0).cast("float").alias(c) for c in "xyz"))
+    plan = graph.padded_nodes(at, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
