@@ -173,3 +173,9 @@ def test_padded_nodes_are_never_joined(spark, parts):
     at = graph.nodes(graph.directed_edges(syn.rings(spark, parts))).select("file", "obj", "node", *(F.lit(1.0).cast("float").alias(c) for c in "xyz"))
     plan = graph.padded_nodes(at, 10)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["edge_noise_absorbing"])
+def test_pairs_of_every_kind_are_never_joined_or_shuffled(spark, parts, name):
+    every, dealt = _exchanges(spark, parts, name)
+    assert every == dealt > 0
