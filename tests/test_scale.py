@@ -175,7 +175,7 @@ def test_padded_nodes_are_never_joined(spark, parts):
     assert "Join" not in plan and plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["edge_noise_absorbing", "edge_noise_gaussian", "edge_step_gaussian", "edge_step_uniform"])
+@pytest.mark.parametrize("name", ["edge_noise_absorbing", "edge_noise_gaussian", "edge_step_gaussian", "edge_step_uniform", "edge_posterior_uniform"])
 def test_pairs_of_every_kind_are_never_joined_or_shuffled(spark, parts, name):
     every, dealt = _exchanges(spark, parts, name)
     assert every == dealt > 0
